@@ -100,7 +100,7 @@ class Join:
         self.prefix_words = frozenset(order[w] for w in self.index)
 
     def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """Labels and containments of the templates that the block holds."""
+        """The best contained templates of a block that meets the threshold."""
         rank = self.rank
         words = sorted({rank[w] for w in block if w in rank})
         if len(words) < self.least:
@@ -120,7 +120,9 @@ class Join:
                 overlap = len(template & members)
                 if overlap >= need:
                     out.append((label, overlap / len(template)))
-        return out
+        # A block is named after the template that it holds most of.
+        best = max((share for _, share in out), default=0.0)
+        return [(label, share) for label, share in out if share == best]
 
 
 def base_places(words: list[bytes], present: set[bytes]) -> tuple[list[int], set[str]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, license_scan, packing, quality_rules, simhash, toxicity, warc
+from . import html_extraction, license_scan, line_dedup, packing, quality_rules, simhash, toxicity, warc
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_packing,
             op2_toxicity,
             op3_license_scan,
+            op4_line_dedup,
             op5_warc,
             op6_quality_rules,
             op9_html_extraction,

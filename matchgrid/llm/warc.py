@@ -39,6 +39,10 @@ TRAILER = "\r\n\r\n"
 #: Payloads of fewer bytes are always responses.
 MIN_REVISIT_BYTES = 0
 
+#: Digests (about 50 bytes each) and splits that are broadcast at most.
+BROADCAST_DIGESTS = 300_000
+BROADCAST_SPLITS = 100_000
+
 MAGIC_LEN = len(MAGIC)
 LENGTH = re.compile(rb"(?:^|\r\n)Content-Length: (\d+)")
 NO_REACH = -1
@@ -77,14 +81,18 @@ def with_digests(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Writes the pages as WARC files into the folder ``path``."""
     rows = with_digests(pages)
-    # Only the digests that occur again travel back to the rows.
-    originals = (
+    originals = materialize(
         rows.where(F.col("payload_bytes") >= min_revisit_bytes)
         .groupBy("digest")
         .agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
+        .drop("n"),
+        "warc-originals",
     )
+    # Only digests that occur again are looked up; while they are few, the
+    # payloads need not move for it.
+    if originals.count() <= BROADCAST_DIGESTS:
+        originals = F.broadcast(originals)
     rows = rows.join(originals, "digest", "left")
     revisit = F.col("original").isNotNull() & (
         F.col("page_id").isNull() | (F.col("page_id") != F.col("original"))
@@ -123,32 +131,43 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
     rows.withColumn("block", block).select(record.alias("value")).write.option("lineSep", TRAILER).text(path)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the pieces of each split and finds each candidate's successor.
+def _located(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[list[tuple]]:
+    """Pieces as (file, block, start, piece, first, *more); start counts from the split.
 
-    ``start`` is relative to the split; ``delta`` is the record's length by its
-    header, null where no header can be read.
+    The rows of a split come in order; a split's first piece in a file is what
+    stands before the first magic.
     """
-    now, seq, start = None, 0, 0
+    now, start = None, 0
     for b in batches:
-        out: list[tuple] = []
-        for path, block, piece in zip(*(b.column(c).to_pylist() for c in ("file", "block", "piece")), strict=True):
+        out = []
+        cols = [b.column(c).to_pylist() for c in ("file", "block", "piece", *more)]
+        for path, block, piece, *rest in zip(*cols, strict=True):
+            first = (path, block) != now and block == 0
             if (path, block) != now:
-                now, seq, start = (path, block), 0, 0
-            delta = None
-            if not (block == 0 and seq == 0):
-                head = piece.find(b"\r\n\r\n")
-                found = LENGTH.search(piece, 0, head) if head >= 0 else None
-                if found:
-                    delta = MAGIC_LEN + head + 4 + int(found[1]) + len(TRAILER)
-            out.append((path, block, seq, start, delta, piece))
-            seq += 1
+                now, start = (path, block), 0
+            out.append((path, block, start, piece, first, *rest))
             start += len(piece) + MAGIC_LEN
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield out
+
+
+def record_length(piece: bytes) -> int | None:
+    """Length by its header of the record that begins with this piece."""
+    head = piece.find(b"\r\n\r\n")
+    found = LENGTH.search(piece, 0, head) if head >= 0 else None
+    return MAGIC_LEN + head + 4 + int(found[1]) + len(TRAILER) if found else None
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each candidate's place in its split and its length by its header, if any."""
+    for rows in _located(batches):
+        out = [
+            (path, block, start, None if first else record_length(piece), len(piece))
+            for path, block, start, piece, first in rows
+        ]
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-            ["file", "block", "seq", "start", "delta", "piece"],
+            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "block", "start", "delta", "size"]
         )
 
 
@@ -174,57 +193,63 @@ def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+
+
+def parse_record(record: bytes) -> tuple:
+    """Fields of a whole record; payload size and digest from the payload itself."""
+    head, _, block = record.partition(b"\r\n\r\n")
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n") if ": " in x)
+    http, _, payload = block[: -len(TRAILER)].partition(b"\r\n\r\n")
+    kind, page = fields.get("WARC-Type", ""), fields.get("WARC-Record-ID", "")[10:-1]
+    if kind == "revisit":
+        found = LENGTH.search(http)
+        size = int(found[1]) if found else None
+        digest, refers = fields.get("WARC-Payload-Digest", "")[5:], fields.get("WARC-Refers-To", "")[10:-1]
+    else:
+        size, digest, refers = len(payload), payload_digest(payload), ""
+    return int(page) if page else None, size, digest, kind, int(refers) if refers else None
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Follows the true chain through each split and cuts it into record pieces.
+    """Follows the true chain through each split; parses records, passes on parts.
 
     ``ends`` is where the record of a piece ends; a piece before the first true
-    record of its split belongs to the record that ends at that one.
+    record of its split belongs to the record that ends at that one. Only
+    pieces of records that hold a magic, or cross splits, are passed on.
     """
     now: tuple | None = None
     ends = NO_REACH
-    for b in batches:
+    for rows in _located(batches, "base", "entry"):
         out = []
-        rows = zip(*(b.column(c).to_pylist() for c in ("file", "block", "off", "delta", "entry", "piece")), strict=True)
-        for path, block, off, delta, entry, piece in rows:
+        for path, block, start, piece, _, base, entry in rows:
             if (path, block) != now:
                 now, ends = (path, block), NO_REACH if entry is None else entry
+            off = base + start - MAGIC_LEN
             if off < 0:
                 continue
             here = off == ends
             if here:
+                delta = record_length(piece)
                 ends = NO_REACH if delta is None else off + delta
             if ends == NO_REACH or off > ends:
                 continue
-            out.append((path, ends, off, here and off + MAGIC_LEN + len(piece) == ends, piece))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "ends", "off", "whole", "piece"]
-        )
+            if here and off + MAGIC_LEN + len(piece) == ends:
+                out.append((None, None, None, None, *parse_record(piece)))
+            else:
+                out.append((path, ends, off, piece, None, None, None, None, None))
+        cols = list(zip(*out, strict=True)) or [()] * 9
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), *KINDS)
+        names = ["file", "ends", "off", "piece", *(f.split()[0] for f in FIELDS.split(", "))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fields of whole records; payload size and digest from the payload itself."""
     for b in batches:
-        out = []
-        for record in b.column("piece").to_pylist():
-            head, _, block = record.partition(b"\r\n\r\n")
-            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n") if ": " in x)
-            http, _, payload = block[: -len(TRAILER)].partition(b"\r\n\r\n")
-            kind, page = fields.get("WARC-Type", ""), fields.get("WARC-Record-ID", "")[10:-1]
-            if kind == "response":
-                size, digest, refers = len(payload), payload_digest(payload), None
-            else:
-                found = LENGTH.search(http)
-                size = int(found[1]) if found else None
-                digest = fields.get("WARC-Payload-Digest", "")[5:]
-                refers = int(fields["WARC-Refers-To"][10:-1])
-            out.append((int(page) if page else None, size, digest, kind, refers))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        cols = list(zip(*map(parse_record, b.column("piece").to_pylist()), strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-            ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+            [pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)], [f.split()[0] for f in FIELDS.split(", ")]
         )
 
 
@@ -274,11 +299,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             F.col("value").cast("binary").alias("piece"),
         )
     )
-    pieces = materialize(
-        map_arrow(raw, _candidates, "file string, block long, seq long, start long, delta long, piece binary"),
-        "warc-pieces",
+    light = materialize(
+        map_arrow(raw, _candidates, "file string, block long, start long, delta long, size long"), "warc-light"
     )
-    light = pieces.select("file", "block", "start", "delta", F.octet_length("piece").alias("size"))
     splits = light.groupBy("file", "block").agg(F.max(F.col("start") + F.col("size") + MAGIC_LEN).alias("bytes"))
     # A file has few splits: one row per split is all that a window gathers.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -294,21 +317,28 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     entries = reachable(candidates).groupBy("file", "block").agg(F.min("off").alias("entry"))
     # Where a record covers whole splits, its end is the next entry.
     after = Window.partitionBy("file").orderBy("block").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    plan = splits.join(entries, ["file", "block"], "left").withColumn(
-        "entry", F.first("entry", ignorenulls=True).over(after)
-    )
-    chain = (
-        pieces.join(plan, ["file", "block"])
-        .withColumn("off", off)
-        .repartition("file", "block")
-        .sortWithinPartitions("file", "block", "off")
-        .select("file", "block", "off", "delta", "entry", "piece")
-    )
-    found = materialize(
-        map_arrow(chain, _records, "file string, ends long, off long, whole boolean, piece binary"), "warc-records"
+    plan = materialize(
+        splits.join(entries, ["file", "block"], "left").withColumn(
+            "entry", F.first("entry", ignorenulls=True).over(after)
+        ),
+        "warc-plan",
     )
+    # The plan of the splits is broadcast, so that their rows stay in order; an
+    # archive of very many splits is read in several turns of whole files.
+    turns = max(1, -(-plan.count() // BROADCAST_SPLITS))
+    turn = F.pmod(F.xxhash64("file"), F.lit(turns))
+    found = None
+    for k in range(turns):
+        part = raw.where(turn == k).join(F.broadcast(plan.where(turn == k)), ["file", "block"])
+        part = map_arrow(
+            part.select("file", "block", "piece", "base", "entry"),
+            _records,
+            f"file string, ends long, off long, piece binary, {FIELDS}",
+        )
+        found = part if found is None else found.unionByName(part)
+    found = materialize(found, "warc-records")
     parts = (
-        found.where("not whole")
+        found.where("file is not null")
         .groupBy("file", "ends")
         .agg(F.array_sort(F.collect_list(F.struct("off", "piece"))).alias("parts"))
     )
@@ -321,12 +351,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # A record whose end the file does not hold is incomplete and left out.
     first = F.element_at("parts", 1)["off"]
     whole = parts.where(F.octet_length(joined) + MAGIC_LEN + first == F.col("ends")).select(joined.alias("piece"))
-    records = found.where("whole").select("piece").unionByName(whole)
-    return map_arrow(
-        records,
-        _parse,
-        "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long",
-    )
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    return found.where("file is null").select(*names).unionByName(map_arrow(whole, _parse, FIELDS))
 
 
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:

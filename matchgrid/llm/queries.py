@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, license_scan, line_dedup, packing, quality_rules, simhash, toxicity, warc
+from . import decontamination, html_extraction, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -42,6 +42,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.html_extraction(table(spark, sf_dir, "pages"))
 
@@ -60,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_line_dedup,
             op5_warc,
             op6_quality_rules,
+            op7_decontamination,
+            op8_suffix_dedup,
             op9_html_extraction,
             op10_simhash,
         )

@@ -62,14 +62,17 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` with fp as a signed long."""
+    """``doc_id, h, fp``: fp as a signed long, h a hash of the text."""
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("h"), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"]
+            )
 
-    return map_arrow(picked(docs, doc_id="long", text="string"), hash_all, "doc_id long, fp long")
+    named = picked(docs, doc_id="long", text="string").withColumn("h", F.xxhash64("text"))
+    return map_arrow(named, hash_all, "doc_id long, h long, fp long")
 
 
 class BKTree:
@@ -167,26 +170,41 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
     return shards.mapInArrow(_links, "u long, v long").distinct()
 
 
+def components(fps: DataFrame) -> DataFrame:
+    """``fp, component_id, keep`` of every fingerprint.
+
+    keep is the (no_id, doc_id, h) of the document that stands for the
+    component: the smallest id, rows without one last.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("keep"))
+    roots = connected_components(near_fingerprints(classes.select("fp")))
+    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    low = linked.groupBy("root").agg(F.min("component_id").alias("low"), F.min("keep").alias("low_keep"))
+    named = linked.join(low, "root").select("fp", "low", "low_keep")
+    return classes.join(named, "fp", "left").select(
+        "fp",
+        F.coalesce("low", "component_id").alias("component_id"),
+        F.coalesce("low_keep", "keep").alias("keep"),
+    )
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     fps = materialize(fingerprints(docs), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    links = near_fingerprints(classes.select("fp"))
-    roots = connected_components(links)
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    low = linked.groupBy("root").agg(F.min("first_doc").alias("low"))
-    named = linked.join(low, "root").select("fp", "low")
-    known = classes.join(named, "fp", "left").select("fp", F.coalesce("low", "first_doc").alias("component_id"))
-    return fps.join(known, "fp").select(
+    return fps.join(components(fps).drop("keep"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component.
+    """One document of each component: the one of the smallest id.
 
-    Rows with an equal id and component are one document: one of them stays.
+    Of rows that repeat both id and text one stays; columns as they came.
     """
-    found = simhash_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    fps = materialize(fingerprints(docs), "simhash")
+    kept = components(fps).select("keep").distinct().select("keep.doc_id", "keep.h")
+    kept = kept.withColumnsRenamed({"doc_id": "__doc", "h": "__hash"})
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
+    found = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left_semi")
+    return found.dropDuplicates(["__id", "__h"]).drop("__id", "__h")

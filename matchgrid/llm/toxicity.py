@@ -196,13 +196,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """The documents whose text is not predicted toxic; columns as they came.
 
+    The labels belong to ``learn_from``, which is ``docs`` if not given.
+
     The verdict depends on the text alone, so it is applied inside the pass
     that scores the rows, without a join.
     """
-    weights, bias = fit(docs, labels)
+    weights, bias = fit(docs if learn_from is None else learn_from, labels)
     used = np.flatnonzero(weights).astype(np.int32)
     values = weights[used]
 

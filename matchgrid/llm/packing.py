@@ -8,8 +8,8 @@ two-for-one with documents of, fuller bins. Every step raises the sum of
 squared fills, so it ends, and it stops early once the block has as few bins as
 its tokens allow. A block costs at most about one sequence over the optimum.
 
-Tokenizing cuts a text at white space and looks each chunk up in a bounded
-cache of the tokenizer's own results; texts with characters for which that is
+Tokenizing cuts texts at white space and looks the chunks up in a bounded cache
+of the tokenizer's own results; texts with characters for which that is
 not exactly the tokenizer's reading of the whole text go to it whole.
 
 Edge cases: a null or empty text is one end token. Repeated rows are packed
@@ -36,42 +36,83 @@ END_ID = 1
 #: Pieces packed together, about; bounds a packing task.
 BLOCK_PIECES = 20_000
 #: Chunks whose ids a Python worker remembers.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 300_000
 
 #: Texts of these characters only are read chunk by chunk: no other white
 #: space, nothing that normalization joins, and plain lower-casing.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
 
 
+#: A chunk that is a word and punctuation: their ids follow one another.
+PUNCTUATED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
+
+    Results for chunks are kept in two generations of bounded size: what a
+    batch uses is in the newer, and the older goes when that is full.
+    """
 
     def __init__(self, path: str):
         # Kept on the tokenizers module, which outlives a task in its worker.
         kept = vars(tokenizers).setdefault("_matchgrid_encoders", {})
         if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), {})
+            kept[path] = (tokenizers.Tokenizer.from_file(path), [{}, {}])
         self.tokenizer, self.cache = kept[path]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.whole(text)
-        cache, chunks = self.cache, text.lower().split()
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
+    def _read(self, chunks: list[str]) -> dict[str, bytes]:
+        """The tokenizer's own reading of each chunk, all in one call."""
+        out = dict.fromkeys(chunks, b"")
+        if chunks:
+            got = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            for n, part in zip(owner[np.concatenate([[0], cuts])].tolist(), np.split(ids, cuts), strict=True):
+                out[chunks[n]] = part.tobytes()
+        return out
+
+    def _known(self, chunks: set[str]) -> dict[str, bytes]:
+        new, old = self.cache
+        known: dict[str, bytes] = {}
+        words, parts = {}, {}
         for c in chunks:
-            if c not in cache:
-                cache[c] = self.whole(c)
-        return b"".join([cache[c] for c in chunks])
+            ids = new.get(c)
+            if ids is None:
+                ids = old.get(c)
+            if ids is not None:
+                known[c] = ids
+                continue
+            m = PUNCTUATED.fullmatch(c)
+            if m is None:
+                words[c] = None
+            else:
+                parts[c] = m.groups()
+        for w in {x for pair in parts.values() for x in pair}:
+            if w not in known:
+                ids = new.get(w, old.get(w))
+                if ids is None:
+                    words[w] = None
+                else:
+                    known[w] = ids
+        known.update(self._read(list(words)))
+        for c, (word, marks) in parts.items():
+            known[c] = known[word] + known[marks]
+        new.update(known)
+        if len(new) > CACHE_CHUNKS:
+            self.cache[:] = [{}, new]
+        return known
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        plain = [None if not t or "<|" in t or not PLAIN.fullmatch(t) else t.lower().split() for t in texts]
+        get = self._known(set().union(*(p for p in plain if p is not None))).__getitem__
+        return [
+            b"".join(map(get, p)) if p is not None else self.whole(t) if t else b""
+            for p, t in zip(plain, texts, strict=True)
+        ]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS) -> DataFrame:
@@ -82,8 +123,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS) -
         encode = Encoder(tokenizer_path)
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode(text) + end
+            texts = b.column("text").to_pylist()
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids += end
                 for k in range(0, len(ids), 4 * limit):
                     part = ids[k : k + 4 * limit]
                     out.append((doc_id, k // (4 * limit), k // 4, len(part) // 4, zlib.crc32(part)))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, picked
+from .common import map_arrow, materialize, picked
 
 ORDERS = (3, 4, 5, 6)
 SLOT_BITS = 20
@@ -40,6 +40,8 @@ SMOOTHING = 2.0
 #: Ratios nearer to zero are taken as zero.
 MIN_RATIO = 0.7
 FOLDS = 5
+#: Labels (12 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACE = re.compile(r"\s+")
@@ -73,7 +75,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic`` of the rows that may be learned from."""
     lab = picked(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)")
     lab = lab.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-    lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lab = materialize(lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    # While the labels are few, the texts need not move to meet them.
+    if lab.count() <= BROADCAST_LABELS:
+        lab = F.broadcast(lab)
     return picked(docs, doc_id="long", text="string").join(lab, "doc_id")
 
 

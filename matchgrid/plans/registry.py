@@ -1,15 +1,443 @@
-"""Query registry of the match and timeline operators."""
+"""Query registry of the match and timeline operators.
+
+Each query applies operators to the adapter views of the driver's tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchgrid.functions import scalars as S
+from matchgrid.operators import decode, learning, score, series, stats, timeline
+from matchgrid.plans import adapters as A
+from matchgrid.plans import oracles
+from matchgrid.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+MERGED_CLASSES = ["c0", "c1", "c2"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _event_videos(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "events").select(F.col("user_id").alias("video_key")).distinct()
+    return users.withColumn("duration", F.lit(A.MATCH_S))
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.plan_segments(_event_videos(spark, sf), A.SEGMENT_S)
+
+
+@query
+def timeline_segments(spark: SparkSession, sf: str) -> DataFrame:
+    out = timeline.heard_and_context(A.utterances(spark, sf), _segments(spark, sf), A.SEGMENT_S)
+    return out.where("heard <> '' OR context <> ''").select("video_key", "seg_id", "start", "end", "heard", "context")
+
+
+@query
+def segment_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.plan_segments(A.videos(spark, sf), 5.0)
+
+
+@query
+def frame_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    v = A.videos(spark, sf)
+    frames = timeline.assign_frames(timeline.frame_grid(v, 1.0), timeline.plan_segments(v, 5.0), 5.0)
+    return frames.groupBy("video_key", "seg_id").agg(
+        F.count("*").alias("n_frames"), F.min("t").alias("first_t"), F.max("t").alias("last_t")
+    )
+
+
+@query
+def utterance_filter(spark: SparkSession, sf: str) -> DataFrame:
+    raw = A.utterances(spark, sf).withColumn("text", F.expr("if(utt_id % 7 = 0, ' ... ', text)"))
+    # Off the grid of seconds, so that no time lies between two roundings.
+    raw = raw.withColumns({"start": F.col("start") + 0.0003, "end": F.col("end") + 0.0003})
+    return timeline.filter_utterances(raw, A.speech(spark, sf), 360.0)
+
+
+@query
+def timeline_lines(spark: SparkSession, sf: str) -> DataFrame:
+    out = timeline.heard_and_context(A.utterances(spark, sf), _segments(spark, sf), A.SEGMENT_S)
+    return timeline.timeline_text(out.where("heard <> ''").withColumn("seen", F.expr("if(seg_id % 3 = 0, NULL, context)")))
+
+
+@query
+def timeline_documents(spark: SparkSession, sf: str) -> DataFrame:
+    out = timeline.heard_and_context(A.utterances(spark, sf), _segments(spark, sf), A.SEGMENT_S)
+    doc = timeline.timeline_document(out)
+    return doc.select("video_key", F.posexplode("segments").alias("pos", "s")).select("video_key", "pos", "s.seg_id", "s.heard").where("heard <> ''")
+
+
+@query
+def summary_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.summary_chunks(_segments(spark, sf)).groupBy("video_key", "chunk").agg(F.count("*").alias("n"), F.max("end").alias("until"))
+
+
+@query
+def model_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.model_plan(A.videos(spark, sf), 1.0, 5.0, 640, 10.45).withColumn("peak_gb", F.bround("peak_gb", 4))
+
+
+@query
+def talk_time(spark: SparkSession, sf: str) -> DataFrame:
+    return A.speech(spark, sf).groupBy("video_key").agg(F.bround(F.sum(F.col("e") - F.col("b")), 3).alias("seconds"))
+
+
+@query
+def clock_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", S.clock(F.col("o_totalprice") / 16).alias("clock"))
+
+
+@query
+def answer_json(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.expr(
+        "concat('<think>', role, ' \\n {', turn, '}</think> ok ', if(turn % 5 = 4, '{broken', concat('{\"type\": \"', role, '\", \"n\": ', turn, '}')), ' </think>')"
+    )
+    clean = table(spark, sf, "conversations").select("conv_id", "turn", S.clean_answer(text).alias("clean"))
+    j = S.first_json("clean", "type string, n int")
+    kind = F.when(j["type"].isin("user", "assistant"), j["type"]).otherwise("other")
+    return clean.select("conv_id", "turn", "clean", kind.alias("kind"), j["n"].cast("int").alias("n"))
+
+
+@query
+def probe_fields(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("value"))
+    dur = S.first_duration(F.expr("if(event_id % 4 = 0, 'N/A', k)"), F.col("value").cast("string"))
+    return ev.select("event_id", dur.alias("duration"), S.turn_of(F.expr("cast(event_id % 4 * 90 AS int)")).alias("turn"))
+
+
+@query
+def text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    key = F.concat(S.file_slug(F.concat("source", F.lit(" _é:"), "lang")), F.lit("-"), F.substring(F.sha1(F.concat("source", F.lit(":"), F.octet_length("text").cast("string"), "text")), 1, 12))
+    return d.select("doc_id", key.alias("file_key"))
+
+
+@query
+def plain_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", S.plain_name(F.substring("text", 1, 40)).alias("name"))
+
+
+@query
+def frame_signals(spark: SparkSession, sf: str) -> DataFrame:
+    out = series.histogram_distance(A.signals(spark, sf))
+    return out.select("video_key", "frame", F.bround("dist", 6).alias("dist"), F.bround("motion", 6).alias("motion"))
+
+
+def _motion(spark: SparkSession, sf: str) -> DataFrame:
+    """A motion series with spikes, from the events of a few users in order."""
+    return table(spark, sf, "events").selectExpr(
+        "user_id % 5 AS video_key", "event_id AS frame", "if(event_id % 97 = 0, 9D, value / 490D) AS motion"
+    )
+
+
+def _dist(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").selectExpr("user_id % 5 AS video_key", "event_id AS frame", "value / 490D AS dist")
+
+
+@query
+def jump_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    cuts = series.jump_cuts(_motion(spark, sf), 30.0)
+    return cuts.select("video_key", F.explode("cuts").alias("cut"))
+
+
+@query
+def split_shots(spark: SparkSession, sf: str) -> DataFrame:
+    extra = series.jump_cuts(_motion(spark, sf), 30.0)
+    return series.split_shots(_dist(spark, sf), 30.0, 0.9, 0.6, extra)
+
+
+@query
+def shot_motion(spark: SparkSession, sf: str) -> DataFrame:
+    shots = series.split_shots(_dist(spark, sf), 30.0, 0.9)
+    return series.shot_motion(shots, _motion(spark, sf)).withColumn("motion", F.bround("motion", 6))
+
+
+@query
+def shot_keyframes(spark: SparkSession, sf: str) -> DataFrame:
+    return series.keyframes(series.split_shots(_dist(spark, sf), 30.0, 0.9))
+
+
+@query
+def track_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    out = series.track_pieces(A.tracks(spark, sf), 3)
+    return out.select("shot_id", "slot", "frame", "piece", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+
+
+@query
+def track_median(spark: SparkSession, sf: str) -> DataFrame:
+    out = series.median5(series.track_pieces(A.tracks(spark, sf), 3))
+    return out.select("shot_id", "slot", "frame", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+
+
+@query
+def player_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.player_stats(series.track_pieces(A.tracks(spark, sf), 3), 30.0)
+
+
+@query
+def player_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.heatmap(series.track_pieces(A.tracks(spark, sf), 3))
+
+
+@query
+def slot_presence(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.presence(A.tracks(spark, sf)).withColumn("presence", F.bround("presence", 6))
+
+
+@query
+def slot_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.slot_roles(A.tracks(spark, sf))
+
+
+@query
+def speed_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "events").selectExpr("user_id AS key", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i", "value AS v")
+    return series.pick_peaks(s, 100.0, 4).select("key", F.explode("peaks").alias("i"))
+
+
+@query
+def hit_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    return decode.alternate_hits(A.candidates(spark, sf))
+
+
+@query
+def nearest_positions(spark: SparkSession, sf: str) -> DataFrame:
+    t = A.tracks(spark, sf)
+    out = decode.nearest_position(t.where("x is null"), t)
+    return out.select("shot_id", "slot", "frame", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+
+
+@query
+def strongest_slots(spark: SparkSession, sf: str) -> DataFrame:
+    speeds = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey % 50 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", "l_partkey % 300 AS frame", "l_quantity AS speed"
+    ).groupBy("shot_id", "slot", "frame").agg(F.max("speed").alias("speed"))
+    cands = table(spark, sf, "orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey % 50 AS shot_id", "o_orderkey AS cand", "(o_custkey % 80) / 8D AS t")
+    return decode.strongest_slot(cands, speeds, 30.0)
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits with measured columns, from lineitem."""
+    return table(spark, sf, "lineitem").where("l_linenumber <= 3").selectExpr(
+        "l_orderkey AS hit_id", "l_linenumber AS n", "l_quantity / 5D AS dist", "l_discount * 6D AS speed", "l_tax * 30D AS since_start",
+        "l_returnflag = 'A' AS overhead", "l_partkey % 2 = 0 AS forehand", "l_linenumber = 1 AS first_in_shot", "l_suppkey % 3 > 0 AS wrist_low",
+        "element_at(array('low', 'high', 'head'), cast(l_partkey % 3 AS int) + 1) AS height",
+        "if(l_suppkey % 4 = 0, NULL, l_suppkey % 4 > 1) AS swing", "l_quantity / 4D AS evidence",
+        "element_at(array('service', 'revers', 'smash', 'lob', 'tennis', NULL), cast(l_suppkey % 6 AS int) + 1) AS answer",
+    )
+
+
+@query
+def stroke_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return decode.stroke_by_pose(_hits(spark, sf)).select("hit_id", "n", "stroke", "confidence")
+
+
+@query
+def strokes_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf).select("hit_id", "n", F.array_join(decode.allowed_strokes("height", "dist"), ",").alias("allowed"), S.zone("dist").alias("zone"))
+
+
+@query
+def strokes_refined(spark: SparkSession, sf: str) -> DataFrame:
+    out = decode.refine_with_answers(decode.stroke_by_pose(_hits(spark, sf)))
+    return out.select("hit_id", "n", "stroke", "confidence", "stroke_model")
+
+
+@query
+def strokes_reconciled(spark: SparkSession, sf: str) -> DataFrame:
+    h = decode.stroke_by_pose(_hits(spark, sf)).withColumnsRenamed({"stroke": "stroke_pose", "answer": "stroke_model"})
+    return decode.reconcile(h).select("hit_id", "n", "stroke")
+
+
+@query
+def strokes_classified(spark: SparkSession, sf: str) -> DataFrame:
+    h = decode.stroke_by_pose(_hits(spark, sf)).withColumns({
+        "label": F.expr("case cast(dist as int) % 4 when 0 then 'pas_une_frappe' when 1 then 'bandeja_vibora' when 2 then 'lob' end"),
+        "prob": F.col("speed") * 2, "stroke_model": F.col("answer"),
+    })
+    return decode.apply_classifier(h).select("hit_id", "n", "stroke", F.bround("confidence", 6).alias("confidence"))
+
+
+@query
+def stroke_counts(spark: SparkSession, sf: str) -> DataFrame:
+    h = decode.stroke_by_pose(_hits(spark, sf)).withColumn("player", F.col("n"))
+    return stats.stroke_counts(h, ("service", "coup_droit", "bandeja_vibora", "smash", "volee_cd"))
+
+
+@query
+def score_readings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = (
+        "array(named_struct('team', concat(' t', o_custkey % 3), 'serving', o_orderkey % 2 = 0, 'values', array(cast(o_orderkey % 7 AS string), ' ', if(o_orderkey % 11 = 0, 'x', '3'), ' ad')),"
+        " named_struct('team', 'B', 'serving', o_orderkey % 2 = 1, 'values', if(o_orderkey % 13 = 0, array('1'), array('2', cast(o_custkey % 7 AS string), '40'))))"
+    )
+    r = table(spark, sf, "orders").select("o_orderkey", F.expr(rows).alias("rows"))
+    s = score.parse_rows(r)
+    return s.select(
+        "o_orderkey", F.array_join("state.teams", "|").alias("teams"),
+        F.expr("array_join(transform(state.games, g -> array_join(g, '-')), '|')").alias("games"), F.array_join("state.points", "|").alias("points"),
+    )
+
+
+@query
+def score_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return score.clean_sequence(A.score_states(spark, sf)).select("match", "ord", "kept")
+
+
+@query
+def point_winners(spark: SparkSession, sf: str) -> DataFrame:
+    return score.point_winners(A.score_states(spark, sf))
+
+
+@query
+def score_stories(spark: SparkSession, sf: str) -> DataFrame:
+    return score.last_score(A.score_states(spark, sf))
+
+
+@query
+def label_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    saved = d.where("doc_id % 3 <> 0").selectExpr("source AS video", "doc_id AS key", "lang AS label")
+    fresh = d.where("doc_id % 4 = 0").selectExpr("source AS video", "doc_id AS key", "if(doc_id % 8 = 0, 'en', 'xx') AS label")
+    known = d.where("lang <> 'xx'").selectExpr("lang AS label").distinct()
+    return learning.upsert_labels(saved, fresh, known)
+
+
+@query
+def labels_open(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").selectExpr("source AS video", "doc_id AS key")
+    labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").selectExpr("source AS video", "doc_id AS key", "'c' AS label")
+    return learning.unlabelled_hits(d, labels).groupBy("video").agg(F.count("*").alias("n"), F.max("key").alias("last"))
+
+
+@query
+def label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.accuracy(A.labelled(spark, sf), "pred", "vlm", "pose").withColumn("accuracy", F.bround("accuracy", 6))
+
+
+@query
+def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.confusion(A.labelled(spark, sf), MERGED_CLASSES)
+
+
+@query
+def label_held_out(spark: SparkSession, sf: str) -> DataFrame:
+    out = learning.held_out(A.labelled(spark, sf), "c0", 15)
+    return out.withColumns({"accuracy": F.bround("accuracy", 6), "stroke_accuracy": F.bround("stroke_accuracy", 6)})
+
+
+@query
+def label_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.folds(A.labelled(spark, sf), 5).select("key", "fold")
+
+
+@query
+def label_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.class_weights(A.labelled(spark, sf)).withColumn("weight", F.bround("weight", 6))
+
+
+@query
+def hit_precision(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.hit_precision(A.labelled(spark, sf), "c0").withColumn("precision", F.bround("precision", 6))
+
+
+@query
+def label_selection(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.labelled(spark, sf).withColumn("prob", F.col("key") % 17 / 17)
+    return learning.select_for_annotation(rows, 40)
+
+
+@query
+def label_references(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.labelled(spark, sf).selectExpr("video", "key", "truth AS label", "if(key % 2 = 0, 'model', 'user') AS annotator")
+    return learning.references(rows)
+
+
+@query
+def colour_words(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey * 7 % 256 AS r", "p_partkey * 13 % 256 AS g", "p_partkey * 29 % 256 AS b")
+    return p.select("p_partkey", stats.colour_word("r", "g", "b").alias("colour"))
+
+
+@query
+def colour_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").selectExpr("cast(p_partkey * 7 % 256 AS double) AS r", "cast(p_partkey * 13 % 256 AS double) AS g", "cast(p_size * 5 AS double) AS b")
+    c = stats.two_means(p)
+    return c.select(*[F.bround(f"{k}.{x}", 4).alias(f"{k}_{x}") for k in ("c0", "c1") for x in "rgb"])
+
+
+@query
+def team_votes(spark: SparkSession, sf: str) -> DataFrame:
+    teams = table(spark, sf, "nation").selectExpr("n_name AS team")
+    seen = table(spark, sf, "nation").selectExpr(
+        "n_nationkey AS obs_id", "if(n_nationkey % 2 = 0, concat('X ', n_name), concat('DE', n_name)) AS name", "if(n_nationkey % 3 = 0, 'rouge', 'bleu') AS colour"
+    )
+    return stats.team_votes(teams, seen)
+
+
+@query
+def court_points(spark: SparkSession, sf: str) -> DataFrame:
+    h = [0.02, 0.001, -3.0, 0.0005, 0.03, -1.0, 0.00001, 0.0004, 1.0]
+    p = table(spark, sf, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey", "l_quantity * 20D AS px", "l_discount * 3000D AS py")
+    x, y = stats.to_court(F.col("px"), F.col("py"), h)
+    p = p.withColumns({"x": x, "y": y})
+    bx, by = stats.to_court(F.col("x"), F.col("y"), stats.inverse3(h))
+    inside = F.col("x").between(-0.6, 10.6) & F.col("y").between(-0.6, 20.6)
+    return p.select("l_orderkey", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"), F.bround(bx, 3).alias("px"), F.bround(by, 3).alias("py"), inside.alias("inside"))
+
+
+@query
+def court_line_rows(spark: SparkSession, sf: str) -> DataFrame:
+    seg = table(spark, sf, "lineitem").selectExpr("l_orderkey % 20 AS video_key", "cast(l_partkey % 400 AS double) AS row", "l_quantity AS length")
+    return stats.line_row(seg).select("video_key", "row", F.bround("total", 4).alias("total"))
+
+
+def _shots(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").selectExpr(
+        "o_custkey % 30 AS video_key", "o_orderkey AS shot_id", "o_orderkey * 10D AS start", "cast(o_totalprice AS bigint) % 600 * 1D AS duration",
+        "if(o_orderstatus = 'F', 'main', 'other') AS kind", "o_orderkey % 4 > 0 AS scoreboard", "o_orderkey % 9 = 0 AS replay",
+    )
+
+
+@query
+def longest_shots(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.longest(_shots(spark, sf), 6).select("video_key", "shot_id", "duration", "rank")
+
+
+@query
+def calibration_times(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.sample_times(_shots(spark, sf)).withColumn("t", F.bround("t", 6))
+
+
+@query
+def overlay_replays(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.replay_by_overlay(_shots(spark, sf)).select("video_key", "shot_id", "replay")
+
+
+@query
+def overlay_times(spark: SparkSession, sf: str) -> DataFrame:
+    s = _shots(spark, sf).withColumn("end", F.col("start") + 5)
+    return stats.last_overlay(s.where("kind = 'main'").select("video_key", "shot_id", "start", "end"), s.where("kind <> 'main'").select("video_key", "shot_id", "start", "end"), 1e9)
+
+
+@query
+def shot_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    s = _shots(spark, sf).withColumn("rally", F.expr("kind = 'main' AND NOT replay"))
+    return s.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("rally").alias("rallies"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}

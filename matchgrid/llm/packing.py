@@ -19,6 +19,7 @@ result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,8 +44,8 @@ CACHE_CHUNKS = 300_000
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
 
 
-#: A chunk that is a word and punctuation: their ids follow one another.
-PUNCTUATED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+#: A word, with or without punctuation: their ids follow one another.
+PUNCTUATED = re.compile(r"([^\W\d_]+)([^\w\s']*)")
 
 
 class Encoder:
@@ -58,56 +59,78 @@ class Encoder:
         # Kept on the tokenizers module, which outlives a task in its worker.
         kept = vars(tokenizers).setdefault("_matchgrid_encoders", {})
         if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), [{}, {}])
-        self.tokenizer, self.cache = kept[path]
+            kept[path] = (tokenizers.Tokenizer.from_file(path), self._words_only(path), [{}, {}])
+        self.tokenizer, self.words, self.cache = kept[path]
+
+    @staticmethod
+    def _words_only(path: str) -> tokenizers.Tokenizer | None:
+        """The same model for single lower-case words and runs of punctuation.
+
+        None where the tokenizer does not drop white space and part words from
+        punctuation, lower-casing first; texts then go to it whole.
+        """
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        norms = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        if (
+            [x.get("type") for x in steps] != ["Split", "ByteLevel"]
+            or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True)
+            or not steps[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            or norms != ["NFC", "Replace", "Lowercase"]
+        ):
+            return None
+        made |= {"normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}
+        return tokenizers.Tokenizer.from_str(json.dumps(made))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _read(self, chunks: list[str]) -> dict[str, bytes]:
+    @staticmethod
+    def _read(tokenizer: tokenizers.Tokenizer, chunks: list[str]) -> dict[str, bytes]:
         """The tokenizer's own reading of each chunk, all in one call."""
         out = dict.fromkeys(chunks, b"")
         if chunks:
-            got = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+            got = tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
             ids, owner = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            for n, part in zip(owner[np.concatenate([[0], cuts])].tolist(), np.split(ids, cuts), strict=True):
-                out[chunks[n]] = part.tobytes()
+            raw, cuts = ids.tobytes(), np.flatnonzero(np.diff(owner)) + 1
+            first = np.concatenate([[0], cuts])
+            ends = (4 * np.concatenate([cuts, [len(ids)]])).tolist()
+            for n, a, e in zip(owner[first].tolist(), (4 * first).tolist(), ends, strict=True):
+                out[chunks[n]] = raw[a:e]
         return out
 
     def _known(self, chunks: set[str]) -> dict[str, bytes]:
+        """The newer generation, after all chunks are in it."""
         new, old = self.cache
-        known: dict[str, bytes] = {}
-        words, parts = {}, {}
-        for c in chunks:
-            ids = new.get(c)
-            if ids is None:
-                ids = old.get(c)
-            if ids is not None:
-                known[c] = ids
-                continue
-            m = PUNCTUATED.fullmatch(c)
+        if len(new) > CACHE_CHUNKS:
+            self.cache[:] = new, old = [{}, new]
+        absent = chunks.difference(new)
+        if not absent:
+            return new
+        kept = absent.intersection(old)
+        new.update(zip(kept, map(old.__getitem__, kept), strict=True))
+        words: set[str] = set()
+        parts, others = [], []
+        split = PUNCTUATED.fullmatch
+        for c in absent.difference(kept):
+            m = split(c)
             if m is None:
-                words[c] = None
+                others.append(c)
             else:
-                parts[c] = m.groups()
-        for w in {x for pair in parts.values() for x in pair}:
-            if w not in known:
-                ids = new.get(w, old.get(w))
-                if ids is None:
-                    words[w] = None
-                else:
-                    known[w] = ids
-        known.update(self._read(list(words)))
-        for c, (word, marks) in parts.items():
-            known[c] = known[word] + known[marks]
-        new.update(known)
-        if len(new) > CACHE_CHUNKS:
-            self.cache[:] = [{}, new]
-        return known
+                parts.append((c, *m.groups()))
+        words.update(p[1] for p in parts)
+        words.update(p[2] for p in parts)
+        words.discard("")
+        new.update(self._read(self.words, list(words.difference(new))))
+        new.update(self._read(self.tokenizer, others))
+        new[""] = b""
+        for c, word, marks in parts:
+            new[c] = new[word] + new[marks]
+        return new
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        plain = [None if not t or "<|" in t or not PLAIN.fullmatch(t) else t.lower().split() for t in texts]
+        plain = [None if not t or self.words is None or "<|" in t or not PLAIN.fullmatch(t) else t.lower().split() for t in texts]
         get = self._known(set().union(*(p for p in plain if p is not None))).__getitem__
         return [
             b"".join(map(get, p)) if p is not None else self.whole(t) if t else b""

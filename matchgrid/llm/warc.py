@@ -15,7 +15,7 @@ candidate stays part of the payload it lies in, also across splits.
 
 Edge cases: a null html is an empty payload; a null page id stays null (the
 largest of equal payloads is then null only if all are); a null url is an empty
-header. Rows repeated with their page id are all responses. An empty table
+header, and a url in brackets cannot end a line with the magic. Rows repeated with their page id are all responses. An empty table
 gives an empty result. Extra columns are ignored. A file that does not begin
 with a record yields nothing; a chain that breaks ends there.
 """
@@ -108,9 +108,9 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
         F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"),
         F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "),
+        F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: <"),
         F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x1f]", ""),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"),
+        F.lit(">\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
         F.when(
             revisit,

@@ -36,6 +36,8 @@ SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Pieces packed together, about; bounds a packing task.
 BLOCK_PIECES = 20_000
+#: Sweeps of exchanges between underfull bins, at most, in one block.
+MAX_SWEEPS = 50
 #: Chunks whose ids a Python worker remembers.
 CACHE_CHUNKS = 300_000
 
@@ -230,14 +232,48 @@ def pack_block(sizes: list[int], limit: int = SEQUENCE_TOKENS) -> list[int]:
     least = -(-sum(sizes) // limit)
     used = len(bins.free)
     size_of = np.array(sizes, dtype=np.int64)
+    sweeps = 0
     while used > least:
         emptiest = max((b for b in range(len(bins.free)) if bins.items[b]), key=lambda b: (bins.free[b], b))
-        if not _empty(bins, emptiest, size_of, where):
+        if _empty(bins, emptiest, size_of, where):
+            used -= 1
+        elif sweeps == MAX_SWEEPS or not _exchange(bins, size_of, where):
             break
-        used -= 1
+        else:
+            sweeps += 1
     return where
 
 
+def _exchange(bins: Bins, size_of: np.ndarray, where: list[int]) -> bool:
+    """One sweep over the underfull bins, fullest first: each takes a larger document
+    of a bin no fuller for one of its own, as large as its room allows. Room
+    gathers in the emptier bins. Returns whether anything moved."""
+    free, at = np.array(bins.free), np.array(where)
+    moved = False
+    for a in sorted((b for b in range(len(free)) if bins.items[b] and free[b] > 0), key=lambda b: (free[b], b)):
+        room, best = int(free[a]), (0, -1, -1)
+        if not room:
+            continue
+        less = (free[at] >= room) & (at != a)
+        for y in bins.items[a]:
+            fits = less & (size_of > size_of[y]) & (size_of <= size_of[y] + room)
+            if fits.any():
+                x = int(np.argmax(np.where(fits, size_of, 0)))
+                best = max(best, (int(size_of[x] - size_of[y]), x, y))
+        gain, x, y = best
+        if gain:
+            b = int(at[x])
+            for item, to, frm in ((x, a, b), (y, b, a)):
+                bins.take(frm, item, int(size_of[item]))
+                where[item] = at[item] = to
+            bins.put(a, x, int(size_of[x]))
+            bins.put(b, y, int(size_of[y]))
+            free[a] -= gain
+            free[b] += gain
+            moved = True
+    return moved
+
+
 def _empty(bins: Bins, e: int, size_of: np.ndarray, where: list[int]) -> bool:
     """Moves and exchanges documents of bin ``e`` into fuller bins until none is left."""
     free = np.array(bins.free)

@@ -326,5 +326,20 @@ ORACLES: dict[str, str] = {
     "overlay_times": f"""WITH {SHOT}, r AS (SELECT *, "start" + 5 AS fin, coalesce(lead("start") OVER (PARTITION BY video_key ORDER BY "start", shot_id), 1e9) AS until FROM shot WHERE kind = 'main'),
       o AS (SELECT r.video_key, r.shot_id, max_by(s."start" + 5, s."start") AS o_end FROM r JOIN shot s ON s.video_key = r.video_key AND s.kind <> 'main' AND s."start" >= r.fin AND s."start" < r.until GROUP BY 1, 2)
       SELECT r.video_key, r.shot_id, round_even(coalesce(o_end, fin) - 0.4, 3) AS t FROM r LEFT JOIN o USING (video_key, shot_id)""",
+    "window_counts": """SELECT user_id AS video_key, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS "start", CAST(floor(epoch(ts) / 3600) * 3600 + 3600 AS BIGINT) AS "end",
+        count(*) AS n, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) AS texts FROM events GROUP BY 1, 2, 3""",
+    "rally_sessions": """WITH g AS (SELECT user_id AS video_key, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) < 21600 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY video_key ORDER BY ts) AS k FROM g)
+      SELECT video_key, CAST(floor(epoch(min(ts))) AS BIGINT) AS "start", CAST(floor(epoch(max(ts)) + 21600) AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY video_key, k""",
+    "wrist_speeds": """WITH p AS (SELECT l_orderkey % 50 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot, row_number() OVER w AS frame, l_quantity AS lx, l_discount * 100 AS ly, l_tax * 10 AS lc,
+        CAST(l_partkey % 97 AS DOUBLE) AS rx, CAST(l_suppkey % 53 AS DOUBLE) AS ry, l_discount * 8 AS rc, l_quantity * 4 AS height FROM lineitem
+        WINDOW w AS (PARTITION BY l_orderkey % 50, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice)),
+      d AS (SELECT *, coalesce(CASE WHEN lc >= 0.3 AND lag(lc) OVER w >= 0.3 AND height >= 20 THEN sqrt(pow(lx - lag(lx) OVER w, 2) + pow(ly - lag(ly) OVER w, 2)) / height END, 0) AS l,
+        coalesce(CASE WHEN rc >= 0.3 AND lag(rc) OVER w >= 0.3 AND height >= 20 THEN sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w, 2)) / height END, 0) AS r
+        FROM p WINDOW w AS (PARTITION BY shot_id, slot ORDER BY frame)),
+      s AS (SELECT *, greatest(l, r) AS v FROM d),
+      t AS (SELECT *, CASE WHEN frame = 1 THEN 0 ELSE list_sort([CASE WHEN frame = 2 THEN 0 ELSE lag(v) OVER w END, v, coalesce(lead(v) OVER w, 0)])[2] END AS speed FROM s WINDOW w AS (PARTITION BY shot_id, slot ORDER BY frame)),
+      m AS (SELECT *, median(CASE WHEN speed > 0 THEN speed END) OVER (PARTITION BY shot_id, slot) AS med FROM t)
+      SELECT shot_id, slot, frame, round_even(speed, 6) AS speed, round_even(speed / greatest(coalesce(med, 1), 1e-3), 5) AS ratio, CASE WHEN r > l THEN 1 ELSE 0 END AS arm FROM m""",
     "shot_kinds": f"WITH {SHOT} SELECT kind, count(*) AS n, count(*) FILTER (kind = 'main' AND NOT replay) AS rallies FROM shot GROUP BY 1",
 }

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.functions import scalars as S
-from matchgrid.operators import decode, learning, score, series, stats, timeline
+from matchgrid.operators import decode, learning, motion, score, series, stats, timeline
 from matchgrid.plans import adapters as A
 from matchgrid.plans import oracles
 from matchgrid.session import table
+from matchgrid.streaming import tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,6 +436,56 @@ def shot_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("rally").alias("rallies"))
 
 
+def _stream_events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").selectExpr("user_id AS video_key", "cast(ts AS timestamp) AS ts", "event_type AS text")
+
+
+@query
+def window_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out = tumbling.segment_counts(_stream_events(spark, sf), "1 hour")
+    return out.select("video_key", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n", "texts")
+
+
+@query
+def rally_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    out = tumbling.rally_sessions(_stream_events(spark, sf), "6 hours")
+    return out.select("video_key", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n")
+
+
+@query
+def wrist_speeds(spark: SparkSession, sf: str) -> DataFrame:
+    key = "PARTITION BY l_orderkey % 50, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
+    poses = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey % 50 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", f"cast(row_number() OVER ({key}) AS bigint) AS frame",
+        "l_quantity AS lx", "l_discount * 100 AS ly", "l_tax * 10 AS lc", "cast(l_partkey % 97 AS double) AS rx", "cast(l_suppkey % 53 AS double) AS ry",
+        "l_discount * 8 AS rc", "l_quantity * 4 AS height",
+    )
+    out = motion.wrist_speed(poses)
+    return out.select("shot_id", "slot", "frame", F.bround("speed", 6).alias("speed"), F.bround("ratio", 5).alias("ratio"), "arm")
+
+
+@query
+def track_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    out = motion.smooth_pieces(series.median5(series.track_pieces(A.tracks(spark, sf), 3)))
+    return out.select("shot_id", "slot", "frame", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+
+
+@query
+def player_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey % 20 AS shot_id", "l_partkey % 200 AS frame", "l_discount * 100 AS x", "l_quantity * 0.4D AS y", "l_extendedprice AS conf"
+    )
+    return motion.track_players(found, 30.0)
+
+
+@query
+def classifier_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = learning.folds(A.labelled(spark, sf), 5).where("truth IN ('c0', 'c1', 'c2')")
+    values = F.array(*[F.crc32(F.concat_ws(":", "key", F.lit(i))) % 100 / 100 + F.when(F.col("truth") == "c1", 0.3).otherwise(0.0) for i in range(8)])
+    samples = rows.select("key", "truth", "fold", values.alias("features"))
+    return learning.cross_validate(samples, MERGED_CLASSES)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

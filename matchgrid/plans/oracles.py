@@ -288,7 +288,7 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (truth = 'c0' AND pred = 'c0') AS false_rejected, count(*) FILTER (truth = 'c0') AS false_hits,
         count(*) FILTER (truth <> 'c0' AND pred = 'c0') AS real_lost, count(*) FILTER (truth <> 'c0') AS real_hits,
         round_even(avg(CASE WHEN truth <> 'c0' THEN CASE WHEN pred = truth THEN 1 ELSE 0 END END), 6) AS stroke_accuracy
-      FROM b GROUP BY ROLLUP (video)""",
+      FROM b GROUP BY ROLLUP (video) HAVING count(*) > 0""",
     "label_folds": f"WITH {LAB} SELECT key, CAST((row_number() OVER (PARTITION BY truth ORDER BY md5(CAST(key AS VARCHAR)), key) - 1) % 5 AS INT) AS fold FROM lab",
     "label_selection": f"""WITH {LAB}, t AS (SELECT *, key % 17 / 17 AS prob, md5(CAST(key AS VARCHAR)) AS h, coalesce(vlm <> pose, FALSE) AS differs FROM lab),
       f AS (SELECT 0 AS part, row_number() OVER (ORDER BY prob, h, key) AS turn, pred, key, h FROM t WHERE differs QUALIFY turn <= 20),

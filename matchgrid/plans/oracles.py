@@ -341,5 +341,36 @@ ORACLES: dict[str, str] = {
       t AS (SELECT *, CASE WHEN frame = 1 THEN 0 ELSE list_sort([CASE WHEN frame = 2 THEN 0 ELSE lag(v) OVER w END, v, coalesce(lead(v) OVER w, 0)])[2] END AS speed FROM s WINDOW w AS (PARTITION BY shot_id, slot ORDER BY frame)),
       m AS (SELECT *, median(CASE WHEN speed > 0 THEN speed END) OVER (PARTITION BY shot_id, slot) AS med FROM t)
       SELECT shot_id, slot, frame, round_even(speed, 6) AS speed, round_even(speed / greatest(coalesce(med, 1), 1e-3), 5) AS ratio, CASE WHEN r > l THEN 1 ELSE 0 END AS arm FROM m""",
+    "hit_boxes": """WITH k AS (SELECT p_partkey AS key, k, (p_size * (k + 1))::DOUBLE AS x, (p_partkey * (k + 3) % 91)::DOUBLE AS y, (p_partkey * (k + 1) % 10) / 10 AS c
+        FROM part, range(17) t(k)),
+      b AS (SELECT key, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, greatest(max(x) - min(x), max(y) - min(y)) * 1.1::DOUBLE AS side FROM k WHERE c > 0.3::DOUBLE GROUP BY 1 HAVING count(*) >= 3),
+      f AS (SELECT key, coalesce(avg(x) FILTER (c > 0.4::DOUBLE), -1) AS foot_x, coalesce(avg(y) FILTER (c > 0.4::DOUBLE), -2) AS foot_y FROM k WHERE k >= 15 GROUP BY 1)
+      SELECT key, round_even(cx, 6) AS cx, round_even(cy, 6) AS cy, round_even(side, 6) AS side, round_even(foot_x, 6) AS foot_x, round_even(foot_y, 6) AS foot_y FROM b JOIN f USING (key)""",
+    "shirt_colours": """WITH m AS (SELECT l_orderkey % 50 AS shot_id, l_linenumber % 4 AS slot, median((l_partkey * 7 % 256)::DOUBLE) AS r, median((l_suppkey * 13 % 256)::DOUBLE) AS g, median(l_quantity) AS b FROM lineitem GROUP BY 1, 2)
+      SELECT shot_id, CASE WHEN slot < 2 THEN 'far' ELSE 'near' END AS side, round_even(avg(r), 6) AS r, round_even(avg(g), 6) AS g, round_even(avg(b), 6) AS b FROM m GROUP BY 1, 2""",
+    "camera_angles": """WITH e AS (SELECT vec_id % 4 AS video_key, vec_id AS frame, vec_id % 20 AS shot_id, unnest(range(64)) AS pos, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) AS v FROM embeddings),
+      z AS (SELECT video_key, frame, shot_id, pos, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6) AS z FROM e WINDOW w AS (PARTITION BY frame)),
+      r AS (SELECT video_key, pos, median(z) AS ref FROM z GROUP BY 1, 2),
+      c AS (SELECT video_key, shot_id, frame, sum(z * ref) / 64 AS corr FROM z JOIN r USING (video_key, pos) GROUP BY 1, 2, 3)
+      SELECT video_key, shot_id, round_even(max(corr), 5) AS corr, max(corr) >= 0.1 AS same_angle FROM c GROUP BY 1, 2""",
+    "net_widths": """WITH s AS (SELECT l_orderkey % 30 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem),
+      b AS (SELECT video_key, CAST(round_even((y1 + y2) / 20, 0) AS INT) AS bin, sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) AS total, max(greatest(x1, x2)) - min(least(x1, x2)) AS width FROM s GROUP BY 1, 2)
+      SELECT video_key, bin, width FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY round(total, 6) DESC, bin DESC) AS r FROM b) WHERE r = 1""",
+    "row_extents": """WITH s AS (SELECT l_orderkey % 30 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem)
+      SELECT video_key, min(least(x1, x2)) AS "left", max(greatest(x1, x2)) AS "right" FROM s WHERE abs(degrees(atan2(y2 - y1, x2 - x1))) < 4 AND abs((y1 + y2) / 2 - 250) <= 8 GROUP BY 1""",
+    "sound_onsets": """WITH e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_id * 1000 + value AS value FROM events),
+      r AS (SELECT key, i, greatest(0, coalesce(value - lag(value) OVER (PARTITION BY key ORDER BY i), 0)) AS rise FROM e)
+      SELECT key, i, round_even(rise / (median(rise) OVER (PARTITION BY key) + 1e-9), 4) AS v FROM r""",
+    "player_readings": """WITH a AS (SELECT CAST(substr(source, 4) AS INT) AS video_key, doc_id AS shot_id, CASE WHEN doc_id % 9 = 0 THEN 'NULL' ELSE upper(lang) || CASE WHEN doc_id % 2 = 0 THEN 'E' ELSE '' END END AS name,
+        doc_id % 5 <> 0 AS known, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+      SELECT video_key, shot_id, name, 'rouge' AS colour FROM a WHERE r <= 10 AND known AND length(name) >= 3 AND name <> 'NULL'""",
+    "team_order": """WITH v AS (SELECT o_custkey AS match, count(*) FILTER (o_orderkey % 2 = o_orderkey // 3 % 2) AS keep, count(*) FILTER (o_orderkey % 2 <> o_orderkey // 3 % 2) AS swap FROM orders GROUP BY 1)
+      SELECT match, keep < swap AS swapped, greatest(keep, swap) AS votes FROM v""",
+    "reading_sequence": """WITH b AS (SELECT o_custkey AS match, o_orderkey AS rally, 0 AS part, o_orderstatus AS reading FROM orders UNION ALL SELECT o_custkey, o_orderkey, 1, o_orderpriority FROM orders)
+      SELECT match, rally, part, reading, CAST(row_number() OVER (PARTITION BY match ORDER BY rally, part) - 1 AS INT) AS ord FROM b""",
+    "annotation_items": """SELECT key, concat('{"key":"', key, '","img":"img/', replace(key, ':', '_'), '.jpg","t":', t, ',"side":"', side, '","height":"', height, '","guess":"', stroke, '"}') AS item
+      FROM (SELECT concat_ws(':', l_orderkey, l_partkey, l_linenumber) AS key, l_linenumber AS t, l_returnflag AS side, l_linestatus AS height, concat('s', l_suppkey % 4) AS stroke FROM lineitem)""",
+    "rally_lines": """SELECT l_orderkey AS shot_id, string_agg(concat('p', l_linenumber % 4, ' s', l_suppkey % 4), ' → ' ORDER BY l_partkey * 10000000 + l_suppkey * 100 + l_linenumber, l_linenumber % 4) AS line FROM lineitem GROUP BY 1""",
+    "stroke_table": """SELECT l_linenumber % 4 AS player, count(*) FILTER (l_suppkey % 4 = 0) AS s0, count(*) FILTER (l_suppkey % 4 = 1) AS s1, count(*) FILTER (l_suppkey % 4 = 2) AS s2 FROM lineitem GROUP BY 1""",
     "shot_kinds": f"WITH {SHOT} SELECT kind, count(*) AS n, count(*) FILTER (kind = 'main' AND NOT replay) AS rallies FROM shot GROUP BY 1",
 }

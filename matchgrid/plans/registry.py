@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.functions import scalars as S
-from matchgrid.operators import decode, learning, motion, score, series, stats, timeline
+from matchgrid.operators import decode, learning, media, motion, score, series, stats, timeline
 from matchgrid.plans import adapters as A
 from matchgrid.plans import oracles
 from matchgrid.session import table
@@ -436,6 +436,93 @@ def shot_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("rally").alias("rallies"))
 
 
+@query
+def hit_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    kpts = "transform(sequence(0, 16), k -> named_struct('x', p_size * (k + 1) * 1D, 'y', (p_partkey * (k + 3) % 91) * 1D, 'c', (p_partkey * (k + 1) % 10) / 10D))"
+    p = table(spark, sf, "part").selectExpr("p_partkey AS key", f"{kpts} AS kpts")
+    fx, fy = media.feet("kpts", F.lit(-1.0), F.lit(-2.0))
+    box = media.hit_boxes(p).join(p.select("key", F.bround(fx, 6).alias("foot_x"), F.bround(fy, 6).alias("foot_y")), "key")
+    return box.select("key", *[F.bround(c, 6).alias(c) for c in ("cx", "cy", "side")], "foot_x", "foot_y")
+
+
+@query
+def shirt_colours(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey % 50 AS shot_id", "l_linenumber % 4 AS slot", "l_partkey * 7 % 256 * 1D AS r", "l_suppkey * 13 % 256 * 1D AS g", "l_quantity AS b"
+    )
+    return media.side_colours(media.slot_colours(p)).select("shot_id", "side", *[F.bround(c, 6).alias(c) for c in "rgb"])
+
+
+@query
+def camera_angles(spark: SparkSession, sf: str) -> DataFrame:
+    f = A.signals(spark, sf).selectExpr("video_key", "frame % 20 AS shot_id", "vec")
+    out = media.reference_signature(f, 0.1)
+    return out.withColumn("corr", F.bround("corr", 5))
+
+
+def _line_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey % 30 AS video_key", "l_quantity * 10 AS x1", "l_partkey % 500 * 1D AS y1", "l_quantity * 10 + l_suppkey % 90 + 1 AS x2", "l_partkey % 500 + l_suppkey % 4 * 1D AS y2"
+    )
+
+
+@query
+def net_widths(spark: SparkSession, sf: str) -> DataFrame:
+    return media.line_width(_line_pieces(spark, sf))
+
+
+@query
+def row_extents(spark: SparkSession, sf: str) -> DataFrame:
+    return media.row_extent(_line_pieces(spark, sf), 250.0)
+
+
+@query
+def sound_onsets(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").selectExpr("user_id AS key", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i", "event_id * 1000 + value AS env")
+    return media.onset_strength(e).withColumn("v", F.bround("v", 4))
+
+
+@query
+def player_readings(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "documents").selectExpr(
+        "cast(substring(source, 4) AS int) AS video_key", "doc_id AS shot_id", "if(doc_id % 9 = 0, 'null', concat(' ', lang, if(doc_id % 2 = 0, 'é ', '')))  AS name",
+        "if(doc_id % 5 = 0, 'beige', ' Rouge') AS colour",
+    )
+    return media.player_readings(a, 10)
+
+
+@query
+def team_order(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "orders").selectExpr("o_custkey AS match", "cast(o_orderkey % 2 AS int) AS team", "cast(o_orderkey div 3 % 2 AS int) AS near")
+    return media.order_teams(v)
+
+
+@query
+def reading_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "orders").selectExpr("o_custkey AS match", "o_orderkey AS rally", "o_orderstatus AS before", "o_orderpriority AS after")
+    return media.before_after(r)
+
+
+@query
+def annotation_items(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "lineitem").selectExpr(
+        "concat_ws(':', l_orderkey, l_partkey, l_linenumber) AS key", "l_linenumber AS t", "l_returnflag AS side", "l_linestatus AS height", "concat('s', l_suppkey % 4) AS stroke"
+    )
+    return media.annotation_items(h)
+
+
+@query
+def rally_lines(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "lineitem").selectExpr("l_orderkey AS shot_id", "concat('p', l_linenumber % 4) AS player", "concat('s', l_suppkey % 4) AS stroke", "l_partkey * 10000000 + l_suppkey * 100 + l_linenumber AS t")
+    return media.rally_lines(h)
+
+
+@query
+def stroke_table(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "lineitem").selectExpr("l_linenumber % 4 AS player", "concat('s', l_suppkey % 4) AS stroke")
+    return media.stroke_table(h, ["s0", "s1", "s2"])
+
+
 def _stream_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr("user_id AS video_key", "cast(ts AS timestamp) AS ts", "event_type AS text")
 

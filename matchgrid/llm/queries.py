@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import decontamination, html_extraction, license_scan, line_dedup, oracles, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

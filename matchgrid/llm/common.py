@@ -36,6 +36,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/matchgrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of the finished job go now, not when the driver next
+    # happens to collect its garbage.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -192,8 +192,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``dk, place``: packed minimizer place and distances of all repeated runs."""
     keyed = _with_key(docs)
     first = map_arrow(keyed.select("dk", "text"), _first_pass, "k long, u long, dk long, at long")
+    first = materialize(first, "suffix-runs")
     again = first.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    rows = materialize(_classify(first.join(again, "k", "left_semi")), "suffix-runs")
+    first = materialize(first.join(again, "k", "left_semi"), "suffix-runs")
+    rows = materialize(_classify(first), "suffix-runs")
     spans = rows.where("repeated").select("dk", "at")
     todo = rows.where("on").groupBy("dk").agg(F.collect_list(F.struct("k", "at")).alias("found"))
     packed = map_arrow(keyed, _packed, "dk long, doc_id long, z binary").select("dk", "z")

@@ -1,12 +1,13 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes features.
 
 Texts are lower-cased and white space folded; the distinct character n-grams of
-three to six characters, hashed into 2**20 slots, are the features. Each is
+three to six characters, and those of seven to eleven that begin a word and do
+not go beyond its end, hashed into 2**20 slots, are the features. Each is
 scaled by its naive Bayes log-count ratio, counted over all training rows with
 partial sums in every task, and a logistic regression on the scaled features is
 fitted on a bounded, documented sample (``SAMPLE_PER_CLASS`` training rows of
-each class, chosen by hash). Features seen in too few training rows, or about
-as often in both classes, have ratio zero and cost nothing.
+each class, chosen by hash). Features seen in too few training rows, or not
+clearly oftener in toxic ones, have ratio zero and cost nothing.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0;
 the score depends on the text alone.
@@ -31,13 +32,16 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, picked
 
 ORDERS = (3, 4, 5, 6)
+#: Longest n-gram from the space before a word.
+WORD_ORDER = 11
 SLOT_BITS = 20
 #: Training rows of each class that the regression is fitted on, at most.
 SAMPLE_PER_CLASS = 3000
 #: Training rows that must hold a feature before it counts.
 MIN_ROWS = 5
 SMOOTHING = 2.0
-#: Ratios nearer to zero are taken as zero.
+#: Smaller ratios are taken as zero. So are those of features that mark clean
+#: texts: a long text has ever more of them, which would outweigh a few toxic words.
 MIN_RATIO = 0.7
 FOLDS = 5
 #: Labels (12 bytes each) that are broadcast at most; more are joined by a shuffle.
@@ -52,13 +56,31 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
     folded = " " + SPACE.sub(" ", text or "").strip().lower() + " "
     codes = np.frombuffer(folded.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
     h = codes.copy()
+
+    def mark(hashes: np.ndarray) -> None:
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * MULTIPLIER
+        seen[(mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+
     for n in range(2, ORDERS[-1] + 1):
         if len(codes) < n:
             break
         h = h[:-1] * MULTIPLIER + codes[n - 1 :]
         if n in ORDERS:
-            mixed = (h ^ (h >> np.uint64(29))) * MULTIPLIER
-            seen[(mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+            mark(h)
+    # Longer ones from the space before each word, as far as the word goes.
+    gaps = np.flatnonzero(codes == 32)
+    room = np.diff(gaps)
+    at = gaps[:-1][room >= ORDERS[-1]]
+    room = room[room >= ORDERS[-1]]
+    if len(at):
+        h = h[at]
+        for n in range(ORDERS[-1] + 1, WORD_ORDER + 1):
+            long = room >= n - 1
+            at, room, h = at[long], room[long], h[long]
+            if not len(at):
+                break
+            h = h * MULTIPLIER + codes[at + n - 1]
+            mark(h)
     # Eight flags at a time find the few slots that are set.
     words = np.flatnonzero(seen.view(np.uint64))
     rows, cols = np.nonzero(seen.reshape(-1, 8)[words])
@@ -112,7 +134,7 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
     kept = (
         counts.where((F.col("slot") < 1 << SLOT_BITS) & (F.col("clean") + F.col("toxic") >= MIN_ROWS))
         .select("slot", value.cast("float").alias("r"))
-        .where(F.abs("r") >= MIN_RATIO)
+        .where(F.col("r") >= MIN_RATIO)
         .toArrow()
     )
     ratio[kept.column("slot").to_numpy()] = kept.column("r").to_numpy()

@@ -159,7 +159,8 @@ def fit_regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epo
         w, b = w - change[:-1], b - change[-1]
     full = np.zeros(len(ratio), np.float32)
     full[slots] = w * x
-    return full, float(b)
+    # A text without any feature gives no reason to call it toxic.
+    return full, min(float(b), -0.1)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:

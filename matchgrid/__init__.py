@@ -1 +1,8 @@
 """Time-coded match and timeline analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with the plan, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,8 +8,10 @@ that hold them (a pass over all rows, with partial counts). A block can only
 match a template if one of the block's prefix words (all but the required
 overlap less one) is among the template's prefix words, if it is long enough
 for the required overlap, and if the words left behind the shared position can
-still make up that overlap; what passes is verified by the overlap itself. The
-template list is fixed, so its index travels with the plan.
+still make up that overlap; what passes is verified by the overlap itself. Every
+template found gives its label; only a variant is left out, of which the block
+holds no word that a more fully held template does not explain (cc-by-nc where
+cc-by-sa stands). The template list is fixed, so its index travels with the plan.
 
 Besides the templates, base phrases are found wherever their words stand
 consecutively in the whole text.
@@ -99,30 +101,44 @@ class Join:
         self.least = min(need for *_, need in self.templates)
         self.prefix_words = frozenset(order[w] for w in self.index)
 
-    def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """The best contained templates of a block that meets the threshold."""
+    def contained(self, block: list[bytes]) -> dict[int, frozenset[int]]:
+        """The templates that meet the threshold, with the words that the block holds of each."""
         rank = self.rank
         words = sorted({rank[w] for w in block if w in rank})
         if len(words) < self.least:
-            return []
-        out, tried, members = [], set(), set(words)
+            return {}
+        out, tried, members = {}, set(), set(words)
         for pos, w in enumerate(words[: len(words) - self.least + 1]):
             for n, at in self.index.get(w, ()):
                 if n in tried:
                     continue
-                label, template, need = self.templates[n]
+                _, template, need = self.templates[n]
                 if len(words) < need or pos > len(words) - need:
                     continue
                 tried.add(n)
                 # Nothing before this pair is shared, as it would have met first.
                 if 1 + min(len(words) - pos, len(template) - at) - 1 < need:
                     continue
-                overlap = len(template & members)
-                if overlap >= need:
-                    out.append((label, overlap / len(template)))
-        # A block is named after the template that it holds most of.
-        best = max((share for _, share in out), default=0.0)
-        return [(label, share) for label, share in out if share == best]
+                shared = template & members
+                if len(shared) >= need:
+                    out[n] = shared
+        return out
+
+    def share(self, n: int, shared: frozenset[int]) -> float:
+        return len(shared) / len(self.templates[n][1])
+
+    def explained(self, n: int, shared: frozenset[int], m: int, other: frozenset[int]) -> bool:
+        """Whether n is but a variant of m: m is held more fully and has all words that are held of n."""
+        return self.share(m, other) > self.share(n, shared) and shared <= other
+
+    def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
+        """All templates that meet the threshold, but for mere variants of a fuller one."""
+        found = self.contained(block)
+        return [
+            (self.templates[n][0], self.share(n, shared))
+            for n, shared in found.items()
+            if not any(self.explained(n, shared, m, other) for m, other in found.items())
+        ]
 
 
 def base_places(words: list[bytes], present: set[bytes]) -> tuple[list[int], set[str]]:

@@ -1,7 +1,9 @@
 """License scans: exact set-similarity join of text blocks with templates.
 
-A text block is a line of a document, as a set of words; a template is the word
-set of a licence statement. A block matches if it holds at least
+A text block is a line of a document, as a set of words, or a window of words
+across line breaks, a quarter longer than the template at the usual threshold,
+so that wrapped notices are found; a template is the word set of a licence
+statement. A block matches if it holds at least
 ``MIN_CONTAINMENT`` of a template's words. The join is exact: all words are put
 into one global order, rarest first, by the number of documents of the corpus
 that hold them (a pass over all rows, with partial counts). A block can only
@@ -23,6 +25,8 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -91,11 +95,14 @@ class Join:
         order = sorted(VOCABULARY, key=lambda w: (rows.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.templates: list[tuple[str, frozenset[int], int]] = []
+        #: Words of a window for each template.
+        self.spans: list[int] = []
         self.index: dict[int, list[tuple[int, int]]] = {}
         for n, (label, text) in enumerate(TEMPLATES):
             words = sorted({self.rank[w] for w in text.encode().translate(FOLD).split()})
             need = ceil(threshold * len(words) - 1e-9)
             self.templates.append((label, frozenset(words), need))
+            self.spans.append(ceil(len(text.encode().translate(FOLD).split()) / threshold - 1e-9))
             for pos, w in enumerate(words[: len(words) - need + 1]):
                 self.index.setdefault(w, []).append((n, pos))
         self.least = min(need for *_, need in self.templates)
@@ -141,6 +148,68 @@ class Join:
         ]
 
 
+    def windows(self, n: int, places: list[tuple[int, int]]) -> list[tuple[int, int, frozenset[int]]]:
+        """First and last place and words held of template n, of the windows that meet the threshold.
+
+        ``places`` are the places and ranks of a text's template words, in text order. One
+        window ends at each word of the template, so both ends never go back.
+        """
+        _, template, need = self.templates[n]
+        mine = [(i, w) for i, w in places if w in template]
+        out, held, a = [], Counter(), 0
+        for i, w in mine:
+            held[w] += 1
+            while i - mine[a][0] >= self.spans[n]:
+                old = mine[a][1]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                a += 1
+            if len(held) >= need:
+                out.append((mine[a][0], i, frozenset(held)))
+        return out
+
+    def wrapped(self, lines: list[list[bytes]]) -> list[tuple[str, float]]:
+        """The templates that windows across line breaks hold, but for mere variants of a fuller one."""
+        rank, places, line_of = self.rank, [], []
+        for k, line in enumerate(lines):
+            places += [(len(line_of) + i, rank[w]) for i, w in enumerate(line) if w in rank]
+            line_of += [k] * len(line)
+        present = {w for _, w in places}
+        found = {
+            n: self.windows(n, places)
+            for n, (_, template, need) in enumerate(self.templates)
+            if len(template & present) >= need
+        }
+        ends = {n: [w[1] for w in ws] for n, ws in found.items()}
+        out = []
+        for n, ws in found.items():
+            tried, best = set(), 0.0
+            for lo, hi, shared in ws:
+                # Windows of one line are part of that line's block.
+                if line_of[lo] == line_of[hi] or (lo, shared) in tried:
+                    continue
+                tried.add((lo, shared))
+                if self.share(n, shared) > best and not any(
+                    self.explained(n, shared, m, other)
+                    for m in found
+                    if m != n
+                    for _, _, other in _around(found[m], ends[m], lo, hi)
+                ):
+                    best = self.share(n, shared)
+            if best:
+                out.append((self.templates[n][0], best))
+        return out
+
+
+def _around(ws: list[tuple[int, int, frozenset[int]]], ends: list[int], lo: int, hi: int) -> Iterator[tuple[int, int, frozenset[int]]]:
+    """The windows that reach over [lo, hi]."""
+    for k in range(bisect_left(ends, hi), len(ws)):
+        if ws[k][0] > lo:
+            break
+        yield ws[k]
+
+
 def base_places(words: list[bytes], present: set[bytes]) -> tuple[list[int], set[str]]:
     """Starts and labels of the base phrases in a text's words."""
     starts, labels = [], set()
@@ -180,10 +249,13 @@ def license_scan(docs: DataFrame, threshold: float = MIN_CONTAINMENT) -> DataFra
                 starts, base = base_places(words, present) if present else ([], set())
                 labels, score = set(base), 1.0 if base else 0.0
                 if not present.isdisjoint(join.prefix_words):
-                    for line in folded.split(b"\n"):
-                        for label, share in join.matches(line.split()):
-                            labels.add(label)
-                            score = max(score, share)
+                    lines = [line.split() for line in folded.split(b"\n")]
+                    found = [m for line in lines for m in join.matches(line)]
+                    if len(lines) > 1:
+                        found += join.wrapped(lines)
+                    for label, share in found:
+                        labels.add(label)
+                        score = max(score, share)
                 out.append(
                     (doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None))
                     + (",".join(sorted(base)), ",".join(sorted(labels)), score)

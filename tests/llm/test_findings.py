@@ -31,3 +31,27 @@ def test_license_blocks_give_every_template():
         assert sorted(join.matches(words)) == want
         several += len({s for _, s in want}) > 1
     assert several > 200
+
+
+def test_license_notices_across_lines(spark):
+    from matchgrid.llm.license_scan import TEMPLATES, license_scan
+
+    rows, want = [], {}
+    for n, (label, text) in enumerate(TEMPLATES):
+        words = text.split()
+        for k, mark in enumerate(("# ", " * ", "// ")):
+            step = max(2, min(len(words) // 2, 4 + k))
+            lines = [mark + " ".join(words[i : i + step]) for i in range(0, len(words), step)]
+            rows.append((3 * n + k, "some code before\n" + "\n".join(lines) + "\nand code behind"))
+            want[3 * n + k] = label
+    rows.append((900, "licensed under cc\nby sa 4.0"))
+    rows.append((901, "this work is licensed under the\ngnu general public license version 3"))
+    rows.append((902, "all rights\n" + "other words " * 5 + "\nreserved"))
+    rows.append((903, "license the\nunder other\nreleased mit\n" * 3000))
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, label in want.items():
+        assert label in got[d].labels.split(",") and got[d].score == 1.0, d
+    assert got[900].labels == "cc-by,cc-by-sa"  # the first is a base phrase
+    assert got[901].labels == "gpl,gpl-3.0"
+    assert got[902].labels == ""
+    assert got[903].labels == "mit"

@@ -5,7 +5,9 @@ for length and commas to their ancestors, halved at each level; an element's
 points are discounted by its link density. The best container and those of its
 siblings that look like text are kept, and their blocks, minus furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments), make up the text in page order.
+reader comments), make up the text in page order. Tags and roles decide on
+furniture; names in class and id are only a penalty: a named element is scored
+on its own, and goes unless it is or holds the best container.
 
 One row in, one row out, no shuffle; memory follows one batch of pages.
 
@@ -68,6 +70,12 @@ CLOSED_BY = {
 SCOPE = frozenset("ul ol dl table div article section main body html blockquote td th".split())
 SPACE = re.compile(r"[\s ]+")
 WORDS = re.compile(r"[A-Za-z]+")
+#: Words before a name that says what an element has or lacks, not what it is.
+HAVING = frozenset("has have having no not non with without hide show".split())
+#: Words beside "header" for the head of an article.
+CONTENT_WORDS = frozenset("entry post article story content text body title news chapter section".split())
+#: What a named element's points count: all words of one of its names are furniture, or some.
+ALL_NAMED, PART_NAMED = 0.05, 0.3
 #: Parts of run-together names that mark furniture.
 FURNITURE_PARTS = re.compile(r"comment|sidebar|advert|cookie|newsletter|breadcrumb|sponsor|disqus|navigation")
 
@@ -75,12 +83,13 @@ FURNITURE_PARTS = re.compile(r"comment|sidebar|advert|cookie|newsletter|breadcru
 class Node:
     """An element; children are nodes and strings in page order."""
 
-    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "skip")
+    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "skip", "named", "weight")
 
     def __init__(self, tag: str, attrs: str = "", up: Node | None = None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list[Node | str] = []
         self.score, self.size, self.linked, self.skip = 0.0, 0, 0, False
+        self.named, self.weight = False, 1.0
 
 
 def parse(html: str) -> Node:
@@ -137,7 +146,7 @@ def parse(html: str) -> Node:
 
 
 def is_furniture(node: Node) -> bool:
-    """Whether tag, class, id or role mark the element as no main text."""
+    """Whether tag, role or style mark the element as no main text."""
     if node.tag in FURNITURE and node.tag != "header":
         return True
     if node.tag == "header":
@@ -154,13 +163,32 @@ def is_furniture(node: Node) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and (
-            not FURNITURE_NAMES.isdisjoint(WORDS.findall(value)) or FURNITURE_PARTS.search(value)
-        ):
+        if name == "role" and (not FURNITURE_NAMES.isdisjoint(WORDS.findall(value)) or FURNITURE_PARTS.search(value)):
             return True
     return False
 
 
+def name_weight(token: str) -> float:
+    """What a class token or id leaves of an element's points."""
+    words = WORDS.findall(token)
+    for i, w in enumerate(words):
+        if w in HAVING:
+            words = words[:i]
+            break
+    marks = [w for w in words if w in FURNITURE_NAMES or FURNITURE_PARTS.search(w)]
+    if not marks or (marks == ["header"] and not CONTENT_WORDS.isdisjoint(words)):
+        return 1.0
+    return ALL_NAMED if all(w in FURNITURE_NAMES for w in words) else PART_NAMED
+
+
+def names_weight(node: Node) -> float:
+    """The same of all names of an element; 1 if none marks furniture."""
+    if not node.attrs or node.tag in ("article", "main"):
+        return 1.0
+    values = [v.strip("\"'").lower() for name, v in ATTRIBUTE.findall(node.attrs) if name.lower() in ("class", "id")]
+    return min((name_weight(t) for v in values for t in v.split()), default=1.0)
+
+
 def walk(root: Node) -> list[Node]:
     """All elements outside furniture, parents first."""
     out, todo = [], [root]
@@ -171,6 +199,8 @@ def walk(root: Node) -> list[Node]:
             if not isinstance(k, str):
                 k.skip = k.tag in FURNITURE and k.tag != "header" or is_furniture(k)
                 if not k.skip and k.tag != "title":
+                    own = names_weight(k)
+                    k.named, k.weight = own < 1, node.weight * own
                     todo.append(k)
                 else:
                     k.skip = True
@@ -186,7 +216,7 @@ def measure(nodes: list[Node]) -> None:
                 size = len(k.strip())
                 own += size
                 commas += k.count(",")
-            elif not k.skip:
+            elif not k.skip and not k.named:
                 node.size += k.size
                 node.linked += k.linked
                 if k.tag not in BLOCK:
@@ -195,12 +225,14 @@ def measure(nodes: list[Node]) -> None:
         if node.tag == "a":
             node.linked = node.size
         if node.tag in BLOCK and own >= 25:
-            # A paragraph: its points go to the ancestors, halved at each level.
+            # A paragraph: its points go to the ancestors, halved at each level,
+            # up to the first that is named as furniture.
             points = (1 + commas + min(own / 100, 3)) * (1 - min(1.0, node.linked / max(1, node.size)))
-            up, share = node.up if node.tag in ("p", "li", "td", "pre", "blockquote", "dd") else node, 1.0
-            while up is not None and share > 0.01:
+            leaf = node.tag in ("p", "li", "td", "pre", "blockquote", "dd") and not node.named
+            up, share = node.up if leaf else node, node.weight
+            while up is not None and share > 0.01 * node.weight:
                 up.score += points * share
-                up, share = up.up, share / 2
+                up, share = None if up.named else up.up, share / 2
 
 
 def density(node: Node) -> float:
@@ -247,8 +279,18 @@ def main_text(html: str | None) -> str:
     nodes = walk(root)
     measure(nodes)
     best = max(nodes, key=lambda x: x.score * (1 - density(x)), default=root)
+    # Text under furniture names has to outweigh all text outside them.
+    if best.weight < 1 and best.size * best.weight <= root.size:
+        best = max((x for x in nodes if x.weight == 1), key=lambda x: x.score * (1 - density(x)), default=root)
     if best.score <= 0:
         best = root
+    # What is named as furniture goes, but for the elements around the best container.
+    around, up = set(), best
+    while up is not None:
+        around.add(id(up))
+        up = up.up
+    for node in nodes:
+        node.skip = node.skip or (node.named and id(node) not in around)
     # The article or main element around the best container holds its heading.
     up = best
     while up is not None and up.tag not in ("article", "main"):

@@ -55,3 +55,27 @@ def test_license_notices_across_lines(spark):
     assert got[901].labels == "gpl,gpl-3.0"
     assert got[902].labels == ""
     assert got[903].labels == "mit"
+
+
+def test_html_names_are_only_a_penalty():
+    from matchgrid.llm.html_extraction import main_text
+
+    body = "A paragraph of some length, with commas, and words enough to count as text. " * 3
+    text, side = " ".join(body.split()), "Some other text beside the article, not part of it."
+    inner = f"<h1>Head</h1><p>{body}<p>{body}"
+    want = f"Head\n\n{text}\n\n{text}"
+    wrappers = (
+        "class='content has-sidebar'", "id='page-with-nav'", "class='post no-comments'", "class=content-sidebar-wrap",
+        "class='layout sidebar-left'", "class=widget", "id=nav-page class='with-social main'",
+    )
+    for w in wrappers:
+        page = f"<nav>Menu</nav><div {w}><div class=inner>{inner}</div><div class=sidebar><p>{side}</div></div><footer>F</footer>"
+        assert main_text(page) == want, w
+        assert main_text(f"<div class=ad>{side}</div><div {w}>{inner}</div>") == want, w
+        assert main_text(f"<div {w}><div class=cookie-notice><p>{side}</div><article>{inner}</article></div>") == want, w
+    assert main_text(f"<div id=main><div class='entry-header'><h1>Head</h1></div><p>{body}<p>{body}</div>") == want
+    # Long furniture still loses to the text, and a short text to no advert.
+    many = f"<p>{body}" * 5
+    assert main_text(f"<div id=main>{inner}</div><div class=comments>{many}</div>") == want
+    assert main_text(f"<div id=main>{inner}<div class='post-comments'>{many}</div></div>") == want
+    assert main_text(f"<div class=ad>{side}</div><article><h1>Short</h1></article>") == "Short"

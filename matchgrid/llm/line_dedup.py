@@ -3,7 +3,9 @@
 Lines of at least ``MIN_LINE_CHARS`` characters (after trimming spaces) that
 are at most one edit apart, directly or through others, form a class; of each
 class the first line in order of document and position stays. Shorter lines are
-never removed.
+not removed by the query, as its SQL says; with ``short_lines``, as in the
+pipeline, every line that is not blank takes part, those below the limit as
+exact repeats only.
 
 The join cuts a line into threshold-plus-one segments, here two. Two lines one
 edit apart agree outside one of the segments, so each line enters an index
@@ -46,13 +48,16 @@ def _row_key(docs: DataFrame) -> DataFrame:
     )
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, short_lines: bool = False) -> DataFrame:
     """``doc_id, h, pos, line, id`` of every line that takes part."""
+    takes_part = F.length("line") >= MIN_LINE_CHARS
+    if short_lines:
+        takes_part = takes_part | F.col("line").rlike(r"\S")
     return (
         _row_key(docs)
         .select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select("doc_id", "h", "pos", F.trim("raw").alias("line"))
-        .where(F.length("line") >= MIN_LINE_CHARS)
+        .where(takes_part)
         .withColumn("id", F.xxhash64("line", F.length("line")))
     )
 
@@ -163,10 +168,10 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return links.select(F.col("id").alias("u"), F.col("other").alias("v")).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, short_lines: bool = False) -> DataFrame:
     """``doc_id, h, removed``: positions of the lines that do not stay."""
-    lines = lines_of(docs)
-    roots = connected_components(near_lines(lines.select("id", "line")))
+    lines = lines_of(docs, short_lines)
+    roots = connected_components(near_lines(lines.where(F.length("line") >= MIN_LINE_CHARS).select("id", "line")))
     place = F.struct("doc_id", "h", "pos")
     seen = lines.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = materialize(
@@ -183,12 +188,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("removed"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, short_lines: bool = False) -> DataFrame:
     """The documents with the removed lines taken out of ``text``.
 
     Adds ``n_lines`` and ``n_removed``.
     """
-    gone = removed_lines(docs).withColumnsRenamed({"doc_id": "__doc", "h": "__hash", "removed": "__removed"})
+    gone = removed_lines(docs, short_lines).withColumnsRenamed({"doc_id": "__doc", "h": "__hash", "removed": "__removed"})
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
     joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(__removed, i)), '\\n')")
@@ -203,11 +208,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Pipeline form: same columns; documents that consist of removed lines only go.
+    """Pipeline form, with short lines: same columns; documents of removed lines only go.
 
     A column ``n_chars`` follows the text.
     """
-    out = line_dedup(docs).where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    out = line_dedup(docs, short_lines=True).where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))

@@ -79,3 +79,25 @@ def test_html_names_are_only_a_penalty():
     assert main_text(f"<div id=main>{inner}</div><div class=comments>{many}</div>") == want
     assert main_text(f"<div id=main>{inner}<div class='post-comments'>{many}</div></div>") == want
     assert main_text(f"<div class=ad>{side}</div><article><h1>Short</h1></article>") == "Short"
+
+
+def test_pipeline_removes_short_repeated_lines(spark):
+    from matchgrid.llm import line_dedup
+
+    near = "a line that is long enough to take part, number {}"
+    rows = [
+        (1, "Les.\nAnd ornd.\n\n\t\nfirst text of some length\n Les. "),
+        (2, "Les.\nLes!\n\n\t\nAnd ornd.\nsecond, quite another text"),
+        (3, "Les.\nAnd ornd."),
+        (4, near.format(1) + "\r\n\r\n\r\nx"),
+        (5, near.format(2) + "\r\n\r\n\r\nx"),
+    ] + [(n, f"Les.\nown text of the document {n * 7919}") for n in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got[1] == "Les.\nAnd ornd.\n\n\t\nfirst text of some length"
+    assert got[2] == "Les!\n\n\t\nsecond, quite another text"  # an edit counts in long lines only
+    assert 3 not in got
+    assert got[4] == rows[3][1] and 5 not in got
+    assert all(got[n] == f"own text of the document {n * 7919}" for n in range(20, 60))
+    # The query keeps the rows of its SQL.
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}[3] == "Les.\nAnd ornd."

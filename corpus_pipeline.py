@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each on what its predecessor kept.
 
 Toxic documents go, repeated lines go (and documents that consist of nothing
-else), one document of each SimHash group stays, documents that hold a
+else), one document of each SimHash group and of each group of near copies stays, documents that hold a
 benchmark item go, and the rest is packed into sequences. Every stage but the
 last returns the columns of ``documents``.
 """
@@ -28,7 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_per_component(docs)
+    return simhash.without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

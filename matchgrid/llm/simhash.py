@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, picked, utf8
 from .components import connected_components
+from .near_copies import near_copy_components
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -208,3 +209,21 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
     found = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left_semi")
     return found.dropDuplicates(["__id", "__h"]).drop("__id", "__h")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """Pipeline form: one document of each component, and of these one of each group of near copies.
+
+    Near copies have five-word shingles of Jaccard similarity 0.8, directly or
+    through others; the one of the smallest id stays. Columns as they came.
+    """
+    left = materialize(one_per_component(docs), "simhash-kept")
+    keyed = left.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
+    # Equal texts are one component, so each text is there once.
+    texts = keyed.select(F.col("__h").alias("h"), F.col("text").cast("string").alias("text"))
+    place = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__h").alias("h"))
+    placed = near_copy_components(texts).join(keyed.select("__h", place.alias("place")), F.col("node") == F.col("__h"))
+    placed = materialize(placed.select("root", "place"), "near-places")
+    stays = placed.groupBy("root").agg(F.min("place").alias("first"))
+    gone = placed.join(stays, "root").where("place <> first").select(F.col("place.h").alias("__h"))
+    return keyed.join(gone, "__h", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -101,3 +101,50 @@ def test_pipeline_removes_short_repeated_lines(spark):
     assert all(got[n] == f"own text of the document {n * 7919}" for n in range(20, 60))
     # The query keeps the rows of its SQL.
     assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}[3] == "Les.\nAnd ornd."
+
+
+def test_pipeline_removes_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    common = " ".join(word() for _ in range(30))
+    texts = []
+    for n in range(40):
+        base = [word() for _ in range(rng.randint(40, 150))]
+        for _ in range(rng.choice([1, 2, 3, 12])):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own) + (" " + common if n % 2 else ""))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, ""), (901, None), (902, "two words")], "doc_id long, text string")
+
+    def sets(rows):
+        out = {}
+        for d, x in rows:
+            w = (x or "").lower().split()
+            out[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return out
+
+    def near(s):
+        ids = sorted(s)
+        return [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if s[a] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+
+    from matchgrid.llm import simhash
+
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    before = [(r.doc_id, r.text) for r in simhash.one_per_component(docs).collect()]
+    links = near(sets(before))
+    assert len(links) > 50
+    up = {d: d for d, _ in before}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert sorted(r.doc_id for r in stage(spark, docs, "none").collect()) == sorted({root(d) for d, _ in before})

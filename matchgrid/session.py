@@ -35,13 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is unset (tests, notebooks) a local folder is made.
+    Only where the setting is unset and all tasks run on this machine (tests,
+    notebooks) a local folder is made; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
-        return folder or current
+        return (folder or current).rstrip("/")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="matchgrid-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,30 +18,53 @@ from matchgrid.session import ensure_checkpoint_dir, table  # noqa: F401
 # Executors need no copy of this package: its functions travel with the plan.
 cloudpickle.register_pickle_by_value(matchgrid)
 
-#: Rows of one Arrow batch; long texts count, so batches stay at a few MB.
+#: Rows that a function sees at once; long texts count, so it stays at a few MB.
 BATCH_ROWS = 400
 
+Batches = Iterator[pa.RecordBatch]
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` with small batches, so that memory follows one batch only."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
 
+def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` with small batches, so that memory follows one batch only.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+    Spark's own batches are bounded in bytes; they are sliced here, so that no
+    setting of the session changes.
+    """
+
+    def sliced(batches: Batches) -> Batches:
+        return fn(b.slice(k, batch_rows) for b in batches for k in range(0, max(1, b.num_rows), batch_rows))
+
+    return df.mapInArrow(sliced, schema)
+
+
+def worker_cache() -> dict:
+    """Whatever outlives a task in its Python worker; functions that travel with a plan have no module of their own."""
+    return vars(sys.modules.setdefault("_matchgrid_worker", types.ModuleType("_matchgrid_worker")))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/matchgrid/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = (), large: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet to the shared checkpoint folder and rereads it.
 
-    Cuts the lineage at a table all executors can read after any loss.
+    Cuts the lineage at a table all executors can read after any loss. Tables
+    named in ``instead_of`` are not read any more and go. After a ``large``
+    step the driver lets go of its shuffle files now, not when it next happens
+    to collect its garbage.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/matchgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Shuffle files of the finished job go now, not when the driver next
-    # happens to collect its garbage.
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    for old in instead_of:
+        drop_folder(spark, old.matchgrid_folder)
+    if large:
+        spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.matchgrid_folder = path
+    return out
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -48,6 +73,33 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_work(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application.
+
+    Results are lazy and read some of them, so this is for when all results
+    have been written.
+    """
+    drop_folder(spark, work_folder(spark))
+
+
+#: Keys that count as hot, at most, and the least rows of one.
+HOT_KEYS, HOT_ROWS = 10_000, 200
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, counts: str = "n_rows") -> DataFrame:
+    """Inner join of ``rows`` with one row for each ``key``; ``counts`` is the rows of the key.
+
+    Keys with more than one in ``HOT_KEYS`` of all rows are at most ``HOT_KEYS``,
+    whatever the input, so they are broadcast; the rows of the others meet
+    their key by a shuffle, in which none is large.
+    """
+    total = keyed.agg(F.sum(counts)).first()[0] or 0
+    hot = F.col(counts) > max(HOT_ROWS, total // HOT_KEYS)
+    head = F.broadcast(keyed.where(hot))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
+    return rows.join(head, key).unionByName(rest.join(keyed.where(~hot), key)).drop(counts)
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, cast; extra columns never clash."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])

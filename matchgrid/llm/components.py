@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        e = materialize(small.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct(), "cc", instead_of=(e,))
         now = _state(e)
         if now == state:
             break

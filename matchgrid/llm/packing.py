@@ -4,9 +4,11 @@ Documents are tokenized, ended by one token, and cut where longer than a
 sequence. Pieces are dealt evenly into blocks of a bounded number of pieces;
 each block is packed best-fit decreasing and then improved by local search:
 documents of the emptiest bin are moved to, or exchanged one-for-one or
-two-for-one with documents of, fuller bins. Every step raises the sum of
-squared fills, so it ends, and it stops early once the block has as few bins as
-its tokens allow. A block costs at most about one sequence over the optimum.
+two-for-one with documents of, fuller bins, and underfull bins exchange
+documents among each other. Every step raises the sum of squared fills, so it
+ends: when the block has as few bins as its tokens allow, or when no exchange
+is left. The emptiest bins of all blocks are then packed once more together, in
+blocks again while there are many, so that blocks do not cost a bin each.
 
 Tokenizing cuts texts at white space and looks the chunks up in a bounded cache
 of the tokenizer's own results; texts with characters for which that is
@@ -30,20 +32,19 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, picked
+from .common import map_arrow, materialize, picked, worker_cache
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Pieces packed together, about; bounds a packing task.
 BLOCK_PIECES = 20_000
-#: Sweeps of exchanges between underfull bins, at most, in one block.
-MAX_SWEEPS = 50
 #: Chunks whose ids a Python worker remembers.
 CACHE_CHUNKS = 300_000
 
 #: Texts of these characters only are read chunk by chunk: no other white
-#: space, nothing that normalization joins, and plain lower-casing.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+#: space, nothing that normalization joins, plain lower-casing, and no numbers
+#: but digits (superscripts and fractions are word characters to a pattern).
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 
 
 #: A word, with or without punctuation: their ids follow one another.
@@ -58,11 +59,10 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        # Kept on the tokenizers module, which outlives a task in its worker.
-        kept = vars(tokenizers).setdefault("_matchgrid_encoders", {})
-        if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), self._words_only(path), [{}, {}])
-        self.tokenizer, self.words, self.cache = kept[path]
+        kept, key = worker_cache(), ("encoder", path)
+        if key not in kept:
+            kept[key] = (tokenizers.Tokenizer.from_file(path), self._words_only(path), [{}, {}])
+        self.tokenizer, self.words, self.cache = kept[key]
 
     @staticmethod
     def _words_only(path: str) -> tokenizers.Tokenizer | None:
@@ -232,15 +232,12 @@ def pack_block(sizes: list[int], limit: int = SEQUENCE_TOKENS) -> list[int]:
     least = -(-sum(sizes) // limit)
     used = len(bins.free)
     size_of = np.array(sizes, dtype=np.int64)
-    sweeps = 0
     while used > least:
         emptiest = max((b for b in range(len(bins.free)) if bins.items[b]), key=lambda b: (bins.free[b], b))
         if _empty(bins, emptiest, size_of, where):
             used -= 1
-        elif sweeps == MAX_SWEEPS or not _exchange(bins, size_of, where):
+        elif not _exchange(bins, size_of, where):
             break
-        else:
-            sweeps += 1
     return where
 
 
@@ -255,7 +252,8 @@ def _exchange(bins: Bins, size_of: np.ndarray, where: list[int]) -> bool:
         if not room:
             continue
         less = (free[at] >= room) & (at != a)
-        for y in bins.items[a]:
+        # Documents of one length are alike.
+        for y in {int(size_of[i]): i for i in bins.items[a]}.values():
             fits = less & (size_of > size_of[y]) & (size_of <= size_of[y] + room)
             if fits.any():
                 x = int(np.argmax(np.where(fits, size_of, 0)))
@@ -274,12 +272,30 @@ def _exchange(bins: Bins, size_of: np.ndarray, where: list[int]) -> bool:
     return moved
 
 
+def _sums(own: list[int], size_of: np.ndarray) -> dict[int, tuple[int, ...]]:
+    """Every total of one or two documents of a bin, with documents that make it.
+
+    Documents of one length are alike, so a bin of 4096 tokens has at most 90
+    lengths to be paired.
+    """
+    of: dict[int, list[int]] = {}
+    for i in own:
+        of.setdefault(int(size_of[i]), []).append(i)
+    out: dict[int, tuple[int, ...]] = {s: (v[0],) for s, v in of.items()}
+    lengths = list(of)
+    for k, s in enumerate(lengths):
+        if len(of[s]) > 1:
+            out.setdefault(2 * s, (of[s][0], of[s][1]))
+        for r in lengths[k + 1 :]:
+            out.setdefault(s + r, (of[s][0], of[r][0]))
+    return out
+
+
 def _empty(bins: Bins, e: int, size_of: np.ndarray, where: list[int]) -> bool:
     """Moves and exchanges documents of bin ``e`` into fuller bins until none is left."""
     free = np.array(bins.free)
     at = np.array(where)
     bins.hide(e)
-    fixed: list[tuple[int, int]] = []
 
     def shift(item: int, b: int) -> None:
         size = int(size_of[item])
@@ -295,7 +311,6 @@ def _empty(bins: Bins, e: int, size_of: np.ndarray, where: list[int]) -> bool:
         bins.items[b].append(item)
         where[item] = b
         at[item] = b
-        fixed.append((item, old))
 
     while bins.items[e]:
         moved = False
@@ -310,10 +325,7 @@ def _empty(bins: Bins, e: int, size_of: np.ndarray, where: list[int]) -> bool:
         # the gain in that bin is as large as can be.
         room = np.where(at == e, -1, free[at])
         best: tuple[int, tuple[int, ...], int] | None = None
-        own = sorted(bins.items[e], key=lambda i: -size_of[i])
-        groups = [(x,) for x in own] + [(x, y) for k, x in enumerate(own[:8]) for y in own[k + 1 : 9]]
-        for group in groups:
-            total = int(sum(size_of[i] for i in group))
+        for total, group in _sums(sorted(bins.items[e], key=lambda i: -size_of[i]), size_of).items():
             gain = total - size_of
             ok = (room >= gain) & (gain > 0) & (at != e)
             if ok.any():
@@ -331,33 +343,54 @@ def _empty(bins: Bins, e: int, size_of: np.ndarray, where: list[int]) -> bool:
     return True
 
 
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def _place(batches: Iterator[pa.RecordBatch], limit: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Packs one block; ``again`` marks the pieces of its emptiest bin."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    t = pa.Table.from_batches(rows).combine_chunks()
+    order = t.column("length").to_pylist()
+    where = pack_block(order, limit)
+    fill: dict[int, int] = {}
+    offset = []
+    for size, b in zip(order, where, strict=True):
+        offset.append(fill.get(b, 0))
+        fill[b] = offset[-1] + size
+    names = {b: n for n, b in enumerate(sorted(fill))}
+    emptiest = min(fill, key=lambda b: (fill[b], b))
+    base = turn << 56 | t.column("block")[0].as_py() << 24
+    t = t.drop_columns(["block"])
+    t = t.append_column("sequence_id", pa.array([base + names[b] for b in where], pa.int64()))
+    t = t.append_column("offset", pa.array(offset, pa.int64()))
+    yield from t.append_column("again", pa.array([b == emptiest for b in where], pa.bool_())).to_batches()
+
+
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Every piece with ``sequence_id`` and ``offset`` in its sequence."""
-    cut = materialize(pieces(docs, tokenizer_path, limit), "pieces")
-    blocks = max(1, -(-cut.count() // block_pieces))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows).combine_chunks()
-        order = t.column("length").to_pylist()
-        where = pack_block(order, limit)
-        fill: dict[int, int] = {}
-        offset = []
-        for size, b in zip(order, where, strict=True):
-            offset.append(fill.get(b, 0))
-            fill[b] = offset[-1] + size
-        names = {b: n for n, b in enumerate(sorted(fill))}
-        base = t.column("block")[0].as_py() << 32
-        t = t.drop_columns(["block"])
-        t = t.append_column("sequence_id", pa.array([base + names[b] for b in where], pa.int64()))
-        yield from t.append_column("offset", pa.array(offset, pa.int64())).to_batches()
-
-    # Round robin: every block gets as many pieces, whatever their keys.
-    dealt = cut.repartition(blocks).withColumn("block", F.spark_partition_id().cast("long"))
-    return map_arrow(
-        dealt,
-        place,
-        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
-    )
+    todo = materialize(pieces(docs, tokenizer_path, limit), "pieces")
+    out, turn, before = None, 0, None
+    while True:
+        blocks = max(1, -(-todo.count() // block_pieces))
+        # Bins that hold whole blocks leave nothing to gain from another turn.
+        last = blocks == 1 or (before is not None and blocks >= before)
+        # Round robin: every block gets as many pieces, whatever their keys.
+        dealt = todo.repartition(blocks).withColumn("block", F.spark_partition_id().cast("long"))
+
+        def place(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+            return _place(batches, limit, turn)
+
+        placed = map_arrow(dealt, place, f"{PLACED}, again boolean")
+        if not last:
+            placed = materialize(placed, "packed", instead_of=(todo,))
+            done = placed.where("not again").drop("again")
+        else:
+            done = placed.drop("again")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        # The emptiest bins of the blocks meet: less than a bin of each block.
+        todo = materialize(placed.where("again").select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+        turn, before = turn + 1, blocks

@@ -148,3 +148,35 @@ def test_pipeline_removes_near_copies(spark):
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
     assert sorted(r.doc_id for r in stage(spark, docs, "none").collect()) == sorted({root(d) for d, _ in before})
+
+
+def test_encoder_reads_like_the_tokenizer():
+    import numpy as np
+    import tokenizers
+
+    from matchgrid.llm.packing import Encoder
+    from matchgrid.llm.queries import tokenizer_path
+
+    whole, encode, rng = tokenizers.Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path()), random.Random(11)
+    letters = [chr(c) for c in range(0x20, 0x250)]
+    texts = ["area of 20 m² and", "x² + y²", "H²O", "footnote¹ here", "½ cup", "²", "<|endoftext|>", "a b", "ﬁ ①"]
+    for _ in range(30_000):
+        n = rng.randint(1, 30)
+        texts.append("".join(rng.choice(letters) if rng.random() < 0.3 else rng.choice("abc de'fg 12.,") for _ in range(n)))
+    for text, got in zip(texts, encode(texts), strict=True):
+        assert got == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_emptiest_bins_of_all_blocks_meet(spark):
+    from pyspark.sql import functions as F
+
+    from matchgrid.llm import packing
+    from matchgrid.llm.queries import tokenizer_path
+
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(n, "word " * rng.randint(1, 8)) for n in range(600)], "doc_id long, text string")
+    got = packing.pack(docs, tokenizer_path(), limit=40, block_pieces=40)
+    bins = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    rows = bins.collect()
+    assert all(r.n == r.end <= 40 for r in rows) and got.count() == 600
+    assert len(rows) <= -(-sum(r.n for r in rows) // 40) + 3

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, picked, utf8
+from .common import join_keyed, map_arrow, materialize, picked, utf8
 from .components import connected_components
 from .near_copies import near_copy_components
 
@@ -166,19 +166,18 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
     ]
     shards = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     shards = shards.repartition("key").sortWithinPartitions("key", "fp")
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return shards.mapInArrow(_links, "u long, v long").distinct()
+    return map_arrow(shards, _links, "u long, v long", batch_rows=20_000).distinct()
 
 
 def components(fps: DataFrame) -> DataFrame:
-    """``fp, component_id, keep`` of every fingerprint.
+    """``fp, component_id, keep, n_rows`` of every fingerprint.
 
-    keep is the (no_id, doc_id, h) of the document that stands for the
+    n_rows counts its documents; keep is the (no_id, doc_id, h) of the document that stands for the
     component: the smallest id, rows without one last.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("keep"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("keep"), F.count("*").alias("n_rows"))
+    classes = materialize(classes, "simhash-classes")
     roots = connected_components(near_fingerprints(classes.select("fp")))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     low = linked.groupBy("root").agg(F.min("component_id").alias("low"), F.min("keep").alias("low_keep"))
@@ -187,13 +186,16 @@ def components(fps: DataFrame) -> DataFrame:
         "fp",
         F.coalesce("low", "component_id").alias("component_id"),
         F.coalesce("low_keep", "keep").alias("keep"),
+        "n_rows",
     )
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     fps = materialize(fingerprints(docs), "simhash")
-    return fps.join(components(fps).drop("keep"), "fp").select(
+    # Copies share a fingerprint, so some fingerprints have very many rows.
+    named = materialize(components(fps).drop("keep"), "simhash-components")
+    return join_keyed(fps, named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -7,8 +7,13 @@ overlap less one). The order is that of the hashes, with shingles that a sample
 finds frequent last, so that passages of many documents seldom are in a prefix;
 any order loses nothing. Of each prefix shingle, all members are first compared
 with its smallest member, which joins large groups by one link a document; then
-members of different components are compared with each other. Every link is
-verified on the whole sets.
+members of different components are compared with each other, if their sizes
+and what lies behind the shingle leave room for the required overlap. Every
+link is verified on the whole sets.
+
+No shingle's members are gathered: smallest members come from an aggregation,
+frequent shingles are joined by ``join_keyed``, and members that are compared
+with each other lie in parts of bounded size.
 
 Edge cases: fewer words than a shingle count as one shingle; a text without
 words is no near copy.
@@ -16,7 +21,7 @@ words is no near copy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 from math import ceil
 
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, utf8
+from .common import join_keyed, map_arrow, materialize, utf8
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -36,6 +41,8 @@ SEED = 42
 SAMPLE, FREQUENT = 16, 4
 #: Frequent shingles that travel with the plan at most (8 bytes each).
 MAX_FREQUENT = 100_000
+#: Members of a shingle that are compared with each other in one place, about.
+PART_ROWS = 4_096
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -74,48 +81,42 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     return np.array([r.s for r in rows], dtype=np.int64)
 
 
-def _runs(run: Callable[[list[np.ndarray]], list[np.ndarray]], names: list[str], out: list[str]):
-    """Applies ``run`` to whole runs of the first column; rows come sorted by it."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64) for _ in names]
-        for b in batches:
-            held = [np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(held, names, strict=True)]
-            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in run([x[:done] for x in held])], out)
-                held = [x[done:] for x in held]
-        if len(held[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in run(held)], out)
-
-    return go
-
-
-def _with_head(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Members of keys that several texts have, with the smallest member."""
-    key, h, n = cols
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    at = np.flatnonzero(first)
-    start = at[np.cumsum(first) - 1]
-    several = np.diff(np.concatenate([at, [len(key)]]))[np.cumsum(first) - 1] > 1
-    return [x[several] for x in (key, h, n, h[start], n[start])]
-
-
-def _across(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Pairs of a key's members of different components whose sizes allow the similarity."""
-    key, n, h, root = cols
-    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    at = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        if b - a < 2 or (root[a:b] == root[a]).all():
-            continue
-        for i in range(a, b - 1):
-            # Rows of a key come by size.
-            end = a + int(np.searchsorted(n[a:b], n[i] / SIMILARITY + 1e-9, side="right"))
-            other = h[i + 1 : end][root[i + 1 : end] != root[i]]
-            us.append(np.minimum(h[i], other))
-            vs.append(np.maximum(h[i], other))
-    return [np.concatenate(us), np.concatenate(vs)]
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of different components that can still reach the similarity.
+
+    Rows come sorted by group and size; a group is two parts of one shingle's members.
+    """
+    names = ["group", "n", "h", "root", "rest", "part", "low"]
+    held = [np.empty(0, np.int64) for _ in names]
+
+    def run(cols: list[np.ndarray]) -> pa.RecordBatch:
+        group, n, h, root, rest, part, low = cols
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        at = np.concatenate([np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [len(group)]])
+        share = SIMILARITY / (1 + SIMILARITY)
+        for a, e in zip(at[:-1], at[1:], strict=True):
+            if e - a < 2 or (root[a:e] == root[a]).all():
+                continue
+            for i in range(a, e - 1):
+                end = a + int(np.searchsorted(n[a:e], n[i] / SIMILARITY + 1e-9, side="right"))
+                j = slice(i + 1, end)
+                fits = root[j] != root[i]
+                # Two parts meet here; pairs within one have a group of their own.
+                fits &= (part[j] != part[i]) if low[i] >= 0 else True
+                fits &= np.minimum(rest[j], rest[i]) >= share * (n[j] + n[i]) - 1e-9
+                other = h[j][fits]
+                us.append(np.minimum(h[i], other))
+                vs.append(np.maximum(h[i], other))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    for b in batches:
+        held = [np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(held, names, strict=True)]
+        done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if done:
+            yield run([x[:done] for x in held])
+            held = [x[done:] for x in held]
+    if len(held[0]):
+        yield run(held)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,26 +149,45 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
             parts = [(shingles(t), h) for t, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist(), strict=True)]
             parts = [(prefix(s, frequent), len(s), h) for s, h in parts if len(s)]
             sizes = [len(p) for p, _, _ in parts]
+            none = [np.empty(0, np.int64)]
             cols = [
-                np.concatenate([p for p, _, _ in parts]) if parts else np.empty(0, np.int64),
+                np.concatenate([p for p, _, _ in parts] or none),
                 np.repeat(np.array([h for _, _, h in parts], np.int64), sizes),
                 np.repeat(np.array([n for _, n, _ in parts], np.int64), sizes),
+                # Shingles of the text from the key on: what can be shared if none before it is.
+                np.concatenate([n - np.arange(len(p)) for p, n, _ in parts] or none),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "n"])
-
-    rows = map_arrow(texts.select("h", "text"), keys, "key long, h long, n long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "h")
-    members = rows.mapInArrow(
-        _runs(_with_head, ["key", "h", "n"], ["key", "h", "n", "head", "head_n"]),
-        "key long, h long, n long, head long, head_n long",
-    )
-    members = materialize(members, "near-members")
-    sized = F.least("n", "head_n") >= SIMILARITY * F.greatest("n", "head_n") - 1e-9
-    stars = members.where((F.col("h") != F.col("head")) & sized).select(F.col("head").alias("u"), F.col("h").alias("v"))
-    links = materialize(_verified(stars.distinct(), texts), "near-links")
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "n", "rest"])
+
+    rows = map_arrow(texts.select("h", "text"), keys, "key long, h long, n long, rest long")
+    rows = materialize(rows, "near-keys", large=True)
+    heads = rows.groupBy("key").agg(F.min(F.struct("h", "n", "rest")).alias("head"), F.count("*").alias("n_rows"))
+    heads = materialize(heads.where("n_rows > 1"), "near-heads")
+    members = materialize(join_keyed(rows, heads, "key"), "near-members", instead_of=(rows,), large=True)
+    share = SIMILARITY / (1 + SIMILARITY)
+    sized = F.least("n", "head.n") >= SIMILARITY * F.greatest("n", "head.n") - 1e-9
+    sized &= F.least("rest", "head.rest") >= share * (F.col("n") + F.col("head.n")) - 1e-9
+    stars = members.where((F.col("h") != F.col("head.h")) & sized).select(F.col("head.h").alias("u"), F.col("h").alias("v"))
+    stars = materialize(stars.distinct(), "near-stars")
+    links = materialize(_verified(stars, texts), "near-links", large=True)
     roots = connected_components(links).withColumnRenamed("node", "h")
-    rest = members.join(roots, "h", "left").select("key", "n", "h", F.coalesce("root", "h").alias("root"))
-    rest = rest.repartition("key").sortWithinPartitions("key", "n", "h")
-    across = rest.mapInArrow(_runs(_across, ["key", "n", "h", "root"], ["u", "v"]), "u long, v long").distinct()
-    across = across.join(stars.distinct(), ["u", "v"], "left_anti")
+    rest = members.join(roots, "h", "left").select("key", "n", "h", "rest", F.coalesce("root", "h").alias("root"))
+    rest = materialize(rest, "near-rest", instead_of=(members,))
+    mixed = rest.groupBy("key").agg(F.count("*").alias("n_rows"), F.min("root").alias("a"), F.max("root").alias("b"))
+    mixed = mixed.where("a < b").select("key", "n_rows", F.ceil(F.col("n_rows") / PART_ROWS).cast("int").alias("parts"))
+    rest = join_keyed(rest, materialize(mixed, "near-mixed"), "key")
+    # Every two parts of a key's members meet once, and each part meets itself.
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    rest = rest.select("key", "n", "h", "rest", "root", "part", other)
+    low = F.when(F.col("part") == F.col("other"), -1 - F.col("part")).otherwise(F.least("part", "other"))
+    rest = rest.withColumn("low", low).withColumn("group", F.xxhash64("key", "low", F.greatest("part", "other")))
+    rest = rest.repartition("group").sortWithinPartitions("group", "n", "h")
+    across = map_arrow(
+        rest.select("group", "n", "h", "root", "rest", F.col("part").cast("long").alias("part"), F.col("low").cast("long").alias("low")),
+        _across,
+        "u long, v long",
+        batch_rows=20_000,
+    ).distinct()
+    across = across.join(stars, ["u", "v"], "left_anti")
     return connected_components(links.unionByName(_verified(across, texts)))

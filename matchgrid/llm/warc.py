@@ -32,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, map_arrow, materialize, picked
+from .common import map_arrow, materialize, picked, work_folder
 
 MAGIC = "WARC/1.1\r\n"
 TRAILER = "\r\n\r\n"
 #: Payloads of fewer bytes are always responses.
 MIN_REVISIT_BYTES = 0
 
-#: Digests (about 50 bytes each) and splits that are broadcast at most.
+#: Digests (about 50 bytes each) and splits (32 bytes each; at 128 MB a split
+#: some 128 TB of archives) that are broadcast at most.
 BROADCAST_DIGESTS = 300_000
-BROADCAST_SPLITS = 100_000
+BROADCAST_SPLITS = 1_000_000
 
 MAGIC_LEN = len(MAGIC)
 LENGTH = re.compile(rb"(?:^|\r\n)Content-Length: (\d+)")
@@ -279,10 +280,12 @@ def reachable(candidates: DataFrame) -> DataFrame:
     while span < most:
         hop = reach.join(jump.select("file", "off", "nxt"), ["file", "off"]).select("file", F.col("nxt").alias("off"))
         hop = hop.join(candidates.select("file", "off", "block"), ["file", "off"]).select("file", "block", "off")
-        reach = materialize(reach.unionByName(hop).distinct(), "warc-reach")
+        reach = materialize(reach.unionByName(hop).distinct(), "warc-reach", instead_of=(reach,) if span > 1 else ())
         onward = jump.select("file", F.col("off").alias("nxt"), F.col("nxt").alias("far"))
         jump = materialize(
-            jump.join(onward, ["file", "nxt"]).select("file", "block", "off", F.col("far").alias("nxt")), "warc-jump"
+            jump.join(onward, ["file", "nxt"]).select("file", "block", "off", F.col("far").alias("nxt")),
+            "warc-jump",
+            instead_of=(jump,),
         )
         span *= 2
     return reach
@@ -313,30 +316,30 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         .select("file", "block", off.alias("off"), (off + F.col("delta")).alias("nxt"))
         .where("off >= 0"),
         "warc-candidates",
+        instead_of=(light,),
     )
     entries = reachable(candidates).groupBy("file", "block").agg(F.min("off").alias("entry"))
     # Where a record covers whole splits, its end is the next entry.
-    after = Window.partitionBy("file").orderBy("block").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    plan = materialize(
-        splits.join(entries, ["file", "block"], "left").withColumn(
-            "entry", F.first("entry", ignorenulls=True).over(after)
-        ),
-        "warc-plan",
+    backwards = Window.partitionBy("file").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = splits.join(entries, ["file", "block"], "left").select(
+        F.xxhash64("file").alias("f"), "block", "base", F.last("entry", ignorenulls=True).over(backwards).alias("entry")
     )
+    plan = materialize(plan, "warc-plan")
     # The plan of the splits is broadcast, so that their rows stay in order; an
     # archive of very many splits is read in several turns of whole files.
     turns = max(1, -(-plan.count() // BROADCAST_SPLITS))
-    turn = F.pmod(F.xxhash64("file"), F.lit(turns))
+    turn = F.pmod(F.col("f"), F.lit(turns))
+    named = raw.withColumn("f", F.xxhash64("file"))
     found = None
     for k in range(turns):
-        part = raw.where(turn == k).join(F.broadcast(plan.where(turn == k)), ["file", "block"])
+        part = named.where(turn == k).join(F.broadcast(plan.where(turn == k)), ["f", "block"])
         part = map_arrow(
             part.select("file", "block", "piece", "base", "entry"),
             _records,
             f"file string, ends long, off long, piece binary, {FIELDS}",
         )
         found = part if found is None else found.unionByName(part)
-    found = materialize(found, "warc-records")
+    found = materialize(found, "warc-records", instead_of=(candidates,))
     parts = (
         found.where("file is not null")
         .groupBy("file", "ends")
@@ -358,6 +361,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Writes the archives into the shared folder and returns what they hold."""
     spark = pages.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/matchgrid/warc-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, min_revisit_bytes)
     return read_warc(spark, path)

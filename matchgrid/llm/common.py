@@ -86,18 +86,19 @@ def drop_work(spark: SparkSession) -> None:
 HOT_KEYS, HOT_ROWS = 10_000, 200
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, counts: str = "n_rows") -> DataFrame:
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], counts: str = "n_rows") -> DataFrame:
     """Inner join of ``rows`` with one row for each ``key``; ``counts`` is the rows of the key.
 
     Keys with more than one in ``HOT_KEYS`` of all rows are at most ``HOT_KEYS``,
     whatever the input, so they are broadcast; the rows of the others meet
     their key by a shuffle, in which none is large.
     """
+    keys = [key] if isinstance(key, str) else key
     total = keyed.agg(F.sum(counts)).first()[0] or 0
     hot = F.col(counts) > max(HOT_ROWS, total // HOT_KEYS)
     head = F.broadcast(keyed.where(hot))
-    rest = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
-    return rows.join(head, key).unionByName(rest.join(keyed.where(~hot), key)).drop(counts)
+    rest = rows.join(F.broadcast(keyed.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(head, keys).unionByName(rest.join(keyed.where(~hot), keys)).drop(counts)
 
 
 def picked(df: DataFrame, **columns: str) -> DataFrame:

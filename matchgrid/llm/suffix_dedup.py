@@ -5,23 +5,28 @@ by most-significant-digit passes down to that depth and no further; the groups
 that are still equal there are exactly the repeated windows. A byte goes if a
 repeated window covers it.
 
-So that no pass has to move every suffix, digits are chosen by content and
-suffixes travel in runs:
+A pass takes each group of equal suffixes apart by its next digit: the new
+group is the hash of the old one and the digit. Suffixes that are alone in
+their group are dropped after the pass. So that no pass has to move every
+suffix, suffixes of neighbouring starts travel as one run while they share the
+digits, and the order of the digits is anchored at a place chosen by content:
 
 * First digit: the 32 bytes at a window's minimizer (the position of the least
   32-byte hash within the window). Equal windows have equal minimizers at equal
-  places, and neighbouring windows share theirs, so one row stands for a run of
-  some 85 windows. Runs whose digit occurs once are done.
-* Next digits: the bytes that all windows of a run share, for runs cut to 25,
-  then 5, then single windows, aligned to the minimizer. A run whose digit
-  occurs once is unique and done; a run whose whole extent occurs again is
-  repeated and done, and one row of such a class goes on as a witness for the
-  others; what is neither is cut further. A single window's digit is all of its
-  bytes.
-
-Every pass is an aggregation with partial sums and a join that can be split
-where skewed; no group is gathered in a task. Equality is that of two 64-bit
-hashes (of the minimizer's bytes and of the run's), as in any hash partition.
+  distances, and neighbouring windows share theirs, so one row stands for a run
+  of some 85 suffixes.
+* Second digit: the bytes on either side that all suffixes of a run share, for
+  runs cut to 25 starts, aligned to the minimizer; third and fourth: the bytes
+  that more are shared by runs of 5 starts and by single suffixes. After the
+  last, all bytes to the depth have been compared.
+
+A run whose whole extent occurs again is repeated and done; one row of such a
+class goes on as a witness for the others of its group.
+
+Group sizes are sums of class sizes, made with partial sums; classes learn
+their group's size, and rows their class, by joins in which frequent keys are
+broadcast, and no group is gathered in a task. Equality is that of 64-bit
+hashes, of the digits and of the run's extent, as in any hash partition.
 
 Edge cases: a null or empty text, and one shorter than a window, is kept whole.
 Rows that repeat id and text count as separate places, so both are removed.
@@ -40,11 +45,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, picked, utf8
+from .common import join_keyed, map_arrow, materialize, picked, utf8
 
 WINDOW = 200
 GRAM = 32
+#: Starts of a run after each pass; each divides the one before.
 WIDTHS = (25, 5, 1)
+#: Starts whose minimizers are found at a time; longer texts take several turns.
+CHUNK = 1 << 24
 
 SPAN = WINDOW - GRAM + 1
 POS_BITS = np.uint64(28)
@@ -70,28 +78,31 @@ def gram_hashes(raw: bytes) -> np.ndarray:
     return h
 
 
-def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(raw: bytes, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Digit, minimizer place, least and most distance to it of each run of windows.
 
     A run holds the windows that start at place - most .. place - least.
     """
-    if len(raw) < WINDOW:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    g = gram_hashes(raw)
-    # Hash above, position below: the least is the leftmost of equal hashes.
-    m = (g & ~POS_MASK) | np.arange(len(g), dtype=np.uint64)
-    span = 1
-    while 2 * span <= SPAN:
-        m = np.minimum(m[:-span], m[span:])
-        span *= 2
-    if span < SPAN:
-        m = np.minimum(m[: len(m) - (SPAN - span)], m[SPAN - span :])
-    place = (m & POS_MASK).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    last = np.concatenate([first[1:], [len(place)]]) - 1
-    at = place[first]
-    return g[at], at, at - last, at - first
+    none = np.empty(0, np.int64)
+    parts = [(none.astype(np.uint64), none, none, none)]
+    for begin in range(0, len(raw) - WINDOW + 1, chunk):
+        g = gram_hashes(raw[begin : begin + chunk + WINDOW - 1])
+        # Hash above, position below: the least is the leftmost of equal hashes.
+        m = (g & ~POS_MASK) | np.arange(len(g), dtype=np.uint64)
+        span = 1
+        while 2 * span <= SPAN:
+            m = np.minimum(m[:-span], m[span:])
+            span *= 2
+        if span < SPAN:
+            m = np.minimum(m[: len(m) - (SPAN - span)], m[SPAN - span :])
+        place = (m & POS_MASK).astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        last = np.concatenate([first[1:], [len(place)]]) - 1
+        at = place[first]
+        parts.append((g[at], at + begin, at - last, at - first))
+    if len(parts) == 2:
+        return parts[1]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -147,24 +158,33 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut(width: int):
-    """Cuts runs to aligned pieces of ``width`` windows and hashes their digits."""
+def next_digit(raw: bytes, top: int, start: int, width: int, before: tuple[int, int] | None) -> bytes:
+    """The bytes shared by all suffixes of a run that its earlier digits do not hold.
+
+    ``top`` is the minimizer's place in ``raw``, ``start`` the least distance of
+    the aligned run and ``before`` the same and the width of the run it comes
+    from, if not from the first pass.
+    """
+    known, upto = (top, top + GRAM) if before is None else (top - before[0], top - before[0] + WINDOW - before[1] + 1)
+    return raw[top - start : known] + raw[upto : top - start + WINDOW - width + 1]
+
+
+def _cut(width: int, wider: int | None):
+    """Cuts runs to aligned ones of ``width`` starts; each goes to the group of (its group, next digit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             out = []
-            for k, dk, at, raw, ranges in zip(
-                *(b.column(c).to_pylist() for c in ("k", "dk", "at", "bytes", "ranges")), strict=True
-            ):
+            for dk, at, raw, ranges in zip(*(b.column(c).to_pylist() for c in ("dk", "at", "bytes", "ranges")), strict=True):
+                # raw begins ``top`` bytes before the minimizer.
                 place, top = at >> 16, at & 255
                 for r in ranges:
-                    low, high = r >> 8, r & 255
+                    k, low, high = r["k"], r["r"] >> 8, r["r"] & 255
+                    before = None if wider is None else (low // wider * wider, wider)
                     for j in range(low // width, high // width + 1):
                         a, z = max(low, j * width), min(high, j * width + width - 1)
-                        # Offsets into raw, which begins top bytes before the place.
-                        core = top - j * width
-                        digit = digest(raw[core : core + WINDOW - width + 1], (k + j) & WORD)
+                        digit = digest(next_digit(raw, top, j * width, width, before), (k + j) & WORD)
                         whole = digest(raw[top - z : top - a + WINDOW], a << 8 | z)
                         out.append((_signed(digit), _signed(whole), dk, place << 16 | a << 8 | z, at))
             cols = list(zip(*out, strict=True)) or [()] * 5
@@ -175,53 +195,50 @@ def _cut(width: int):
     return cut
 
 
-def _classify(rows: DataFrame) -> DataFrame:
-    """Rows whose digit occurs again, with ``repeated`` (the whole extent does too)
+def _classify(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose group ``k`` has others, with ``repeated`` (so has the whole extent ``u``)
     and ``on`` (the row goes on: undecided, or the witness of a repeated class)."""
     place = F.struct("dk", "at")
     classes = rows.groupBy("k", "u").agg(F.count("*").alias("n"), F.min(place).alias("witness"))
-    digits = classes.groupBy("k").agg(F.sum("n").alias("all")).where("all > 1")
-    known = classes.join(digits, "k")
-    joined = rows.join(known, ["k", "u"])
+    classes = materialize(classes, f"{name}-classes")
+    groups = materialize(classes.groupBy("k").agg(F.sum("n").alias("all")).where("all > 1"), f"{name}-groups")
+    known = join_keyed(classes, groups.withColumn("n_rows", F.col("all")), "k").withColumn("n_rows", F.col("n"))
+    known = materialize(known, f"{name}-known", instead_of=(classes, groups))
+    joined = join_keyed(rows, known, ["k", "u"])
     repeated = F.col("n") > 1
     goes_on = ~repeated | ((F.col("n") < F.col("all")) & (place == F.col("witness")))
-    return joined.withColumns({"repeated": repeated, "on": goes_on}).drop("n", "all", "witness")
+    joined = joined.withColumns({"repeated": repeated, "on": goes_on}).drop("n", "all", "witness")
+    return materialize(joined, name, instead_of=(rows, known), large=True)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``dk, place``: packed minimizer place and distances of all repeated runs."""
+    """``dk, at``: packed minimizer place and distances of all repeated runs."""
     keyed = _with_key(docs)
-    first = map_arrow(keyed.select("dk", "text"), _first_pass, "k long, u long, dk long, at long")
-    first = materialize(first, "suffix-runs")
-    again = first.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    first = materialize(first.join(again, "k", "left_semi"), "suffix-runs")
-    rows = materialize(_classify(first), "suffix-runs")
+    every = map_arrow(keyed.select("dk", "text"), _first_pass, "k long, u long, dk long, at long")
+    every = materialize(every, "suffix-first")
+    groups = every.groupBy("k").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    first = join_keyed(every, materialize(groups, "suffix-groups", large=True), "k")
+    first = materialize(first, "suffix-runs", instead_of=(every,), large=True)
+    rows = _classify(first, "suffix-runs")
     spans = rows.where("repeated").select("dk", "at")
-    todo = rows.where("on").groupBy("dk").agg(F.collect_list(F.struct("k", "at")).alias("found"))
+    todo = rows.where("on").groupBy("dk").agg(F.collect_set(F.struct("k", "at")).alias("found"))
     packed = map_arrow(keyed, _packed, "dk long, doc_id long, z binary").select("dk", "z")
     # Rows of equal id and text have equal runs; each counts, so none is dropped.
-    contexts = materialize(
-        map_arrow(
-            packed.join(todo, "dk"), _contexts, "k long, dk long, at long, bytes binary"
-        ).distinct(),
-        "suffix-bytes",
-    )
-    ranges = contexts.select("dk", "at", F.array(F.expr("at & 65535")).alias("ranges"))
+    contexts = map_arrow(packed.join(todo, "dk"), _contexts, "k long, dk long, at long, bytes binary").distinct()
+    contexts = materialize(contexts, "suffix-bytes", large=True)
+    own = F.array(F.struct("k", F.expr("at & 65535").alias("r")))
+    parts, wider = contexts.select("dk", "at", "bytes", own.alias("ranges")), None
     for width in WIDTHS:
-        parts = contexts.join(ranges, ["dk", "at"]) if width != WIDTHS[0] else contexts.withColumn(
-            "ranges", F.array(F.expr("at & 65535"))
-        )
-        units = map_arrow(
-            parts.select("k", "dk", "at", "bytes", "ranges"), _cut(width), "k long, u long, dk long, at long, source long"
-        )
-        units = materialize(_classify(units), "suffix-units")
+        units = map_arrow(parts, _cut(width, wider), "k long, u long, dk long, at long, source long")
+        units = _classify(materialize(units, "suffix-cut"), "suffix-units")
         spans = spans.unionByName(units.where("repeated").select("dk", "at"))
         ranges = (
             units.where("on")
             .groupBy("dk", "source")
-            .agg(F.collect_list(F.expr("at & 65535")).alias("ranges"))
+            .agg(F.collect_list(F.struct("k", F.expr("at & 65535").alias("r"))).alias("ranges"))
             .withColumnRenamed("source", "at")
         )
+        parts, wider = contexts.select("dk", "at", "bytes").join(ranges, ["dk", "at"]), width
     return spans
 
 

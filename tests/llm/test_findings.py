@@ -180,3 +180,25 @@ def test_emptiest_bins_of_all_blocks_meet(spark):
     rows = bins.collect()
     assert all(r.n == r.end <= 40 for r in rows) and got.count() == 600
     assert len(rows) <= -(-sum(r.n for r in rows) // 40) + 3
+
+
+def test_suffix_runs_of_long_texts():
+    import numpy as np
+
+    from matchgrid.llm.suffix_dedup import GRAM, WINDOW, next_digit, runs
+
+    rng = random.Random(13)
+    raw = bytes(rng.choice(b"abcd ") for _ in range(5000))
+    covered = []
+    for chunk in (64, 1000, 1 << 24):  # texts longer than a chunk are read in turns
+        k, at, low, high = runs(raw, chunk)
+        starts = np.concatenate([np.arange(p - h, p - w + 1) for p, w, h in zip(at, low, high, strict=True)])
+        assert starts.tolist() == list(range(len(raw) - WINDOW + 1))
+        covered.append({s: p for p, w, h in zip(at, low, high, strict=True) for s in range(p - h, p - w + 1)})
+    assert covered[0] == covered[1] == covered[2]
+    # The digits of a window are all of its bytes, each once.
+    top, h = 168, 57
+    wide, mid = h // 25 * 25, h // 5 * 5
+    digits = [next_digit(raw, top, wide, 25, None), next_digit(raw, top, mid, 5, (wide, 25)), next_digit(raw, top, h, 1, (mid, 5))]
+    assert GRAM + sum(map(len, digits)) == WINDOW
+    assert sorted(b"".join(digits) + raw[top : top + GRAM]) == sorted(raw[top - h : top - h + WINDOW])

@@ -6,10 +6,15 @@ word characters on content lines decides whether the document is kept.
 Counting rules (too few words, too many repeated words) fail a document first.
 
 The CRF is trained here, on a bounded, documented sample of labelled documents
-(``SAMPLE_PER_CLASS`` documents of each quality label, chosen by hash): the
-lines of a low-quality document count as boilerplate, the others as content.
-Training is on the driver (a few thousand short integer sequences); scoring is
-one pass over all rows without a shuffle.
+(``SAMPLE_PER_CLASS`` documents of each quality label, chosen by hash). Labels
+are given for documents, not lines, so line labels are inferred: a first model
+without transitions, fitted as if all lines had their document's label, tells
+which lines of a document are unlike its label, and these change sides, as long
+as most of the characters of a low-quality document stay boilerplate and most
+of another stay content. Documents thus get mixed labels, from which the chain
+learns where content and boilerplate meet; its own paths label the lines of the
+last round. Training is on the driver (a few thousand short integer sequences);
+scoring is one pass over all rows without a shuffle.
 
 Edge cases: null or empty text has no words and fails the word rule; a text of
 white space likewise. Repeated rows are scored each on its own. An empty table
@@ -103,38 +108,34 @@ def viterbi(scores: np.ndarray, trans: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def fit_crf(
-    sequences: list[tuple[list[tuple[int, ...]], int]], epochs: int = 60, l2: float = 1e-3
+Line = tuple[int, ...]
+#: Features and sizes of a document's lines, and its label.
+Sequence = tuple[list[Line], list[int], int]
+
+
+def maximize(
+    sequences: list[Sequence], labels: list[np.ndarray], chain: bool = True, epochs: int = 60, l2: float = 1e-3
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with forward-backward and Adam; (weights, transitions)."""
-    weights, trans = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    if len({y for _, y in sequences}) < 2:
-        weights[:, CONTENT] = 1.0
-        return weights, trans
-    chunks = [
-        (s[i : i + TRAIN_LINES], y) for s, y in sequences for i in range(0, len(s), TRAIN_LINES)
-    ]
-    t_max = max(len(s) for s, _ in chunks)
-    x = np.zeros((len(chunks), t_max, len(WIDTHS)), np.int64)
-    mask = np.zeros((len(chunks), t_max))
-    y = np.array([lab for _, lab in chunks])
-    for i, (s, _) in enumerate(chunks):
-        x[i, : len(s)] = s
-        mask[i, : len(s)] = 1
-    # Both labels weigh the same, however many lines each has.
-    lines = np.array([mask[y == k].sum() for k in (0, 1)])
-    share = (lines.sum() / (2 * lines))[y]
+    """Maximum likelihood of line labels with forward-backward and Adam; (weights, transitions).
+
+    Without ``chain`` the transitions stay zero and lines are independent.
+    """
+    cuts = [(s[i : i + TRAIN_LINES], y[i : i + TRAIN_LINES], d) for (s, _, d), y in zip(sequences, labels, strict=True) for i in range(0, len(s), TRAIN_LINES)]
+    t_max = max(len(s) for s, _, _ in cuts)
+    x = np.zeros((len(cuts), t_max, len(WIDTHS)), np.int64)
+    mask, y = np.zeros((len(cuts), t_max)), np.zeros((len(cuts), t_max), np.int64)
+    kind = np.array([d for _, _, d in cuts])
+    for i, (s, lab, _) in enumerate(cuts):
+        x[i, : len(s)], y[i, : len(s)], mask[i, : len(s)] = s, lab, 1
+    # Both kinds of documents weigh the same, however many lines each has.
+    lines = np.array([mask[kind == k].sum() for k in (0, 1)])
+    share = (lines.sum() / (2 * lines))[kind]
     total = mask.sum()
     flat = x.reshape(-1)
-    empirical = np.stack(
-        [
-            np.bincount(flat, np.repeat((mask * (share * (y == k))[:, None]).ravel(), len(WIDTHS)), N_FEATURES)
-            for k in (0, 1)
-        ],
-        1,
-    )
-    pairs = mask[:, 1:].sum(1) * share
-    seen_pairs = np.diag([pairs[y == 0].sum(), pairs[y == 1].sum()])
+    scale = mask * share[:, None]
+    empirical = np.stack([np.bincount(flat, np.repeat((scale * (y == k)).ravel(), len(WIDTHS)), N_FEATURES) for k in (0, 1)], 1)
+    both = scale[:, 1:]
+    seen_pairs = np.array([[(both * (y[:, :-1] == j) * (y[:, 1:] == k)).sum() for k in (0, 1)] for j in (0, 1)])
     params = np.zeros(N_FEATURES * 2 + 4)
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, epochs + 1):
@@ -150,7 +151,6 @@ def fit_crf(
             prv = np.logaddexp(trans[:, 0] + into[:, 0, None], trans[:, 1] + into[:, 1, None])
             beta[:, t] = np.where(mask[:, t + 1, None] > 0, prv, 0)
         logz = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        scale = mask * share[:, None]
         prob = np.exp(alpha + beta - logz[:, None, None]) * scale[:, :, None]
         expected = np.stack(
             [np.bincount(flat, np.repeat(prob[:, :, k].ravel(), len(WIDTHS)), N_FEATURES) for k in (0, 1)], 1
@@ -158,13 +158,44 @@ def fit_crf(
         joint = (
             alpha[:, :-1, :, None] + trans[None, None] + (emit + beta)[:, 1:, None, :] - logz[:, None, None, None]
         )
-        pair = (np.exp(np.minimum(joint, 0)) * scale[:, 1:, None, None]).sum((0, 1))
-        grad = np.concatenate([(expected - empirical).ravel(), (pair - seen_pairs).ravel()]) / total + l2 * params
+        pair = (np.exp(np.minimum(joint, 0)) * both[:, :, None, None]).sum((0, 1))
+        grad = np.concatenate([(expected - empirical).ravel(), chain * (pair - seen_pairs).ravel()]) / total + l2 * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return params[:-4].reshape(-1, 2), params[-4:].reshape(2, 2)
 
 
+def line_labels(sequence: Sequence, weights: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best path of a document whose label holds for at least half of its characters.
+
+    Where the path says otherwise, the lines that least fit it go back to the
+    document's label.
+    """
+    lines, sizes, own = sequence
+    scores, size = weights[np.array(lines)].sum(1), np.array(sizes)
+    path = np.array(viterbi(scores, trans))
+    lead = scores[:, own] - scores[:, 1 - own]
+    for i in np.argsort(-lead, kind="stable"):
+        if 2 * size[path == own].sum() > size.sum():
+            break
+        path[i] = own
+    return path
+
+
+def fit_crf(sequences: list[Sequence], rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, transitions) from documents with one label each, by labelling their lines in turns."""
+    weights, trans = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+    if len({y for *_, y in sequences}) < 2:
+        weights[:, CONTENT] = 1.0
+        return weights, trans
+    labels = [np.full(len(s), y) for s, _, y in sequences]
+    weights, trans = maximize(sequences, labels, chain=False)
+    for _ in range(rounds):
+        labels = [line_labels(s, weights, trans) for s in sequences]
+        weights, trans = maximize(sequences, labels)
+    return weights, trans
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a three-word window found at least twice in the text."""
     n = len(words)
@@ -197,7 +228,7 @@ def assess(text: str | None, weights: np.ndarray, trans: np.ndarray) -> tuple:
     if lines:
         scores = weights[np.array(line_features(lines))].sum(1)
         path = viterbi(scores, trans)
-        sizes = [len(x) - x.count(b" ") for x in lines]
+        sizes = line_sizes(lines)
         share = sum(s for s, p in zip(sizes, path, strict=True) if p == CONTENT) / max(1, sum(sizes))
     kept = not failed and share >= MIN_CONTENT_SHARE
     return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, kept, share
@@ -214,8 +245,13 @@ ARROW = pa.schema(
 )
 
 
-def training_sequences(docs: DataFrame, labels: DataFrame) -> list[tuple[list[tuple[int, ...]], int]]:
-    """Line features of at most ``SAMPLE_PER_CLASS`` labelled documents a class."""
+def line_sizes(lines: list[bytes]) -> list[int]:
+    """Bytes of each line without blanks."""
+    return [len(x) - x.count(b" ") for x in lines]
+
+
+def training_sequences(docs: DataFrame, labels: DataFrame) -> list[Sequence]:
+    """Line features and sizes of at most ``SAMPLE_PER_CLASS`` labelled documents a class."""
     lab = picked(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)")
     lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = None
@@ -225,18 +261,20 @@ def training_sequences(docs: DataFrame, labels: DataFrame) -> list[tuple[list[tu
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, sizes = [], []
             for text in b.column("text").to_pylist():
                 lines = [x for x in utf8(text).split(b"\n") if x.strip()]
                 rows.append([list(f) for f in line_features(lines)])
+                sizes.append(line_sizes(lines))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.list_(pa.int32()))), b.column("quality")], ["lines", "quality"]
+                [pa.array(rows, pa.list_(pa.list_(pa.int32()))), pa.array(sizes, pa.list_(pa.int32())), b.column("quality")],
+                ["lines", "sizes", "quality"],
             )
 
     # At most 2 * SAMPLE_PER_CLASS ids, so the broadcast has a fixed bound.
     joined = picked(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id")
-    rows = map_arrow(joined.select("text", "quality"), features, "lines array<array<int>>, quality int").collect()
-    return sorted(([tuple(f) for f in r.lines], r.quality) for r in rows if r.lines)
+    rows = map_arrow(joined.select("text", "quality"), features, "lines array<array<int>>, sizes array<int>, quality int").collect()
+    return sorted(([tuple(f) for f in r.lines], list(r.sizes), r.quality) for r in rows if r.lines)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

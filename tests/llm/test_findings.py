@@ -202,3 +202,44 @@ def test_suffix_runs_of_long_texts():
     digits = [next_digit(raw, top, wide, 25, None), next_digit(raw, top, mid, 5, (wide, 25)), next_digit(raw, top, h, 1, (mid, 5))]
     assert GRAM + sum(map(len, digits)) == WINDOW
     assert sorted(b"".join(digits) + raw[top : top + GRAM]) == sorted(raw[top - h : top - h + WINDOW])
+
+
+def test_crf_labels_lines_not_documents(spark):
+    """Fitted on documents of four folds, judged on the fifth; boilerplate around content is told apart."""
+    import zlib
+
+    from matchgrid.llm import quality_rules as Q
+    from matchgrid.session import table
+
+    base = "/root/testdata/sf0.01"
+    docs, labels = table(spark, base, "documents"), table(spark, base, "labels")
+    rows = [(r.doc_id, r.text, r.quality) for r in docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect()]
+    held = [(x, q) for d, x, q in rows if zlib.crc32(str(d).encode()) % 5 == 0]
+    learn = labels.where("crc32(cast(doc_id as string)) % 5 <> 0")
+    weights, trans = Q.fit_crf(Q.training_sequences(docs, learn))
+    share = [(Q.assess(x, weights, trans)[-1], q) for x, q in held]
+    good, poor = [s for s, q in share if q], [s for s, q in share if not q]
+    assert sum(s >= 0.5 for s in good) >= 0.95 * len(good)
+    assert sum(s < 0.5 for s in poor) >= 0.8 * len(poor) and len(poor) >= 10
+    # Staying is not the only thing that the chain has learned.
+    assert trans[0, 0] - trans[0, 1] < 3 and trans[1, 1] - trans[1, 0] < 3
+    plain = [x.split("\n")[0] for x, q in held if q and 200 < len(x.split("\n")[0]) < 900][:8]
+    junk = [line for x, q in held if not q for line in x.split("\n") if len(line) > 100 and any(c in line for c in "|$!")][:8]
+    for a, b in zip(plain, junk, strict=False):
+        lines = [b, a, a + " and more", b]
+        path = Q.viterbi(weights[Q.np.array(Q.line_features([x.encode() for x in lines]))].sum(1), trans)
+        assert path == [Q.BOILERPLATE, Q.CONTENT, Q.CONTENT, Q.BOILERPLATE]
+
+
+def test_line_labels_keep_the_side_of_their_document():
+    import numpy as np
+
+    from matchgrid.llm import quality_rules as Q
+
+    weights = np.zeros((Q.N_FEATURES, 2))
+    weights[0], weights[1] = (2, 0), (0, 2)  # feature 0 speaks for boilerplate
+    lines = [(0,), (1,), (1,), (0,)]
+    none = np.zeros((2, 2))
+    assert Q.line_labels((lines, [5, 1, 1, 5], Q.BOILERPLATE), weights, none).tolist() == [0, 1, 1, 0]
+    assert Q.line_labels((lines, [1, 5, 5, 1], Q.BOILERPLATE), weights, none).tolist() == [0, 0, 1, 0]
+    assert Q.line_labels((lines, [1, 5, 5, 1], Q.CONTENT), weights, none).tolist() == [0, 1, 1, 0]

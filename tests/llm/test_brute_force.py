@@ -78,11 +78,42 @@ def test_local_search_empties_bins():
 
 
 def test_toxicity_held_out(spark, sf):
-    base = "/root/testdata/sf0.01"
+    base = "/root/testdata/sf0.1"  # the smaller ones hold some forty toxic rows to learn from
     got = Q["op2_toxicity"](spark, base).join(table(spark, base, "labels"), "doc_id").where("held_out")
     rows = got.collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows)
+    toxic, flagged = [r for r in rows if r.toxic], [r for r in rows if r.predicted]
+    hits = sum(r.toxic for r in flagged)
+    assert len(toxic) >= 50 and hits >= 0.8 * len(toxic) and hits >= 0.9 * len(flagged)
+
+
+def test_toxicity_ratios(spark):
+    """Ratios, their sign and selection against counts in plain Python; one class only."""
+    from matchgrid.llm import toxicity as T
+
+    rng = random.Random(3)
+    rows = []
+    for n in range(400):
+        bad = n % 4 == 0
+        words = [rng.choice(["sun", "moon", "tree", "river", "cloud"]) for _ in range(12)]
+        words += ["zzfoul"] * bad + ["kindly"] * (not bad and n % 2)
+        rows.append((n, " ".join(words), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    train = T.training_rows(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    ratio, n = T.log_count_ratios(train)
+    learn = [(x, t) for d, x, t in rows if zlib.crc32(str(d).encode()) % 5]
+    assert n == (sum(not t for _, t in learn), sum(t for _, t in learn))
+    count, seen = np.zeros((2, 1 << T.SLOT_BITS)), T.scratch()
+    for x, t in learn:
+        count[t][T.features(x, seen)] += 1
+    want = np.log((count[1] + 1) / (n[1] + 1)) - np.log((count[0] + 1) / (n[0] + 1))
+    clear = np.abs(want) >= T.MIN_ERRORS * np.sqrt(1 / (count[0] + 1) + 1 / (count[1] + 1))
+    want = np.where(clear & (count.sum(0) >= T.MIN_ROWS), want, 0)
+    assert np.allclose(ratio, want, atol=1e-5) and (ratio > 0).any() and (ratio < 0).any()
+    got = {r.doc_id: r for r in T.toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()}
+    assert all(got[d].predicted == t for d, _, t in rows)
+    one = T.toxicity(docs, docs.select("doc_id", F.lit(1).alias("toxic"))).collect()
+    assert all(r.score < 1e-9 and r.predicted == 0 for r in one)
 
 
 def test_license_scan(spark, sf, docs):

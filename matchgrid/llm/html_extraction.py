@@ -2,18 +2,21 @@
 
 A tolerant tokenizer builds the element tree of a page. Paragraphs pass points
 for length and commas to their ancestors, halved at each level; an element's
-points are discounted by its link density. The best container and those of its
-siblings that look like text are kept, and their blocks, minus furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments), make up the text in page order. Tags and roles decide on
-furniture; names in class and id are only a penalty: a named element is scored
-on its own, and goes unless it is or holds the best container.
+points are discounted by its link density. The best container and its siblings
+are kept, at the lowest level where it has any, and their blocks, minus
+furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments), make up the text in page order. Tags and roles decide
+on furniture; names in class and id are only a penalty: a named element is
+scored on its own, and goes unless it is or holds the best container. A sibling
+goes besides if most of its text is links, or if it is a plain box with less
+text than a paragraph.
 
 One row in, one row out, no shuffle; memory follows one batch of pages.
 
 Edge cases: null or empty html, or a page without text, gives an empty text.
 Broken markup (unclosed elements, a page cut inside a tag or a character
-reference) is read as far as it goes. Repeated rows are extracted each on its
+reference) is read as far as it goes. Of equally good containers the outermost
+is taken, and the first. Repeated rows are extracted each on its
 own; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -30,10 +33,10 @@ from .common import map_arrow, picked
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "xmp", "noframes")}
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,6 +79,10 @@ HAVING = frozenset("has have having no not non with without hide show".split())
 CONTENT_WORDS = frozenset("entry post article story content text body title news chapter section".split())
 #: What a named element's points count: all words of one of its names are furniture, or some.
 ALL_NAMED, PART_NAMED = 0.05, 0.3
+#: Least characters of a paragraph, and of a plain box beside the best container.
+PARAGRAPH = 25
+#: Elements that are content by their kind, however short.
+CONTENT_TAGS = frozenset("article main section p h1 h2 h3 h4 h5 h6 hgroup header ul ol dl table pre blockquote figure details".split())
 #: Parts of run-together names that mark furniture.
 FURNITURE_PARTS = re.compile(r"comment|sidebar|advert|cookie|newsletter|breadcrumb|sponsor|disqus|navigation")
 
@@ -224,7 +231,7 @@ def measure(nodes: list[Node]) -> None:
         node.size += sum(len(k.strip()) for k in node.kids if isinstance(k, str))
         if node.tag == "a":
             node.linked = node.size
-        if node.tag in BLOCK and own >= 25:
+        if node.tag in BLOCK and own >= PARAGRAPH:
             # A paragraph: its points go to the ancestors, halved at each level,
             # up to the first that is named as furniture.
             points = (1 + commas + min(own / 100, 3)) * (1 - min(1.0, node.linked / max(1, node.size)))
@@ -271,6 +278,31 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def beside(container: Node) -> Node:
+    """The container with its siblings, as an element of its own; menus and stray bits are left out."""
+    out = Node("div")
+    inline: list[Node | str] = []
+
+    def take(kids: list[Node | str]) -> None:
+        """A run of inline text counts as a paragraph if it is one."""
+        size = sum(len(k.strip()) if isinstance(k, str) else k.size for k in kids)
+        linked = sum(k.linked for k in kids if not isinstance(k, str))
+        if size >= PARAGRAPH and 2 * linked < size:
+            out.kids.append(Node("p"))
+            out.kids[-1].kids = kids
+
+    for k in container.up.kids:
+        if isinstance(k, str) or (k.tag not in BLOCK and k is not container):
+            inline.append(k)
+            continue
+        take(inline)
+        inline = []
+        if k is container or (not k.skip and density(k) < 0.5 and (k.tag in CONTENT_TAGS or k.size >= PARAGRAPH)):
+            out.kids.append(k)
+    take(inline)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """Main text of one page, blocks joined by a blank line."""
     if not html:
@@ -296,18 +328,13 @@ def main_text(html: str | None) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.up
     best = up if up is not None else best
-    kept = [best]
-    if best.up is not None:
-        need = max(10.0, best.score * (1 - density(best)) * 0.2)
-        kept = []
-        for k in best.up.kids:
-            if isinstance(k, str) or k.skip:
-                continue
-            text_like = k.tag == "p" and k.size >= 80 and density(k) < 0.25
-            heading = k.tag in ("h1", "h2", "h3") and best not in kept and k.size > 0 and density(k) < 0.5
-            if k is best or k.score * (1 - density(k)) >= need or text_like or heading:
-                kept.append(k)
-    return "\n\n".join(b for k in kept for b in blocks(k))
+    # A wrapper that holds nothing else is no level of its own.
+    while best.up is not None and best.tag != "main":
+        found = beside(best)
+        if len(found.kids) > 1 or best.up.up is None:
+            return "\n\n".join(blocks(found))
+        best = best.up
+    return "\n\n".join(blocks(best))
 
 
 def html_extraction(pages: DataFrame) -> DataFrame:

@@ -243,3 +243,44 @@ def test_line_labels_keep_the_side_of_their_document():
     assert Q.line_labels((lines, [5, 1, 1, 5], Q.BOILERPLATE), weights, none).tolist() == [0, 1, 1, 0]
     assert Q.line_labels((lines, [1, 5, 5, 1], Q.BOILERPLATE), weights, none).tolist() == [0, 0, 1, 0]
     assert Q.line_labels((lines, [1, 5, 5, 1], Q.CONTENT), weights, none).tolist() == [0, 1, 1, 0]
+
+
+def test_html_keeps_all_of_the_article():
+    from matchgrid.llm.html_extraction import main_text
+
+    body = "A paragraph of some length, with commas, and words enough to count as text. " * 3
+    text = " ".join(body.split())
+    short = "One short sentence ends the page."
+    menu = "<ul><li><a href=/>Home</a><li><a href=/a>About</a></ul>"
+    long = f"<section><p>{body}<p>{body}</section>"
+    pages = {
+        f"<div id=page>{long}<section><p>{short}</section></div>": f"{text}\n\n{text}\n\n{short}",
+        f"<div id=page><div>{long}</div><table><tr><td>a<td>1<tr><td>b<td>2</table></div>": f"{text}\n\n{text}\n\na\n\n1\n\nb\n\n2",
+        f"<div><div><div>{long}</div></div><ul><li>one<li>two</ul></div>{menu}": f"{text}\n\n{text}\n\none\n\ntwo",
+        f"<div>{menu}<h2>Head</h2>{long}<h3>Notes</h3><p>Short.</div>": f"Head\n\n{text}\n\n{text}\n\nNotes\n\nShort.",
+        f"<div>{long} Loose text beside it, a whole sentence. <b>Bold</b><div>&copy; 2024</div></div>": f"{text}\n\n{text}\n\nLoose text beside it, a whole sentence. Bold",
+        f"<article><p title=it's>{body}<p title='a>b'>{body}<p data-id=nav class=\"x\">{short}</article>": f"{text}\n\n{text}\n\n{short}",
+        f"<nav>{menu}</nav><div class=ad>{body}</div><article><h1>Head</h1>{long}</article><div><a href=/>Next page of this site</a></div>": f"Head\n\n{text}\n\n{text}",
+        "<div class='content no-sidebar'><p>" + body + "</div>": text,
+        f"<div class='post nav-enabled'><p>{body}</div><footer>F</footer>": text,
+        f"<div class='form-factor'><p>{body}<p>{body}</div>": f"{text}\n\n{text}",
+        f"<div class='article-header'><h1>Head</h1></div><p>{body}<p>{body}": f"Head\n\n{text}\n\n{text}",
+    }
+    for page, want in pages.items():
+        assert main_text(page) == want, page
+        assert main_text(f"<html><body>{page}<footer>Foot</footer></body></html>") == want, page
+
+
+def test_html_of_generated_pages(spark):
+    """All pages of the smallest tables: the article's blocks, read off the source by pattern."""
+    import re
+    from html import unescape
+
+    from matchgrid.llm.html_extraction import main_text
+    from matchgrid.session import table
+
+    for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        inner = re.search(r"(?s)<article>(.*?)(?:</article>|<footer|\Z)", r.html).group(1)
+        parts = re.split(r"</?(?:p|h1|article|div|ul|li|h2)\b[^>]*>", inner)
+        want = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in parts]
+        assert main_text(r.html) == "\n\n".join(w for w in want if w), r.page_id

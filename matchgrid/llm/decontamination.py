@@ -11,7 +11,9 @@ the bound are verified by a banded semi-global alignment.
 
 The benchmark's q-gram index travels to the executors. Its size is checked:
 items are indexed in blocks of at most ``BLOCK_CHARS`` characters, and the
-documents are read once for each block.
+documents are read once for each block. Where there are several, a block's
+results are written before the next index is made, so that the driver holds
+one at a time.
 
 Edge cases: a null or empty document matches nothing; an item that is null or
 has no character but white space matches nothing; an item shorter than q must
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, picked
+from .common import map_arrow, materialize, picked
 
 Q = 8
 ERROR_RATE = 0.06
@@ -163,29 +165,36 @@ def regions(index: Index, text: str) -> dict[int, tuple[int, int, int]]:
     return found
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items, each of bounded size."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[Index]]:
+    """Number of blocks, and their indexes one after the other, each of bounded size."""
     items = picked(benchmark, item_id="long", text="string").where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // BLOCK_CHARS))
+    n = max(1, -(-int(total) // block_chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        rows = items.where(part == k).collect()
-        yield Index(sorted((-1 if r.item_id is None else r.item_id, r.text) for r in rows))
 
+    def indexes() -> Iterator[Index]:
+        for k in range(n):
+            rows = items.where(part == k).collect()
+            yield Index(sorted((-1 if r.item_id is None else r.item_id, r.text) for r in rows))
 
-def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return n, indexes()
+
+
+def decontamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, edits, start, length``: the best region of each item found.
 
     Offsets are in the normalized text.
     """
     out = None
-    for index in _blocks(benchmark):
+    n, indexes = _blocks(benchmark, block_chars)
+    for index in indexes:
         found = map_arrow(
             picked(docs, doc_id="long", text="string"),
             _scanner(index),
             "doc_id long, item_id long, edits int, start long, length long",
         )
+        if n > 1:
+            found = materialize(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -211,21 +220,37 @@ def _scanner(index: Index):
     return scan
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _holds(index: Index, raw: str | None) -> bool:
+    text = normalize(raw)
+    return bool(regions(index, text)) or any(s in text for _, s in index.short)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no benchmark item; columns as they came.
 
-    The verdict depends on the text alone, so it is applied in the pass that
-    reads the rows, without a join.
+    The verdict depends on the text alone. With one block it is applied in the
+    pass that reads the rows, without a join; with several, by the hashes of
+    the texts that any block found.
     """
-    for index in _blocks(benchmark):
+    n, indexes = _blocks(benchmark, block_chars)
+    if n == 1:
+        index = next(indexes)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not _holds(index, t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return map_arrow(docs, keep, docs.schema)
+    texts, leaks = docs.select(F.xxhash64("text").alias("h"), "text"), None
+    for index in indexes:
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def leaking(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = []
-                for raw in b.column("text").to_pylist():
-                    text = normalize(raw)
-                    clean.append(not regions(index, text) and not any(s in text for _, s in index.short))
-                yield b.filter(pa.array(clean, pa.bool_()))
-
-        docs = map_arrow(docs, keep, docs.schema)
-    return docs
+                found = b.filter(pa.array([_holds(index, t) for t in b.column("text").to_pylist()], pa.bool_()))
+                yield found.select(["h"])
+
+        part = materialize(map_arrow(texts, leaking, "h long").distinct(), "leaks")
+        leaks = part if leaks is None else leaks.unionByName(part)
+    return docs.join(leaks.distinct(), F.xxhash64(docs["text"]) == leaks["h"], "left_anti")
+
+

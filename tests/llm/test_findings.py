@@ -284,3 +284,30 @@ def test_html_of_generated_pages(spark):
         parts = re.split(r"</?(?:p|h1|article|div|ul|li|h2)\b[^>]*>", inner)
         want = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in parts]
         assert main_text(r.html) == "\n\n".join(w for w in want if w), r.page_id
+
+
+def test_decontamination_query_and_blocks(spark, sf):
+    """The query's rows against a search of every item, and the same by several blocks."""
+    from matchgrid.llm import decontamination as D
+    from matchgrid.llm import queries
+    from matchgrid.session import table
+
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    rows, items = docs.select("doc_id", "text").collect(), bench.collect()
+    got = {(r.doc_id, r.item_id): r for r in queries.op7_decontamination(spark, sf).collect()}
+    for r in rows:
+        text = D.normalize(r.text)
+        for i in items:
+            item = D.normalize(i.text)
+            at, found = text.find(item), got.pop((r.doc_id, i.item_id), None)
+            if at >= 0:
+                assert (found.edits, found.start, found.length) == (0, at, len(item))
+            elif found is not None:  # near occurrences: the region is within the budget
+                assert 0 < found.edits <= D.budget(len(item))
+    assert not got
+    want = sorted(map(tuple, D.decontamination(docs, bench).collect()))
+    size = sum(len(i.text) for i in items) // 3
+    assert sorted(map(tuple, D.decontamination(docs, bench, size).collect())) == want and want
+    one = sorted(r.doc_id for r in D.drop_contaminated(docs, bench).collect())
+    assert sorted(r.doc_id for r in D.drop_contaminated(docs, bench, size).collect()) == one
+    assert one == sorted({r.doc_id for r in rows} - {w[0] for w in want})

@@ -311,3 +311,34 @@ def test_decontamination_query_and_blocks(spark, sf):
     one = sorted(r.doc_id for r in D.drop_contaminated(docs, bench).collect())
     assert sorted(r.doc_id for r in D.drop_contaminated(docs, bench, size).collect()) == one
     assert one == sorted({r.doc_id for r in rows} - {w[0] for w in want})
+
+
+def test_license_query_labels_and_scores(spark):
+    """The query's labels and scores on whole tables against all templates on all lines and windows."""
+    from math import ceil
+
+    from matchgrid.llm import queries
+    from matchgrid.llm.license_scan import FOLD, TEMPLATES
+    from matchgrid.session import table
+
+    base = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op3_license_scan(spark, base).collect()}
+    sets = [(label, set(t.encode().translate(FOLD).split()), ceil(len(t.encode().translate(FOLD).split()) / 0.8)) for label, t in TEMPLATES]
+    named = several = 0
+    for r in table(spark, base, "documents").select("doc_id", "text").collect():
+        folded = (r.text or "").encode().translate(FOLD)
+        lines = [line.split() for line in folded.split(b"\n")]
+        found = [m for line in lines for m in license_labels(line)]
+        words, mine = folded.split(), got[r.doc_id]
+        base_labels = set(mine.base_labels.split(",")) - {""}
+        want = {label for label, _ in found} | base_labels
+        labels = set(mine.labels.split(",")) - {""}
+        assert labels >= want
+        # What is found besides lies in a window across lines.
+        for label in labels - want:
+            several += 1
+            assert any(len(t & set(words[i : i + n])) >= 0.8 * len(t) for x, t, n in sets if x == label for i in range(len(words)))
+        if labels == want:
+            assert mine.score == max([s for _, s in found] + [1.0] * bool(base_labels), default=0.0)
+            named += bool(labels)
+    assert named > 5

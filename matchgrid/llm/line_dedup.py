@@ -1,23 +1,26 @@
 """Line deduplication by a segment-partition edit join. DataFrame operations only.
 
-Lines of at least ``MIN_LINE_CHARS`` characters (after trimming spaces) that
-are at most one edit apart, directly or through others, form a class; of each
-class the first line in order of document and position stays. Shorter lines are
-not removed by the query, as its SQL says; with ``short_lines``, as in the
-pipeline, every line that is not blank takes part, those below the limit as
-exact repeats only.
+Lines (after trimming spaces) that are equal, or at most one edit apart,
+directly or through others, form a class; of each class the first line in order
+of document and position stays. An edit replaces, inserts or removes a
+character in lines of at least ``MIN_LINE_CHARS`` characters, or a whole word in
+lines of at least ``MIN_LINE_WORDS`` words, so an edit is a tenth of a line at
+most; every line that is not blank takes part, shorter ones by equality only.
 
 The join cuts a line into threshold-plus-one segments, here two. Two lines one
 edit apart agree outside one of the segments, so each line enters an index
 under (length, edited segment, hash of all before it, hash of all behind it),
-once by its own length, where the edit replaces a character, and once as the
-longer partner of lines one shorter, where it inserts one. Keys that hold a
-single line are dropped by an aggregation with partial sums; the lines of the
+once by its own length, where the edit replaces something, and once as the
+longer partner of lines one shorter, where it inserts something. Keys that hold
+a single line are dropped by an aggregation with partial sums; the lines of the
 others go on to the next round, in which the segment that may hold the edit is
-split further, until it is a single character. Then all lines of a key are at
-most one edit apart, so each is linked to the first of its key only, and never
-all with all. Each link is verified by a banded bit-parallel edit distance, and
-a component search joins the links into classes.
+split further, until it is a single character or word. Then all lines of a key
+are at most one edit apart, so each is linked to the first of its key only, and
+never all with all. Each link is verified by a banded bit-parallel edit
+distance, and a component search joins the links into classes.
+
+A larger threshold would lose this: lines that share a segment are then often
+not linked, and a frequent segment would have to be paired all with all.
 
 Edge cases: null or empty texts have no lines and come back unchanged. A
 document whose lines are all removed has an empty text. Rows that repeat both
@@ -28,6 +31,8 @@ result. Columns of the input other than the text come back as they came.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,53 +40,72 @@ from .common import materialize
 from .components import connected_components
 
 MIN_LINE_CHARS = 16
-MAX_EDITS = 1
+MIN_LINE_WORDS = 10
 #: Pieces that a segment is split into in each later round.
 FAN_OUT = 16
 #: Keys that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What an edit changes: SQL forms of a line's length and parts in these units."""
+
+    name: str
+    least: int
+    #: The line as a sequence, its length, its first ``a`` units, those from ``a`` (from 1) on,
+    #: and units ``a + 1 .. b`` as an array.
+    line: str
+    length: str
+    head: str
+    tail: str
+    part: str
+
+
+CHARACTERS = Unit("characters", MIN_LINE_CHARS, "line", "length({x})", "left({x}, {a})", "substring({x}, {a})", "split(substring({x}, {a} + 1, {b} - {a}), '')")
+WORDS = Unit(
+    "words", MIN_LINE_WORDS, "split(line, ' ')", "size({x})", "slice({x}, 1, {a})", "slice({x}, {a}, size({x}))",
+    "slice({x}, {a} + 1, greatest({b} - {a}, 0))",
+)
+
+
 def _row_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "h", F.xxhash64("text")
     )
 
 
-def lines_of(docs: DataFrame, short_lines: bool = False) -> DataFrame:
-    """``doc_id, h, pos, line, id`` of every line that takes part."""
-    takes_part = F.length("line") >= MIN_LINE_CHARS
-    if short_lines:
-        takes_part = takes_part | F.col("line").rlike(r"\S")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, pos, line, id`` of every line that is not blank."""
     return (
         _row_key(docs)
         .select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select("doc_id", "h", "pos", F.trim("raw").alias("line"))
-        .where(takes_part)
+        .where(F.col("line").rlike(r"[^ \t\n\x0B\f\r]"))
         .withColumn("id", F.xxhash64("line", F.length("line")))
     )
 
 
-def _key(n: Column, lo: Column, hi: Column, longer: Column) -> Column:
+def _key(unit: Unit) -> Column:
     """Index key of a line whose edit may lie in [lo, hi) of the shorter line."""
-    behind = F.expr("substring(line, hi + longer + 1)")
-    return F.xxhash64(n, lo, hi, F.expr("left(line, lo)"), behind)
+    before, behind = unit.head.format(x="line", a="lo"), unit.tail.format(x="line", a="(hi + longer + 1)")
+    return F.expr(f"xxhash64(n, lo, hi, {before}, {behind})")
 
 
-def _first_keys(lines: DataFrame) -> DataFrame:
+def _first_keys(lines: DataFrame, unit: Unit) -> DataFrame:
     """Two segments of each line, by its own length and as the longer partner."""
-    sized = lines.select("id", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("longer"))
-    sized = sized.withColumn("n", F.length("line") - F.col("longer"))
+    sized = lines.select("id", F.expr(unit.line).alias("line")).withColumn("size", F.expr(unit.length.format(x="line")))
+    sized = sized.where(F.col("size") >= unit.least).select("id", "line", "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("longer"))
+    sized = sized.withColumn("n", F.col("size") - F.col("longer"))
     half = F.floor(F.col("n") / 2).cast("int")
-    # An insertion may also lie behind the last character.
+    # An insertion may also lie behind the last unit.
     ranges = F.array(
         F.struct(F.lit(0).alias("lo"), half.alias("hi")), F.struct(half.alias("lo"), F.col("n").alias("hi"))
     )
-    out = sized.select("id", "line", "longer", "n", F.inline(ranges))
-    return out.withColumn("key", _key(F.col("n"), F.col("lo"), F.col("hi"), F.col("longer")))
+    return sized.select("id", "line", "longer", "n", F.inline(ranges)).withColumn("key", _key(unit))
 
 
-def _split(rows: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, unit: Unit) -> DataFrame:
     """Splits the segment of each row into up to ``FAN_OUT`` parts."""
     step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / FAN_OUT)).cast("int")
     cut = rows.withColumn("step", step).select(
@@ -91,7 +115,7 @@ def _split(rows: DataFrame) -> DataFrame:
     out = cut.select(
         "id", "line", "longer", "n", F.col("at").alias("lo"), F.least(F.col("at") + F.col("step"), F.col("hi")).alias("hi")
     )
-    return out.withColumn("key", _key(F.col("n"), F.col("lo"), F.col("hi"), F.col("longer")))
+    return out.withColumn("key", _key(unit))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -107,9 +131,9 @@ def _with_shared(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def within_one_edit(a: str, b: str) -> Column:
-    """Banded bit-parallel test of two character arrays: at most one edit apart.
+    """Banded bit-parallel test of two arrays of characters or words: at most one edit apart.
 
-    Bit d of ``r0`` and ``r1`` says that the first i characters of b match the
+    Bit d of ``r0`` and ``r1`` says that the first i units of b match the
     first i + d - 1 of a with no or at most one edit; three diagonals suffice.
     """
     step = f"""
@@ -128,19 +152,19 @@ def within_one_edit(a: str, b: str) -> Column:
     return (F.expr(f"abs(size({a}) - size({b})) <= 1")) & (F.expr(step.replace("m(i)", mask)) == 1)
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, unit: Unit) -> DataFrame:
     """Links ``u, v`` between the ids of different lines one edit apart."""
-    first = _first_keys(lines)
+    first = _first_keys(lines, unit)
     rows = _with_shared(first, _shared(first))
     same = ["id", "longer", "n", "lo", "hi"]
-    rows = materialize(rows.groupBy(*same).agg(F.first("line").alias("line")), "line-rows")
+    rows = materialize(rows.groupBy(*same).agg(F.first("line").alias("line")), "line-rows", large=True)
     widest = rows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
     while widest > 1:
-        parts = _split(rows)
-        rows = materialize(_with_shared(parts, _shared(parts)).select(*same, "line"), "line-rows")
+        parts = _split(rows, unit)
+        rows = materialize(_with_shared(parts, _shared(parts)).select(*same, "line"), "line-rows", instead_of=(rows,), large=True)
         widest = rows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
-    # Replacements: lines of equal length that agree but for one character.
-    # Insertions: the longer line has one more character at either side of it.
+    # Replacements: lines of equal length that agree but for one unit.
+    # Insertions: the longer line has one more unit at either side of it.
     # A member of a key: what it has before ``at`` and from ``rest`` on is shared.
     swap = rows.where("longer = 0").select(
         "id", "line", F.col("lo").alias("at"), F.col("hi").alias("rest"), F.lit(0).alias("kind")
@@ -148,30 +172,32 @@ def near_lines(lines: DataFrame) -> DataFrame:
     put = rows.select("id", "line", "longer", F.explode(F.array("lo", "hi")).alias("at")).select(
         "id", "line", "at", (F.col("at") + F.col("longer")).alias("rest"), F.lit(1).alias("kind")
     )
-    members = swap.unionByName(put).withColumn(
-        "key", F.expr("xxhash64(kind, length(line) - rest + at, at, left(line, at), substring(line, rest + 1))")
-    )
+    size, outer = unit.length.format(x="line"), [unit.head.format(x="{x}", a="at"), unit.tail.format(x="{x}", a="({r} + 1)")]
+    mine = [o.format(x="line", r="rest") for o in outer]
+    members = swap.unionByName(put).withColumn("key", F.expr(f"xxhash64(kind, {size} - rest + at, at, {', '.join(mine)})"))
     heads = members.groupBy("key").agg(F.min(F.struct("id", "line", "rest")).alias("head"))
     links = members.join(heads, "key").where("id <> head.id")
     # One of the keys that a pair shares is enough to verify it.
     links = links.groupBy("id", F.col("head.id").alias("other")).agg(F.min(F.struct("at", "rest", "line", "head")).alias("m"))
+    theirs = [o.format(x="head.line", r="head.rest") for o in outer]
     links = links.select("id", "other", "m.*").withColumns(
         {
             "a": F.expr("greatest(at - 2, 0)"),
-            "same": F.expr("left(line, at) = left(head.line, at) AND substring(line, rest + 1) = substring(head.line, head.rest + 1)"),
+            "same": F.expr(" AND ".join(f"{x} = {y}" for x, y in zip(mine, theirs, strict=True))),
         }
     )
     # With the outer parts compared, the edit distance is that of the part between,
-    # taken with two characters of either side.
-    x, y = (F.expr(f"split(substring({c}line, a + 1, {c}rest + 2 - a), '')") for c in ("", "head."))
+    # taken with two units of either side.
+    x, y = (F.expr(unit.part.format(x=f"{c}line", a="a", b=f"({c}rest + 2)")) for c in ("", "head."))
     links = links.where("same").select("id", "other", x.alias("x"), y.alias("y")).where(within_one_edit("x", "y"))
     return links.select(F.col("id").alias("u"), F.col("other").alias("v")).distinct()
 
 
-def removed_lines(docs: DataFrame, short_lines: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, h, removed``: positions of the lines that do not stay."""
-    lines = lines_of(docs, short_lines)
-    roots = connected_components(near_lines(lines.where(F.length("line") >= MIN_LINE_CHARS).select("id", "line")))
+    lines = lines_of(docs)
+    links = near_lines(lines, CHARACTERS).unionByName(near_lines(lines, WORDS))
+    roots = connected_components(links)
     place = F.struct("doc_id", "h", "pos")
     seen = lines.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = materialize(
@@ -179,6 +205,7 @@ def removed_lines(docs: DataFrame, short_lines: bool = False) -> DataFrame:
         .where("root is not null or first <> last")
         .select("id", "first", F.coalesce("root", "id").alias("root")),
         "line-classes",
+        large=True,
     )
     low = seen.groupBy("root").agg(F.min("first").alias("first"))
     stays = seen.drop("first").join(low, "root").select("id", "first")
@@ -188,12 +215,12 @@ def removed_lines(docs: DataFrame, short_lines: bool = False) -> DataFrame:
     return gone.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("removed"))
 
 
-def line_dedup(docs: DataFrame, short_lines: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents with the removed lines taken out of ``text``.
 
     Adds ``n_lines`` and ``n_removed``.
     """
-    gone = removed_lines(docs, short_lines).withColumnsRenamed({"doc_id": "__doc", "h": "__hash", "removed": "__removed"})
+    gone = removed_lines(docs).withColumnsRenamed({"doc_id": "__doc", "h": "__hash", "removed": "__removed"})
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
     joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(__removed, i)), '\\n')")
@@ -208,11 +235,11 @@ def line_dedup(docs: DataFrame, short_lines: bool = False) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Pipeline form, with short lines: same columns; documents of removed lines only go.
+    """Pipeline form: same columns; documents of removed lines only go.
 
     A column ``n_chars`` follows the text.
     """
-    out = line_dedup(docs, short_lines=True).where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    out = line_dedup(docs).where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-#: Lines one edit apart share a line with one character replaced, inserted or removed.
+#: Lines one edit apart share a line with one character, or one word, replaced, inserted or removed.
 LINE_DEDUP = """WITH RECURSIVE raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-l AS (SELECT doc_id, pos, trim(raw) AS line FROM raw WHERE length(trim(raw)) >= 16),
-u AS (SELECT DISTINCT line FROM l),
+l AS (SELECT doc_id, pos, trim(raw) AS line FROM raw WHERE regexp_matches(trim(raw), '[^ \\t\\n\\x0B\\f\\r]')),
+u AS (SELECT DISTINCT line FROM l WHERE length(line) >= 16),
+w AS (SELECT line, string_split(line, ' ') AS w FROM (SELECT DISTINCT line FROM l) WHERE len(string_split(line, ' ')) >= 10),
 k AS (
   SELECT line, hash(0, left(line, j), substr(line, j + 2)) AS key FROM (SELECT line, unnest(range(length(line))) AS j FROM u)
   UNION ALL SELECT line, hash(1, left(line, j), substr(line, j + 1)) FROM (SELECT line, unnest(range(length(line) + 1)) AS j FROM u)
-  UNION ALL SELECT line, hash(1, left(line, j), substr(line, j + 2)) FROM (SELECT line, unnest(range(length(line))) AS j FROM u)),
+  UNION ALL SELECT line, hash(1, left(line, j), substr(line, j + 2)) FROM (SELECT line, unnest(range(length(line))) AS j FROM u)
+  UNION ALL SELECT line, hash(2, w[1:j], w[j + 2:]) FROM (SELECT line, w, unnest(range(len(w))) AS j FROM w)
+  UNION ALL SELECT line, hash(3, w[1:j], w[j + 1:]) FROM (SELECT line, w, unnest(range(len(w) + 1)) AS j FROM w)
+  UNION ALL SELECT line, hash(3, w[1:j], w[j + 2:]) FROM (SELECT line, w, unnest(range(len(w))) AS j FROM w)),
 head AS (SELECT key, min(line) AS a FROM k GROUP BY 1 HAVING min(line) <> max(line)),
 link AS (SELECT DISTINCT a, line AS b FROM k JOIN head USING (key) WHERE a <> line),
 pair AS (SELECT a, b FROM link UNION SELECT b, a FROM link),

@@ -156,12 +156,16 @@ def test_license_filters_lose_nothing():
 
 def one_edit_classes(lines):
     by = defaultdict(list)
-    for s in lines:
-        for j in range(len(s) + 1):
-            by[s[:j] + "\1" + s[j:]].append(s)
-            if j < len(s):
-                by[s[:j] + "\0" + s[j + 1 :]].append(s)
-                by[s[:j] + "\1" + s[j + 1 :]].append(s)
+    for line in lines:
+        words = tuple(line.split(" "))
+        for s, one in ((line, str), (words, lambda x: (x,))):
+            if len(s) < (16 if s is line else 10):
+                continue
+            for j in range(len(s) + 1):
+                by[s[:j] + one("\1") + s[j:]].append(line)
+                if j < len(s):
+                    by[s[:j] + one("\0") + s[j + 1 :]].append(line)
+                    by[s[:j] + one("\1") + s[j + 1 :]].append(line)
     return roots(lines, [(g[0], x) for g in by.values() for x in g[1:]])
 
 
@@ -179,7 +183,7 @@ def test_line_dedup(spark, sf, docs):
     places = defaultdict(list)
     for d, x in rows:
         for i, line in enumerate(x.split("\n")):
-            if len(line.strip(" ")) >= line_dedup.MIN_LINE_CHARS:
+            if line.strip():
                 places[line.strip(" ")].append((d, i))
     classes = defaultdict(list)
     for line, root in one_edit_classes(sorted(places)).items():

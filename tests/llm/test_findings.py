@@ -99,8 +99,7 @@ def test_pipeline_removes_short_repeated_lines(spark):
     assert 3 not in got
     assert got[4] == rows[3][1] and 5 not in got
     assert all(got[n] == f"own text of the document {n * 7919}" for n in range(20, 60))
-    # The query keeps the rows of its SQL.
-    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}[3] == "Les.\nAnd ornd."
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}[3] == ""
 
 
 def test_pipeline_removes_near_copies(spark):
@@ -342,3 +341,49 @@ def test_license_query_labels_and_scores(spark):
             assert mine.score == max([s for _, s in found] + [1.0] * bool(base_labels), default=0.0)
             named += bool(labels)
     assert named > 5
+
+
+def test_lines_one_word_apart(spark):
+    from matchgrid.llm import line_dedup
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    lines = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([8, 10, 11, 40]))]
+        for _ in range(rng.choice([1, 3, 6])):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                j, op = rng.randrange(len(own)), rng.randrange(3)
+                own[j : j + (op != 1)] = [] if op == 0 else [word()]
+            lines.append(" ".join(own))
+    rng.shuffle(lines)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    up = list(range(len(lines)))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    links = 0
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            words = min(len(a.split()), len(b.split())) >= 10 and distance(a.split(), b.split()) <= 1
+            if a == b or words or (min(len(a), len(b)) >= 16 and distance(a, b) <= 1):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+                links += 1
+    assert links > 20
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {n: line if root(n) == n else "" for n, line in enumerate(lines)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,11 +78,13 @@ def merged_class(label: str | Column) -> Column:
     return F.when(c.isin("bandeja", "vibora", "bandeja_ou_vibora"), "bandeja_vibora").when(c != "incertain", c)
 
 
-#: Accented capital letters and their plain forms.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
+#: Capital letters of the Latin blocks whose decomposition is a plain letter and marks, and that letter.
+_MARKED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.upper() and len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
+ACCENTED = "".join(_MARKED)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
 
 
 def plain_name(name: str | Column) -> Column:
-    """Upper case without accents."""
-    return F.translate(F.upper(F.replace(_col(name), F.lit("ß"), F.lit("ss"))), ACCENTED, PLAIN)
+    """Upper case without accents, whether they are part of a letter or marks of their own."""
+    upper = F.upper(F.replace(_col(name), F.lit("ß"), F.lit("ss")))
+    return F.regexp_replace(F.translate(upper, ACCENTED, PLAIN), r"\p{Mn}", "")

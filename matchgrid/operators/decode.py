@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,63 +15,63 @@ MIN_GAP_S = 0.45
 def alternate_hits(candidates: DataFrame, no_hit: float = NO_HIT, gap: float = MIN_GAP_S) -> DataFrame:
     """``video_key, cand, team``: the best series of hits in which teams alternate.
 
-    A dynamic program over the candidates of a video in order: the best value,
-    time of the last hit and choices for each last team (2: none yet). A choice
-    is a hit by the other team, at least ``gap`` after the last, or no hit,
-    which is worth ``no_hit``. Of equal values the first in the order kept
-    before (no team, far, near) stays.
+    A dynamic program over the candidates of a video in order: the best value
+    and time of the last hit for each last team (2: none yet), with pointers
+    back that are followed once at the end. A choice is a hit by the other
+    team, at least ``gap`` after the last, or no hit, which is worth
+    ``no_hit``. Of equal values the first in the order kept before (no team,
+    far, near) stays.
     """
     rows = candidates.groupBy("video_key").agg(
         F.array_sort(F.collect_list(F.struct("t", "cand", "s0", "s1"))).alias("c")
     )
-    low = "-1e300D"
-    start = f"named_struct('v', 0D, 't', -1e9D, 'p', cast(array() as array<int>))"  # noqa: F541
-    none = f"named_struct('v', {low}, 't', -1e9D, 'p', cast(array() as array<int>))"
-
-    def hit(frm: str, team: int) -> str:
-        return (
-            f"if(a.{frm}.v > {low} and c.t - a.{frm}.t >= {gap}D, named_struct('v', a.{frm}.v + c.s{team}, 't', c.t,"
-            f" 'p', concat(a.{frm}.p, array({team}))), {none})"
-        )
-
-    def skip(frm: str) -> str:
-        return (
-            f"if(a.{frm}.v > {low}, named_struct('v', a.{frm}.v + {no_hit}D, 't', a.{frm}.t,"
-            f" 'p', concat(a.{frm}.p, array(-1))), {none})"
-        )
-
-    def first_best(options: list[str]) -> str:
-        opts = "array(" + ", ".join(options) + ")"
-        return f"aggregate(slice({opts}, 2, 9), {opts}[0], (m, o) -> if(o.v > m.v, o, m))"
-
-    fold = (
-        f"aggregate(c, named_struct('n', {start}, 'f', {none}, 'e', {none}), (a, c) -> named_struct("
-        f"'n', {skip('n')},"
-        f"'f', {first_best([hit('n', 0), skip('f'), hit('e', 0)])},"
-        f"'e', {first_best([hit('n', 1), hit('f', 1), skip('e')])}),"
-        "a -> aggregate(array(a.f, a.e), a.n, (m, o) -> if(o.v > m.v, o, m)).p)"
-    )
-    got = rows.select("video_key", "c", F.expr(fold).alias("p"))
+    cand = candidates.schema["cand"].dataType
+
+    def choose(c: list[dict]) -> list[int | None]:
+        # Per last team (0, 1, or 2 for none yet): value and time of the last hit; each
+        # step keeps where every state came from and with which choice.
+        value, last, steps = {2: 0.0}, {2: -1e9}, []
+        for x in c:
+            nxt: dict[int, tuple[float, float, int, int | None]] = {}
+            for state in [k for k in (2, 0, 1) if k in value]:
+                options = [(state, no_hit, last[state], None)]
+                options += [(k, x[f"s{k}"], x["t"], k) for k in (0, 1) if k != state and x["t"] - last[state] >= gap]
+                for to, gain, t, choice in options:
+                    if to not in nxt or value[state] + gain > nxt[to][0]:
+                        nxt[to] = (value[state] + gain, t, state, choice)
+            value, last = {k: v[0] for k, v in nxt.items()}, {k: v[1] for k, v in nxt.items()}
+            steps.append({k: v[2:] for k, v in nxt.items()})
+        state, path = max((k for k in (2, 0, 1) if k in value), key=lambda k: value[k]), []
+        for step in reversed(steps):
+            state, choice = step[state]
+            path.append(choice)
+        return path[::-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = [choose(c) for c in b.column("c").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("video_key"), b.column("c"), pa.array(paths, pa.list_(pa.int32()))], ["video_key", "c", "p"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    got = rows.mapInArrow(run, f"video_key {kinds['video_key']}, c {kinds['c']}, p array<int>")
     return got.select("video_key", F.posexplode("c").alias("k", "x"), "p").select(
-        "video_key", "x.cand", F.nullif(F.expr("p[k]"), F.lit(-1)).alias("team")
+        "video_key", F.col("x.cand").cast(cand).alias("cand"), F.expr("p[k]").alias("team")
     )
 
 
 def nearest_position(points: DataFrame, tracks: DataFrame) -> DataFrame:
     """Known position nearest in frames to each of ``shot_id, slot, frame``; ties go to the earlier.
 
-    Two running windows over the union of points and positions; no range join.
+    Two running windows over the union of points and positions, one in either
+    direction; no range join.
     """
     key = ["shot_id", "slot"]
     a = points.select(*key, "frame", F.lit(True).alias("ask"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y")])
     b = tracks.where("x is not null").select(*key, "frame", F.lit(False).alias("ask"), "x", "y")
     u = a.unionByName(b)
     known = F.when(F.col("x").isNotNull(), F.struct("frame", "x", "y"))
-    w = Window.partitionBy(*key).orderBy("frame")
-    u = u.withColumns({
-        "p": F.last(known, True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        "q": F.first(known, True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-    }).where("ask")
+    upward, downward = (Window.partitionBy(*key).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("frame", F.desc("frame")))
+    u = u.withColumns({"p": F.last(known, True).over(upward), "q": F.last(known, True).over(downward)}).where("ask")
     near = F.when(F.col("q").isNull() | (F.col("frame") - F.col("p.frame") <= F.col("q.frame") - F.col("frame")), F.col("p")).otherwise(F.col("q"))
     return u.withColumn("near", near).where("near is not null").select(*key, "frame", "near.x", "near.y")
 
@@ -92,6 +95,7 @@ def strongest_slot(candidates: DataFrame, speeds: DataFrame, fps: float, before:
 STROKES = (
     "service", "coup_droit", "revers", "volee_cd", "volee_revers", "bandeja", "vibora", "smash", "lob", "sortie_vitre",
 )
+#: Strokes above the head. The distances and confidences of the rules below are fixed too.
 OVERHEAD = ("bandeja", "vibora", "smash")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a point reading may be.
 POINTS = ("0", "15", "30", "40", "A", "AD", "AV")
 
 
@@ -56,8 +57,8 @@ def clean_sequence(states: DataFrame) -> DataFrame:
     next is any valid one. One array per match, which has a few hundred reads.
     """
     s = states.withColumn("p", F.when(valid(), progress()))
-    ahead = Window.partitionBy("match").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    s = s.withColumn("nxt", F.first("p", ignorenulls=True).over(ahead))
+    ahead = Window.partitionBy("match").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("nxt", F.last("p", ignorenulls=True).over(ahead))
     rows = s.groupBy("match").agg(F.array_sort(F.collect_list(F.struct("ord", "p", "nxt"))).alias("r"))
     fold = F.expr(
         "aggregate(r, named_struct('prev', cast(null as int), 'kept', cast(array() as array<int>)), (a, c) -> "

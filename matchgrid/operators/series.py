@@ -26,7 +26,10 @@ def histogram_distance(signals: DataFrame) -> DataFrame:
 
 
 def min_gap(sorted_values: str, gap: float, first: str = "cast(array() as array<bigint>)") -> Column:
-    """Greedy choice from a sorted array: a value stays if it is ``gap`` behind the last kept."""
+    """Greedy choice from a sorted array: a value stays if it is ``gap`` behind the last kept.
+
+    The array holds the cuts of one video, some hundreds.
+    """
     return F.expr(
         f"aggregate({sorted_values}, {first}, (kept, c) -> "
         f"if(size(kept) = 0 or c - element_at(kept, -1) >= {gap}, concat(kept, array(c)), kept))"
@@ -39,16 +42,19 @@ def jump_cuts(
 ) -> DataFrame:
     """``video_key, cuts``: one-frame spikes of motion far over their surroundings.
 
-    The local level is the median of 31 frames, mirrored at the ends like
-    a symmetric reflection of the series.
+    The local level is the median of 31 frames; behind either end the series is
+    mirrored, again and again where it has fewer than 15 frames.
     """
     w = Window.partitionBy("video_key").orderBy("frame")
     n = F.count("*").over(Window.partitionBy("video_key"))
     m = motion.select("video_key", "motion", (F.row_number().over(w) - 1).alias("i"), n.alias("n"))
-    # Rows mirrored behind either end: -1 repeats 0, -2 repeats 1, and so on.
-    low = m.where("i < 15").select("video_key", "motion", (-F.col("i") - 1).alias("i"), "n")
-    high = m.where("i >= n - 15").select("video_key", "motion", (2 * F.col("n") - 1 - F.col("i")).alias("i"), "n")
-    padded = m.unionByName(low).unionByName(high)
+    # Rows mirrored behind either end: -1 repeats 0, -2 repeats 1, and so on, with period 2n.
+    turn = F.explode(F.expr("filter(sequence(-cast(ceil(15 / n) as int), cast(ceil(15 / n) as int)), k -> k <> 0)")).alias("turn")
+    turned = m.where("i < 15 OR i >= n - 15").select("video_key", "motion", "i", "n", turn)
+    # An even turn repeats the series, an odd one its mirror image.
+    place = F.when(F.col("turn") % 2 == 0, F.col("turn") * F.col("n") + F.col("i")).otherwise((F.col("turn") + 1) * F.col("n") - 1 - F.col("i"))
+    turned = turned.select("video_key", "motion", place.alias("i"), "n").where("i >= -15 AND i < n + 15")
+    padded = m.unionByName(turned)
     by = Window.partitionBy("video_key").orderBy("i")
     at = [F.lag("motion", 2).over(by), F.lag("motion", 1).over(by), F.lead("motion", 1).over(by), F.lead("motion", 2).over(by)]
     seen = padded.withColumns({
@@ -128,9 +134,10 @@ def track_pieces(tracks: DataFrame, max_gap: int = 15) -> DataFrame:
     """
     key = ["shot_id", "slot"]
     back = Window.partitionBy(*key).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*key).orderBy("frame").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # "First after" as "last before" in the other direction: a frame that only grows is computed once a row.
+    ahead = Window.partitionBy(*key).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col("x").isNotNull(), F.struct("frame", "x", "y"))
-    t = tracks.withColumns({"p": F.last(known, True).over(back), "q": F.first(known, True).over(ahead)})
+    t = tracks.withColumns({"p": F.last(known, True).over(back), "q": F.last(known, True).over(ahead)})
     t = t.where("p is not null AND q is not null AND q.frame - p.frame <= " + str(max_gap))
     share = F.coalesce((F.col("frame") - F.col("p.frame")) / F.nullif(F.col("q.frame") - F.col("p.frame"), F.lit(0)), F.lit(0.0))
     t = t.withColumns({c: F.col(f"p.{c}") + (F.col(f"q.{c}") - F.col(f"p.{c}")) * share for c in ("x", "y")})
@@ -156,10 +163,15 @@ def median5(pieces: DataFrame) -> DataFrame:
 def pick_peaks(series: DataFrame, height: float, distance: int) -> DataFrame:
     """``key, peaks``: local maxima of ``v`` over ``i``, the higher first where too close.
 
-    A flat top counts at its first row here; equal heights go by later place.
+    A flat top counts at its middle, the earlier of two; equal heights go by
+    later place. What reaches an end of the series is no peak.
     """
     w = Window.partitionBy("key").orderBy("i")
-    p = series.withColumns({"a": F.lag("v").over(w), "b": F.lead("v").over(w)}).where(
+    new = (F.col("v") != F.lag("v", 1).over(w)) | F.lag("v", 1).over(w).isNull()
+    flat = series.select("key", "i", "v", new.cast("int").alias("new")).withColumn("level", F.sum("new").over(w))
+    flat = flat.groupBy("key", "level").agg(F.first("v").alias("v"), F.floor((F.min("i") + F.max("i")) / 2).alias("i"))
+    by = Window.partitionBy("key").orderBy("level")
+    p = flat.withColumns({"a": F.lag("v").over(by), "b": F.lead("v").over(by)}).where(
         (F.col("v") > F.col("a")) & (F.col("v") > F.col("b")) & (F.col("v") >= height)
     )
     ordered = p.groupBy("key").agg(

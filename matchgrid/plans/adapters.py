@@ -43,7 +43,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``video_key, frame, hist`` (normalized) and the raw vector from embeddings."""
     return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id % 4 AS video_key",
+        "vec_id div 128 AS video_key",
         "vec_id AS frame",
         "transform(embedding, x -> cast(x AS double)) AS vec",
     )
@@ -52,9 +52,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``shot_id, slot, frame, x, y`` from lineitem; a third of the positions is missing."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey % 50 AS shot_id",
+        "l_orderkey div 400 AS shot_id",
         "cast(l_linenumber % 4 AS int) AS slot",
-        "cast(row_number() OVER (PARTITION BY l_orderkey % 50, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, "
+        "cast(row_number() OVER (PARTITION BY l_orderkey div 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, "
         "l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS bigint) AS frame",
         "if(l_returnflag = 'N', NULL, l_discount * 100D) AS x",
         "if(l_returnflag = 'N', NULL, l_quantity * 0.4D) AS y",

@@ -14,9 +14,10 @@ own AS (SELECT *, ("start" + "end") / 2 AS mid FROM utterance),
 heard AS (
   SELECT video_key, CAST(CASE WHEN mid >= 0 AND mid < 720 THEN floor(mid / 5) ELSE 143 END AS INT) AS seg_id,
     string_agg(text, ' ' ORDER BY utt_id) AS heard FROM own GROUP BY 1, 2),
+near AS (SELECT *, unnest(range(CAST(greatest(0, floor("start" / 5)) AS BIGINT), CAST(least(143, floor("end" / 5)) AS BIGINT) + 1)) AS seg_id FROM utterance),
 context AS (
   SELECT s.video_key, s.seg_id, string_agg(u.text, ' ' ORDER BY u.utt_id) AS context
-  FROM seg s JOIN utterance u ON u.video_key = s.video_key AND u."start" < s."end" AND u."end" > s."start" GROUP BY 1, 2),
+  FROM seg s JOIN near u ON u.video_key = s.video_key AND u.seg_id = s.seg_id AND u."start" < s."end" AND u."end" > s."start" GROUP BY 1, 2),
 heard_seg AS (
   SELECT s.video_key, s.seg_id, s."start", s."end", coalesce(heard, '') AS heard, coalesce(context, '') AS context
   FROM seg s LEFT JOIN heard USING (video_key, seg_id) LEFT JOIN context USING (video_key, seg_id))"""
@@ -24,8 +25,8 @@ VID = """vid AS (
   SELECT p_partkey AS video_key, p_size * 1.25::DOUBLE AS duration, CAST(320 + (p_partkey % 37) * 53 AS INT) AS width,
     CAST(240 + (p_partkey % 23) * 37 AS INT) AS height FROM part)"""
 FRAMES = """num AS (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY frame) - 1 AS i FROM src)"""
-MOTION = "SELECT user_id % 5 AS video_key, event_id AS frame, CASE WHEN event_id % 97 = 0 THEN 9::DOUBLE ELSE value / 490 END AS v FROM events"
-DIST = "SELECT user_id % 5 AS video_key, event_id AS frame, value / 490 AS v FROM events"
+MOTION = "SELECT user_id AS video_key, event_id AS frame, CASE WHEN event_id % 97 = 0 THEN 9::DOUBLE ELSE value / 490 END AS v FROM events"
+DIST = "SELECT user_id AS video_key, event_id AS frame, value / 490 AS v FROM events"
 CLOCK = """CASE WHEN CAST(floor({t}) AS BIGINT) >= 3600
   THEN printf('%02d:%02d:%02d', CAST(floor({t}) AS BIGINT) // 3600, CAST(floor({t}) AS BIGINT) % 3600 // 60, CAST(floor({t}) AS BIGINT) % 60)
   ELSE printf('%02d:%02d', CAST(floor({t}) AS BIGINT) // 60, CAST(floor({t}) AS BIGINT) % 60) END"""
@@ -34,8 +35,11 @@ CLOCK = """CASE WHEN CAST(floor({t}) AS BIGINT) >= 3600
 def _cuts(name: str) -> str:
     return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY video_key) AS n FROM ({MOTION})),
 {name}_pad AS (
-  SELECT video_key, i, v, n FROM {name}_n UNION ALL SELECT video_key, -i - 1, v, n FROM {name}_n WHERE i < 15
-  UNION ALL SELECT video_key, 2 * n - 1 - i, v, n FROM {name}_n WHERE i >= n - 15),
+  SELECT video_key, i, v, n FROM {name}_n UNION ALL
+  SELECT p.video_key, p.i, m.v, p.n FROM (
+      SELECT video_key, n, i, (i % (2 * n) + 2 * n) % (2 * n) AS r FROM (
+        SELECT video_key, n, unnest(list_concat(range(-15, 0), range(n, n + 15))) AS i FROM (SELECT DISTINCT video_key, n FROM {name}_n))) p
+    JOIN {name}_n m ON m.video_key = p.video_key AND m.i = CASE WHEN r < p.n THEN r ELSE 2 * p.n - 1 - r END),
 {name}_base AS (
   SELECT *, median(v) OVER (PARTITION BY video_key ORDER BY i ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS base,
     greatest(lag(v, 2) OVER w, lag(v) OVER w, lead(v) OVER w, lead(v, 2) OVER w) AS near
@@ -63,8 +67,8 @@ shots AS (
 
 
 TRACK = """track AS (
-  SELECT l_orderkey % 50 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot,
-    row_number() OVER (PARTITION BY l_orderkey % 50, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS frame,
+  SELECT l_orderkey // 400 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot,
+    row_number() OVER (PARTITION BY l_orderkey // 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS frame,
     CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_discount * 100 END AS x, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_quantity * 0.4::DOUBLE END AS y FROM lineitem)"""
 PIECES = f"""{TRACK},
 tp AS (
@@ -86,7 +90,7 @@ HITS = """hit AS (
     l_returnflag = 'A' AS overhead, l_partkey % 2 = 0 AS forehand, l_linenumber = 1 AS first_in_shot, l_suppkey % 3 > 0 AS wrist_low,
     ['low', 'high', 'head'][l_partkey % 3 + 1] AS height, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey % 4 > 1 END AS swing,
     l_quantity / 4 AS evidence, ['service', 'revers', 'smash', 'lob', 'tennis', NULL][l_suppkey % 6 + 1] AS answer
-  FROM lineitem WHERE l_linenumber <= 3),
+  FROM lineitem),
 ruled AS (
   SELECT *, CASE WHEN serve THEN 'service' WHEN overhead AND dist < 5 AND speed > 0.45 THEN 'smash' WHEN overhead AND dist >= 5 AND speed < 0.35 THEN 'bandeja'
       WHEN overhead THEN 'vibora' WHEN dist < 4.5 AND forehand THEN 'volee_cd' WHEN dist < 4.5 THEN 'volee_revers' WHEN forehand THEN 'coup_droit' ELSE 'revers' END AS stroke,
@@ -113,7 +117,7 @@ LAB = """lab AS (
     CASE WHEN lang = 'en' THEN concat('c', doc_id % 3) END AS vlm, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('c', n_chars % 2) END AS pose
   FROM documents JOIN labels USING (doc_id))"""
 SHOT = """shot AS (
-  SELECT o_custkey % 30 AS video_key, o_orderkey AS shot_id, o_orderkey * 10::DOUBLE AS "start", CAST(trunc(o_totalprice) AS BIGINT) % 600 * 1::DOUBLE AS duration,
+  SELECT o_custkey AS video_key, o_orderkey AS shot_id, o_orderkey * 10::DOUBLE AS "start", CAST(trunc(o_totalprice) AS BIGINT) % 600 * 1::DOUBLE AS duration,
     CASE WHEN o_orderstatus = 'F' THEN 'main' ELSE 'other' END AS kind, o_orderkey % 4 > 0 AS scoreboard, o_orderkey % 9 = 0 AS replay FROM orders)"""
 PALETTE = """palette(i, w, r, g, b) AS (VALUES (0, 'rouge', 200, 50, 45), (1, 'orange', 230, 110, 50), (2, 'noir', 45, 45, 50), (3, 'blanc', 225, 225, 225),
   (4, 'bleu', 40, 70, 190), (5, 'vert', 50, 150, 70), (6, 'jaune', 230, 210, 60), (7, 'rose', 230, 120, 170), (8, 'gris', 130, 130, 130), (9, 'violet', 120, 60, 160))"""
@@ -205,8 +209,8 @@ ORACLES: dict[str, str] = {
       SELECT event_id, coalesce(CASE WHEN k > 0 THEN k END, CASE WHEN value > 0 THEN value END) AS duration,
         CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'transpose=2' WHEN 2 THEN 'hflip,vflip' ELSE 'transpose=1' END AS turn FROM a""",
     "text_keys": "SELECT doc_id, concat(regexp_replace(concat(source, ' _é:', lang), '[^A-Za-z0-9.-]+', '_', 'g'), '-', substr(sha1(concat(source, ':', strlen(text), text)), 1, 12)) AS file_key FROM documents",
-    "plain_names": "SELECT doc_id, translate(upper(replace(substr(text, 1, 40), 'ß', 'ss')), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'AAAAAACEEEEIIIINOOOOOUUUUY') AS name FROM documents",
-    "frame_signals": """WITH e AS (SELECT vec_id % 4 AS video_key, vec_id AS frame, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings),
+    "plain_names": "SELECT doc_id, upper(strip_accents(upper(replace(text, 'ß', 'ss')))) AS name FROM documents",
+    "frame_signals": """WITH e AS (SELECT vec_id // 128 AS video_key, vec_id AS frame, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings),
       h AS (SELECT *, list_transform(vec, lambda x: abs(x) / t) AS hist FROM (SELECT *, list_sum(list_transform(vec, lambda x: abs(x))) AS t FROM e)),
       l AS (SELECT *, lag(hist) OVER w AS h0, lag(vec) OVER w AS v0 FROM h WINDOW w AS (PARTITION BY video_key ORDER BY frame))
       SELECT video_key, frame, round_even(coalesce(list_sum([abs(hist[i] - h0[i]) FOR i IN range(1, 65)]) / 2, 0), 6) AS dist,
@@ -239,15 +243,17 @@ ORACLES: dict[str, str] = {
         (SELECT *, count(m) OVER (PARTITION BY shot_id, slot // 2) AS c, count(*) OVER (PARTITION BY shot_id, slot // 2) AS n FROM m))
       SELECT shot_id, slot, CASE WHEN (r = 1) = (slot < 2) THEN 'right' ELSE 'left' END AS role FROM k""",
     "speed_peaks": """WITH s AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v FROM events),
-      p AS (SELECT * FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM s WINDOW w AS (PARTITION BY key ORDER BY i)) WHERE v > a AND v > b AND v >= 100),
+      f AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY i) AS level FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY key ORDER BY i) THEN 0 ELSE 1 END AS new FROM s)),
+      g AS (SELECT key, level, any_value(v) AS v, (min(i) + max(i)) // 2 AS i FROM f GROUP BY 1, 2),
+      p AS (SELECT * FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM g WINDOW w AS (PARTITION BY key ORDER BY level)) WHERE v > a AND v > b AND v >= 100),
       l AS (SELECT key, list(CAST(i AS BIGINT) ORDER BY v DESC, i DESC) AS l FROM p GROUP BY 1)
       SELECT key, unnest(list_reduce(l[2:], lambda k, c: CASE WHEN len(list_filter(k, lambda o: abs(o - c) < 4)) = 0 THEN list_append(k, c) ELSE k END, [l[1]])) AS i FROM l""",
     "hit_sequence": _viterbi(),
     "nearest_positions": f"""WITH {TRACK}, c AS (SELECT a.shot_id, a.slot, a.frame, b.x, b.y, row_number() OVER (PARTITION BY a.shot_id, a.slot, a.frame ORDER BY abs(b.frame - a.frame), b.frame) AS r
         FROM track a JOIN track b ON b.shot_id = a.shot_id AND b.slot = a.slot AND b.x IS NOT NULL WHERE a.x IS NULL)
       SELECT shot_id, slot, frame, round_even(x, 6) AS x, round_even(y, 6) AS y FROM c WHERE r = 1""",
-    "strongest_slots": """WITH s AS (SELECT l_orderkey % 50 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot, l_partkey % 300 AS frame, max(l_quantity) AS speed FROM lineitem GROUP BY 1, 2, 3),
-      c AS (SELECT o_orderkey % 50 AS shot_id, o_orderkey AS cand, (o_custkey % 80) / 8::DOUBLE AS t FROM orders WHERE o_orderkey % 10 = 0),
+    "strongest_slots": """WITH s AS (SELECT l_orderkey // 400 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot, l_partkey % 300 AS frame, max(l_quantity) AS speed FROM lineitem GROUP BY 1, 2, 3),
+      c AS (SELECT o_orderkey // 400 AS shot_id, o_orderkey AS cand, (o_custkey % 80) / 8::DOUBLE AS t FROM orders),
       j AS (SELECT c.shot_id, cand, CASE WHEN slot < 2 THEN 0 ELSE 1 END AS team, slot, frame, speed, row_number() OVER (PARTITION BY c.shot_id, cand, slot < 2 ORDER BY speed DESC, slot, frame) AS r
         FROM c JOIN s ON s.shot_id = c.shot_id AND frame BETWEEN greatest(0, trunc((t - 0.2) * 30)) AND trunc((t + 0.1) * 30))
       SELECT shot_id, cand, team, slot, frame, speed FROM j WHERE r = 1""",
@@ -301,10 +307,10 @@ ORACLES: dict[str, str] = {
         SELECT k + 1, avg(r) FILTER (NOT one), avg(g) FILTER (NOT one), avg(b) FILTER (NOT one), avg(r) FILTER (one), avg(g) FILTER (one), avg(b) FILTER (one)
         FROM (SELECT k, p.*, sqrt((r - r0) ** 2 + (g - g0) ** 2 + (b - b0) ** 2) > sqrt((r - r1) ** 2 + (g - g1) ** 2 + (b - b1) ** 2) AS one FROM c, p WHERE k < 10) GROUP BY k)
       SELECT round_even(r0, 4) AS c0_r, round_even(g0, 4) AS c0_g, round_even(b0, 4) AS c0_b, round_even(r1, 4) AS c1_r, round_even(g1, 4) AS c1_g, round_even(b1, 4) AS c1_b FROM c WHERE k = 10""",
-    "court_points": """WITH p AS (SELECT l_orderkey, l_quantity * 20 AS px, l_discount * 3000 AS py FROM lineitem WHERE l_linenumber = 1),
+    "court_points": """WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity * 20 AS px, l_discount * 3000 AS py FROM lineitem),
       q AS (SELECT *, 0.00001::DOUBLE * px + 0.0004::DOUBLE * py + 1 AS w FROM p),
       c AS (SELECT *, (0.02::DOUBLE * px + 0.001::DOUBLE * py - 3) / w AS x, (0.0005::DOUBLE * px + 0.03::DOUBLE * py - 1) / w AS y FROM q)
-      SELECT l_orderkey, round_even(x, 6) AS x, round_even(y, 6) AS y, round_even(px, 3) AS px, round_even(py, 3) AS py, x BETWEEN -0.6 AND 10.6 AND y BETWEEN -0.6 AND 20.6 AS inside FROM c""",
+      SELECT l_orderkey, l_linenumber, round_even(x, 6) AS x, round_even(y, 6) AS y, round_even(px, 3) AS px, round_even(py, 3) AS py, x BETWEEN -0.6 AND 10.6 AND y BETWEEN -0.6 AND 20.6 AS inside FROM c""",
     "label_weights": f"WITH {LAB}, n AS (SELECT truth, count(*) AS n FROM lab GROUP BY 1) SELECT truth, n, round_even((SELECT sum(n) FROM n) / n / (SELECT count(*) FROM n), 6) AS weight FROM n",
     "hit_precision": f"WITH {LAB} SELECT count(*) AS n, round_even(count(*) FILTER (truth <> 'c0') / count(*), 6) AS precision FROM lab",
     "label_references": f"""WITH {LAB} SELECT video, key, label, annotator FROM (SELECT video, key, truth AS label, CASE WHEN key % 2 = 0 THEN 'model' ELSE 'user' END AS annotator,
@@ -315,7 +321,7 @@ ORACLES: dict[str, str] = {
       p AS (SELECT DISTINCT n_name AS team, unnest(regexp_split_to_array(n_name, '[ /\\-]+')) AS part FROM nation),
       m AS (SELECT DISTINCT team, obs_id, colour FROM p JOIN s ON length(part) >= 4 AND (list_contains(string_split(name, ' '), part) OR name LIKE '%' || part))
       SELECT team, colour, count(*) AS votes FROM m GROUP BY 1, 2""",
-    "court_line_rows": """WITH s AS (SELECT l_orderkey % 20 AS video_key, CAST(l_partkey % 400 AS DOUBLE) AS row, l_quantity AS length FROM lineitem),
+    "court_line_rows": """WITH s AS (SELECT l_orderkey // 750 AS video_key, CAST(l_partkey % 400 AS DOUBLE) AS row, l_quantity AS length FROM lineitem),
       b AS (SELECT video_key, floor(row / 4) AS bin, sum(length) AS total, median(row) AS row FROM s GROUP BY 1, 2)
       SELECT video_key, row, round_even(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY round(total, 6) DESC, bin) AS r FROM b) WHERE r = 1""",
     "longest_shots": f"""WITH {SHOT} SELECT video_key, shot_id, duration, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY duration DESC, shot_id) AS r FROM shot) WHERE r <= 6""",
@@ -331,9 +337,9 @@ ORACLES: dict[str, str] = {
     "rally_sessions": """WITH g AS (SELECT user_id AS video_key, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) < 21600 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT *, sum(new) OVER (PARTITION BY video_key ORDER BY ts) AS k FROM g)
       SELECT video_key, CAST(floor(epoch(min(ts))) AS BIGINT) AS "start", CAST(floor(epoch(max(ts)) + 21600) AS BIGINT) AS "end", count(*) AS n FROM s GROUP BY video_key, k""",
-    "wrist_speeds": """WITH p AS (SELECT l_orderkey % 50 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot, row_number() OVER w AS frame, l_quantity AS lx, l_discount * 100 AS ly, l_tax * 10 AS lc,
+    "wrist_speeds": """WITH p AS (SELECT l_orderkey // 400 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot, row_number() OVER w AS frame, l_quantity AS lx, l_discount * 100 AS ly, l_tax * 10 AS lc,
         CAST(l_partkey % 97 AS DOUBLE) AS rx, CAST(l_suppkey % 53 AS DOUBLE) AS ry, l_discount * 8 AS rc, l_quantity * 4 AS height FROM lineitem
-        WINDOW w AS (PARTITION BY l_orderkey % 50, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice)),
+        WINDOW w AS (PARTITION BY l_orderkey // 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice)),
       d AS (SELECT *, coalesce(CASE WHEN lc >= 0.3 AND lag(lc) OVER w >= 0.3 AND height >= 20 THEN sqrt(pow(lx - lag(lx) OVER w, 2) + pow(ly - lag(ly) OVER w, 2)) / height END, 0) AS l,
         coalesce(CASE WHEN rc >= 0.3 AND lag(rc) OVER w >= 0.3 AND height >= 20 THEN sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w, 2)) / height END, 0) AS r
         FROM p WINDOW w AS (PARTITION BY shot_id, slot ORDER BY frame)),
@@ -346,17 +352,17 @@ ORACLES: dict[str, str] = {
       b AS (SELECT key, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, greatest(max(x) - min(x), max(y) - min(y)) * 1.1::DOUBLE AS side FROM k WHERE c > 0.3::DOUBLE GROUP BY 1 HAVING count(*) >= 3),
       f AS (SELECT key, coalesce(avg(x) FILTER (c > 0.4::DOUBLE), -1) AS foot_x, coalesce(avg(y) FILTER (c > 0.4::DOUBLE), -2) AS foot_y FROM k WHERE k >= 15 GROUP BY 1)
       SELECT key, round_even(cx, 6) AS cx, round_even(cy, 6) AS cy, round_even(side, 6) AS side, round_even(foot_x, 6) AS foot_x, round_even(foot_y, 6) AS foot_y FROM b JOIN f USING (key)""",
-    "shirt_colours": """WITH m AS (SELECT l_orderkey % 50 AS shot_id, l_linenumber % 4 AS slot, median((l_partkey * 7 % 256)::DOUBLE) AS r, median((l_suppkey * 13 % 256)::DOUBLE) AS g, median(l_quantity) AS b FROM lineitem GROUP BY 1, 2)
+    "shirt_colours": """WITH m AS (SELECT l_orderkey // 400 AS shot_id, l_linenumber % 4 AS slot, median((l_partkey * 7 % 256)::DOUBLE) AS r, median((l_suppkey * 13 % 256)::DOUBLE) AS g, median(l_quantity) AS b FROM lineitem GROUP BY 1, 2)
       SELECT shot_id, CASE WHEN slot < 2 THEN 'far' ELSE 'near' END AS side, round_even(avg(r), 6) AS r, round_even(avg(g), 6) AS g, round_even(avg(b), 6) AS b FROM m GROUP BY 1, 2""",
-    "camera_angles": """WITH e AS (SELECT vec_id % 4 AS video_key, vec_id AS frame, vec_id % 20 AS shot_id, unnest(range(64)) AS pos, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) AS v FROM embeddings),
+    "camera_angles": """WITH e AS (SELECT vec_id // 128 AS video_key, vec_id AS frame, vec_id % 20 AS shot_id, unnest(range(64)) AS pos, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) AS v FROM embeddings),
       z AS (SELECT video_key, frame, shot_id, pos, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6) AS z FROM e WINDOW w AS (PARTITION BY frame)),
       r AS (SELECT video_key, pos, median(z) AS ref FROM z GROUP BY 1, 2),
       c AS (SELECT video_key, shot_id, frame, sum(z * ref) / 64 AS corr FROM z JOIN r USING (video_key, pos) GROUP BY 1, 2, 3)
       SELECT video_key, shot_id, round_even(max(corr), 5) AS corr, max(corr) >= 0.1 AS same_angle FROM c GROUP BY 1, 2""",
-    "net_widths": """WITH s AS (SELECT l_orderkey % 30 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem),
+    "net_widths": """WITH s AS (SELECT l_orderkey // 500 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem),
       b AS (SELECT video_key, CAST(round_even((y1 + y2) / 20, 0) AS INT) AS bin, sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) AS total, max(greatest(x1, x2)) - min(least(x1, x2)) AS width FROM s GROUP BY 1, 2)
       SELECT video_key, bin, width FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY round(total, 6) DESC, bin DESC) AS r FROM b) WHERE r = 1""",
-    "row_extents": """WITH s AS (SELECT l_orderkey % 30 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem)
+    "row_extents": """WITH s AS (SELECT l_orderkey // 500 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem)
       SELECT video_key, min(least(x1, x2)) AS "left", max(greatest(x1, x2)) AS "right" FROM s WHERE abs(degrees(atan2(y2 - y1, x2 - x1))) < 4 AND abs((y1 + y2) / 2 - 250) <= 8 GROUP BY 1""",
     "sound_onsets": """WITH e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_id * 1000 + value AS value FROM events),
       r AS (SELECT key, i, greatest(0, coalesce(value - lag(value) OVER (PARTITION BY key ORDER BY i), 0)) AS rise FROM e)

@@ -125,7 +125,7 @@ def text_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def plain_names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", S.plain_name(F.substring("text", 1, 40)).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", S.plain_name("text").alias("name"))
 
 
 @query
@@ -135,14 +135,14 @@ def frame_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _motion(spark: SparkSession, sf: str) -> DataFrame:
-    """A motion series with spikes, from the events of a few users in order."""
+    """A motion series with spikes, from the events of each user in order."""
     return table(spark, sf, "events").selectExpr(
-        "user_id % 5 AS video_key", "event_id AS frame", "if(event_id % 97 = 0, 9D, value / 490D) AS motion"
+        "user_id AS video_key", "event_id AS frame", "if(event_id % 97 = 0, 9D, value / 490D) AS motion"
     )
 
 
 def _dist(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr("user_id % 5 AS video_key", "event_id AS frame", "value / 490D AS dist")
+    return table(spark, sf, "events").selectExpr("user_id AS video_key", "event_id AS frame", "value / 490D AS dist")
 
 
 @query
@@ -221,15 +221,15 @@ def nearest_positions(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def strongest_slots(spark: SparkSession, sf: str) -> DataFrame:
     speeds = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 50 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", "l_partkey % 300 AS frame", "l_quantity AS speed"
+        "l_orderkey div 400 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", "l_partkey % 300 AS frame", "l_quantity AS speed"
     ).groupBy("shot_id", "slot", "frame").agg(F.max("speed").alias("speed"))
-    cands = table(spark, sf, "orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey % 50 AS shot_id", "o_orderkey AS cand", "(o_custkey % 80) / 8D AS t")
+    cands = table(spark, sf, "orders").selectExpr("o_orderkey div 400 AS shot_id", "o_orderkey AS cand", "(o_custkey % 80) / 8D AS t")
     return decode.strongest_slot(cands, speeds, 30.0)
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     """Hits with measured columns, from lineitem."""
-    return table(spark, sf, "lineitem").where("l_linenumber <= 3").selectExpr(
+    return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS hit_id", "l_linenumber AS n", "l_quantity / 5D AS dist", "l_discount * 6D AS speed", "l_tax * 30D AS since_start",
         "l_returnflag = 'A' AS overhead", "l_partkey % 2 = 0 AS forehand", "l_linenumber = 1 AS first_in_shot", "l_suppkey % 3 > 0 AS wrist_low",
         "element_at(array('low', 'high', 'head'), cast(l_partkey % 3 AS int) + 1) AS height",
@@ -388,23 +388,23 @@ def team_votes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def court_points(spark: SparkSession, sf: str) -> DataFrame:
     h = [0.02, 0.001, -3.0, 0.0005, 0.03, -1.0, 0.00001, 0.0004, 1.0]
-    p = table(spark, sf, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey", "l_quantity * 20D AS px", "l_discount * 3000D AS py")
+    p = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity * 20D AS px", "l_discount * 3000D AS py")
     x, y = stats.to_court(F.col("px"), F.col("py"), h)
     p = p.withColumns({"x": x, "y": y})
     bx, by = stats.to_court(F.col("x"), F.col("y"), stats.inverse3(h))
     inside = F.col("x").between(-0.6, 10.6) & F.col("y").between(-0.6, 20.6)
-    return p.select("l_orderkey", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"), F.bround(bx, 3).alias("px"), F.bround(by, 3).alias("py"), inside.alias("inside"))
+    return p.select("l_orderkey", "l_linenumber", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"), F.bround(bx, 3).alias("px"), F.bround(by, 3).alias("py"), inside.alias("inside"))
 
 
 @query
 def court_line_rows(spark: SparkSession, sf: str) -> DataFrame:
-    seg = table(spark, sf, "lineitem").selectExpr("l_orderkey % 20 AS video_key", "cast(l_partkey % 400 AS double) AS row", "l_quantity AS length")
+    seg = table(spark, sf, "lineitem").selectExpr("l_orderkey div 750 AS video_key", "cast(l_partkey % 400 AS double) AS row", "l_quantity AS length")
     return stats.line_row(seg).select("video_key", "row", F.bround("total", 4).alias("total"))
 
 
 def _shots(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(
-        "o_custkey % 30 AS video_key", "o_orderkey AS shot_id", "o_orderkey * 10D AS start", "cast(o_totalprice AS bigint) % 600 * 1D AS duration",
+        "o_custkey AS video_key", "o_orderkey AS shot_id", "o_orderkey * 10D AS start", "cast(o_totalprice AS bigint) % 600 * 1D AS duration",
         "if(o_orderstatus = 'F', 'main', 'other') AS kind", "o_orderkey % 4 > 0 AS scoreboard", "o_orderkey % 9 = 0 AS replay",
     )
 
@@ -448,7 +448,7 @@ def hit_boxes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def shirt_colours(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 50 AS shot_id", "l_linenumber % 4 AS slot", "l_partkey * 7 % 256 * 1D AS r", "l_suppkey * 13 % 256 * 1D AS g", "l_quantity AS b"
+        "l_orderkey div 400 AS shot_id", "l_linenumber % 4 AS slot", "l_partkey * 7 % 256 * 1D AS r", "l_suppkey * 13 % 256 * 1D AS g", "l_quantity AS b"
     )
     return media.side_colours(media.slot_colours(p)).select("shot_id", "side", *[F.bround(c, 6).alias(c) for c in "rgb"])
 
@@ -462,7 +462,7 @@ def camera_angles(spark: SparkSession, sf: str) -> DataFrame:
 
 def _line_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 30 AS video_key", "l_quantity * 10 AS x1", "l_partkey % 500 * 1D AS y1", "l_quantity * 10 + l_suppkey % 90 + 1 AS x2", "l_partkey % 500 + l_suppkey % 4 * 1D AS y2"
+        "l_orderkey div 500 AS video_key", "l_quantity * 10 AS x1", "l_partkey % 500 * 1D AS y1", "l_quantity * 10 + l_suppkey % 90 + 1 AS x2", "l_partkey % 500 + l_suppkey % 4 * 1D AS y2"
     )
 
 
@@ -541,9 +541,9 @@ def rally_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def wrist_speeds(spark: SparkSession, sf: str) -> DataFrame:
-    key = "PARTITION BY l_orderkey % 50, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
+    key = "PARTITION BY l_orderkey div 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
     poses = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 50 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", f"cast(row_number() OVER ({key}) AS bigint) AS frame",
+        "l_orderkey div 400 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", f"cast(row_number() OVER ({key}) AS bigint) AS frame",
         "l_quantity AS lx", "l_discount * 100 AS ly", "l_tax * 10 AS lc", "cast(l_partkey % 97 AS double) AS rx", "cast(l_suppkey % 53 AS double) AS ry",
         "l_discount * 8 AS rc", "l_quantity * 4 AS height",
     )
@@ -560,7 +560,7 @@ def track_smooth(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def player_tracks(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey % 20 AS shot_id", "l_partkey % 200 AS frame", "l_discount * 100 AS x", "l_quantity * 0.4D AS y", "l_extendedprice AS conf"
+        "l_orderkey div 750 AS shot_id", "l_partkey % 200 AS frame", "l_discount * 100 AS x", "l_quantity * 0.4D AS y", "l_extendedprice AS conf"
     )
     return motion.track_players(found, 30.0)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.functions.scalars import merged_class
+
 KEY = ["video", "key"]
 
 
@@ -24,7 +26,8 @@ def labelled_hits(hits: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def unlabelled_hits(hits: DataFrame, labels: DataFrame) -> DataFrame:
-    return hits.join(labels, KEY, "left_anti")
+    """Hits that no person has labelled; a model's label leaves a hit open."""
+    return hits.join(labels.where(F.col("annotator") == "user"), KEY, "left_anti")
 
 
 def accuracy(rows: DataFrame, *answers: str) -> DataFrame:
@@ -64,10 +67,31 @@ def hit_precision(rows: DataFrame, not_hit: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), (F.count_if(F.col("truth") != not_hit) / F.count("*")).alias("precision"))
 
 
+#: Hash ranges that a class is numbered in.
+HASH_DIGITS = 3
+
+
+def numbered(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """Rows of each group numbered from 0 in the order of their keys' hashes, as ``name``.
+
+    Numbers are offsets of 4096 hash ranges and places within them, so that no
+    task holds a whole group.
+    """
+    h = F.md5(F.col("key").cast("string"))
+    cut = rows.withColumns({"h": h, "range": F.substring(h, 1, HASH_DIGITS)})
+    sizes = cut.groupBy(group, "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(group, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(group, "range").orderBy("h", "key"))
+    return cut.withColumn("place", place).join(sizes, [group, "range"]).withColumn(name, F.col("before") + F.col("place") - 1).drop("range", "place", "before")
+
+
 def folds(rows: DataFrame, k: int = 5) -> DataFrame:
-    """Stratified folds by a hash order within each class."""
-    w = Window.partitionBy("truth").orderBy(F.md5(F.col("key").cast("string")), "key")
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """Stratified folds by a hash order within each class: at most as many as the
+    least class has rows, two at least."""
+    least = rows.groupBy("truth").agg(F.count("*").alias("n")).agg(F.greatest(F.lit(2), F.least(F.lit(k), F.min("n"))).alias("k"))
+    # One row.
+    return numbered(rows, "truth", "turn").join(F.broadcast(least)).withColumn("fold", (F.col("turn") % F.col("k")).cast("int")).drop("turn", "k", "h")
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -78,28 +102,40 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return n.join(F.broadcast(total)).select("truth", "n", (F.col("all") / F.greatest("n", F.lit(1)) / F.col("classes")).alias("weight"))
 
 
-def select_for_annotation(hits: DataFrame, n: int) -> DataFrame:
+def select_for_annotation(hits: DataFrame, n: int, already: DataFrame | None = None) -> DataFrame:
     """Up to half disagreements, least certain first, then classes in turn; in hash order.
 
-    The result is a report of ``n`` rows, its limit the feature.
+    hits: ``video, key, stroke``, the labels ``stroke_pose, stroke_vlm, stroke_clf`` of each
+    method (null or empty: none) and ``clf_prob``. A disagreement is a pose label
+    that differs, as a merged class, from the model's or the classifier's.
+    Hits ``already`` labelled are left out. The result is a report of ``n`` rows,
+    its limit the feature.
     """
-    h = F.md5(F.col("key").cast("string"))
-    differs = F.coalesce(F.col("vlm") != F.col("pose"), F.lit(False))
-    t = hits.withColumns({"h": h, "differs": differs})
-    first = t.where("differs").orderBy("prob", "h", "key").limit(n // 2).withColumn("part", F.lit(0)).withColumn("turn", F.lit(0).cast("bigint"))
-    w = Window.partitionBy("pred").orderBy("h", "key")
-    rest = t.where("not differs").withColumns({"part": F.lit(1), "turn": F.row_number().over(w).cast("bigint")})
-    rest = rest.where(F.col("turn") <= n)
-    cols = ["part", "turn", "pred", "prob", "h", "key"]
+    todo = hits if already is None else hits.join(already.select(*KEY).distinct(), KEY, "left_anti")
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    other = lambda c: given(c) & ~merged_class(c).eqNullSafe(merged_class("stroke_pose"))
+    differs = given("stroke_pose") & (other("stroke_vlm") | other("stroke_clf"))
+    sure = F.when(given("stroke_clf"), F.col("clf_prob")).otherwise(1.0)
+    t = todo.withColumns({"h": F.md5(F.col("key").cast("string")), "differs": differs, "sure": sure})
+    first = t.where("differs").orderBy("sure", "h", *KEY).limit(n // 2).withColumn("part", F.lit(0)).withColumn("turn", F.lit(0))
+    # Spark keeps the first n of each class in every task before the shuffle.
+    turn = F.row_number().over(Window.partitionBy("stroke").orderBy("h", *KEY))
+    rest = t.where("not differs").withColumns({"part": F.lit(1), "turn": turn}).where(F.col("turn") <= n)
+    cols = ["part", "turn", "stroke", "sure", "h", *KEY]
     both = first.select(*cols).unionByName(rest.select(*cols))
-    order = [F.col("part"), F.when(F.col("part") == 0, F.col("prob")), F.col("turn"), F.when(F.col("part") == 1, F.col("pred")), "h", "key"]
-    return both.orderBy(*order).limit(n).select("part", "pred", "key")
+    order = [F.col("part"), F.when(F.col("part") == 0, F.col("sure")), F.col("turn"), F.when(F.col("part") == 1, F.col("stroke")), "h", *KEY]
+    return both.orderBy(*order).limit(n).select("part", "stroke", *KEY)
+
+
+#: Labels that are no stroke to be shown as an example.
+NO_REFERENCE = ("incertain", "pas_une_frappe", "bandeja_ou_vibora")
 
 
 def references(labels: DataFrame) -> DataFrame:
     """One labelled hit for each stroke; people's labels before others."""
-    w = Window.partitionBy("label").orderBy(F.when(F.col("annotator") == "user", 0).otherwise(1), "video", "key")
-    return labels.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    rank = F.when(F.col("annotator") == "user", 0).otherwise(1)
+    first = labels.where(~F.col("label").isin(*NO_REFERENCE)).groupBy("label").agg(F.min(F.struct(rank.alias("rank"), *KEY, "annotator")).alias("m"))
+    return first.select("label", "m.video", "m.key", "m.annotator")
 
 
 def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -145,22 +181,31 @@ def predict_mlp(model: dict, x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def cross_validate(samples: DataFrame, classes: list[str], k: int = 5) -> DataFrame:
+#: Labelled rows that a classifier is fitted on, at most; people make them one by one.
+MAX_LABELLED = 50_000
+
+
+def cross_validate(samples: DataFrame, classes: list[str], k: int = 5, most: int = MAX_LABELLED) -> DataFrame:
     """Out-of-fold predictions of the classifier: one group of tasks for each fold.
 
     ``samples``: key, truth, features, fold. Each fold trains on all others, so
-    a fold's task holds the labelled rows, which people made one by one.
+    a fold's task holds the labelled rows, at most ``most`` of them in hash order.
     """
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # The fit sums in the order of its rows.
+        pdf = pdf.sort_values("key", ignore_index=True)
         test = pdf["fold"] == pdf["part"]
+        if test.all() or not test.any():
+            return pd.DataFrame({"key": [], "truth": [], "pred": [], "prob": []})
         x = np.stack(pdf["features"].to_numpy())
         y = pdf["truth"].map(classes.index).to_numpy()
         model = fit_mlp(x[~test], y[~test], len(classes))
         prob = predict_mlp(model, x[test])
         return pd.DataFrame({"key": pdf["key"][test], "truth": pdf["truth"][test], "pred": [classes[i] for i in prob.argmax(1)], "prob": prob.max(1)})
 
-    parts = samples.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    bounded = samples.orderBy(F.md5(F.col("key").cast("string")), "key").limit(most)
+    parts = bounded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     return parts.groupBy("part").applyInPandas(run, "key long, truth string, pred string, prob double")
 
 

@@ -36,23 +36,31 @@ def side_colours(slots: DataFrame) -> DataFrame:
     return slots.groupBy("shot_id", side.alias("side")).agg(*[F.avg(c).alias(c) for c in "rgb"])
 
 
-def reference_signature(frames: DataFrame, least: float = 0.6) -> DataFrame:
-    """Shots by their likeness to the median picture of their video.
-
-    frames: ``video_key, shot_id, vec``. Pictures are standardized; the
-    reference is the element-wise median; likeness is the largest mean product.
+def reference_signature(frames: DataFrame, shots: DataFrame, least: float = 0.6, longest: int = 8) -> DataFrame:
+    """Main-camera shots by their likeness to the reference picture of their video: ``corr, kind``.
+
+    frames: ``video_key, shot_id, k, vec`` (key frames of a shot, from 0); shots:
+    ``video_key, shot_id, duration, kind``. Pictures are standardized; the
+    reference is the element-wise median of the second key frames of the
+    longest main shots, of two at least; likeness is the largest mean product
+    of a shot's key frames, and shots under ``least`` are another angle.
     """
     n = F.size("vec")
     mean = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / n
     var = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x - F.col("m")) ** 2) / n
     z = frames.withColumn("m", mean).withColumn("s", F.sqrt(var) + 1e-6)
-    z = z.withColumn("z", F.transform("vec", lambda x: (x - F.col("m")) / F.col("s")))
-    med = z.select("video_key", F.posexplode("z").alias("pos", "v")).groupBy("video_key", "pos").agg(F.median("v").alias("v"))
-    ref = med.groupBy("video_key").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("r"))
-    ref = ref.select("video_key", F.transform("r", lambda p: p["v"]).alias("ref"))
+    z = z.select("video_key", "shot_id", "k", F.transform("vec", lambda x: (x - F.col("m")) / F.col("s")).alias("z"))
+    main = shots.where("kind = 'main'").select("video_key", "shot_id", "duration")
+    rank = F.row_number().over(Window.partitionBy("video_key").orderBy(F.desc("duration"), "shot_id"))
+    best = main.withColumn("rank", rank).where(F.col("rank") <= longest).select("video_key", "shot_id")
+    # At most ``longest`` pictures of a video come together.
+    seen = z.where("k = 1").join(best, ["video_key", "shot_id"]).groupBy("video_key").agg(F.collect_list("z").alias("zs")).where("size(zs) > 1")
+    middle = "(x -> if(size(x) % 2 = 1, x[size(x) div 2], (x[size(x) div 2 - 1] + x[size(x) div 2]) / 2))"
+    ref = seen.select("video_key", F.expr(f"transform(transform(sequence(0, size(zs[0]) - 1), p -> array_sort(transform(zs, z -> z[p]))), {middle})").alias("ref"))
     dot = F.aggregate(F.zip_with("z", "ref", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.size("z")
-    best = z.join(ref, "video_key").groupBy("video_key", "shot_id").agg(F.max(dot).alias("corr"))
-    return best.withColumn("same_angle", F.col("corr") >= least)
+    own = z.join(main, ["video_key", "shot_id"]).join(ref, "video_key")
+    out = own.groupBy("video_key", "shot_id").agg(F.max(dot).alias("corr"))
+    return out.withColumn("kind", F.when(F.col("corr") >= least, "main").otherwise("other_angle"))
 
 
 def line_width(segments: DataFrame) -> DataFrame:

@@ -7,37 +7,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.operators.series import median5, track_pieces
 
-def savgol(values: np.ndarray, window: int, order: int = 2) -> np.ndarray:
-    """Least-squares smoothing; the ends take the value of the first and last fit."""
-    half = window // 2
-    at = np.arange(-half, half + 1)
-    design = np.vander(at, order + 1, increasing=True)
-    fit = np.linalg.pinv(design)
-    out = np.convolve(values, fit[0][::-1], mode="same")
-    ends = np.vander(at, order + 1, increasing=True)
-    out[:half] = (ends @ (fit @ values[:window]))[:half]
-    out[-half:] = (ends @ (fit @ values[-window:]))[-half:]
-    return out
+
+def _smoothed(c: str) -> str:
+    """Least-squares parabola of an array, at each place over the ``w`` places around it.
+
+    Near the ends it is that of the first and last ``w`` places. With places -h .. h
+    the normal equations have a closed form.
+    """
+    at = "aggregate(sequence(0, w - 1), 0D, (s, j) -> s + {p} * {c}[m - h + j])"
+    s0, s1, s2 = (at.format(p=p, c=c) for p in ("1D", "(j - h)", "(j - h) * (j - h)"))
+    value = (
+        f"transform(array(named_struct('m', m, 's0', {s0}, 's1', {s1}, 's2', {s2})), t ->"
+        " (q4 * t.s0 - q2 * t.s2 + (w * t.s2 - q2 * t.s0) * (i - m) * (i - m)) / (w * q4 - q2 * q2) + t.s1 / q2 * (i - m))[0]"
+    )
+    return f"transform(sequence(0, n - 1), i -> transform(array(least(greatest(i, h), n - 1 - h)), m -> {value})[0])"
 
 
 def smooth_pieces(pieces: DataFrame) -> DataFrame:
     """Least-squares smoothing of each piece of nine frames or more (after ``median5``).
 
-    A piece belongs to one shot, which bounds a group at minutes of frames.
+    Windows of 15 frames, or the greatest odd number under the piece's length.
+    One array for each piece, which belongs to one shot: minutes of frames.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        n = len(pdf)
-        if n >= 9:
-            window = min(15, n // 2 * 2 - 1)
-            pdf = pdf.assign(x=savgol(pdf["x"].to_numpy(), window), y=savgol(pdf["y"].to_numpy(), window))
-        return pdf[["shot_id", "slot", "piece", "frame", "x", "y"]]
-
-    return pieces.groupBy("shot_id", "slot", "piece").applyInPandas(
-        run, "shot_id long, slot int, piece int, frame long, x double, y double"
-    )
+    key = ["shot_id", "slot", "piece"]
+    rows = pieces.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y"))).alias("r"))
+    rows = rows.select(*key, "r.frame", "r.x", "r.y", F.size("r").alias("n"))
+    rows = rows.withColumn("w", F.least(F.lit(15), F.floor(F.col("n") / 2).cast("int") * 2 - 1)).withColumn("h", ((F.col("w") - 1) / 2).cast("int"))
+    rows = rows.withColumn("q2", F.expr("h * (h + 1D) * (2 * h + 1) / 3")).withColumn("q4", F.expr("q2 * (3D * h * h + 3 * h - 1) / 5"))
+    rows = rows.withColumns({f"s{c}": F.when(F.col("n") >= 9, F.expr(_smoothed(c))).otherwise(F.col(c)) for c in ("x", "y")})
+    out = rows.select(*key, F.explode(F.arrays_zip("frame", F.col("sx").alias("x"), F.col("sy").alias("y"))).alias("p"))
+    return out.select(*key, "p.frame", "p.x", "p.y")
+
+
+def smooth_tracks(tracks: DataFrame, max_gap: int = 15) -> DataFrame:
+    """Tracks as pieces with gaps filled, their median of five, smoothed."""
+    return smooth_pieces(median5(track_pieces(tracks, max_gap)))
 
 
 def wrist_speed(poses: DataFrame) -> DataFrame:

@@ -36,11 +36,15 @@ def player_stats(pieces: DataFrame, fps: float) -> DataFrame:
 
 
 def heatmap(pieces: DataFrame, bins: int = 20, size: float = 10.0, every: int = 3) -> DataFrame:
-    """Counts on a square grid of every third position of a piece; the last bin is closed."""
+    """Counts on a square grid of every third position of a piece; the last bin is closed.
+
+    Positions are rounded to the micrometre, so that one on a grid line is in one
+    bin however its sum was rounded.
+    """
     w = Window.partitionBy("shot_id", "slot", "piece").orderBy("frame")
     lateral, depth = own_half("x", "y", F.expr(FAR))
     p = pieces.withColumn("k", F.row_number().over(w) - 1).where(F.col("k") % every == 0)
-    p = p.select("slot", lateral.alias("a"), depth.alias("b")).where(f"a BETWEEN 0 AND {size} AND b BETWEEN 0 AND {size}")
+    p = p.select("slot", F.bround(lateral, 6).alias("a"), F.bround(depth, 6).alias("b")).where(f"a BETWEEN 0 AND {size} AND b BETWEEN 0 AND {size}")
     cell = lambda c: F.least(F.lit(bins - 1), F.floor(F.col(c) * bins / size)).cast("int")
     return p.groupBy("slot", cell("a").alias("bin_x"), cell("b").alias("bin_y")).agg(F.count("*").alias("n"))
 

@@ -85,6 +85,23 @@ pieces AS (
   SELECT shot_id, slot, frame, x, y, CAST(sum(new) OVER (PARTITION BY shot_id, slot ORDER BY frame) AS INT) AS piece
   FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY shot_id, slot ORDER BY frame) > 1 THEN 1
       WHEN lag(frame) OVER (PARTITION BY shot_id, slot ORDER BY frame) IS NULL THEN 1 ELSE 0 END AS new FROM tf))"""
+def _smoothed(c: str) -> str:
+    """A parabola's value at each place, from the explicit weights of its least-squares fit."""
+    return f"""list_transform(range(n), lambda i: list_sum(list_transform(range(w), lambda j: {c}[greatest(h, least(i, n - 1 - h)) - h + j + 1] * (
+      (q4 - q2 * pow(j - h, 2)) / (w * q4 - q2 * q2) + (j - h) * (i - greatest(h, least(i, n - 1 - h))) / q2
+      + (w * pow(j - h, 2) - q2) * pow(i - greatest(h, least(i, n - 1 - h)), 2) / (w * q4 - q2 * q2)))))"""
+
+
+SMOOTH = f"""{PIECES},
+med AS (SELECT *, count(*) OVER (PARTITION BY shot_id, slot, piece) AS n,
+    list_sort([coalesce(lag(x, 2) OVER w, 0), coalesce(lag(x) OVER w, 0), x, coalesce(lead(x) OVER w, 0), coalesce(lead(x, 2) OVER w, 0)])[3] AS mx,
+    list_sort([coalesce(lag(y, 2) OVER w, 0), coalesce(lag(y) OVER w, 0), y, coalesce(lead(y) OVER w, 0), coalesce(lead(y, 2) OVER w, 0)])[3] AS my
+  FROM pieces WINDOW w AS (PARTITION BY shot_id, slot, piece ORDER BY frame)),
+arr AS (SELECT shot_id, slot, piece, any_value(n) AS n, list(frame ORDER BY frame) AS f, list(CASE WHEN n >= 9 THEN mx ELSE x END ORDER BY frame) AS xs,
+    list(CASE WHEN n >= 9 THEN my ELSE y END ORDER BY frame) AS ys, least(15, any_value(n) // 2 * 2 - 1) AS w FROM med GROUP BY 1, 2, 3),
+fit AS (SELECT *, h * (h + 1) * (2 * h + 1) / 3 AS q2, h * (h + 1) * (2 * h + 1) / 3 * (3 * h * h + 3 * h - 1) / 5 AS q4 FROM (SELECT *, (w - 1) // 2 AS h FROM arr)),
+smooth AS (SELECT shot_id, slot, piece, unnest(f) AS frame, unnest(CASE WHEN n >= 9 THEN {_smoothed("xs")} ELSE xs END) AS x,
+    unnest(CASE WHEN n >= 9 THEN {_smoothed("ys")} ELSE ys END) AS y FROM fit)"""
 HITS = """hit AS (
   SELECT l_orderkey AS hit_id, l_linenumber AS n, l_quantity / 5 AS dist, l_discount * 6 AS speed, l_tax * 30 AS since_start,
     l_returnflag = 'A' AS overhead, l_partkey % 2 = 0 AS forehand, l_linenumber = 1 AS first_in_shot, l_suppkey % 3 > 0 AS wrist_low,
@@ -227,14 +244,15 @@ ORACLES: dict[str, str] = {
         list_sort([coalesce(lag(y, 2) OVER w, 0), coalesce(lag(y) OVER w, 0), y, coalesce(lead(y) OVER w, 0), coalesce(lead(y, 2) OVER w, 0)])[3] AS my
         FROM pieces WINDOW w AS (PARTITION BY shot_id, slot, piece ORDER BY frame))
       SELECT shot_id, slot, frame, round_even(CASE WHEN n >= 9 THEN mx ELSE x END, 6) AS x, round_even(CASE WHEN n >= 9 THEN my ELSE y END, 6) AS y FROM m""",
-    "player_stats": f"""WITH {PIECES}, s AS (SELECT slot, abs(y - 10) AS depth,
-        sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM pieces WINDOW w AS (PARTITION BY shot_id, slot, piece ORDER BY frame)),
+    "track_smooth": f"WITH {SMOOTH} SELECT shot_id, slot, frame, round_even(x, 6) AS x, round_even(y, 6) AS y FROM smooth",
+    "player_stats": f"""WITH {SMOOTH}, s AS (SELECT slot, abs(y - 10) AS depth,
+        sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM smooth WINDOW w AS (PARTITION BY shot_id, slot, piece ORDER BY frame)),
       a AS (SELECT slot, count(*) AS frames, coalesce(sum(d), 0) AS d, count(*) FILTER (depth < 4) AS net, count(*) FILTER (depth >= 4 AND depth < 6.95) AS mid,
         count(*) FILTER (depth >= 6.95) AS back FROM s GROUP BY 1)
       SELECT slot, frames, round_even(frames / 30, 1) AS seconds, round_even(d, 1) AS distance_m, round_even(d / greatest(frames / 30, 1e-6), 2) AS speed_m_s,
         round_even(net / frames, 3) AS net_share, round_even(mid / frames, 3) AS transition_share, round_even(back / frames, 3) AS back_share FROM a""",
-    "player_heatmap": f"""WITH {PIECES}, p AS (SELECT *, row_number() OVER (PARTITION BY shot_id, slot, piece ORDER BY frame) - 1 AS k FROM pieces),
-      q AS (SELECT slot, CASE WHEN slot < 2 THEN 10 - x ELSE x END AS a, abs(y - 10) AS b FROM p WHERE k % 3 = 0)
+    "player_heatmap": f"""WITH {SMOOTH}, p AS (SELECT *, row_number() OVER (PARTITION BY shot_id, slot, piece ORDER BY frame) - 1 AS k FROM smooth),
+      q AS (SELECT slot, round_even(CASE WHEN slot < 2 THEN 10 - x ELSE x END, 6) AS a, round_even(abs(y - 10), 6) AS b FROM p WHERE k % 3 = 0)
       SELECT slot, CAST(least(19, floor(a * 20 / 10)) AS INT) AS bin_x, CAST(least(19, floor(b * 20 / 10)) AS INT) AS bin_y, count(*) AS n
       FROM q WHERE a BETWEEN 0 AND 10 AND b BETWEEN 0 AND 10 GROUP BY 1, 2, 3""",
     "slot_presence": f"WITH {TRACK} SELECT shot_id, slot, round_even(avg(CASE WHEN x IS NULL THEN 0 ELSE 1 END), 6) AS presence FROM track GROUP BY 1, 2",
@@ -284,7 +302,7 @@ ORACLES: dict[str, str] = {
     "label_upsert": """WITH s AS (SELECT source AS video, doc_id AS key, lang AS label FROM documents WHERE doc_id % 3 <> 0),
       f AS (SELECT source AS video, doc_id AS key, 'en' AS label FROM documents WHERE doc_id % 8 = 0)
       SELECT video, key, coalesce(f.label, s.label) AS label FROM s FULL JOIN f USING (video, key)""",
-    "labels_open": "SELECT source AS video, count(*) AS n, max(doc_id) AS last FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
+    "labels_open": "SELECT source AS video, count(*) AS n, max(doc_id) AS last FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 3 <> 0) GROUP BY 1",
     "label_accuracy": f"""WITH {LAB} SELECT answer, count(v) AS n, round_even(coalesce(avg(CASE WHEN v IS NULL THEN NULL WHEN v = truth THEN 1 ELSE 0 END), 0), 6) AS accuracy
       FROM (SELECT truth, 'pred' AS answer, pred AS v FROM lab UNION ALL SELECT truth, 'vlm', vlm FROM lab UNION ALL SELECT truth, 'pose', pose FROM lab) GROUP BY 1""",
     "label_confusion": f"""WITH {LAB}, c(k) AS (VALUES ('c0'), ('c1'), ('c2'))
@@ -295,11 +313,17 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (truth <> 'c0' AND pred = 'c0') AS real_lost, count(*) FILTER (truth <> 'c0') AS real_hits,
         round_even(avg(CASE WHEN truth <> 'c0' THEN CASE WHEN pred = truth THEN 1 ELSE 0 END END), 6) AS stroke_accuracy
       FROM b GROUP BY ROLLUP (video) HAVING count(*) > 0""",
-    "label_folds": f"WITH {LAB} SELECT key, CAST((row_number() OVER (PARTITION BY truth ORDER BY md5(CAST(key AS VARCHAR)), key) - 1) % 5 AS INT) AS fold FROM lab",
-    "label_selection": f"""WITH {LAB}, t AS (SELECT *, key % 17 / 17 AS prob, md5(CAST(key AS VARCHAR)) AS h, coalesce(vlm <> pose, FALSE) AS differs FROM lab),
-      f AS (SELECT 0 AS part, row_number() OVER (ORDER BY prob, h, key) AS turn, pred, key, h FROM t WHERE differs QUALIFY turn <= 20),
-      r AS (SELECT 1 AS part, row_number() OVER (PARTITION BY pred ORDER BY h, key) AS turn, pred, key, h FROM t WHERE NOT differs)
-      SELECT CAST(part AS INT) AS part, pred, key FROM (SELECT * FROM f UNION ALL SELECT * FROM r) ORDER BY part, turn, pred, h, key LIMIT 40""",
+    "label_folds": f"""WITH {LAB}, k AS (SELECT greatest(2, least(5, min(n))) AS k FROM (SELECT count(*) AS n FROM lab GROUP BY truth))
+      SELECT key, CAST((row_number() OVER (PARTITION BY truth ORDER BY md5(CAST(key AS VARCHAR)), key) - 1) % k AS INT) AS fold FROM lab, k""",
+    "label_selection": f"""WITH {LAB}, a AS (SELECT video, key, pred AS stroke, key % 17 / 17 AS prob, md5(CAST(key AS VARCHAR)) AS h, {", ".join(
+        f"['bandeja', 'vibora', 'lob', 'smash', '', 'incertain'][{x} % 6 + 1] AS {c}" for c, x in (("pose", "key"), ("vlm", "(key // 6)"), ("clf", "(key // 36)")))}
+        FROM lab WHERE key % 11 <> 0),
+      m AS (SELECT *, {", ".join(f"CASE {c} WHEN 'bandeja' THEN 'bv' WHEN 'vibora' THEN 'bv' WHEN 'incertain' THEN NULL ELSE {c} END AS m_{c}" for c in ("pose", "vlm", "clf"))} FROM a),
+      t AS (SELECT *, CASE WHEN clf <> '' THEN prob ELSE 1 END AS sure,
+        pose <> '' AND ((vlm <> '' AND m_vlm IS DISTINCT FROM m_pose) OR (clf <> '' AND m_clf IS DISTINCT FROM m_pose)) AS differs FROM m),
+      f AS (SELECT 0 AS part, row_number() OVER (ORDER BY sure, h, video, key) AS turn, stroke, video, key, h FROM t WHERE differs QUALIFY turn <= 20),
+      r AS (SELECT 1 AS part, row_number() OVER (PARTITION BY stroke ORDER BY h, video, key) AS turn, stroke, video, key, h FROM t WHERE NOT differs)
+      SELECT CAST(part AS INT) AS part, stroke, video, key FROM (SELECT * FROM f UNION ALL SELECT * FROM r) ORDER BY part, turn, stroke, h, video, key LIMIT 40""",
     "colour_clusters": """WITH RECURSIVE p AS (SELECT CAST(p_partkey * 7 % 256 AS DOUBLE) AS r, CAST(p_partkey * 13 % 256 AS DOUBLE) AS g, CAST(p_size * 5 AS DOUBLE) AS b FROM part),
       lo AS (SELECT * FROM p ORDER BY r + g + b, r, g, b LIMIT 1), hi AS (SELECT * FROM p ORDER BY r + g + b DESC, r DESC, g DESC, b DESC LIMIT 1),
       c AS (SELECT 0 AS k, lo.r AS r0, lo.g AS g0, lo.b AS b0, hi.r AS r1, hi.g AS g1, hi.b AS b1 FROM lo, hi
@@ -313,8 +337,8 @@ ORACLES: dict[str, str] = {
       SELECT l_orderkey, l_linenumber, round_even(x, 6) AS x, round_even(y, 6) AS y, round_even(px, 3) AS px, round_even(py, 3) AS py, x BETWEEN -0.6 AND 10.6 AND y BETWEEN -0.6 AND 20.6 AS inside FROM c""",
     "label_weights": f"WITH {LAB}, n AS (SELECT truth, count(*) AS n FROM lab GROUP BY 1) SELECT truth, n, round_even((SELECT sum(n) FROM n) / n / (SELECT count(*) FROM n), 6) AS weight FROM n",
     "hit_precision": f"WITH {LAB} SELECT count(*) AS n, round_even(count(*) FILTER (truth <> 'c0') / count(*), 6) AS precision FROM lab",
-    "label_references": f"""WITH {LAB} SELECT video, key, label, annotator FROM (SELECT video, key, truth AS label, CASE WHEN key % 2 = 0 THEN 'model' ELSE 'user' END AS annotator,
-        row_number() OVER (PARTITION BY truth ORDER BY key % 2 DESC, video, key) AS r FROM lab) WHERE r = 1""",
+    "label_references": f"""WITH {LAB}, l AS (SELECT video, key, ['incertain', 'pas_une_frappe', 'lob', 'smash', 'service'][key % 5 + 1] AS label, CASE WHEN key % 2 = 0 THEN 'model' ELSE 'user' END AS annotator FROM lab)
+      SELECT label, video, key, annotator FROM l WHERE label NOT IN ('incertain', 'pas_une_frappe') QUALIFY row_number() OVER (PARTITION BY label ORDER BY annotator DESC, video, key) = 1""",
     "colour_words": f"""WITH {PALETTE}, p AS (SELECT p_partkey, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS b FROM part)
       SELECT p_partkey, w AS colour FROM (SELECT p_partkey, w, row_number() OVER (PARTITION BY p_partkey ORDER BY (p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2, c.i) AS k FROM p, palette c) WHERE k = 1""",
     "team_votes": """WITH s AS (SELECT n_nationkey AS obs_id, CASE WHEN n_nationkey % 2 = 0 THEN concat('X ', n_name) ELSE concat('DE', n_name) END AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'rouge' ELSE 'bleu' END AS colour FROM nation),
@@ -354,11 +378,13 @@ ORACLES: dict[str, str] = {
       SELECT key, round_even(cx, 6) AS cx, round_even(cy, 6) AS cy, round_even(side, 6) AS side, round_even(foot_x, 6) AS foot_x, round_even(foot_y, 6) AS foot_y FROM b JOIN f USING (key)""",
     "shirt_colours": """WITH m AS (SELECT l_orderkey // 400 AS shot_id, l_linenumber % 4 AS slot, median((l_partkey * 7 % 256)::DOUBLE) AS r, median((l_suppkey * 13 % 256)::DOUBLE) AS g, median(l_quantity) AS b FROM lineitem GROUP BY 1, 2)
       SELECT shot_id, CASE WHEN slot < 2 THEN 'far' ELSE 'near' END AS side, round_even(avg(r), 6) AS r, round_even(avg(g), 6) AS g, round_even(avg(b), 6) AS b FROM m GROUP BY 1, 2""",
-    "camera_angles": """WITH e AS (SELECT vec_id // 128 AS video_key, vec_id AS frame, vec_id % 20 AS shot_id, unnest(range(64)) AS pos, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) AS v FROM embeddings),
-      z AS (SELECT video_key, frame, shot_id, pos, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6) AS z FROM e WINDOW w AS (PARTITION BY frame)),
-      r AS (SELECT video_key, pos, median(z) AS ref FROM z GROUP BY 1, 2),
-      c AS (SELECT video_key, shot_id, frame, sum(z * ref) / 64 AS corr FROM z JOIN r USING (video_key, pos) GROUP BY 1, 2, 3)
-      SELECT video_key, shot_id, round_even(max(corr), 5) AS corr, max(corr) >= 0.1 AS same_angle FROM c GROUP BY 1, 2""",
+    "camera_angles": """WITH e AS (SELECT vec_id // 128 AS video_key, vec_id // 4 AS shot_id, vec_id % 4 AS k, unnest(range(64)) AS pos, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) AS v FROM embeddings),
+      s AS (SELECT DISTINCT vec_id // 128 AS video_key, vec_id // 4 AS shot_id, vec_id // 4 * 7 % 13 * 1.5 AS duration, CASE WHEN vec_id // 4 % 3 > 0 THEN 'main' ELSE 'other' END AS kind FROM embeddings),
+      z AS (SELECT video_key, shot_id, k, pos, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6) AS z FROM e WINDOW w AS (PARTITION BY shot_id, k)),
+      b AS (SELECT video_key, shot_id FROM s WHERE kind = 'main' QUALIFY row_number() OVER (PARTITION BY video_key ORDER BY duration DESC, shot_id) <= 8),
+      r AS (SELECT video_key, pos, median(z) AS ref FROM z JOIN b USING (video_key, shot_id) WHERE k = 1 GROUP BY 1, 2 HAVING count(*) >= 2),
+      c AS (SELECT video_key, shot_id, k, sum(z * ref) / 64 AS corr FROM z JOIN r USING (video_key, pos) JOIN s USING (video_key, shot_id) WHERE kind = 'main' GROUP BY 1, 2, 3)
+      SELECT video_key, shot_id, round_even(max(corr), 5) AS corr, CASE WHEN max(corr) >= 0.2 THEN 'main' ELSE 'other_angle' END AS kind FROM c GROUP BY 1, 2""",
     "net_widths": """WITH s AS (SELECT l_orderkey // 500 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem),
       b AS (SELECT video_key, CAST(round_even((y1 + y2) / 20, 0) AS INT) AS bin, sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) AS total, max(greatest(x1, x2)) - min(least(x1, x2)) AS width FROM s GROUP BY 1, 2)
       SELECT video_key, bin, width FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY round(total, 6) DESC, bin DESC) AS r FROM b) WHERE r = 1""",

@@ -182,12 +182,12 @@ def track_median(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def player_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.player_stats(series.track_pieces(A.tracks(spark, sf), 3), 30.0)
+    return stats.player_stats(motion.smooth_tracks(A.tracks(spark, sf), 3), 30.0)
 
 
 @query
 def player_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.heatmap(series.track_pieces(A.tracks(spark, sf), 3))
+    return stats.heatmap(motion.smooth_tracks(A.tracks(spark, sf), 3))
 
 
 @query
@@ -316,7 +316,7 @@ def label_upsert(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def labels_open(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").selectExpr("source AS video", "doc_id AS key")
-    labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").selectExpr("source AS video", "doc_id AS key", "'c' AS label")
+    labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").selectExpr("source AS video", "doc_id AS key", "'c' AS label", "if(doc_id % 3 = 0, 'model', 'user') AS annotator")
     return learning.unlabelled_hits(d, labels).groupBy("video").agg(F.count("*").alias("n"), F.max("key").alias("last"))
 
 
@@ -353,13 +353,17 @@ def hit_precision(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def label_selection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.labelled(spark, sf).withColumn("prob", F.col("key") % 17 / 17)
-    return learning.select_for_annotation(rows, 40)
+    names = "element_at(array('bandeja', 'vibora', 'lob', 'smash', '', 'incertain'), cast({} % 6 AS int) + 1)"
+    rows = A.labelled(spark, sf).selectExpr(
+        "video", "key", "pred AS stroke", "key % 17 / 17 AS clf_prob",
+        *[f"{names.format(x)} AS stroke_{c}" for c, x in (("pose", "key"), ("vlm", "(key div 6)"), ("clf", "(key div 36)"))],
+    )
+    return learning.select_for_annotation(rows, 40, rows.where("key % 11 = 0"))
 
 
 @query
 def label_references(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.labelled(spark, sf).selectExpr("video", "key", "truth AS label", "if(key % 2 = 0, 'model', 'user') AS annotator")
+    rows = A.labelled(spark, sf).selectExpr("video", "key", "element_at(array('incertain', 'pas_une_frappe', 'lob', 'smash', 'service'), cast(key % 5 AS int) + 1) AS label", "if(key % 2 = 0, 'model', 'user') AS annotator")
     return learning.references(rows)
 
 
@@ -455,8 +459,11 @@ def shirt_colours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def camera_angles(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.signals(spark, sf).selectExpr("video_key", "frame % 20 AS shot_id", "vec")
-    out = media.reference_signature(f, 0.1)
+    f = A.signals(spark, sf).selectExpr("video_key", "frame div 4 AS shot_id", "cast(frame % 4 AS int) AS k", "vec")
+    shots = f.select("video_key", "shot_id").distinct().selectExpr(
+        "video_key", "shot_id", "shot_id * 7 % 13 * 1.5D AS duration", "if(shot_id % 3 > 0, 'main', 'other') AS kind"
+    )
+    out = media.reference_signature(f, shots, 0.2)
     return out.withColumn("corr", F.bround("corr", 5))
 
 
@@ -553,7 +560,7 @@ def wrist_speeds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def track_smooth(spark: SparkSession, sf: str) -> DataFrame:
-    out = motion.smooth_pieces(series.median5(series.track_pieces(A.tracks(spark, sf), 3)))
+    out = motion.smooth_tracks(A.tracks(spark, sf), 3)
     return out.select("shot_id", "slot", "frame", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
 
 

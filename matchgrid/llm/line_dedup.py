@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_keyed, materialize
 from .components import connected_components
 
 MIN_LINE_CHARS = 16
@@ -67,6 +67,7 @@ WORDS = Unit(
     "words", MIN_LINE_WORDS, "split(line, ' ')", "size({x})", "slice({x}, 1, {a})", "slice({x}, {a}, size({x}))",
     "slice({x}, {a} + 1, greatest({b} - {a}, 0))",
 )
+UNITS = (CHARACTERS, WORDS)
 
 
 def _row_key(docs: DataFrame) -> DataFrame:
@@ -86,23 +87,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def _key(unit: Unit) -> Column:
+def _key(unit: Unit, line: str = "line", n: str = "n", lo: str = "lo", hi: str = "hi", longer: str = "longer") -> str:
     """Index key of a line whose edit may lie in [lo, hi) of the shorter line."""
-    before, behind = unit.head.format(x="line", a="lo"), unit.tail.format(x="line", a="(hi + longer + 1)")
-    return F.expr(f"xxhash64(n, lo, hi, {before}, {behind})")
-
-
-def _first_keys(lines: DataFrame, unit: Unit) -> DataFrame:
-    """Two segments of each line, by its own length and as the longer partner."""
-    sized = lines.select("id", F.expr(unit.line).alias("line")).withColumn("size", F.expr(unit.length.format(x="line")))
-    sized = sized.where(F.col("size") >= unit.least).select("id", "line", "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("longer"))
-    sized = sized.withColumn("n", F.col("size") - F.col("longer"))
-    half = F.floor(F.col("n") / 2).cast("int")
-    # An insertion may also lie behind the last unit.
-    ranges = F.array(
-        F.struct(F.lit(0).alias("lo"), half.alias("hi")), F.struct(half.alias("lo"), F.col("n").alias("hi"))
-    )
-    return sized.select("id", "line", "longer", "n", F.inline(ranges)).withColumn("key", _key(unit))
+    before, behind = unit.head.format(x=line, a=lo), unit.tail.format(x=line, a=f"({hi} + {longer} + 1)")
+    return f"xxhash64('{unit.name}', cast({n} AS int), cast({lo} AS int), cast({hi} AS int), {before}, {behind})"
+
+
+def _first_keys(lines: DataFrame) -> DataFrame:
+    """``id, line`` with ``unit, longer, n, lo, hi, key``: two segments of each line, by
+    its own length and as the longer partner, in either unit."""
+    sized = lines
+    for u in UNITS:
+        sized = sized.withColumn(u.name, F.expr(u.line)).withColumn(f"n_{u.name}", F.expr(u.length.format(x=u.name)))
+    entries = []
+    for u in UNITS:
+        for longer in (0, 1):
+            n, half = f"(n_{u.name} - {longer})", f"((n_{u.name} - {longer}) div 2)"
+            # An insertion may also lie behind the last unit.
+            for lo, hi in (("0", half), (half, n)):
+                place = f"'{u.name}' AS unit, {longer} AS longer, cast({n} AS int) AS n, cast({lo} AS int) AS lo, cast({hi} AS int) AS hi"
+                entries.append(f"if(n_{u.name} >= {u.least}, struct({place}, {_key(u, u.name, n, lo, hi, str(longer))} AS key), NULL)")
+    return sized.select("id", "line", F.expr(f"explode(array_compact(array({', '.join(entries)})))").alias("e")).select("id", "line", "e.*")
 
 
 def _split(rows: DataFrame, unit: Unit) -> DataFrame:
@@ -115,7 +120,7 @@ def _split(rows: DataFrame, unit: Unit) -> DataFrame:
     out = cut.select(
         "id", "line", "longer", "n", F.col("at").alias("lo"), F.least(F.col("at") + F.col("step"), F.col("hi")).alias("hi")
     )
-    return out.withColumn("key", _key(unit))
+    return out.withColumn("key", F.expr(_key(unit)))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -123,11 +128,26 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
 
 
-def _with_shared(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    keys = materialize(keys, "line-keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, "key", "left_semi")
+def _having(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The rows whose column is among the values, which are broadcast while they are few."""
+    return rows.join(F.broadcast(values) if values.count() <= BROADCAST_KEYS else values, name, "left_semi")
+
+
+def _with_shared(rows: DataFrame) -> DataFrame:
+    return _having(rows, materialize(_shared(rows), "line-keys"), "key")
+
+
+def first_rows(lines: DataFrame) -> DataFrame:
+    """The rows of the first index that share their key with another line.
+
+    Keys of all lines are written without the lines; only the lines found are
+    read and keyed again.
+    """
+    every = materialize(_first_keys(lines).select("key", "id"), "line-index", large=True)
+    shared = materialize(_shared(every), "line-keys", large=True)
+    ids = materialize(_having(every, shared, "key").select("id").distinct(), "line-ids", instead_of=(every,), large=True)
+    found = _having(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.first("line").alias("line"))
+    return materialize(_having(_first_keys(found), shared, "key"), "line-rows", large=True)
 
 
 def within_one_edit(a: str, b: str) -> Column:
@@ -152,16 +172,15 @@ def within_one_edit(a: str, b: str) -> Column:
     return (F.expr(f"abs(size({a}) - size({b})) <= 1")) & (F.expr(step.replace("m(i)", mask)) == 1)
 
 
-def near_lines(lines: DataFrame, unit: Unit) -> DataFrame:
-    """Links ``u, v`` between the ids of different lines one edit apart."""
-    first = _first_keys(lines, unit)
-    rows = _with_shared(first, _shared(first))
+def near_lines(rows: DataFrame, unit: Unit) -> DataFrame:
+    """Links ``u, v`` between the ids of different lines one edit apart, from the first rows."""
     same = ["id", "longer", "n", "lo", "hi"]
-    rows = materialize(rows.groupBy(*same).agg(F.first("line").alias("line")), "line-rows", large=True)
+    rows = rows.where(F.col("unit") == unit.name).select(*same, F.expr(unit.line).alias("line"))
+    old: tuple[DataFrame, ...] = ()
     widest = rows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
     while widest > 1:
-        parts = _split(rows, unit)
-        rows = materialize(_with_shared(parts, _shared(parts)).select(*same, "line"), "line-rows", instead_of=(rows,), large=True)
+        rows = materialize(_with_shared(_split(rows, unit)).select(*same, "line"), "line-rows", instead_of=old, large=True)
+        old = (rows,)
         widest = rows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
     # Replacements: lines of equal length that agree but for one unit.
     # Insertions: the longer line has one more unit at either side of it.
@@ -196,8 +215,8 @@ def near_lines(lines: DataFrame, unit: Unit) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, h, removed``: positions of the lines that do not stay."""
     lines = lines_of(docs)
-    links = near_lines(lines, CHARACTERS).unionByName(near_lines(lines, WORDS))
-    roots = connected_components(links)
+    first = first_rows(lines)
+    roots = connected_components(near_lines(first, CHARACTERS).unionByName(near_lines(first, WORDS)))
     place = F.struct("doc_id", "h", "pos")
     seen = lines.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = materialize(
@@ -207,8 +226,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         "line-classes",
         large=True,
     )
-    low = seen.groupBy("root").agg(F.min("first").alias("first"))
-    stays = seen.drop("first").join(low, "root").select("id", "first")
+    low = seen.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n_rows"))
+    stays = join_keyed(seen.drop("first"), low, "root").select("id", "first")
     gone = (
         lines.select("doc_id", "h", "pos", "id").join(stays, "id").where(F.struct("doc_id", "h", "pos") != F.col("first"))
     )

@@ -7,8 +7,8 @@ scaled by its naive Bayes log-count ratio, counted over all training rows with
 partial sums in every task, and a logistic regression on the scaled features is
 fitted on a bounded, documented sample (``SAMPLE_PER_CLASS`` training rows of
 each class, chosen by hash). Features seen in too few training rows, or whose
-ratio is not clear of its own standard error, have ratio zero and cost nothing;
-ratios for either class are kept with their sign.
+ratio is small or not clear of its own standard error, have ratio zero and cost
+nothing; ratios for either class are kept with their sign.
 
 The settings were chosen by cross-validation within the rows that may be
 learned from; the held-out rows were not looked at.
@@ -45,8 +45,11 @@ SAMPLE_PER_CLASS = 3000
 MIN_ROWS = 5
 #: Added to the count of either class.
 SMOOTHING = 1.0
-#: Ratios of fewer standard errors are taken as zero.
+#: Ratios of fewer standard errors, or smaller ones, are taken as zero.
 MIN_ERRORS = 3.0
+MIN_RATIO = 0.5
+#: Features of training rows that the fit looks at together; bounds its memory.
+FIT_FEATURES = 1 << 20
 FOLDS = 5
 #: Labels (12 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
@@ -136,7 +139,7 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
     # At most 2**20 slots, whatever the corpus.
     kept = (
         counts.where((F.col("slot") < 1 << SLOT_BITS) & (F.col("clean") + F.col("toxic") >= MIN_ROWS))
-        .where(F.abs(value) >= MIN_ERRORS * F.sqrt(1 / c0 + 1 / c1))
+        .where((F.abs(value) >= MIN_ERRORS * F.sqrt(1 / c0 + 1 / c1)) & (F.abs(value) >= MIN_RATIO))
         .select("slot", value.cast("float").alias("r"))
         .toArrow()
     )
@@ -146,17 +149,28 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
 
 def fit_regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs: int = 150, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on ratio-scaled presence features, by Adam."""
-    sizes = np.array([len(r) for r in rows])
-    slots, column = np.unique(np.concatenate(rows) if sizes.sum() else np.empty(0, np.int64), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), sizes)
+    ends = np.cumsum([len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32) if len(rows) and ends[-1] else np.empty(0, np.int32)
+    slots = np.unique(flat)
+    place = np.zeros(len(ratio), np.int32)
+    place[slots] = np.arange(len(slots), dtype=np.int32)
+    flat = place[flat]
+    # Blocks of whole rows.
+    cuts = [0, *(np.flatnonzero(np.diff(ends // FIT_FEATURES)) + 1).tolist(), len(rows)]
+    blocks = [(a, b, flat[ends[a - 1] if a else 0 : ends[b - 1]], np.diff(ends[a:b], prepend=ends[a - 1] if a else 0)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
     x = ratio[slots].astype(np.float64)
     w, b = np.zeros(len(slots)), 0.0
     m, v = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)
     weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
     for step in range(1, epochs + 1):
-        z = np.bincount(row, (w * x)[column], len(rows)) + b
-        err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(column, err[row], len(slots)) * x + l2 * w, err.sum())
+        grad, scaled = np.append(l2 * w, 0.0), w * x
+        for begin, end, column, sizes in blocks:
+            sums = np.concatenate([[0.0], np.cumsum(scaled[column])])
+            upto = np.cumsum(sizes)
+            z = sums[upto] - sums[upto - sizes] + b
+            err = weight[begin:end] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[begin:end]) / len(y)
+            grad[:-1] += np.bincount(column, np.repeat(err, sizes), len(slots)) * x
+            grad[-1] += err.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         change = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - change[:-1], b - change[-1]
@@ -191,9 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     # At most 2 * SAMPLE_PER_CLASS ids, so the broadcast has a fixed bound.
     chosen = train.join(F.broadcast(ids.distinct()), "doc_id")
-    got = map_arrow(chosen.select("doc_id", "text", "toxic"), sample, "doc_id long, slots binary, toxic int").collect()
-    got = sorted((bytes(r.slots), r.toxic) for r in got)
-    rows = [np.frombuffer(s, dtype=np.int32).astype(np.int64) for s, _ in got]
+    got = map_arrow(chosen.select("doc_id", "text", "toxic"), sample, "doc_id long, slots binary, toxic int")
+    got = got.select("slots", "toxic").toArrow().to_pydict()
+    got = sorted(zip(got["slots"], got["toxic"], strict=True))
+    rows = [np.frombuffer(s, dtype=np.int32) for s, _ in got]
     return fit_regression(rows, np.array([t for _, t in got], dtype=np.float64), ratio)
 
 

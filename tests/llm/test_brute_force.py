@@ -108,7 +108,7 @@ def test_toxicity_ratios(spark):
         count[t][T.features(x, seen)] += 1
     want = np.log((count[1] + 1) / (n[1] + 1)) - np.log((count[0] + 1) / (n[0] + 1))
     clear = np.abs(want) >= T.MIN_ERRORS * np.sqrt(1 / (count[0] + 1) + 1 / (count[1] + 1))
-    want = np.where(clear & (count.sum(0) >= T.MIN_ROWS), want, 0)
+    want = np.where(clear & (np.abs(want) >= T.MIN_RATIO) & (count.sum(0) >= T.MIN_ROWS), want, 0)
     assert np.allclose(ratio, want, atol=1e-5) and (ratio > 0).any() and (ratio < 0).any()
     got = {r.doc_id: r for r in T.toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()}
     assert all(got[d].predicted == t for d, _, t in rows)
@@ -346,3 +346,19 @@ def test_pipeline(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def test_regression_in_blocks(monkeypatch):
+    from matchgrid.llm import toxicity as T
+
+    rng = np.random.default_rng(1)
+    rows = [np.flatnonzero(rng.random(50) < 0.3).astype(np.int32) for _ in range(200)] + [np.empty(0, np.int32)] * 3
+    ratio = np.zeros(1 << T.SLOT_BITS, np.float32)
+    ratio[:50] = rng.normal(size=50)
+    y = np.array([float(ratio[r].sum() > 0) for r in rows])
+    whole = T.fit_regression(rows, y, ratio)
+    monkeypatch.setattr(T, "FIT_FEATURES", 100)
+    parts = T.fit_regression(rows, y, ratio)
+    assert np.allclose(whole[0], parts[0], atol=1e-5) and abs(whole[1] - parts[1]) < 1e-6
+    z = np.array([whole[0][r].sum() + whole[1] for r in rows])
+    assert ((z > 0) == (y > 0)).mean() > 0.95

@@ -106,19 +106,3 @@ def track_players(detections: DataFrame, fps: float, reach: float = 2.5, speed:
         return pd.DataFrame(out, columns=["shot_id", "frame", "slot", "x", "y"])
 
     return detections.groupBy("shot_id").applyInPandas(run, "shot_id long, frame long, slot int, x double, y double")
-
-
-def hit_features(hits: DataFrame, poses: DataFrame, before: int = 15, step: int = 3) -> DataFrame:
-    """Wrist path around each hit, centred and scaled by body height, mirrored for the far side.
-
-    Eleven moments of the two wrists relative to the hip's middle; a moment
-    without a pose is zero. The moments are named, so this is an equi-join.
-    """
-    offsets = F.explode(F.sequence(F.lit(-before), F.lit(before), F.lit(step))).alias("o")
-    h = hits.select("key", "shot_id", "slot", "frame", offsets).withColumn("frame", F.col("frame") + F.col("o"))
-    j = h.join(poses, ["shot_id", "slot", "frame"], "left")
-    sign = F.when(F.col("slot") < 2, -1.0).otherwise(1.0)
-    rel = lambda c, m: F.coalesce(sign * (F.col(c) - F.col(m)) / F.col("height"), F.lit(0.0)) if c[1] == "x" else F.coalesce((F.col(c) - F.col(m)) / F.col("height"), F.lit(0.0))
-    row = F.struct("o", F.array(rel("lx", "hx"), rel("ly", "hy"), rel("rx", "hx"), rel("ry", "hy")).alias("f"))
-    out = j.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return out.select("key", F.flatten(F.transform("rows", lambda r: r["f"])).alias("features"))

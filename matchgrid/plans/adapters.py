@@ -96,3 +96,46 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(lang = 'en', concat('c', doc_id % 3), NULL) AS vlm",
         "nullif(if(doc_id % 5 = 0, '', concat('c', n_chars % 2)), '') AS pose",
     )
+
+
+FRAME = (
+    "cast(row_number() OVER (PARTITION BY l_orderkey div 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, "
+    "l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS bigint) AS frame"
+)
+
+
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shot_id, slot, frame, kpts`` (17 of x, y, c) on the frames of ``tracks``."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey div 400 AS shot_id",
+        "cast(l_linenumber % 4 AS int) AS slot",
+        FRAME,
+        "transform(sequence(0, 16), k -> named_struct('x', l_partkey * (k + 3) % 97 * 2D, 'y', l_suppkey * (k + 5) % 89 * 2D + k * 4, "
+        "'c', l_partkey * (k + 1) % 10 / 10D)) AS kpts",
+    )
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as ``detect_hits`` gives them, on every fifth frame of the tracks."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey div 400 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", FRAME, "l_quantity", "l_discount", "l_suppkey", "l_partkey"
+    )
+    return rows.where("frame % 5 = 0").selectExpr(
+        "shot_id", "frame / 30D AS t", "frame", "slot", "if(slot < 2, 'far', 'near') AS side", "l_discount * 100D AS x", "l_quantity * 0.4D AS y",
+        "abs(l_quantity * 0.4D - 10) AS dist_net", "l_discount * 6D AS speed", "l_quantity / 4D AS evidence", "if(l_suppkey % 2 = 0, 'right', 'left') AS arm",
+        "'pose' AS source",
+    )
+
+
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shot_id, start, end`` of the shots of ``tracks``."""
+    ids = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 400 AS shot_id").distinct()
+    return ids.selectExpr("shot_id", "shot_id * 20D AS start", "shot_id * 20D + 15D AS end")
+
+
+def wrist_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrists, their sureness and body heights, on the frames of ``tracks``."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey div 400 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", FRAME, "l_quantity AS lx", "l_discount * 100 AS ly",
+        "l_tax * 10 AS lc", "cast(l_partkey % 97 AS double) AS rx", "cast(l_suppkey % 53 AS double) AS ry", "l_discount * 8 AS rc", "l_quantity * 4 AS height",
+    )

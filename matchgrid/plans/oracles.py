@@ -405,4 +405,31 @@ ORACLES: dict[str, str] = {
     "rally_lines": """SELECT l_orderkey AS shot_id, string_agg(concat('p', l_linenumber % 4, ' s', l_suppkey % 4), ' → ' ORDER BY l_partkey * 10000000 + l_suppkey * 100 + l_linenumber, l_linenumber % 4) AS line FROM lineitem GROUP BY 1""",
     "stroke_table": """SELECT l_linenumber % 4 AS player, count(*) FILTER (l_suppkey % 4 = 0) AS s0, count(*) FILTER (l_suppkey % 4 = 1) AS s1, count(*) FILTER (l_suppkey % 4 = 2) AS s2 FROM lineitem GROUP BY 1""",
     "shot_kinds": f"WITH {SHOT} SELECT kind, count(*) AS n, count(*) FILTER (kind = 'main' AND NOT replay) AS rallies FROM shot GROUP BY 1",
+    "hit_measures": """WITH b AS (SELECT l_orderkey // 400 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot,
+        row_number() OVER (PARTITION BY l_orderkey // 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS frame,
+        l_quantity, l_discount, l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 10 ELSE 9 END AS wk,
+        list_transform(range(17), lambda k: l_partkey * (k + 3) % 97 * 2::DOUBLE) AS kx, list_transform(range(17), lambda k: l_suppkey * (k + 5) % 89 * 2::DOUBLE + k * 4) AS ky,
+        list_transform(range(17), lambda k: l_partkey * (k + 1) % 10 / 10) AS kc FROM lineitem),
+      t AS (SELECT h.shot_id, h.slot, h.frame, min(p.ky[h.wk + 1]) FILTER (p.kc[h.wk + 1] > 0.3) AS top
+        FROM b h JOIN b p ON p.shot_id = h.shot_id AND p.slot = h.slot AND p.frame BETWEEN h.frame - 2 AND h.frame + 2 WHERE h.frame % 5 = 0 GROUP BY 1, 2, 3),
+      m AS (SELECT b.*, coalesce(top, ky[wk + 1]) AS top, kx[wk + 1] AS wx, ky[wk + 1] AS wy, (kx[12] + kx[13]) / 2 AS hx, (ky[12] + ky[13]) / 2 AS hy,
+          CASE WHEN kc[1] > 0.3 THEN ky[1] ELSE least(ky[6], ky[7]) - 0.25 * abs(ky[12] - ky[6]) END AS head FROM b JOIN t USING (shot_id, slot, frame)),
+      n AS (SELECT *, greatest(abs(hy - head), 1) AS body FROM m),
+      o AS (SELECT *, top < head - 0.05 * body AS overhead, CASE WHEN least(kc[6], kc[7]) > 0.3 THEN least(ky[6], ky[7]) ELSE head + 0.2 * body END AS shoulder,
+          ((wx - hx) * (kx[13] - kx[12]) + (wy - hy) * (ky[13] - ky[12]) > 0) = (wk = 10) AS forehand, wy > hy - 0.3 * body AS wrist_low,
+          abs(l_quantity * 0.4::DOUBLE - 10) AS dist, l_discount * 6 AS speed, min(frame) OVER (PARTITION BY shot_id) = frame AS first FROM n),
+      p AS (SELECT *, first AND frame / 30 < 2.5 AND dist >= 6.45 AND NOT overhead AND wrist_low AS serve FROM o)
+      SELECT shot_id, slot, frame, CASE WHEN overhead THEN 'head' WHEN top < shoulder THEN 'high' ELSE 'low' END AS height, overhead, forehand, wrist_low,
+        CASE WHEN serve THEN 'service' WHEN overhead AND dist < 5 AND speed > 0.45 THEN 'smash' WHEN overhead AND dist >= 5 AND speed < 0.35 THEN 'bandeja'
+          WHEN overhead THEN 'vibora' WHEN dist < 4.5 AND forehand THEN 'volee_cd' WHEN dist < 4.5 THEN 'volee_revers' WHEN forehand THEN 'coup_droit' ELSE 'revers' END AS stroke,
+        CAST(CASE WHEN serve THEN 0.6 WHEN overhead AND dist < 5 AND speed > 0.45 THEN 0.5 WHEN overhead AND dist >= 5 AND speed < 0.35 THEN 0.45
+          WHEN overhead THEN 0.35 ELSE 0.6 END AS DOUBLE) AS confidence FROM p""",
+    "sound_peaks": """WITH e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value * CASE WHEN event_id % 9 = 0 THEN 40 ELSE 1 END AS env FROM events),
+      r AS (SELECT key, i, greatest(0, coalesce(env - lag(env) OVER (PARTITION BY key ORDER BY i), 0)) AS rise FROM e),
+      s AS (SELECT key, i, rise / (median(rise) OVER (PARTITION BY key) + 1e-9) AS v FROM r),
+      l AS (SELECT *, greatest(8, quantile_cont(v, 0.95) OVER (PARTITION BY key)) AS least FROM s),
+      p AS (SELECT * FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM l WINDOW w AS (PARTITION BY key ORDER BY i)) WHERE v > a AND v > b AND v >= least),
+      c AS (SELECT key, list(CAST(i AS BIGINT) ORDER BY v DESC, i DESC) AS c FROM p GROUP BY 1),
+      k AS (SELECT key, unnest(list_reduce(c[2:], lambda k, x: CASE WHEN len(list_filter(k, lambda o: abs(o - x) < 25)) = 0 THEN list_append(k, x) ELSE k END, [c[1]])) AS i FROM c)
+      SELECT key AS shot_id, round_even(i * 0.01::DOUBLE, 4) AS t, round_even(least(v, 1e6), 4) AS v FROM k JOIN s USING (key, i)""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.functions import scalars as S
-from matchgrid.operators import decode, learning, media, motion, score, series, stats, timeline
+from matchgrid.operators import decode, hits, learning, media, motion, score, series, stats, timeline
 from matchgrid.plans import adapters as A
 from matchgrid.plans import oracles
 from matchgrid.session import table
@@ -548,12 +548,7 @@ def rally_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def wrist_speeds(spark: SparkSession, sf: str) -> DataFrame:
-    key = "PARTITION BY l_orderkey div 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
-    poses = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey div 400 AS shot_id", "cast(l_linenumber % 4 AS int) AS slot", f"cast(row_number() OVER ({key}) AS bigint) AS frame",
-        "l_quantity AS lx", "l_discount * 100 AS ly", "l_tax * 10 AS lc", "cast(l_partkey % 97 AS double) AS rx", "cast(l_suppkey % 53 AS double) AS ry",
-        "l_discount * 8 AS rc", "l_quantity * 4 AS height",
-    )
+    poses = A.wrist_poses(spark, sf).withColumn("frame", F.col("frame") + 1)
     out = motion.wrist_speed(poses)
     return out.select("shot_id", "slot", "frame", F.bround("speed", 6).alias("speed"), F.bround("ratio", 5).alias("ratio"), "arm")
 
@@ -580,6 +575,34 @@ def classifier_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     return learning.cross_validate(samples, MERGED_CLASSES)
 
 
+@query
+def hit_measures(spark: SparkSession, sf: str) -> DataFrame:
+    out = hits.typed_hits(A.hits(spark, sf), A.poses(spark, sf), A.shots(spark, sf).withColumn("start", F.lit(0.0)))
+    return out.select("shot_id", "slot", "frame", "height", "overhead", "forehand", "wrist_low", "stroke", "confidence")
+
+
+@query
+def hit_features(spark: SparkSession, sf: str) -> DataFrame:
+    h = hits.pose_measures(A.hits(spark, sf), A.poses(spark, sf))
+    out = hits.hit_features(h, A.poses(spark, sf))
+    return out.select("key", F.size("features").alias("n"), *[F.bround(F.col("features")[i], 4).alias(f"f{i}") for i in (0, 1, 70, 75, 120, 154, 155, 156, 160)])
+
+
+@query
+def sound_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").selectExpr("user_id AS key", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i", "value * if(event_id % 9 = 0, 40, 1) AS env")
+    out = hits.onsets(media.onset_strength(e))
+    return out.select("shot_id", F.bround("t", 4).alias("t"), F.bround(F.least("v", F.lit(1e6)), 4).alias("v"))
+
+
+@query
+def hits_detected(spark: SparkSession, sf: str) -> DataFrame:
+    speeds = motion.wrist_speed(A.wrist_poses(spark, sf))
+    shots = A.shots(spark, sf)
+    sounds = table(spark, sf, "orders").where("o_orderkey div 400 % 3 > 0").selectExpr("o_orderkey div 400 AS shot_id", "(o_orderkey % 400) / 40D AS t")
+    return hits.detect_hits(sounds, speeds, A.tracks(spark, sf), shots, 30.0)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

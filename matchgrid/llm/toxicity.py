@@ -58,15 +58,15 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACE = re.compile(r"\s+")
 
 
-def features(text: str | None, seen: np.ndarray) -> np.ndarray:
-    """Distinct feature slots; ``seen`` is a cleared Boolean scratch array."""
+def slots_of(text: str | None) -> np.ndarray:
+    """Feature slots of a text's n-grams, with repeats."""
     folded = " " + SPACE.sub(" ", text or "").strip().lower() + " "
     codes = np.frombuffer(folded.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
-    h = codes.copy()
+    h, out = codes.copy(), []
 
     def mark(hashes: np.ndarray) -> None:
         mixed = (hashes ^ (hashes >> np.uint64(29))) * MULTIPLIER
-        seen[(mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+        out.append((mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
 
     for n in range(2, ORDERS[-1] + 1):
         if len(codes) < n:
@@ -88,6 +88,12 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
                 break
             h = h * MULTIPLIER + codes[at + n - 1]
             mark(h)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def features(text: str | None, seen: np.ndarray) -> np.ndarray:
+    """Distinct feature slots; ``seen`` is a cleared Boolean scratch array."""
+    seen[slots_of(text)] = True
     # Eight flags at a time find the few slots that are set.
     words = np.flatnonzero(seen.view(np.uint64))
     rows, cols = np.nonzero(seen.reshape(-1, 8)[words])
@@ -96,10 +102,23 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
     return found
 
 
+def features_in(text: str | None, kept: np.ndarray) -> np.ndarray:
+    """Distinct feature slots of those that are ``kept``, a Boolean array."""
+    slots = slots_of(text)
+    return np.unique(slots[kept[slots]])
+
+
 def scratch() -> np.ndarray:
     return np.zeros(1 << SLOT_BITS, dtype=bool)
 
 
+def _table(used: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that have a weight, and the weights."""
+    kept, table = scratch(), np.zeros(1 << SLOT_BITS, np.float32)
+    kept[used], table[used] = True, values
+    return kept, table
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic`` of the rows that may be learned from."""
     lab = picked(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)")
@@ -193,12 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     mask = ratio != 0
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = scratch()
         for b in batches:
-            found = []
-            for text in b.column("text").to_pylist():
-                f = features(text, seen)
-                found.append(f[mask[f]].astype(np.int32).tobytes())
+            found = [features_in(text, mask).astype(np.int32).tobytes() for text in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(found, pa.binary()), b.column("toxic")], ["doc_id", "slots", "toxic"]
             )
@@ -222,10 +237,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     values = weights[used]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, table = scratch(), np.zeros(1 << SLOT_BITS, np.float32)
-        table[used] = values
+        kept, table = _table(used, values)
         for b in batches:
-            z = np.array([float(table[features(t, seen)].sum()) + bias for t in b.column("text").to_pylist()])
+            z = np.array([float(table[features_in(t, kept)].sum()) + bias for t in b.column("text").to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())],
@@ -252,10 +266,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None
     values = weights[used]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, table = scratch(), np.zeros(1 << SLOT_BITS, np.float32)
-        table[used] = values
+        kept, table = _table(used, values)
         for b in batches:
-            z = [float(table[features(t, seen)].sum()) + bias for t in b.column("text").to_pylist()]
+            z = [float(table[features_in(t, kept)].sum()) + bias for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(np.array(z, dtype=np.float64) < 0))
 
     return map_arrow(docs, keep, docs.schema)

@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(matchgrid)
 
 #: Rows that a function sees at once; long texts count, so it stays at a few MB.
 BATCH_ROWS = 400
+#: Rows of the batches that Spark sends to Python, at most.
+SENT_ROWS = 2000
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -27,9 +29,13 @@ Batches = Iterator[pa.RecordBatch]
 def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` with small batches, so that memory follows one batch only.
 
-    Spark's own batches are bounded in bytes; they are sliced here, so that no
-    setting of the session changes.
+    Spark sends up to 64 MB at once by default, which JVM and worker both hold; its
+    bound on rows is lowered to ``SENT_ROWS`` where it is higher, always to
+    this one value. What a function sees is sliced here, whatever the bound.
     """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= SENT_ROWS:
+        conf.set(name, str(SENT_ROWS))
 
     def sliced(batches: Batches) -> Batches:
         return fn(b.slice(k, batch_rows) for b in batches for k in range(0, max(1, b.num_rows), batch_rows))

@@ -93,9 +93,9 @@ def _key(unit: Unit, line: str = "line", n: str = "n", lo: str = "lo", hi: str =
     return f"xxhash64('{unit.name}', cast({n} AS int), cast({lo} AS int), cast({hi} AS int), {before}, {behind})"
 
 
-def _first_keys(lines: DataFrame) -> DataFrame:
+def _first_keys(lines: DataFrame, whole: bool = True) -> DataFrame:
     """``id, line`` with ``unit, longer, n, lo, hi, key``: two segments of each line, by
-    its own length and as the longer partner, in either unit."""
+    its own length and as the longer partner, in either unit. Not ``whole``: ``id, key`` only."""
     sized = lines
     for u in UNITS:
         sized = sized.withColumn(u.name, F.expr(u.line)).withColumn(f"n_{u.name}", F.expr(u.length.format(x=u.name)))
@@ -105,9 +105,13 @@ def _first_keys(lines: DataFrame) -> DataFrame:
             n, half = f"(n_{u.name} - {longer})", f"((n_{u.name} - {longer}) div 2)"
             # An insertion may also lie behind the last unit.
             for lo, hi in (("0", half), (half, n)):
+                key = _key(u, u.name, n, lo, hi, str(longer))
                 place = f"'{u.name}' AS unit, {longer} AS longer, cast({n} AS int) AS n, cast({lo} AS int) AS lo, cast({hi} AS int) AS hi"
-                entries.append(f"if(n_{u.name} >= {u.least}, struct({place}, {_key(u, u.name, n, lo, hi, str(longer))} AS key), NULL)")
-    return sized.select("id", "line", F.expr(f"explode(array_compact(array({', '.join(entries)})))").alias("e")).select("id", "line", "e.*")
+                entries.append(f"if(n_{u.name} >= {u.least}, {f'struct({place}, {key} AS key)' if whole else key}, NULL)")
+    each = F.expr(f"explode(array({', '.join(entries)}))")
+    if not whole:
+        return sized.select("id", each.alias("key")).where("key is not null")
+    return sized.select("id", "line", each.alias("e")).where("e is not null").select("id", "line", "e.*")
 
 
 def _split(rows: DataFrame, unit: Unit) -> DataFrame:
@@ -143,7 +147,7 @@ def first_rows(lines: DataFrame) -> DataFrame:
     Keys of all lines are written without the lines; only the lines found are
     read and keyed again.
     """
-    every = materialize(_first_keys(lines).select("key", "id"), "line-index", large=True)
+    every = materialize(_first_keys(lines, whole=False), "line-index", large=True)
     shared = materialize(_shared(every), "line-keys", large=True)
     ids = materialize(_having(every, shared, "key").select("id").distinct(), "line-ids", instead_of=(every,), large=True)
     found = _having(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.first("line").alias("line"))

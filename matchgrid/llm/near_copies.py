@@ -22,7 +22,6 @@ words is no near copy.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 from math import ceil
 
 import numpy as np
@@ -36,26 +35,31 @@ from .components import connected_components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-SEED = 42
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: One of so many documents is in the sample; a shingle in so many of these is frequent.
 SAMPLE, FREQUENT = 16, 4
 #: Frequent shingles that travel with the plan at most (8 bytes each).
 MAX_FREQUENT = 100_000
+#: Shingles of several texts that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Members of a shingle that are compared with each other in one place, about.
 PART_ROWS = 4_096
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted hashes of a text's shingles."""
+    """The sorted hashes of a text's shingles: polynomials of the hashes of their words."""
     words = utf8(text).lower().split()
     if not words:
         return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda a, b: a + 1 + b))
-    starts = [0, *(x + 1 for x in ends)]
-    last = ends[SHINGLE_WORDS - 1 :] or ends[-1:]
-    found = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)]
-    return np.unique(np.array(found, dtype=np.uint64).view(np.int64))
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(SHINGLE_WORDS, len(words))
+    h = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        h = h * FACTOR + own[k : k + len(h)]
+    h ^= h >> np.uint64(32)
+    h *= FACTOR
+    h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -160,7 +164,12 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "n", "rest"])
 
     rows = map_arrow(texts.select("h", "text"), keys, "key long, h long, n long, rest long")
-    rows = materialize(rows, "near-keys", large=True)
+    every = materialize(rows, "near-keys", large=True)
+    # Most shingles are of one text only, and go first.
+    again = every.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("key")
+    again = materialize(again, "near-again", large=True)
+    rows = every.join(F.broadcast(again) if again.count() <= BROADCAST_KEYS else again, "key", "left_semi")
+    rows = materialize(rows, "near-rows", instead_of=(every, again), large=True)
     heads = rows.groupBy("key").agg(F.min(F.struct("h", "n", "rest")).alias("head"), F.count("*").alias("n_rows"))
     heads = materialize(heads.where("n_rows > 1"), "near-heads")
     members = materialize(join_keyed(rows, heads, "key"), "near-members", instead_of=(rows,), large=True)

@@ -78,6 +78,32 @@ def merged_class(label: str | Column) -> Column:
     return F.when(c.isin("bandeja", "vibora", "bandeja_ou_vibora"), "bandeja_vibora").when(c != "incertain", c)
 
 
+def report_key(stroke: str | Column) -> Column:
+    """Stroke as a report counts it: the two sliced overheads are one."""
+    c = _col(stroke)
+    return F.when(c.isin("bandeja", "vibora"), "bandeja_vibora").otherwise(c)
+
+
+#: The rate that per-frame thresholds were tuned at, and how far a video's may lie over it.
+POSE_FPS, RATE_SLACK = 30.0, 1.05
+
+
+def pose_fps(native: str | Column) -> Column:
+    """Rate at which poses of a video are sampled: its own, or ``POSE_FPS`` where that is clearly higher."""
+    c = _col(native)
+    return F.when(c > POSE_FPS * RATE_SLACK, F.lit(POSE_FPS)).otherwise(c)
+
+
+def short_team(team: str | Column) -> Column:
+    """First player of a team's name, in title case."""
+    return F.initcap(F.trim(F.element_at(F.split(_col(team), "/"), 1)))
+
+
+def player_name(team: str | Column, role: str | Column) -> Column:
+    """Name of a player by team and side."""
+    return F.concat_ws(" · ", _col(team), _col(role))
+
+
 #: Capital letters of the Latin blocks whose decomposition is a plain letter and marks, and that letter.
 _MARKED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.upper() and len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
 ACCENTED = "".join(_MARKED)

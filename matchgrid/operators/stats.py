@@ -10,8 +10,13 @@ from matchgrid.functions.scalars import NET_ZONE, SERVICE_LINE, own_half
 FAR = "slot < 2"
 
 
-def player_stats(pieces: DataFrame, fps: float) -> DataFrame:
-    """Per slot: seconds, distance, mean speed and shares of the court zones.
+def is_rally() -> Column:
+    """Whether a shot (``kind, replay``) is play seen by the main camera."""
+    return (F.col("kind") == "main") & ~F.coalesce(F.col("replay"), F.lit(False))
+
+
+def player_stats(pieces: DataFrame, fps: float, by: tuple[str, ...] = ("slot",)) -> DataFrame:
+    """Per slot, or whatever else names players: seconds, distance, mean speed and shares of the court zones.
 
     Steps count within a piece of a track only.
     """
@@ -19,7 +24,7 @@ def player_stats(pieces: DataFrame, fps: float) -> DataFrame:
     _, depth = own_half("x", "y", F.expr(FAR))
     p = pieces.withColumns({"depth": depth, "dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)})
     n = F.count("*")
-    agg = p.groupBy("slot").agg(
+    agg = p.groupBy(*by).agg(
         n.alias("frames"),
         F.sum(F.hypot("dx", "dy")).alias("d"),
         F.count_if(F.col("depth") < NET_ZONE).alias("net"),
@@ -29,7 +34,7 @@ def player_stats(pieces: DataFrame, fps: float) -> DataFrame:
     d, sec = F.coalesce("d", F.lit(0.0)), F.col("frames") / fps
     share = lambda c: F.bround(F.col(c) / F.greatest(F.col("frames"), F.lit(1)), 3)
     return agg.select(
-        "slot", "frames", F.bround(sec, 1).alias("seconds"), F.bround(d, 1).alias("distance_m"),
+        *by, "frames", F.bround(sec, 1).alias("seconds"), F.bround(d, 1).alias("distance_m"),
         F.bround(d / F.greatest(sec, F.lit(1e-6)), 2).alias("speed_m_s"),
         share("net").alias("net_share"), share("mid").alias("transition_share"), share("back").alias("back_share"),
     )

@@ -30,7 +30,7 @@ def frame_grid(videos: DataFrame, fps: float) -> DataFrame:
     """``video_key, frame, t``: one frame every 1/fps seconds, one at least."""
     n = F.greatest(F.lit(1), F.floor(F.col("duration") * fps + 0.5).cast("int"))
     grid = videos.select("video_key", F.explode(F.sequence(F.lit(0), n - 1)).alias("frame"))
-    return grid.withColumn("t", F.col("frame") / fps)
+    return grid.withColumn("t", F.bround(F.col("frame") / fps, 3))
 
 
 def assign_frames(frames: DataFrame, segments: DataFrame, size: float) -> DataFrame:
@@ -92,6 +92,11 @@ def filter_utterances(raw: DataFrame, speech: DataFrame, duration: float, bucket
     return kept.select("video_key", "utt_id", F.bround("start", 2).alias("start"), F.bround("end", 2).alias("end"), "text")
 
 
+def talk_time(speech: DataFrame) -> DataFrame:
+    """``video_key, seconds`` of detected speech ``video_key, b, e``."""
+    return speech.groupBy("video_key").agg(F.bround(F.sum(F.col("e") - F.col("b")), 3).alias("seconds"))
+
+
 def timeline_text(segments: DataFrame) -> DataFrame:
     """One line per segment, joined in order, for a summary prompt."""
     line = F.concat(

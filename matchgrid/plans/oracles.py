@@ -432,4 +432,48 @@ ORACLES: dict[str, str] = {
       c AS (SELECT key, list(CAST(i AS BIGINT) ORDER BY v DESC, i DESC) AS c FROM p GROUP BY 1),
       k AS (SELECT key, unnest(list_reduce(c[2:], lambda k, x: CASE WHEN len(list_filter(k, lambda o: abs(o - x) < 25)) = 0 THEN list_append(k, x) ELSE k END, [c[1]])) AS i FROM c)
       SELECT key AS shot_id, round_even(i * 0.01::DOUBLE, 4) AS t, round_even(least(v, 1e6), 4) AS v FROM k JOIN s USING (key, i)""",
+    "net_base_rows": """WITH s AS (SELECT l_orderkey // 500 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem),
+      l AS (SELECT *, (y1 + y2) / 2 AS mid FROM s WHERE abs(degrees(atan2(y2 - y1, x2 - x1))) < 4),
+      r AS (SELECT DISTINCT video_key, CAST(round_even(mid, 0) AS INT) AS row FROM l WHERE mid > 50 AND mid < 390),
+      p AS (SELECT r.video_key, r.row, min(least(x1, x2)) AS a, max(greatest(x1, x2)) AS b FROM r JOIN l ON l.video_key = r.video_key AND abs(mid - r.row) < 3 GROUP BY 1, 2)
+      SELECT video_key, max(row) AS row, -750::DOUBLE AS vanishing FROM p WHERE (b - a) / (300 + 0.4 * row) >= 0.6 GROUP BY 1""",
+    "court_rows": """WITH p AS (SELECT p_partkey, 700 + p_size AS v1, 400 + p_partkey % 50 AS v2, 100 + p_size * 2 AS v0, p_partkey % 20 AS y FROM part),
+      c AS (SELECT *, (v2 - v1) / (16.95::DOUBLE * (v1 - v0) - 10 * (v2 - v0)) AS c FROM p)
+      SELECT p_partkey, round_even((v0 * c * y + v2 + c * 10 * (v2 - v0)) / (c * y + 1), 5) AS row FROM c""",
+    "court_methods": """WITH f AS (SELECT o_custkey AS video_key, ['net', 'sidelines_low', 'net', 'sidelines'][o_orderkey % 4 + 1] AS method, o_orderkey % 97 + o_orderkey / 1e6::DOUBLE AS residual_px FROM orders)
+      SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video_key ORDER BY method <> 'sidelines', residual_px, method = 'sidelines_low') = 1""",
+    "centre_lines": """WITH s AS (SELECT l_orderkey // 500 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 9 AS x2, (l_suppkey * 7 % 500)::DOUBLE AS y2 FROM lineitem),
+      u AS (SELECT * FROM s WHERE abs(degrees(atan2(y2 - y1, x2 - x1))) > 60
+        QUALIFY row_number() OVER (PARTITION BY video_key ORDER BY sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) DESC, x1 DESC, y1 DESC, x2 DESC, y2 DESC) = 1)
+      SELECT video_key, CASE WHEN y1 <= y2 THEN x1 ELSE x2 END AS x_top, least(y1, y2) AS top, CASE WHEN y1 <= y2 THEN x2 ELSE x1 END AS x_bottom, greatest(y1, y2) AS bottom FROM u""",
+    "document_markdown": f"""WITH {HEARD}, b AS (SELECT *, CASE WHEN seg_id % 7 = 0 THEN context ELSE '' END AS seen FROM heard_seg),
+      t AS (SELECT video_key, string_agg(concat('### ', {CLOCK.format(t='"start"')}, ' – ', {CLOCK.format(t='"end"')}, chr(10), chr(10), CASE WHEN seen <> '' THEN concat('**Seen:** ', seen, chr(10), chr(10)) ELSE '' END,
+        CASE WHEN heard <> '' THEN concat('**Heard:** ', heard, chr(10), chr(10)) ELSE '' END), '' ORDER BY seg_id) AS t FROM b GROUP BY 1),
+      m AS (SELECT video_key, concat('# Timeline of v', video_key, chr(10), chr(10), 'Length 12:00; model `m`; 0.5 frames a second in segments of 5 s', chr(10), chr(10),
+        CASE WHEN video_key % 2 = 0 THEN concat('## Summary', chr(10), chr(10), 'All of it.', chr(10), chr(10)) ELSE '' END, '## Segments', chr(10), chr(10), t) AS m FROM t)
+      SELECT video_key, left(m, length(m) - 1) AS markdown FROM m""",
+    "report_strokes": f"""WITH {HITS}, r AS (SELECT hit_id // 400 AS video_key, concat('p', n) AS player, CASE WHEN stroke IN ('bandeja', 'vibora') THEN 'bandeja_vibora' ELSE stroke END AS k FROM ruled)
+      SELECT video_key, player, concat('| ', player, {", ".join(f"' | ', count(*) FILTER (k = '{k}')" for k in ("service", "coup_droit", "revers", "volee_cd", "volee_revers", "bandeja_vibora", "smash", "lob", "sortie_vitre"))}, ' |') AS line FROM r GROUP BY 1, 2""",
+    "report_players": f"""WITH {HITS}, n AS (SELECT video_key, player, sum(n) AS hits FROM (SELECT hit_id // 400 AS video_key, concat('p', n) AS player, stroke, count(*) AS n FROM ruled GROUP BY 1, 2, 3) WHERE n > 3 GROUP BY 1, 2),
+      s AS (SELECT l_orderkey // 400 AS video_key, concat('p', l_linenumber) AS player, sum(l_quantity) AS d, max(l_quantity) / 8 AS v, count(*) AS c FROM lineitem GROUP BY 1, 2)
+      SELECT s.video_key, s.player, printf('| %s | %d | %d m | %.1f m/s | %d %% | %d %% | %d %% |', s.player, CAST(coalesce(hits, 0) AS INT), CAST(round_even(d, 0) AS INT), v,
+        CAST(round_even(c % 7 / 16 * 100, 0) AS INT), CAST(round_even(c % 5 / 16 * 100, 0) AS INT), CAST(round_even(c % 3 / 16 * 100, 0) AS INT)) AS line FROM s LEFT JOIN n USING (video_key, player)""",
+    "report_teams": """WITH r AS (SELECT o_custkey AS video_key, count(*) FILTER (o_orderkey % 3 = 0) AS a, count(*) FILTER (o_orderkey % 3 = 1) AS b, count(*) FILTER (o_orderkey % 3 = 2) AS u, count(*) AS n FROM orders GROUP BY 1)
+      SELECT c_custkey AS video_key, concat('- **A**: shirt rouge; points known to be won: ', coalesce(a, 0), chr(10), '- **B**: shirt ?; points known to be won: ', coalesce(b, 0),
+        CASE WHEN n IS NOT NULL THEN concat(chr(10), chr(10), 'No known winner in ', u, ' of the rallies, which are ', n) ELSE '' END) AS text FROM customer LEFT JOIN r ON video_key = c_custkey""",
+    "stroke_summaries": f"""WITH {HITS}, n AS (SELECT concat('p', n) AS player, stroke, count(*) AS c FROM ruled GROUP BY 1, 2)
+      SELECT player, string_agg(concat(stroke, ' ', c), ', ' ORDER BY c DESC, stroke) AS line FROM n GROUP BY 1""",
+    "confusion_lines": f"""WITH {LAB}, c AS (SELECT truth, count(*) FILTER (pred = 'c0') AS a, count(*) FILTER (pred = 'c1') AS b, count(*) FILTER (pred = 'c2') AS d FROM lab GROUP BY 1),
+      k(t, pos) AS (VALUES ('c0', 1), ('c1', 2), ('c2', 3))
+      SELECT pos, concat('| **', t, '** | ', coalesce(a, 0), ' | ', coalesce(b, 0), ' | ', coalesce(d, 0), ' |') AS line FROM k LEFT JOIN c ON truth = t
+      UNION ALL SELECT -1, '| true, predicted | c0 | c1 | c2 |' UNION ALL SELECT 0, '|---|---|---|---|'""",
+    "accuracy_lines": f"""WITH {LAB} SELECT answer, CASE WHEN count(v) > 0 THEN printf('| %s | %d %% (n=%d) |', answer, CAST(round_even(avg(CASE WHEN v IS NULL THEN NULL WHEN v = truth THEN 1 ELSE 0 END) * 100, 0) AS INT), count(v)) ELSE concat('| ', answer, ' | — |') END AS line
+      FROM (SELECT truth, 'pred' AS answer, pred AS v FROM lab UNION ALL SELECT truth, 'vlm', vlm FROM lab UNION ALL SELECT truth, 'none', NULL FROM lab) GROUP BY 1""",
+    "label_counts": f"""WITH {LAB} SELECT counter, value, count(*) AS n FROM (SELECT 'truth' AS counter, truth AS value FROM lab UNION ALL SELECT 'pred', pred FROM lab UNION ALL SELECT 'vlm', vlm FROM lab) GROUP BY 1, 2""",
+    "label_standard": f"""WITH {LAB}, r AS (SELECT key, key % 17 / 17 AS a, key::DOUBLE AS b FROM lab)
+      SELECT key, round_even((a - avg(a) OVER ()) / (stddev_pop(a) OVER () + 1e-6), 6) AS a, round_even((b - avg(b) OVER ()) / (stddev_pop(b) OVER () + 1e-6), 6) AS b FROM r""",
+    "label_imports": """WITH s AS (SELECT source AS video, CAST(doc_id AS VARCHAR) AS key, lang AS label FROM documents WHERE doc_id % 3 <> 0), f AS (SELECT source AS video, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id % 8 = 0)
+      SELECT video, key, CASE WHEN f.key IS NOT NULL THEN 'en' ELSE s.label END AS label, CASE WHEN f.key IS NOT NULL THEN 'user' ELSE 'model' END AS annotator FROM s FULL JOIN f USING (video, key)""",
+    "labels_certain": f"""WITH {LAB} SELECT video, key, n_chars, truth AS label FROM lab JOIN documents ON doc_id = key WHERE key % 5 <> 0""",
+    "pose_rates": """SELECT event_id, round_even(CASE WHEN value / 8 > 31.5 THEN 30 ELSE value / 8 END, 6) AS fps, concat(upper(event_type[1]), lower(event_type[2:])) AS team FROM events""",
 }

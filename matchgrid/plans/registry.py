@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.functions import scalars as S
-from matchgrid.operators import decode, hits, learning, media, motion, score, series, stats, timeline
+from matchgrid.operators import court, decode, hits, learning, media, motion, report, score, series, stats, timeline
 from matchgrid.plans import adapters as A
 from matchgrid.plans import oracles
 from matchgrid.session import table
+from matchgrid.sources import stores
 from matchgrid.streaming import tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +91,7 @@ def model_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def talk_time(spark: SparkSession, sf: str) -> DataFrame:
-    return A.speech(spark, sf).groupBy("video_key").agg(F.bround(F.sum(F.col("e") - F.col("b")), 3).alias("seconds"))
+    return timeline.talk_time(A.speech(spark, sf))
 
 
 @query
@@ -396,7 +397,7 @@ def court_points(spark: SparkSession, sf: str) -> DataFrame:
     x, y = stats.to_court(F.col("px"), F.col("py"), h)
     p = p.withColumns({"x": x, "y": y})
     bx, by = stats.to_court(F.col("x"), F.col("y"), stats.inverse3(h))
-    inside = F.col("x").between(-0.6, 10.6) & F.col("y").between(-0.6, 20.6)
+    inside = court.on_court("x", "y")
     return p.select("l_orderkey", "l_linenumber", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"), F.bround(bx, 3).alias("px"), F.bround(by, 3).alias("py"), inside.alias("inside"))
 
 
@@ -436,7 +437,7 @@ def overlay_times(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def shot_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    s = _shots(spark, sf).withColumn("rally", F.expr("kind = 'main' AND NOT replay"))
+    s = _shots(spark, sf).withColumn("rally", stats.is_rally())
     return s.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("rally").alias("rallies"))
 
 
@@ -603,6 +604,120 @@ def hits_detected(spark: SparkSession, sf: str) -> DataFrame:
     return hits.detect_hits(sounds, speeds, A.tracks(spark, sf), shots, 30.0)
 
 
+@query
+def net_base_rows(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = _line_pieces(spark, sf)
+    sides = pieces.select("video_key").distinct().selectExpr(
+        "video_key", "50D AS top", "450D AS near", "100D AS lx1", "0D AS ly1", "0D AS lx2", "500D AS ly2", "400D AS rx1", "0D AS ry1", "500D AS rx2", "500D AS ry2"
+    )
+    return court.net_base_rows(pieces, sides).join(court.vanishing_rows(sides), "video_key")
+
+
+@query
+def court_rows(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").selectExpr("p_partkey", "700D + p_size AS near", "400D + p_partkey % 50 AS net", "100D + p_size * 2 AS vanishing", "p_partkey % 20 * 1D AS depth")
+    row = court.row_of(F.col("depth"), F.col("near"), F.col("net"), F.col("vanishing"))
+    return p.select("p_partkey", F.bround(row, 5).alias("row"))
+
+
+@query
+def court_methods(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "orders").selectExpr(
+        "o_custkey AS video_key", "element_at(array('net', 'sidelines_low', 'net', 'sidelines'), cast(o_orderkey % 4 AS int) + 1) AS method", "o_orderkey % 97 + o_orderkey / 1e6D AS residual_px"
+    )
+    return court.best_method(found)
+
+
+@query
+def centre_lines(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey div 500 AS video_key", "l_quantity * 10 AS x1", "l_partkey % 500 * 1D AS y1", "l_quantity * 10 + l_suppkey % 9 AS x2", "l_suppkey * 7 % 500 * 1D AS y2"
+    )
+    return court.centre_lines(pieces)
+
+
+@query
+def document_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    full = timeline.heard_and_context(A.utterances(spark, sf), _segments(spark, sf), A.SEGMENT_S).withColumn("seen", F.expr("if(seg_id % 7 = 0, context, NULL)"))
+    videos = _event_videos(spark, sf).selectExpr(
+        "video_key", "concat('v', video_key) AS name", "duration", "0.5D AS fps", "5D AS segment", "cast(NULL AS string) AS language", "if(video_key % 2 = 0, 'All of it.', NULL) AS summary"
+    )
+    frames = timeline.assign_frames(timeline.frame_grid(videos, 0.1), full, A.SEGMENT_S)
+    return report.to_markdown(report.build_document(videos, full, frames, A.utterances(spark, sf), A.speech(spark, sf), {"vlm": "m"}))
+
+
+def _strokes(spark: SparkSession, sf: str) -> DataFrame:
+    """``video_key, player, stroke, n`` by the rules of pose."""
+    h = decode.stroke_by_pose(_hits(spark, sf)).selectExpr("hit_id div 400 AS video_key", "concat('p', n) AS player", "stroke")
+    return h.groupBy("video_key", "player", "stroke").agg(F.count("*").alias("n"))
+
+
+@query
+def report_strokes(spark: SparkSession, sf: str) -> DataFrame:
+    return report.stroke_lines(_strokes(spark, sf))
+
+
+@query
+def report_players(spark: SparkSession, sf: str) -> DataFrame:
+    stats_ = table(spark, sf, "lineitem").selectExpr("l_orderkey div 400 AS video_key", "concat('p', l_linenumber) AS player", "l_quantity", "l_tax").groupBy("video_key", "player").agg(
+        F.sum("l_quantity").alias("distance_m"), (F.max("l_quantity") / 8).alias("speed_m_s"), (F.count("*") % 7 / 16).alias("net_share"), (F.count("*") % 5 / 16).alias("transition_share"), (F.count("*") % 3 / 16).alias("back_share")
+    )
+    return report.player_lines(stats_, _strokes(spark, sf).where("n > 3"))
+
+
+@query
+def report_teams(spark: SparkSession, sf: str) -> DataFrame:
+    rallies = table(spark, sf, "orders").selectExpr("o_custkey AS video_key", "element_at(array('A', 'B', NULL), cast(o_orderkey % 3 AS int) + 1) AS winner")
+    teams = table(spark, sf, "customer").selectExpr("c_custkey AS video_key", "inline(array(named_struct('pos', 0, 'team', 'A', 'colour', 'rouge'), named_struct('pos', 1, 'team', 'B', 'colour', NULL)))")
+    return report.team_lines(rallies, teams).select("video_key", F.array_join("lines", "\n").alias("text"))
+
+
+@query
+def stroke_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return report.common_strokes(_strokes(spark, sf).groupBy("player", "stroke").agg(F.sum("n").alias("n")))
+
+
+@query
+def confusion_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return report.confusion_table(learning.confusion(A.labelled(spark, sf), MERGED_CLASSES), MERGED_CLASSES)
+
+
+@query
+def accuracy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return report.accuracy_lines(learning.accuracy(A.labelled(spark, sf).withColumn("none", F.lit(None).cast("string")), "pred", "vlm", "none"))
+
+
+@query
+def label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return report.label_counters(A.labelled(spark, sf), "truth", "pred", "vlm")
+
+
+@query
+def label_standard(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.labelled(spark, sf).withColumns({"a": F.col("key") % 17 / 17, "b": F.col("key") * 1.0})
+    return learning.standardized(rows, ["a", "b"]).select("key", F.bround("a", 6).alias("a"), F.bround("b", 6).alias("b"))
+
+
+@query
+def label_imports(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    saved = d.where("doc_id % 3 <> 0").selectExpr("source AS video", "cast(doc_id AS string) AS key", "lang AS label", "'model' AS annotator")
+    fresh = d.where("doc_id % 4 = 0").selectExpr("source AS video", "cast(doc_id AS string) AS key", "if(doc_id % 8 = 0, 'en', 'xx') AS label")
+    return stores.import_labels(saved, fresh, d.selectExpr("lang AS label"))
+
+
+@query
+def labels_certain(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").selectExpr("source AS video", "doc_id AS key", "n_chars")
+    lab = A.labelled(spark, sf).selectExpr("video", "key", "if(key % 5 = 0, 'incertain', truth) AS label")
+    return learning.labelled_hits(d, lab)
+
+
+@query
+def pose_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.bround(S.pose_fps(F.col("value") / 8), 6).alias("fps"), S.short_team(F.concat("event_type", F.lit("/x"))).alias("team"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

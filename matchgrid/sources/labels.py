@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +32,27 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def video_keys(spark: SparkSession, path: str) -> DataFrame:
-    """``path, video_key``: stem and hash of name, size, first and last MiB of each file."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    head = F.substring("content", 1, MIB)
-    tail = F.when(F.col("length") > 2 * MIB, F.substring("content", -MIB, MIB)).otherwise(F.lit(b""))
-    seed = F.concat(F.concat(name, F.lit(":"), F.col("length").cast("string")).cast("binary"), head, tail)
-    return files.select("path", F.concat(stem, F.lit("-"), F.substring(F.sha1(seed), 1, 12)).alias("video_key"))
+    """``path, video_key``: stem and hash of name, size, first and last MiB of each file.
+
+    Files are listed by Spark without their contents; tasks read the two ends
+    only, through pyarrow's file systems, so length does not matter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for p, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+                store, place = fs.FileSystem.from_uri(p)
+                name = unquote(p).rsplit("/", 1)[-1]
+                h = hashlib.sha1(f"{name}:{size}".encode())
+                with store.open_input_file(place) as f:
+                    h.update(f.read_at(min(size, MIB), 0))
+                    if size > 2 * MIB:
+                        h.update(f.read_at(MIB, size - MIB))
+                keys.append(f"{name.rsplit('.', 1)[0] if '.' in name[1:] else name}-{h.hexdigest()[:12]}")
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(keys, pa.string())], ["path", "video_key"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "length").mapInArrow(run, "path string, video_key string")
 
 
 def probe(spark: SparkSession, path: str) -> DataFrame:
@@ -63,12 +80,31 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def ask_model(prompts: DataFrame, make_client: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """``key, prompt`` to ``key, answer``: one client for each task, prompts in Arrow batches."""
+def ask_model(prompts: DataFrame, make_client: Callable[[], Callable[[str], str]], most_chars: int | None = None) -> DataFrame:
+    """``key, prompt`` to ``key, answer, error``: one client for each task, prompts in Arrow batches.
+
+    A client with a method ``many`` gets a batch at once. A prompt over
+    ``most_chars``, the client's context, is not asked; what fails has its
+    error, and does not end the job.
+    """
+
+    def one(ask: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return ask(prompt), None
+        except Exception as e:  # noqa: BLE001
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make_client()
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "answer": [ask(p) for p in pdf["prompt"]]})
+            long = [most_chars is not None and len(p) > most_chars for p in pdf["prompt"]]
+            short = [p for p, x in zip(pdf["prompt"], long, strict=True) if not x]
+            try:
+                got = [(a, None) for a in ask.many(short)] if hasattr(ask, "many") else [one(ask, p) for p in short]
+            except Exception:  # noqa: BLE001
+                got = [one(ask, p) for p in short]
+            answers = iter(got)
+            rows = [(None, "prompt too long") if x else next(answers) for x in long]
+            yield pd.DataFrame({"key": pdf["key"], "answer": [a for a, _ in rows], "error": [e for _, e in rows]})
 
-    return prompts.select("key", "prompt").mapInPandas(run, "key string, answer string")
+    return prompts.select("key", "prompt").mapInPandas(run, "key string, answer string, error string")

@@ -20,33 +20,50 @@ def one(spark, column):
 
 
 def test_segments(spark):
-    v = spark.createDataFrame([(1, 10.0), (2, 12.3), (3, 3.0), (4, 0.0)], "video_key long, duration double")
-    got = rows(timeline.plan_segments(v, 5.0), "video_key", "start", "end")
-    assert got == [(1, 0.0, 5.0), (1, 5.0, 10.0), (2, 0.0, 5.0), (2, 5.0, 10.0), (2, 10.0, 12.3), (3, 0.0, 3.0)]
+    lengths = [0.0, 0.4, 7.0, 14.0, 30.7, 31.5]
+    v = spark.createDataFrame(list(enumerate(lengths)), "video_key long, duration double")
+    want = [(k, 3.5 * i, min(3.5 * i + 3.5, d)) for k, d in enumerate(lengths) for i in range(-int(-d // 3.5))]
+    assert rows(timeline.plan_segments(v, 3.5), "video_key", "start", "end") == want
     assert timeline.plan_segments(v, 0.0).isEmpty()
 
 
 def test_frames_to_segments(spark):
-    v = spark.createDataFrame([(1, 12.0)], "video_key long, duration double")
-    segs = timeline.plan_segments(v, 5.0)
-    got = timeline.assign_frames(timeline.frame_grid(v, 1.0), segs, 5.0).groupBy("seg_id").count()
-    assert rows(got, "seg_id", "count") == [(0, 5), (1, 5), (2, 2)]
-    late = spark.createDataFrame([(1, 0, 99.0)], "video_key long, frame int, t double")
-    assert timeline.assign_frames(late, segs, 5.0).first().seg_id == 2
+    v = spark.createDataFrame([(1, 8.6)], "video_key long, duration double")
+    segs = timeline.plan_segments(v, 2.0)
+    got = timeline.assign_frames(timeline.frame_grid(v, 3.0), segs, 2.0)
+    assert rows(got, "frame", "t", "seg_id") == [(k, round(k / 3, 3), min(int(k / 3 / 2), 4)) for k in range(26)]
+    late = spark.createDataFrame([(1, 0, 1e6)], "video_key long, frame int, t double")
+    assert timeline.assign_frames(late, segs, 2.0).first().seg_id == 4
 
 
 def test_heard_and_context(spark):
-    v = spark.createDataFrame([(1, 15.0)], "video_key long, duration double")
-    u = spark.createDataFrame([(1, 1, 0.5, 3.0, "a"), (1, 2, 4.0, 7.0, "b"), (1, 3, 11.0, 14.0, "c"), (1, 4, -9.0, -8.0, "d")], "video_key long, utt_id int, start double, end double, text string")
-    got = timeline.heard_and_context(u, timeline.plan_segments(v, 5.0), 5.0)
-    assert rows(got, "seg_id", "heard", "context") == [(0, "a", "a b"), (1, "b", "b"), (2, "c d", "c")]
+    rng = np.random.default_rng(4)
+    said = [(1, i, float(b), float(b + d), f"w{i}") for i, (b, d) in enumerate(zip(rng.uniform(-3, 22, 30), rng.uniform(0.1, 9, 30), strict=True))]
+    v = spark.createDataFrame([(1, 20.0)], "video_key long, duration double")
+    u = spark.createDataFrame(said, "video_key long, utt_id int, start double, end double, text string")
+    got = timeline.heard_and_context(u, timeline.plan_segments(v, 4.0), 4.0)
+    want = []
+    for k in range(5):
+        own = [x for _, _, b, e, x in said if (int((b + e) / 2 // 4) if 0 <= (b + e) / 2 < 20 else 4) == k]
+        near = [x for _, _, b, e, x in said if b < 4 * k + 4 and e > 4 * k]
+        want.append((k, " ".join(own), " ".join(near)))
+    assert rows(got, "seg_id", "heard", "context") == want
 
 
 def test_utterances_need_speech(spark):
-    raw = spark.createDataFrame([(1, 1, 1.6, 6.4, "yes"), (1, 2, 9.9, 30.0, " and "), (1, 3, 7.0, 8.0, "none"), (1, 4, 2.0, 3.0, "...")], "video_key long, utt_id int, start double, end double, text string")
-    speech = spark.createDataFrame([(1, 1.6, 6.37), (1, 9.89, 11.04)], "video_key long, b double, e double")
-    assert rows(timeline.filter_utterances(raw, speech, 11.65), "utt_id", "end", "text") == [(1, 6.4, "yes"), (2, 11.65, "and")]
-    assert timeline.filter_utterances(raw, speech.where("false"), 11.65).isEmpty()
+    rng = np.random.default_rng(5)
+    said = [(1, i, float(b), float(b + d), " ... " if i % 9 == 0 else f" w{i} ") for i, (b, d) in enumerate(zip(rng.uniform(-2, 58, 60), rng.uniform(0.05, 6, 60), strict=True))]
+    spoken = [(1, float(b), float(b + d)) for b, d in zip(rng.uniform(0, 58, 12), rng.uniform(0.05, 3, 12), strict=True)]
+    raw = spark.createDataFrame(said, "video_key long, utt_id int, start double, end double, text string")
+    speech = spark.createDataFrame(spoken, "video_key long, b double, e double")
+    want = []
+    for _, i, b, e, x in said:
+        b, e = max(0.0, b), min(57.0, e)
+        shared = sum(max(0.0, min(e, z) - max(b, a)) for _, a, z in spoken)
+        if i % 9 and e > b and shared >= min(0.2, (e - b) / 2):
+            want.append((i, x.strip()))
+    assert rows(timeline.filter_utterances(raw, speech, 57.0), "utt_id", "text") == want and 5 < len(want) < 50
+    assert timeline.filter_utterances(raw, speech.where("false"), 57.0).isEmpty()
 
 
 def test_scalars(spark):
@@ -54,7 +71,7 @@ def test_scalars(spark):
     assert one(spark, S.clean_answer(F.lit("<think>a\nb</think> x </think>"))) == "x"
     assert one(spark, S.first_json(F.lit('say {"a": 1} end'), "a int")["a"]) == 1
     assert one(spark, S.first_json(F.lit("none"), "a int")) is None
-    assert one(spark, S.plain_name(F.lit("Élodie Çaß"))) == "ELODIE CASS"
+    assert one(spark, S.plain_name(F.lit("Élodie Çaß Šarić Ő"))) == "ELODIE CASS SARIC O" and one(spark, S.plain_name(F.lit("e\u0301"))) == "E"
     w, h = F.lit(1920), F.lit(1080)
     assert (one(spark, S.even_fit(w, w, h, 640)), one(spark, S.even_fit(h, w, h, 640))) == (640, 360)
     assert one(spark, S.even_fit(F.lit(101), F.lit(101), F.lit(3), 640)) == 100
@@ -64,26 +81,51 @@ def test_scalars(spark):
 
 
 def test_jump_cuts(spark):
-    m = [0.3] * 3000
-    for i, v in ((300, 9.0), (1500, 8.0), (1530, 8.0)):
-        m[i] = v
-    m[900:910] = [4.0] * 10
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(m)], "video_key long, frame long, motion double")
-    assert series.jump_cuts(df, 30.0).first().cuts == [300, 1500]
+    rng = np.random.default_rng(6)
+    m = rng.uniform(0.1, 0.5, 400)
+    m[[3, 90, 140, 240, 396]] = 7.0  # spikes, two of them within two seconds
+    m[200:206] = 5.0  # a movement of several frames
+    m[300] = 1.4  # under the floor
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(m)], "video_key long, frame long, motion double")
+    pad = np.concatenate([m[14::-1], m, m[:-16:-1]])
+    want, last = [], -999
+    for i in range(2, 398):
+        level = max(float(np.median(pad[i : i + 31])), 0.3)
+        if m[i] > 6 * level and m[i] > 1.5 and m[i] > 2.5 * max(m[i - 2], m[i - 1], m[i + 1], m[i + 2]) and i - last >= 60:
+            want.append(i)
+            last = i
+    assert series.jump_cuts(df, 30.0).first().cuts == want == [3, 90, 240, 396]
 
 
 def test_split_shots(spark):
-    d = [0.0] * 300
-    for i in (100, 105, 200):
-        d[i] = 0.8
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(d)], "video_key long, frame long, dist double")
-    assert rows(series.split_shots(df, 25.0), "shot_id", "start_f", "end_f") == [(0, 0, 100), (1, 100, 200), (2, 200, 300)]
+    cuts = [7, 40, 47, 61, 118]  # the first and third keep no distance, the last leaves a short end
+    df = spark.createDataFrame([(1, i, 0.9 if i in cuts else 0.1) for i in range(120)], "video_key long, frame long, dist double")
+    assert rows(series.split_shots(df, 20.0), "shot_id", "start_f", "end_f") == [(0, 0, 40), (1, 40, 61), (2, 61, 120)]
 
 
 def test_alternating_hits(spark):
-    schema = "video_key long, cand int, t double, s0 double, s1 double"
-    c = [(1, 0, 0.0, 1.0, 1.0), (1, 1, 1.0, 9.0, 2.0), (1, 2, 2.0, 2.0, 8.0), (1, 3, 2.2, 9.0, 1.0)]
-    assert [r.team for r in decode.alternate_hits(spark.createDataFrame(c, schema)).orderBy("cand").collect()] == [None, 0, 1, None]
+    """The best of all series of choices, by trying them all; two sounds too close are one hit."""
+    from itertools import product
+
+    rng, rows_, want = np.random.default_rng(7), [], {}
+    for v in range(12):
+        t, s = np.cumsum(rng.uniform(0.5, 0.9, 6)), rng.uniform(0, 9, (6, 2))
+        rows_ += [(v, i, float(t[i]), float(s[i, 0]), float(s[i, 1])) for i in range(6)]
+
+        def worth(choice, t=t, s=s):
+            hits = [i for i in range(6) if choice[i] is not None]
+            if any(choice[a] == choice[b] or t[b] - t[a] < 0.45 for a, b in zip(hits, hits[1:], strict=False)):
+                return -1.0
+            return sum(s[i, choice[i]] for i in hits) + 3.0 * (6 - len(hits))
+
+        want[v] = max(worth(c) for c in product((None, 0, 1), repeat=6)), worth
+    df = spark.createDataFrame(rows_, "video_key long, cand int, t double, s0 double, s1 double")
+    got: dict = {}
+    for r in decode.alternate_hits(df).orderBy("video_key", "cand").collect():
+        got.setdefault(r.video_key, []).append(r.team)
+    assert all(abs(worth(got[v]) - best) < 1e-9 for v, (best, worth) in want.items())
+    close = spark.createDataFrame([(1, 0, 5.0, 8.0, 0.0), (1, 1, 5.3, 0.0, 9.0)], df.schema)
+    assert [r.team for r in decode.alternate_hits(close).orderBy("cand").collect()] == [None, 1]
 
 
 def test_pose_rules_and_answers(spark):
@@ -103,13 +145,20 @@ def state(games, points):
 
 
 def test_point_winner(spark):
-    cases = [
-        (state([[1], [1]], ["15", "0"]), state([[1], [1]], ["30", "0"]), 0),
-        (state([[1], [1]], ["A", "40"]), state([[1], [1]], ["40", "40"]), 1),
-        (state([[1], [1]], ["40", "0"]), state([[2], [1]], ["0", "0"]), 0),
-        (state([[5], [3]], ["40", "0"]), state([[6, 0], [3, 0]], ["0", "0"]), 0),
-        (state([[6], [6]], ["3", "4"]), state([[6], [6]], ["3", "5"]), 1),
-        (state([[1], [1]], ["15", "0"]), state([[1], [1]], ["40", "0"]), None),
+    order, cases = ["0", "15", "30", "40"], []
+    for i in range(4):  # the server's and the other's next point, within a game
+        for j in range(4):
+            now = state([[2], [4]], [order[i], order[j]])
+            cases += [(now, state([[2], [4]], [order[i + 1], order[j]]), 0)] if i < 3 else []
+            cases += [(now, state([[2], [4]], [order[i], order[j + 1]]), 1)] if j < 3 else []
+            cases += [(now, state([[2], [4]], [order[i + 2], order[j]]), None)] if i < 2 else []
+            cases += [(now, now, None)]
+    cases += [
+        (state([[0], [2]], ["40", "AD"]), state([[0], [2]], ["40", "40"]), 0),
+        (state([[0], [2]], ["30", "40"]), state([[0], [3]], ["0", "0"]), 1),
+        (state([[4, 5], [6, 2]], ["40", "15"]), state([[4, 6, 0], [6, 2, 0]], ["0", "0"]), 0),
+        (state([[6], [6]], ["8", "7"]), state([[6], [6]], ["8", "8"]), 1),
+        (state([[3], [3]], ["0", "0"]), state([[4], [4]], ["0", "0"]), None),
     ]
     kind = "struct<games: array<array<int>>, points: array<string>>"
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], f"i int, a {kind}, b {kind}")
@@ -142,10 +191,19 @@ def test_gaps_split_tracks(spark):
     assert got == [(0, 17, 18), (40, 40, 1)]
 
 
-def test_savgol_keeps_parabolas():
-    x = np.arange(20.0)
-    y = 1 + 2 * x - 0.3 * x**2
-    assert np.allclose(motion.savgol(y, 7), y)
+def test_smoothing_fits_parabolas(spark):
+    rng, data, want = np.random.default_rng(3), [], {}
+    for slot, n in enumerate((5, 9, 10, 13, 16, 40)):
+        y = rng.normal(size=n)
+        data += [(1, slot, 1, f, float(1 + 2 * f - 0.3 * f * f), float(y[f])) for f in range(n)]
+        w = min(15, n // 2 * 2 - 1)
+        for f in range(n):
+            c = min(max(f, w // 2), n - 1 - w // 2) if n >= 9 else f
+            at = np.arange(c - w // 2, c + w // 2 + 1)
+            want[slot, f] = np.polyval(np.polyfit(at - c, y[at], 2), f - c) if n >= 9 else y[f]
+    df = spark.createDataFrame(data, "shot_id long, slot int, piece int, frame long, x double, y double")
+    for r in motion.smooth_pieces(df).collect():
+        assert abs(r.x - (1 + 2 * r.frame - 0.3 * r.frame**2)) < 1e-6 and abs(r.y - want[r.slot, r.frame]) < 1e-9
 
 
 def test_labels_and_folds(spark):
@@ -191,8 +249,59 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps(report))
     got = sources.probe(spark, str(tmp_path / "p.json")).first()
     assert (got.duration, got.width, got.height, got.native_fps, got.has_audio, got.hdr) == (3.5, 20, 10, 30.0, False, False)
-    asked = sources.ask_model(spark.createDataFrame([("a", "hi")], "key string, prompt string"), lambda: str.upper)
-    assert rows(asked, "key", "answer") == [("a", "HI")]
+    asked = sources.ask_model(spark.createDataFrame([("a", "hi"), ("b", "x" * 99), ("c", "0")], "key string, prompt string"), lambda: lambda p: str(1 / int(p)) if p == "0" else p.upper(), 50)
+    assert sorted(map(tuple, asked.collect())) == [("a", "HI", None), ("b", None, "prompt too long"), ("c", None, "ZeroDivisionError: division by zero")]
+
+
+def test_tracks_follow_players(spark):
+    """Each frame against the best of all assignments, in plain Python."""
+    from itertools import permutations
+
+    rng, seen = np.random.default_rng(8), []
+    for f in range(60):
+        for s, (x, y) in enumerate(((2.0, 4.0), (8.0, 5.0), (3.0, 15.0), (7.0, 16.0))):
+            if rng.random() < 0.8:
+                seen.append((1, f, float(x + np.sin(f / 9 + s) + rng.normal(0, 0.1)), float(y + np.cos(f / 7) * 2), float(rng.random())))
+    seen += [(1, 30, 9.9, 1.0, 0.01), (1, 40, 0.1, 19.0, 2.0)]  # one unsure, one far off
+    got = {(r.frame, r.slot): (r.x, r.y) for r in motion.track_players(spark.createDataFrame(seen, "shot_id long, frame long, x double, y double, conf double"), 30.0).collect()}
+    last, want = {}, {}
+    for f in range(60):
+        for slots, far in (((0, 1), True), ((2, 3), False)):
+            found = [(x, y) for _, g, x, y, c in sorted(seen, key=lambda r: -r[4]) if g == f and (y < 10) == far][:2]
+            if not found:
+                continue
+            if not any(s in last for s in slots):
+                pairs = list(zip(slots, sorted(found), strict=False))
+            else:
+                cost = lambda p: sum(np.hypot(q[0] - last[s][0], q[1] - last[s][1]) if s in last else 1.0 for s, q in p)
+                pairs = min((list(zip(o, found, strict=False)) for o in permutations(slots)), key=cost)
+                pairs = [(s, q) for s, q in pairs if s not in last or np.hypot(q[0] - last[s][0], q[1] - last[s][1]) <= 2.5 + 8 * (f - last[s][2]) / 30]
+            for s, q in pairs:
+                last[s], want[f, s] = (*q, f), q
+    assert got == want
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    import os
+
+    def put(name, seconds):
+        spark.sql(f"SELECT 1L AS video_key, timestamp_seconds(1700000000 + s) AS ts, 't' AS text FROM (SELECT explode(array({seconds})) AS s)").coalesce(1).write.parquet(str(tmp_path / name))
+        part = next(p for p in (tmp_path / name).iterdir() if p.suffix == ".parquet")
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        part.rename(tmp_path / "in" / f"{name}.parquet")
+        os.utime(tmp_path / "in" / f"{name}.parquet", (1_700_000_000 + int(name), 1_700_000_000 + int(name)))
+
+    put("1", "0, 1, 2, 800")
+    put("2", "810")
+    put("3", "3, 2000")  # the first is more than ten minutes late
+    put("4", "5000")
+    schema = "video_key long, ts timestamp, text string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = tumbling.segment_counts(stream, "100 seconds").writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True)
+    q = out.option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    got = sorted(r.n for r in spark.table("late").collect())
+    assert got == [1, 2, 3]  # 2000, then 800 and 810, then 0 to 2 without the late one
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -49,8 +49,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``, each written and read again; a stage's table goes when the next is written."""
+    docs, written = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", instead_of=written)
+        written = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,8 @@ cc-by-sa stands). The template list is fixed, so its index travels with the plan
 Besides the templates, base phrases are found wherever their words stand
 consecutively in the whole text.
 
-Edge cases: a null or empty text has no words, no labels and score 0. Repeated
+Edge cases: ties between templates, or between windows, of one label give that
+label once, with the same score. A null or empty text has no words, no labels and score 0. Repeated
 rows are scanned each on its own. Very long lines are blocks like any other.
 Extra columns are ignored; an empty table gives an empty result.
 """

@@ -84,6 +84,17 @@ def test_values(docs, labels, benchmark):
     assert fp[3].component_id == 1
     cut = {r.doc_id: r for r in ops["suffix"]().collect()}
     assert cut[1].n_bytes == cut[2].n_bytes == 0 and cut[6].n_removed == cut[6].n_bytes == 150_000
+    scanned = {r.doc_id: r for r in ops["license"]().collect()}
+    assert all((scanned[k].n_words, scanned[k].n_base, scanned[k].labels, scanned[k].score, scanned[k].first_word) == (0, 0, "", 0.0, None) for k in (1, 2, 3))
+    assert scanned[6].n_words == 30_000 and scanned[None].n_words == 3
+    main = {r.page_id: r for r in ops["html"]().collect()}
+    assert [(main[k].text, main[k].n_chars) for k in (1, 2, 3, 4)] == [("", 0)] * 3 + [("short", 5)]
+    assert main[6].n_chars == 149_999 and main[None].text == "no id here"
+    records = sorted((-1 if r.page_id is None else r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in ops["warc"]().collect())
+    assert records[:3] == [(-1, 10, "response", None), (1, 0, "revisit", 2), (2, 0, "response", None)]
+    assert [r[2] for r in records if r[0] == 5] == ["response"] * 2
+    # Two labels tell nothing apart.
+    assert all(r.score < 1e-9 and r.predicted == 0 for r in ops["toxicity"]().collect())
     kept = {r.doc_id: r for r in ops["quality"]().collect()}
     assert kept[1].base_failed and kept[6].base_failed and kept[6].n_repeat_words == 30_000
     lines = ops["line_dedup"]().collect()
@@ -100,3 +111,9 @@ def test_stages_keep_columns(spark, docs, labels, benchmark, step, monkeypatch):
     out = dict(corpus_pipeline.STAGES)[step](spark, docs, "none")
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} >= {4, None}
+
+
+def test_pipeline_on_empty_tables(spark, docs, labels, benchmark, monkeypatch):
+    tables = {"labels": labels.where("false"), "benchmark": benchmark.where("false"), "documents": docs.where("false")}
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n: tables[n])
+    assert corpus_pipeline.run(spark, "none").collect() == []

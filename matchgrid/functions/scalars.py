@@ -30,6 +30,16 @@ def first_json(text: str | Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(_col(text), r"(?s)\{.*\}", 0), schema)
 
 
+#: Corners of a picture in which a scoreboard may stand.
+CORNERS = ("haut_gauche", "haut_droite", "bas_gauche", "bas_droite")
+
+
+def one_of(answer: str | Column, known: tuple[str, ...], default: str | None = None) -> Column:
+    """A model's answer, trimmed and in lower case, if it is one of the known; else the default."""
+    c = F.lower(F.trim(_col(answer)))
+    return F.when(c.isin(*known), c).otherwise(F.lit(default))
+
+
 def even_fit(side: Column, width: Column, height: Column, size: int) -> Column:
     """One side scaled so that the longer is ``size``; even, never enlarged, 2 at least."""
     scale = F.least(F.lit(1.0), F.lit(float(size)) / F.greatest(width, height))

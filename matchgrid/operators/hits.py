@@ -29,14 +29,17 @@ def loudness(samples: np.ndarray, rate: float) -> np.ndarray:
 
     The band pass is that of a fourth-order Butterworth filter run in both
     directions, whose gain is known in closed form, applied to the spectrum
-    of the signal continued by its point reflection at either end.
+    of the signal continued by its point reflection at either end. The rate
+    has to be over twice the band's lower end; a band over half the rate is cut.
     """
+    if rate * 0.45 <= BAND[0]:
+        raise ValueError(f"a rate of {rate:g} holds no sound of {BAND[0]:g} Hz and more")
     pad = min(len(samples) - 1, int(rate / 50))
     head, tail = 2 * samples[0] - samples[pad:0:-1], 2 * samples[-1] - samples[-2 : -pad - 2 : -1]
     wave = np.concatenate([head, samples, tail]).astype(np.float64)
     # Frequencies as the bilinear transform maps them.
     f = np.tan(np.pi * np.fft.rfftfreq(len(wave), 1 / rate).clip(0, rate / 2 * 0.9999) / rate)
-    low, high = (np.tan(np.pi * b / rate) for b in BAND)
+    low, high = (np.tan(np.pi * min(b, 0.45 * rate) / rate) for b in BAND)
     with np.errstate(divide="ignore"):
         gain = 1 / (1 + ((f * f - low * high) / (f * (high - low))) ** 8)
     band = np.fft.irfft(np.fft.rfft(wave) * gain, len(wave))[pad : pad + len(samples)]

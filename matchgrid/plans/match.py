@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchgrid.functions.scalars import clock, player_name, report_key, short_team
 from matchgrid.operators import decode, hits, learning, media, motion, report, score, stats, timeline
 from matchgrid.operators.hits import ANKLES, NOSE, WRISTS
+from matchgrid.session import ensure_checkpoint_dir
 from matchgrid.sources.labels import ask_model
 
 
@@ -139,9 +140,12 @@ def analyse(
     shirts = teams if readings is None else shirt_order(teams, readings, centres)
     players = named_players(tracks, team_sides(sides, centres, shirts))
     video = rallies.select("shot_id", "video_key")
-    named = named_hits(found, players).join(video, "shot_id")
+    # Hits and players feed several tables: each is worked out once.
+    ensure_checkpoint_dir(shots.sparkSession)
+    players = players.checkpoint()
+    named = named_hits(found, players).join(video, "shot_id").checkpoint()
     pieces = motion.smooth_tracks(tracks, max_gap).join(players.select("shot_id", "slot", "player"), ["shot_id", "slot"]).join(video, "shot_id")
-    per_player = stats.player_stats(pieces, fps, ("video_key", "player"))
+    per_player = stats.player_stats(pieces, fps, ("video_key", "player")).checkpoint()
     strokes = named.groupBy("video_key", "player", report_key("stroke").alias("stroke")).agg(F.count("*").alias("n"))
     points = rally_table(rallies, states, named, teams)
     seconds = rallies.groupBy("video_key").agg(F.count("*").alias("n_rallies"), F.sum(F.col("end") - F.col("start")).alias("rally_seconds"))

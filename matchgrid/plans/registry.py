@@ -106,7 +106,7 @@ def answer_json(spark: SparkSession, sf: str) -> DataFrame:
     )
     clean = table(spark, sf, "conversations").select("conv_id", "turn", S.clean_answer(text).alias("clean"))
     j = S.first_json("clean", "type string, n int")
-    kind = F.when(j["type"].isin("user", "assistant"), j["type"]).otherwise("other")
+    kind = S.one_of(j["type"], ("user", "assistant"), "other")
     return clean.select("conv_id", "turn", "clean", kind.alias("kind"), j["n"].cast("int").alias("n"))
 
 

@@ -153,14 +153,14 @@ def state(games, points):
 
 
 def test_analyse_a_match(spark):
-    rate, fps = 4000.0, 30.0
+    rate, fps = 22050.0, 30.0
     rng = np.random.default_rng(1)
     sound = rng.normal(0, 1e-3, int(4 * rate))
     poses, tracks, colours = [], [], []
     swings = {30: 0, 60: 3, 90: 1}
     for f in swings:
         k = int(f / fps * rate)
-        sound[k : k + 100] += np.sin(2 * np.pi * 1800 * np.arange(100) / rate) * np.exp(-np.arange(100) / 30)
+        sound[k : k + 400] += np.sin(2 * np.pi * 3000 * np.arange(400) / rate) * np.exp(-np.arange(400) / 80)
     for f in range(120):
         for s in range(4):
             x, y = 200.0 + 100 * s, 300.0

@@ -71,6 +71,7 @@ def test_scalars(spark):
     assert one(spark, S.clean_answer(F.lit("<think>a\nb</think> x </think>"))) == "x"
     assert one(spark, S.first_json(F.lit('say {"a": 1} end'), "a int")["a"]) == 1
     assert one(spark, S.first_json(F.lit("none"), "a int")) is None
+    assert one(spark, S.one_of(F.lit(" Bas_Droite "), S.CORNERS)) == "bas_droite" and one(spark, S.one_of(F.lit("middle"), S.CORNERS, "none")) == "none"
     assert one(spark, S.plain_name(F.lit("Élodie Çaß Šarić Ő"))) == "ELODIE CASS SARIC O" and one(spark, S.plain_name(F.lit("e\u0301"))) == "E"
     w, h = F.lit(1920), F.lit(1080)
     assert (one(spark, S.even_fit(w, w, h, 640)), one(spark, S.even_fit(h, w, h, 640))) == (640, 360)

@@ -194,7 +194,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     fps = materialize(fingerprints(docs), "simhash")
     # Copies share a fingerprint, so some fingerprints have very many rows.
-    named = materialize(components(fps).drop("keep"), "simhash-components")
+    named = materialize(components(fps).drop("keep"), "simhash-components", large=True)
     return join_keyed(fps, named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -219,7 +219,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     Near copies have five-word shingles of Jaccard similarity 0.8, directly or
     through others; the one of the smallest id stays. Columns as they came.
     """
-    left = materialize(one_per_component(docs), "simhash-kept")
+    left = materialize(one_per_component(docs), "simhash-kept", large=True)
     keyed = left.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
     # Equal texts are one component, so each text is there once.
     texts = keyed.select(F.col("__h").alias("h"), F.col("text").cast("string").alias("text"))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, license_scan, line_dedup, oracles, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import decontamination, html_extraction, lexical_search, license_scan, line_dedup, oracles, packing
+from . import periodic_runs, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -58,6 +59,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.repeated_tail)
+    return periodic_runs.run_digests(found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -72,6 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_dedup,
             op9_html_extraction,
             op10_simhash,
+            op12_lexical_search,
+            op13_periodic_runs,
         )
     }
 

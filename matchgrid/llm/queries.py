@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, lexical_search, license_scan, line_dedup, oracles, packing
+from . import decontamination, html_extraction, language_id, lexical_search, license_scan, line_dedup, oracles, packing
 from . import periodic_runs, quality_rules, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
@@ -59,6 +59,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_dedup,
             op9_html_extraction,
             op10_simhash,
+            op11_language_id,
             op12_lexical_search,
             op13_periodic_runs,
         )

@@ -73,13 +73,6 @@ def line_width(segments: DataFrame) -> DataFrame:
     return bins.groupBy("video_key").agg(best).select("video_key", "m.bin", "m.width")
 
 
-def row_extent(segments: DataFrame, row: float, tolerance: float = 8.0, most_degrees: float = 4.0) -> DataFrame:
-    """Leftmost and rightmost point of the nearly level pieces about a row."""
-    angle = F.abs(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))))
-    flat = segments.where((F.least(angle, 180 - angle) < most_degrees) & (F.abs((F.col("y1") + F.col("y2")) / 2 - row) <= tolerance))
-    return flat.groupBy("video_key").agg(F.min(F.least("x1", "x2")).alias("left"), F.max(F.greatest("x1", "x2")).alias("right"))
-
-
 def onset_strength(envelope: DataFrame) -> DataFrame:
     """Rise of a loudness envelope over its median rise: ``key, i, v``; the first row has none."""
     w = Window.partitionBy("key").orderBy("i")

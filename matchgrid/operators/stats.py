@@ -189,12 +189,3 @@ def inverse3(h: list[float]) -> list[float]:
     co = [e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d]
     det = a * co[0] + b * co[3] + c * co[6]
     return [x / det for x in co]
-
-
-def line_row(segments: DataFrame, bin_px: int = 4) -> DataFrame:
-    """Row with the longest total of line pieces per bin of rows; ties to the lowest row."""
-    bins = segments.groupBy("video_key", F.floor(F.col("row") / bin_px).alias("bin")).agg(
-        F.sum("length").alias("total"), F.median("row").alias("row")
-    )
-    best = F.max(F.struct(F.bround("total", 6).alias("total"), (-F.col("bin")).alias("b"), "row"))
-    return bins.groupBy("video_key").agg(best.alias("m")).select("video_key", "m.row", "m.total")

@@ -345,9 +345,20 @@ ORACLES: dict[str, str] = {
       p AS (SELECT DISTINCT n_name AS team, unnest(regexp_split_to_array(n_name, '[ /\\-]+')) AS part FROM nation),
       m AS (SELECT DISTINCT team, obs_id, colour FROM p JOIN s ON length(part) >= 4 AND (list_contains(string_split(name, ' '), part) OR name LIKE '%' || part))
       SELECT team, colour, count(*) AS votes FROM m GROUP BY 1, 2""",
-    "court_line_rows": """WITH s AS (SELECT l_orderkey // 750 AS video_key, CAST(l_partkey % 400 AS DOUBLE) AS row, l_quantity AS length FROM lineitem),
-      b AS (SELECT video_key, floor(row / 4) AS bin, sum(length) AS total, median(row) AS row FROM s GROUP BY 1, 2)
-      SELECT video_key, row, round_even(total, 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY round(total, 6) DESC, bin) AS r FROM b) WHERE r = 1""",
+    "court_line_rows": """WITH s AS (SELECT l_orderkey // 500 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem),
+      l AS (SELECT *, (y1 + y2) / 2 AS mid, 200 + video_key % 100 AS v FROM s WHERE abs(degrees(atan2(y2 - y1, x2 - x1))) < 4),
+      b AS (SELECT video_key, round_even(mid / 4, 0) AS bin, v, sum(abs(x2 - x1)) AS total, median(mid) AS row FROM l WHERE mid BETWEEN 150 AND 350 GROUP BY 1, 2, 3)
+      SELECT video_key, row, round_even(total, 4) AS total FROM b QUALIFY row_number() OVER (PARTITION BY video_key ORDER BY round_even(total, 6) DESC, abs(bin * 4 - v), bin) = 1""",
+    "court_maps": """WITH q AS (SELECT p_partkey, (400 + p_partkey % 61)::DOUBLE AS x0, (200 + p_size % 7)::DOUBLE AS y0, (880 - p_partkey % 53)::DOUBLE AS x1, (203 + p_partkey % 5)::DOUBLE AS y1,
+        (1150 + p_size)::DOUBLE AS x2, (600 + p_partkey % 37)::DOUBLE AS y2, (130 - p_size)::DOUBLE AS x3, (590 + p_partkey % 41)::DOUBLE AS y3, (500 + p_partkey % 211)::DOUBLE AS px, (300 + p_partkey % 97)::DOUBLE AS py FROM part),
+      -- Weights of the corners: the cofactors of the three others (a, b, c) in homogeneous form, which make the fourth their sum.
+      w AS (SELECT *, x0 * (y1 - y2) - x1 * (y0 - y2) + x2 * (y0 - y1) AS det, (x3 * (y1 - y2) - x1 * (y3 - y2) + x2 * (y3 - y1)) AS a, (x0 * (y3 - y2) - x3 * (y0 - y2) + x2 * (y0 - y3)) AS b, (x0 * (y1 - y3) - x1 * (y0 - y3) + x3 * (y0 - y1)) AS c FROM q),
+      -- A point in this frame, then in that of the corners (0, 3.05), (10, 3.05), (10, 16.95) and (0, 16.95), where the fourth is the first less the second plus the third.
+      f AS (SELECT *, (px * (y1 - y2) - x1 * (py - y2) + x2 * (py - y1)) / a AS u, (x0 * (py - y2) - px * (y0 - y2) + x2 * (y0 - py)) / b AS v, (x0 * (y1 - py) - x1 * (y0 - py) + px * (y0 - y1)) / c AS t FROM w),
+      m AS (SELECT *, (10 * -v + 10 * t) / (u - v + t) AS x, (3.05::DOUBLE * (u - v) + 16.95::DOUBLE * t) / (u - v + t) AS y FROM f),
+      -- The near right corner of the court, (10, 20), is 0 * first + (16.95 - 20) / 13.9 * second + (20 - 3.05) / 13.9 * third; back with the weights.
+      n AS (SELECT *, -((16.95::DOUBLE - 20) / 13.9::DOUBLE) * b AS k1, ((20 - 3.05::DOUBLE) / 13.9::DOUBLE) * c AS k2 FROM m)
+      SELECT p_partkey, round_even(x, 6) AS x, round_even(y, 6) AS y, px, py, round_even((k1 * x1 + k2 * x2) / (k1 + k2), 4) AS near_x, round_even((k1 * y1 + k2 * y2) / (k1 + k2), 4) AS near_y FROM n""",
     "longest_shots": f"""WITH {SHOT} SELECT video_key, shot_id, duration, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY duration DESC, shot_id) AS r FROM shot) WHERE r <= 6""",
     "calibration_times": f"""WITH {SHOT}, k AS (SELECT *, least(8, greatest(1, floor(duration / 60))) AS k FROM shot)
       SELECT video_key, shot_id, CAST(i AS INT) AS i, round_even("start" + (i + 0.5) * duration / k, 6) AS t FROM k, range(8) t(i) WHERE i < k""",
@@ -389,7 +400,7 @@ ORACLES: dict[str, str] = {
       b AS (SELECT video_key, CAST(round_even((y1 + y2) / 20, 0) AS INT) AS bin, sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) AS total, max(greatest(x1, x2)) - min(least(x1, x2)) AS width FROM s GROUP BY 1, 2)
       SELECT video_key, bin, width FROM (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY round(total, 6) DESC, bin DESC) AS r FROM b) WHERE r = 1""",
     "row_extents": """WITH s AS (SELECT l_orderkey // 500 AS video_key, l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_suppkey % 90 + 1 AS x2, (l_partkey % 500 + l_suppkey % 4)::DOUBLE AS y2 FROM lineitem)
-      SELECT video_key, min(least(x1, x2)) AS "left", max(greatest(x1, x2)) AS "right" FROM s WHERE abs(degrees(atan2(y2 - y1, x2 - x1))) < 4 AND abs((y1 + y2) / 2 - 250) <= 8 GROUP BY 1""",
+      SELECT video_key, min(least(x1, x2)) AS "left", max(greatest(x1, x2)) AS "right" FROM s WHERE abs(degrees(atan2(y2 - y1, x2 - x1))) < 4 AND abs((y1 + y2) / 2 - (245 + video_key % 10)) < 8 GROUP BY 1""",
     "sound_onsets": """WITH e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_id * 1000 + value AS value FROM events),
       r AS (SELECT key, i, greatest(0, coalesce(value - lag(value) OVER (PARTITION BY key ORDER BY i), 0)) AS rise FROM e)
       SELECT key, i, round_even(rise / (median(rise) OVER (PARTITION BY key) + 1e-9), 4) AS v FROM r""",

@@ -403,8 +403,26 @@ def court_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def court_line_rows(spark: SparkSession, sf: str) -> DataFrame:
-    seg = table(spark, sf, "lineitem").selectExpr("l_orderkey div 750 AS video_key", "cast(l_partkey % 400 AS double) AS row", "l_quantity AS length")
-    return stats.line_row(seg).select("video_key", "row", F.bround("total", 4).alias("total"))
+    pieces = _line_pieces(spark, sf)
+    expected = pieces.select("video_key").distinct().selectExpr("video_key", "200D + video_key % 100 AS v", "150D AS lo", "350D AS hi")
+    return court.line_rows(pieces, expected).select("video_key", "row", F.bround("total", 4).alias("total"))
+
+
+@query
+def court_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps through four corners, the corners of the court and the way there and back."""
+    point = lambda a, b: f"named_struct('x', cast({a} AS double), 'y', cast({b} AS double))"
+    p = table(spark, sf, "part").selectExpr(
+        "p_partkey",
+        "array(" + ", ".join([point("400 + p_partkey % 61", "200 + p_size % 7"), point("880 - p_partkey % 53", "203 + p_partkey % 5"), point("1150 + p_size", "600 + p_partkey % 37"), point("130 - p_size", "590 + p_partkey % 41")]) + ") AS corners",
+        "500D + p_partkey % 211 AS px", "300D + p_partkey % 97 AS py",
+    )
+    m = court.fit_maps(p).withColumn("image", court.image_corners())
+    x, y = court.mapped("h", F.col("px"), F.col("py"))
+    m = m.withColumns({"x": x, "y": y})
+    bx, by = court.mapped(court.inverse(court.nine(F.col("h"))), F.col("x"), F.col("y"))
+    return m.select("p_partkey", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"), F.bround(bx, 5).alias("px"), F.bround(by, 5).alias("py"),
+                    F.bround(F.col("image")[2]["x"], 4).alias("near_x"), F.bround(F.col("image")[2]["y"], 4).alias("near_y"))
 
 
 def _shots(spark: SparkSession, sf: str) -> DataFrame:
@@ -481,7 +499,8 @@ def net_widths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def row_extents(spark: SparkSession, sf: str) -> DataFrame:
-    return media.row_extent(_line_pieces(spark, sf), 250.0)
+    pieces = _line_pieces(spark, sf)
+    return court.row_extents(pieces, pieces.select("video_key").distinct().selectExpr("video_key", "245D + video_key % 10 AS row"))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="matchgrid-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/matchgrid/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared checkpoint folder and rereads it.
+
+    Cuts the lineage at a table all executors can read after any loss. Tables
+    named in ``instead_of`` are not read any more and go.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    for old in instead_of:
+        drop_folder(spark, old.matchgrid_folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.matchgrid_folder = path
+    return out
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder made by this job, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application.
+
+    Results are lazy and read some of them, so this is for when all results
+    have been written.
+    """
+    drop_folder(spark, work_folder(spark))

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import matchgrid
-from matchgrid.session import ensure_checkpoint_dir, table  # noqa: F401
+from matchgrid.session import drop_work, table, work_folder, written  # noqa: F401
 
 # Executors need no copy of this package: its functions travel with the plan.
 cloudpickle.register_pickle_by_value(matchgrid)
@@ -48,46 +47,14 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault("_matchgrid_worker", types.ModuleType("_matchgrid_worker")))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """Folder of this application's intermediate tables, below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/matchgrid/{spark.sparkContext.applicationId}"
-
-
 def materialize(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = (), large: bool = False) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared checkpoint folder and rereads it.
-
-    Cuts the lineage at a table all executors can read after any loss. Tables
-    named in ``instead_of`` are not read any more and go. After a ``large``
-    step the driver lets go of its shuffle files now, not when it next happens
-    to collect its garbage.
-    """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for old in instead_of:
-        drop_folder(spark, old.matchgrid_folder)
+    """``written``; after a ``large`` step the driver lets go of its shuffle files now, not when it next happens to collect its garbage."""
+    out = written(df, name, instead_of)
     if large:
-        spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out.matchgrid_folder = path
+        df.sparkSession._jvm.System.gc()
     return out
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder made by this job, on whatever file system it is."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_work(spark: SparkSession) -> None:
-    """Deletes all intermediate tables of this application.
-
-    Results are lazy and read some of them, so this is for when all results
-    have been written.
-    """
-    drop_folder(spark, work_folder(spark))
-
-
 #: Keys that count as hot, at most, and the least rows of one.
 HOT_KEYS, HOT_ROWS = 10_000, 200
 
@@ -100,13 +67,30 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], counts:
     their key by a shuffle, in which none is large.
     """
     keys = [key] if isinstance(key, str) else key
-    total = keyed.agg(F.sum(counts)).first()[0] or 0
-    hot = F.col(counts) > max(HOT_ROWS, total // HOT_KEYS)
+    total, most = keyed.agg(F.coalesce(F.sum(counts), F.lit(0)), F.coalesce(F.max(counts), F.lit(0))).first()
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= least:
+        return rows.join(keyed.drop(counts), keys)
+    hot = F.col(counts) > least
     head = F.broadcast(keyed.where(hot))
     rest = rows.join(F.broadcast(keyed.where(hot).select(*keys)), keys, "left_anti")
     return rows.join(head, keys).unionByName(rest.join(keyed.where(~hot), keys)).drop(counts)
 
 
+#: Rows of a list of keys (some 8 to 30 bytes each) that is broadcast, at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(keys: DataFrame) -> bool:
+    """Whether a written list of keys may be broadcast."""
+    return keys.count() <= BROADCAST_ROWS
+
+
+def among(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Rows that are (``left_anti``: are not) in a written list of keys; only beyond a bound do the rows move for it."""
+    return rows.join(F.broadcast(keys) if few(keys) else keys, on, how)
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, cast; extra columns never clash."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])

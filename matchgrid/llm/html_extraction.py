@@ -7,9 +7,13 @@ are kept, at the lowest level where it has any, and their blocks, minus
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments), make up the text in page order. Tags and roles decide
 on furniture; names in class and id are only a penalty: a named element is
-scored on its own, and goes unless it is or holds the best container. A sibling
-goes besides if most of its text is links, or if it is a plain box with less
-text than a paragraph.
+scored on its own. Outside the article around the best container (or, without
+one, outside the container and its siblings) it goes; inside, headings, ids and
+sections are often named after their subject, so names decide there only where
+they cannot mean it (``goes``), or where most of the text is links. A sibling
+that is mostly links or a copyright line goes as a menu, unless it is a list under a heading or a
+text, and so does, directly below the body, a plain box with less text than a
+paragraph.
 
 One row in, one row out, no shuffle; memory follows one batch of pages.
 
@@ -73,6 +77,15 @@ CLOSED_BY = {
 SCOPE = frozenset("ul ol dl table div article section main body html blockquote td th".split())
 SPACE = re.compile(r"[\s ]+")
 WORDS = re.compile(r"[A-Za-z]+")
+#: Those of them that a section, heading or paragraph of an article is hardly named after.
+STRONG_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored nav navbar breadcrumb breadcrumbs sidebar "
+    "comment comments commentlist disqus respond cookie cookies consent gdpr newsletter subscribe signup masthead "
+    "toolbar pagination pager widget popup modal banner paywall footer".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that go inside an article only by a strong name that stands alone.
+TEXTS = frozenset("p li dl dt dd pre blockquote figure figcaption table tr td th details section ol".split())
 #: Words before a name that says what an element has or lacks, not what it is.
 HAVING = frozenset("has have having no not non with without hide show".split())
 #: Words beside "header" for the head of an article.
@@ -83,6 +96,8 @@ ALL_NAMED, PART_NAMED = 0.05, 0.3
 PARAGRAPH = 25
 #: Elements that are content by their kind, however short.
 CONTENT_TAGS = frozenset("article main section p h1 h2 h3 h4 h5 h6 hgroup header ul ol dl table pre blockquote figure details".split())
+#: How a footer of its own begins.
+COPYRIGHT = re.compile(r"\s*(?:©|&copy;|&#169;|\(c\)|copyright\b)", re.I)
 #: Parts of run-together names that mark furniture.
 FURNITURE_PARTS = re.compile(r"comment|sidebar|advert|cookie|newsletter|breadcrumb|sponsor|disqus|navigation")
 
@@ -175,25 +190,58 @@ def is_furniture(node: Node) -> bool:
     return False
 
 
-def name_weight(token: str) -> float:
-    """What a class token or id leaves of an element's points."""
+def furniture_words(token: str) -> tuple[list[str], list[str]]:
+    """The words of a class token or id, and those of them that mark furniture."""
     words = WORDS.findall(token)
     for i, w in enumerate(words):
         if w in HAVING:
             words = words[:i]
             break
     marks = [w for w in words if w in FURNITURE_NAMES or FURNITURE_PARTS.search(w)]
-    if not marks or (marks == ["header"] and not CONTENT_WORDS.isdisjoint(words)):
-        return 1.0
-    return ALL_NAMED if all(w in FURNITURE_NAMES for w in words) else PART_NAMED
+    return words, [] if marks == ["header"] and not CONTENT_WORDS.isdisjoint(words) else marks
+
+
+def names(node: Node) -> list[tuple[str, str]]:
+    """Pairs of "class" or "id" and a single name."""
+    found = [(k.lower(), v.strip("\"'").lower()) for k, v in ATTRIBUTE.findall(node.attrs)]
+    return [(k, t) for k, v in found if k in ("class", "id") for t in v.split()]
 
 
 def names_weight(node: Node) -> float:
-    """The same of all names of an element; 1 if none marks furniture."""
+    """What an element's names leave of its points; 1 if none marks furniture."""
     if not node.attrs or node.tag in ("article", "main"):
         return 1.0
-    values = [v.strip("\"'").lower() for name, v in ATTRIBUTE.findall(node.attrs) if name.lower() in ("class", "id")]
-    return min((name_weight(t) for v in values for t in v.split()), default=1.0)
+    least = 1.0
+    for _, token in names(node):
+        words, marks = furniture_words(token)
+        if marks:
+            least = min(least, ALL_NAMED if all(w in FURNITURE_NAMES for w in words) else PART_NAMED)
+    return least
+
+
+def goes(node: Node) -> bool:
+    """Whether a named element inside the article is furniture nevertheless.
+
+    A heading never is. Others are if most of their text is links, or by a strong name
+    that stands alone; boxes also by a class that is a furniture word, or a
+    strong word beside others. An id counts only on boxes and sections.
+    """
+    if node.tag in HEADINGS:
+        return False
+    if density(node) >= 0.5:
+        return True
+    for kind, token in names(node):
+        words, marks = furniture_words(token)
+        if not marks:
+            continue
+        alone = len(marks) == len(words)
+        strong = any(w in STRONG_NAMES or FURNITURE_PARTS.search(w) for w in marks)
+        if node.tag in TEXTS:
+            if alone and strong and (kind == "class" or node.tag == "section"):
+                return True
+        elif strong or (alone and kind == "class"):
+            return True
+    return False
 
 
 def walk(root: Node) -> list[Node]:
@@ -279,25 +327,33 @@ def blocks(node: Node) -> list[str]:
 
 
 def beside(container: Node) -> Node:
-    """The container with its siblings, as an element of its own; menus and stray bits are left out."""
+    """The container with its siblings, as an element of its own, without menus."""
     out = Node("div")
     inline: list[Node | str] = []
+    body = container.up.up is None
 
     def take(kids: list[Node | str]) -> None:
-        """A run of inline text counts as a paragraph if it is one."""
+        """A run of inline text counts as a paragraph if it is one; below the body that takes some length."""
         size = sum(len(k.strip()) if isinstance(k, str) else k.size for k in kids)
         linked = sum(k.linked for k in kids if not isinstance(k, str))
-        if size >= PARAGRAPH and 2 * linked < size:
+        if size >= (PARAGRAPH if body else 1) and 2 * linked < size:
             out.kids.append(Node("p"))
             out.kids[-1].kids = kids
 
+    def menu(k: Node) -> bool:
+        """Mostly links, or a short copyright line; a list right under a heading or text is one of sources or the like."""
+        if k.size < PARAGRAPH and k.tag not in CONTENT_TAGS and COPYRIGHT.match("".join(x for x in k.kids if isinstance(x, str))):
+            return True
+        under = bool(out.kids) and out.kids[-1].tag in HEADINGS | {"p"}
+        return density(k) >= 0.5 and not (k.tag in ("ul", "ol", "dl") and under)
+
     for k in container.up.kids:
         if isinstance(k, str) or (k.tag not in BLOCK and k is not container):
             inline.append(k)
             continue
         take(inline)
         inline = []
-        if k is container or (not k.skip and density(k) < 0.5 and (k.tag in CONTENT_TAGS or k.size >= PARAGRAPH)):
+        if k is container or (not k.skip and not menu(k) and (not body or k.tag in CONTENT_TAGS or k.size >= PARAGRAPH)):
             out.kids.append(k)
     take(inline)
     return out
@@ -316,18 +372,22 @@ def main_text(html: str | None) -> str:
         best = max((x for x in nodes if x.weight == 1), key=lambda x: x.score * (1 - density(x)), default=root)
     if best.score <= 0:
         best = root
-    # What is named as furniture goes, but for the elements around the best container.
     around, up = set(), best
     while up is not None:
         around.add(id(up))
         up = up.up
-    for node in nodes:
-        node.skip = node.skip or (node.named and id(node) not in around)
     # The article or main element around the best container holds its heading.
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.up
     best = up if up is not None else best
+    # What is named as furniture goes, but for the elements around the best container.
+    inside = {id(best if up is not None else best.up or best)}
+    for node in nodes:  # parents first
+        if id(node.up) in inside:
+            inside.add(id(node))
+        if node.named and id(node) not in around:
+            node.skip = node.skip or id(node) not in inside or goes(node)
     # A wrapper that holds nothing else is no level of its own.
     while best.up is not None and best.tag != "main":
         found = beside(best)

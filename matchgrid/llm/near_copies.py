@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, map_arrow, materialize, utf8
+from .common import among, join_keyed, map_arrow, materialize, utf8
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -40,8 +40,8 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, FREQUENT = 16, 4
 #: Frequent shingles that travel with the plan at most (8 bytes each).
 MAX_FREQUENT = 100_000
-#: Shingles of several texts that are broadcast at most (8 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Pairs that share a copy of their first text when they are verified, about.
+TEXT_PAIRS = 256
 #: Members of a shingle that are compared with each other in one place, about.
 PART_ROWS = 4_096
 
@@ -138,10 +138,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 [pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"]
             )
 
-    both = pairs.join(texts.select(F.col("h").alias("v"), F.col("text").alias("y")), "v").join(
-        texts.select(F.col("h").alias("u"), F.col("text").alias("x")), "u"
-    )
-    return map_arrow(both, verify, "u long, v long")
+    # Only texts that are in a pair move; one that is in many pairs is there once for each part of them.
+    pairs = materialize(pairs, "near-pairs")
+    ends = materialize(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "h"), "near-ends")
+    own = materialize(among(texts, ends, "h"), "near-texts", instead_of=(ends,))
+    counts = materialize(pairs.groupBy("u").agg(F.count("*").alias("n_rows")), "near-counts")
+    parts = F.ceil(F.col("n_rows") / TEXT_PAIRS).cast("int")
+    dealt = join_keyed(pairs, counts.withColumn("parts", parts), "u").withColumn("part", F.pmod(F.hash("v"), F.col("parts"))).drop("parts")
+    first = counts.select(F.col("u"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    first = first.join(own.select(F.col("h").alias("u"), F.col("text").alias("x")), "u")
+    both = dealt.join(own.select(F.col("h").alias("v"), F.col("text").alias("y")), "v").join(first, ["u", "part"])
+    links = materialize(map_arrow(both.select("u", "v", "x", "y"), verify, "u long, v long"), "near-links", instead_of=(pairs, own, counts))
+    return links
 
 
 def near_copy_components(texts: DataFrame) -> DataFrame:
@@ -164,21 +172,20 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "n", "rest"])
 
     rows = map_arrow(texts.select("h", "text"), keys, "key long, h long, n long, rest long")
-    every = materialize(rows, "near-keys", large=True)
+    every = materialize(rows, "near-keys")
     # Most shingles are of one text only, and go first.
     again = every.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("key")
-    again = materialize(again, "near-again", large=True)
-    rows = every.join(F.broadcast(again) if again.count() <= BROADCAST_KEYS else again, "key", "left_semi")
-    rows = materialize(rows, "near-rows", instead_of=(every, again), large=True)
+    again = materialize(again, "near-again")
+    rows = materialize(among(every, again, "key"), "near-rows", instead_of=(every, again))
     heads = rows.groupBy("key").agg(F.min(F.struct("h", "n", "rest")).alias("head"), F.count("*").alias("n_rows"))
     heads = materialize(heads.where("n_rows > 1"), "near-heads")
-    members = materialize(join_keyed(rows, heads, "key"), "near-members", instead_of=(rows,), large=True)
+    members = materialize(join_keyed(rows, heads, "key"), "near-members", instead_of=(rows,))
     share = SIMILARITY / (1 + SIMILARITY)
     sized = F.least("n", "head.n") >= SIMILARITY * F.greatest("n", "head.n") - 1e-9
     sized &= F.least("rest", "head.rest") >= share * (F.col("n") + F.col("head.n")) - 1e-9
     stars = members.where((F.col("h") != F.col("head.h")) & sized).select(F.col("head.h").alias("u"), F.col("h").alias("v"))
     stars = materialize(stars.distinct(), "near-stars")
-    links = materialize(_verified(stars, texts), "near-links", large=True)
+    links = _verified(stars, texts)
     roots = connected_components(links).withColumnRenamed("node", "h")
     rest = members.join(roots, "h", "left").select("key", "n", "h", "rest", F.coalesce("root", "h").alias("root"))
     rest = materialize(rest, "near-rest", instead_of=(members,))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, map_arrow, materialize, picked, utf8
+from .common import among, join_keyed, map_arrow, materialize, picked, utf8
 from .components import connected_components
 from .near_copies import near_copy_components
 
@@ -179,9 +179,9 @@ def components(fps: DataFrame) -> DataFrame:
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("keep"), F.count("*").alias("n_rows"))
     classes = materialize(classes, "simhash-classes")
     roots = connected_components(near_fingerprints(classes.select("fp")))
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    low = linked.groupBy("root").agg(F.min("component_id").alias("low"), F.min("keep").alias("low_keep"))
-    named = linked.join(low, "root").select("fp", "low", "low_keep")
+    linked = materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp"), "simhash-linked")
+    low = linked.groupBy("root").agg(F.min("component_id").alias("low"), F.min("keep").alias("low_keep"), F.count("*").alias("n_fps"))
+    named = join_keyed(linked, low, "root", "n_fps").select("fp", "low", "low_keep")
     return classes.join(named, "fp", "left").select(
         "fp",
         F.coalesce("low", "component_id").alias("component_id"),
@@ -194,23 +194,41 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     fps = materialize(fingerprints(docs), "simhash")
     # Copies share a fingerprint, so some fingerprints have very many rows.
-    named = materialize(components(fps).drop("keep"), "simhash-components", large=True)
+    named = materialize(components(fps).drop("keep"), "simhash-components")
     return join_keyed(fps, named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+#: Columns by which a row is told apart: its id (0 if null), whether that is null, and the hash of its text.
+ROW = ["__id", "__none", "__h"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    number = F.col("doc_id").cast("long")
+    return docs.withColumns({"__id": F.coalesce(number, F.lit(0)), "__none": number.isNull(), "__h": F.xxhash64(F.col("text").cast("string"))})
+
+
 def one_per_component(docs: DataFrame) -> DataFrame:
     """One document of each component: the one of the smallest id.
 
-    Of rows that repeat both id and text one stays; columns as they came.
+    Of rows that repeat both id and text one stays; columns as they came. Only
+    lists of rows to leave out are made, and most rows never move.
     """
     fps = materialize(fingerprints(docs), "simhash")
-    kept = components(fps).select("keep").distinct().select("keep.doc_id", "keep.h")
-    kept = kept.withColumnsRenamed({"doc_id": "__doc", "h": "__hash"})
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
-    found = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")), "left_semi")
-    return found.dropDuplicates(["__id", "__h"]).drop("__id", "__h")
+    named = materialize(components(fps).select("fp", "keep", "n_rows"), "simhash-components")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    placed = join_keyed(fps, named, "fp")
+    listed = placed.select(
+        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("h").alias("__h"), row.eqNullSafe(F.col("keep")).alias("stays")
+    )
+    listed = materialize(listed.groupBy(*ROW).agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"), "simhash-lists", instead_of=(fps, named))
+    keyed = _keyed(docs)
+    out = among(keyed, listed.select(*ROW), ROW, "left_anti")
+    again = listed.where("stays").select(*ROW)
+    if not again.isEmpty():
+        out = out.unionByName(among(keyed, again, ROW).dropDuplicates(ROW))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
@@ -219,13 +237,14 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     Near copies have five-word shingles of Jaccard similarity 0.8, directly or
     through others; the one of the smallest id stays. Columns as they came.
     """
-    left = materialize(one_per_component(docs), "simhash-kept", large=True)
-    keyed = left.withColumns({"__id": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
+    left = one_per_component(docs)
+    keyed = _keyed(left)
     # Equal texts are one component, so each text is there once.
     texts = keyed.select(F.col("__h").alias("h"), F.col("text").cast("string").alias("text"))
-    place = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__h").alias("h"))
-    placed = near_copy_components(texts).join(keyed.select("__h", place.alias("place")), F.col("node") == F.col("__h"))
-    placed = materialize(placed.select("root", "place"), "near-places")
-    stays = placed.groupBy("root").agg(F.min("place").alias("first"))
-    gone = placed.join(stays, "root").where("place <> first").select(F.col("place.h").alias("__h"))
-    return keyed.join(gone, "__h", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(F.col("__none").alias("no_id"), F.col("__id").alias("id"), F.col("__h").alias("h"))
+    found = materialize(near_copy_components(texts), "near-found")
+    own = among(keyed.select("__h", place.alias("place")), found.select(F.col("node").alias("__h")), "__h")
+    placed = materialize(own.join(found, F.col("node") == F.col("__h")).select("root", "place"), "near-places", instead_of=(found,))
+    stays = placed.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("n_rows"))
+    gone = materialize(join_keyed(placed, stays, "root").where("place <> first").select(F.col("place.h").alias("__h")), "near-gone", instead_of=(placed,))
+    return among(keyed, gone, "__h", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -387,3 +387,73 @@ def test_lines_one_word_apart(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
     assert got == {n: line if root(n) == n else "" for n, line in enumerate(lines)}
+
+
+def test_html_names_never_drop_the_subject():
+    """Headings, ids and sections named after their subject stay; boxes named as furniture go."""
+    from matchgrid.llm.html_extraction import main_text
+
+    text = "A paragraph of the article that is long enough, with commas, to count as one."
+    stay = [
+        ('<h2 id="discussion">Discussion</h2>', ["Discussion"]),
+        ('<h3 id="search-methods">Search methods</h3>', ["Search methods"]),
+        ('<h2 id="search"><a href="#search">Search</a></h2>', ["Search"]),
+        (f'<section id="discussion"><p>{text}</p></section>', [text]),
+        (f'<section id="related-work"><h2>Related work</h2><p>{text}</p></section>', ["Related work", text]),
+        (f'<section class="social-impact"><p>{text}</p></section>', [text]),
+        (f'<div id="discussion"><p>{text}</p></div>', [text]),
+        ('<p class="form">The form of it.</p>', ["The form of it."]),
+        ('<p id="search">We searched.</p>', ["We searched."]),
+        ("<h2>Sources</h2><ul><li><a href=x>First source</a><li><a href=y>Second source</a></ul>", ["Sources", "First source", "Second source"]),
+        ("<div>By A. Writer</div>", ["By A. Writer"]),
+    ]
+    go = ['<div class="ad">Buy</div>', '<p class="advert">Buy it now</p>', '<section class="comments"><p>Reader: what a fine article, thank you, all.</p></section>',
+          '<section id="comments"><p>Reader: what a fine article, thank you, all.</p></section>', '<div class="share-box">Share this</div>'.replace("share-box", "share"),
+          '<ul class="social"><li>Post</ul>', '<div class="related-posts"><a href=x>Another article</a></div>', '<div id="newsletter-box">Your address</div>', '<li class="comment">Nice</li>']
+    for open_, close in (("<article>", "</article>"), ("<div class=page><div class=content>", "</div></div>"), ("<main>", "</main>")):
+        for html, want in stay:
+            page = f"<html><body><nav><a href=/>Home</a></nav>{open_}<p>{text}</p>{html}<p>{text}</p>{close}<footer>Foot</footer></body></html>"
+            assert main_text(page) == "\n\n".join([text, *want, text]), (open_, html)
+        for html in go:
+            page = f"<html><body><nav><a href=/>Home</a></nav>{open_}<p>{text}</p>{html}<p>{text}</p>{close}<footer>Foot</footer></body></html>"
+            assert main_text(page) == "\n\n".join([text, text]), (open_, html)
+
+
+def test_html_keeps_what_stands_beside_the_best_container():
+    """The best container lies below the wrapper: its short and linked siblings stay, a menu goes."""
+    from matchgrid.llm.html_extraction import main_text
+
+    long = "A paragraph of the article that is long enough, with commas, many, to count as one."
+    page = (
+        "<html><body><div id=wrap><div><a href=/>Home</a> <a href=/news>News</a></div><div>Short note</div>"
+        f"<div><p>{long}</p><p>{long}</p><p>{long}</p></div><h3>Sources</h3><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div></body></html>"
+    )
+    assert main_text(page) == "\n\n".join(["Short note", long, long, long, "Sources", "One", "Two"])
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    """A hub of many leaves beside chains and a second hub in the middle, with its links spread and not."""
+    from matchgrid.llm import common
+    from matchgrid.llm.components import connected_components
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    leaves = spark.range(20_000).select((F.lit(100_000) + F.col("id")).alias("u"), F.lit(50_000).cast("long").alias("v"))
+    more = spark.range(3_000).select(F.lit(7).cast("long").alias("u"), (F.col("id") + 1_000).alias("v"))
+    chain = spark.range(60).select((F.col("id") + 200_000).alias("u"), (F.col("id") + 200_001).alias("v"))
+    links = leaves.unionByName(more).unionByName(chain)
+    for one_task in (0, 1_000_000):
+        got = {r.root: r.n for r in connected_components(links, one_task).groupBy("root").agg(F.count("*").alias("n")).collect()}
+        assert got == {50_000: 20_001, 7: 3_001, 200_000: 61}
+
+
+def test_near_copies_without_ids(spark):
+    """Rows without an id take part; of a group the smallest id stays, of rows without one any."""
+    from matchgrid.llm.simhash import one_per_component, without_near_copies
+
+    words = " ".join(f"word{i}" for i in range(60))
+    near = words.replace("word30", "other")
+    rows = [(3, near, "x"), (None, words, "x"), (None, words, "y"), (8, "something else of quite other words", "x"), (8, "something else of quite other words", "x"), (None, None, "x"), (5, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in without_near_copies(docs).collect()) == [(3, near), (5, ""), (8, rows[3][1])]
+    assert one_per_component(docs).columns == docs.columns

@@ -61,17 +61,24 @@ class Wanted:
 
     def __init__(self, options: dict[str, str], column: str = "t"):
         self.column = column
-        self.low, self.high = float(options.get("start", "0")), float(options.get("end", "inf"))
+        self.low, self.high, self.closed = float(options.get("start", "0")), float(options.get("end", "inf")), False
         self.keys: set[str] | None = None
 
+    def rows(self, rate: float, n: int) -> tuple[int, int]:
+        """First and behind the last of the rows 0 .. n at ``i / rate`` that lie in the time asked for."""
+        first = min(n, max(0, ceil(self.low * rate - 1e-6)))
+        if self.high == float("inf"):
+            return first, n
+        behind = floor(self.high * rate + 1e-6) + 1 if self.closed else ceil(self.high * rate - 1e-6)
+        return first, max(first, min(n, behind))
+
     def push(self, filters: list[Filter]) -> None:
         for f in filters:
             if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == (self.column,):
                 self.low = max(self.low, float(f.value))
-            elif isinstance(f, LessThan) and f.attribute == (self.column,):
-                self.high = min(self.high, float(f.value))
-            elif isinstance(f, LessThanOrEqual) and f.attribute == (self.column,):
-                self.high = min(self.high, float(np.nextafter(float(f.value), np.inf)))
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and f.attribute == (self.column,) and float(f.value) < self.high:
+                self.closed = isinstance(f, LessThanOrEqual)
+                self.high = float(f.value)
             elif isinstance(f, EqualTo) and f.attribute == ("video_key",):
                 self.keys = {str(f.value)} if self.keys is None else self.keys & {str(f.value)}
 
@@ -131,9 +138,7 @@ class RawFramesReader(DataSourceReader):
         n = ceil(held * self.rate / self.fps) + 1
         while n and self.shown(n - 1) >= held:
             n -= 1
-        first = max(0, ceil(round(self.wanted.low * self.rate, 6)))
-        behind = n if self.wanted.high == float("inf") else min(n, ceil(round(self.wanted.high * self.rate, 6)))
-        return first, max(first, behind)
+        return self.wanted.rows(self.rate, n)
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []

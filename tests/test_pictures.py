@@ -308,7 +308,7 @@ def test_fit_of_maps(spark):
 
 
 def test_a_drawn_court_gives_its_map_back(spark):
-    corners = {"a": [(430, 180), (850, 180), (1180, 660), (100, 660)], "b": [(460, 150), (840, 165), (1120, 640), (160, 600)]}
+    corners = {"a": [(430, 180), (850, 180), (1180, 660), (100, 660)], "b": [(480, 150), (860, 150), (1120, 640), (60, 640)]}
     rows = [(k, 1280, 720, bytearray(drawn_court(c).tobytes())) for k, c in corners.items()]
     rows += [("hidden", 1280, 720, bytearray(drawn_court(corners["a"], hide_left=True).tobytes())), ("none", 1280, 720, bytearray(1280 * 720 * 3)), ("null", 1280, 720, None)]
     got = {r.video_key: r for r in calibration.calibrate(spark.createDataFrame(rows, "video_key string, width int, height int, pixels binary").repartition(3)).collect()}

@@ -72,37 +72,51 @@ def wrist_speed(poses: DataFrame) -> DataFrame:
     return p.select(*key, "frame", "speed", ratio.alias("ratio"), "arm")
 
 
-def track_players(detections: DataFrame, fps: float, reach: float = 2.5, speed: float = 8.0) -> DataFrame:
+#: Metres that a position may be from the last one, and metres a second more while a slot is unseen.
+REACH, SPEED = 2.5, 8.0
+
+Last = dict[int, tuple[float, float, int]]
+
+
+def follow(last: Last, frame: int, found: list[tuple[float, float, float]], fps: float, reach: float = REACH, speed: float = SPEED) -> list[tuple[int, float, float]]:
+    """``slot, x, y`` of the detections ``x, y, conf`` of one frame that continue the slots' last positions, which are moved on.
+
+    Either side of the net has two slots, and its two surest detections (of equal
+    ones the leftmost) take part. Where neither slot has a position yet they are ordered by x.
+    """
+    taken = []
+    for slots, side in (((0, 1), [p for p in found if p[1] < 10]), ((2, 3), [p for p in found if p[1] >= 10])):
+        places = [p[:2] for p in sorted(side, key=lambda p: (-p[2], p[0], p[1]))[:2]]
+        known = {s: last[s] for s in slots if s in last}
+        apart = lambda s, p: float(np.hypot(p[0] - known[s][0], p[1] - known[s][1])) if s in known else 1.0  # noqa: B023, E731
+        if known:
+            orders = [list(zip(o, places, strict=False)) for o in (slots, slots[::-1])]
+            pairs = min(orders, key=lambda o: sum(apart(s, p) for s, p in o))
+            pairs = [(s, p) for s, p in pairs if s not in known or apart(s, p) <= reach + speed * (frame - known[s][2]) / fps]
+        else:
+            pairs = list(zip(slots, sorted(places), strict=False))
+        for s, p in pairs:
+            last[s] = (*p, frame)
+            taken.append((s, *p))
+    return taken
+
+
+def track_players(detections: DataFrame, fps: float, reach: float = REACH, speed: float = SPEED) -> DataFrame:
     """``shot_id, frame, slot, x, y`` from detections ``shot_id, frame, x, y, conf``.
 
     Each side of the net has two slots. The two surest detections of a side are
     given to its slots so that the summed distance to the last positions is
     least; one that is farther than ``reach`` and ``speed`` times the unseen
     seconds is not taken. The first frame orders them by x. State runs along
-    the frames of one shot, which bounds a group.
+    the frames of one shot, which bounds a group; ``streaming.tracking`` is the same over a stream.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last: dict[int, tuple[float, float, int]] = {}
+        last: Last = {}
         out = []
-        for frame, rows in pdf.sort_values(["frame", "conf"], ascending=[True, False]).groupby("frame", sort=True):
-            for side, slots in ((rows["y"] < 10, (0, 1)), (rows["y"] >= 10, (2, 3))):
-                found = [(float(r.x), float(r.y)) for r in rows[side].head(2).itertuples()]
-                if not found:
-                    continue
-                if not any(s in last for s in slots):
-                    pairs = list(zip(slots, sorted(found), strict=False))
-                else:
-                    def cost(s: int, p: tuple[float, float]) -> float:
-                        return float(np.hypot(p[0] - last[s][0], p[1] - last[s][1])) if s in last else 1.0  # noqa: B023
-
-                    options = [list(zip(o, found, strict=False)) for o in (slots, slots[::-1])]
-                    pairs = min(options, key=lambda o: sum(cost(s, p) for s, p in o))
-                    limit = {s: reach + speed * (frame - last[s][2]) / fps for s in slots if s in last}
-                    pairs = [(s, p) for s, p in pairs if s not in last or cost(s, p) <= limit[s]]
-                for s, p in pairs:
-                    last[s] = (*p, frame)
-                    out.append((pdf["shot_id"].iloc[0], frame, s, *p))
+        for frame, rows in pdf.groupby("frame", sort=True):
+            found = list(zip(rows["x"].tolist(), rows["y"].tolist(), rows["conf"].tolist(), strict=True))
+            out += [(pdf["shot_id"].iloc[0], frame, *t) for t in follow(last, int(frame), found, fps, reach, speed)]
         return pd.DataFrame(out, columns=["shot_id", "frame", "slot", "x", "y"])
 
     return detections.groupBy("shot_id").applyInPandas(run, "shot_id long, frame long, slot int, x double, y double")

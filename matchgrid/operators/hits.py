@@ -133,7 +133,9 @@ def pose_measures(hits: DataFrame, poses: DataFrame) -> DataFrame:
     """
     wrist = lambda k: F.when(F.col("arm") == "right", F.get(k, F.lit(WRISTS[1]))).otherwise(F.get(k, F.lit(WRISTS[0])))
     near = hits.select("shot_id", "slot", F.col("frame").alias("at"), "arm", F.explode(F.expr("sequence(frame - 2, frame + 2)")).alias("frame"))
-    near = near.join(poses, ["shot_id", "slot", "frame"]).withColumn("w", wrist("kpts"))
+    # Only the wrists travel to the frames around the hits.
+    both = poses.select("shot_id", "slot", "frame", *[F.get("kpts", F.lit(k)).alias(f"w{k}") for k in WRISTS])
+    near = near.join(both, ["shot_id", "slot", "frame"]).withColumn("w", F.when(F.col("arm") == "right", F.col(f"w{WRISTS[1]}")).otherwise(F.col(f"w{WRISTS[0]}")))
     top = near.groupBy("shot_id", "slot", F.col("at").alias("frame")).agg(F.min(F.when(F.col("w.c") > 0.3, F.col("w.y"))).alias("top"))
     h = hits.join(poses.select("shot_id", "slot", "frame", "kpts"), ["shot_id", "slot", "frame"]).join(top, ["shot_id", "slot", "frame"])
     point = lambda k: F.get("kpts", F.lit(k))
@@ -162,71 +164,90 @@ def typed_hits(hits: DataFrame, poses: DataFrame, shots: DataFrame) -> DataFrame
     return stroke_by_pose(h).drop("first_t", "start", "dist", "first_in_shot", "since_start").withColumn("stroke_pose", F.col("stroke"))
 
 
-def _filled(xy: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """Points (frames, points, 2) with unsure ones on a line between the sure ones around; unknown for never sure."""
-    t, out = np.arange(len(xy)), np.full(xy.shape, np.nan)
-    for k in range(xy.shape[1]):
-        good = np.flatnonzero(ok[:, k])
-        if len(good):
-            out[:, k] = np.stack([np.interp(t, good, xy[good, k, c]) for c in (0, 1)], axis=1)
-    return out
+#: Left and right keypoint of each pair; an arm is wrist, elbow and shoulder.
+ARM = (WRISTS, ELBOWS, SHOULDERS)
 
 
-def features_of(kpts: np.ndarray, hit: dict) -> np.ndarray | None:
-    """The ``N_FEATURES`` values of a hit from the keypoints (31, 17, 3) around it; None if they say too little.
+def between_sure(values: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Series along the second axis, with unsure values on a line between the sure ones around.
 
-    Seen from behind and with the right hand: far players and left-handers are
-    mirrored. Centred at the hips and scaled by the body's height at the hit.
+    Before the first and behind the last sure value it is that value; a series
+    without any is unknown. ``values`` is (hits, frames, points, 2), ``sure`` has no last axis.
     """
-    ok = kpts[..., 2] > 0.3
-    if ok[BEFORE].sum() < 6:
-        return None
-    xy = _filled(kpts[..., :2], ok)
-    if hit["slot"] < 2:
-        xy[..., 0] *= -1
-    if hit["arm"] == "left":
-        xy[..., 0] *= -1
-        # Every left keypoint has its right one behind it.
-        xy[:, 1:] = xy[:, 1:].reshape(len(xy), 8, 2, 2)[:, :, ::-1].reshape(len(xy), 16, 2)
-    hips, ankles = xy[:, HIPS].mean(axis=1), xy[:, ANKLES].mean(axis=1)
-    centre, foot, head = hips[BEFORE], ankles[BEFORE], xy[BEFORE, NOSE]
-    if np.isnan(head).any():
-        head = xy[BEFORE, SHOULDERS].mean(axis=0)
-    scale = np.hypot(*(head - foot)) if not np.isnan(foot).any() else 2.2 * np.hypot(*(head - centre))
-    if np.isnan(centre).any() or not scale >= 10:
-        return None
-    points = np.stack([xy[:, WRISTS[1]], xy[:, ELBOWS[1]], xy[:, SHOULDERS[1]], xy[:, WRISTS[0]], xy[:, NOSE], hips, ankles], axis=1)
-    path = np.nan_to_num((points - centre) / scale)[::STEP].ravel()
-    lateral = 10 - hit["x"] if hit["slot"] < 2 else hit["x"]
-    heights = [float(hit["height"] == k) for k in ("low", "high", "head")]
-    context = [hit["dist_net"] / 10, lateral / 10, *heights, min(hit["speed"], 2.0), min(hit["evidence"], 20.0) / 10]
-    return np.concatenate([path, context]).astype(np.float32)
+    n = sure.shape[1]
+    at = np.arange(n)[None, :, None]
+    low = np.maximum.accumulate(np.where(sure, at, -1), axis=1)
+    high = np.minimum.accumulate(np.where(sure, at, n)[:, ::-1], axis=1)[:, ::-1]
+    none = (low < 0) & (high >= n)
+    low, high = np.where(low < 0, high, low), np.where(high >= n, low, high)
+    low, high = np.where(none, 0, low), np.where(none, 0, high)
+    part = np.where(high > low, (at - low) / np.maximum(high - low, 1), 0.0)[..., None]
+    ends = [np.take_along_axis(values, k[..., None], axis=1) for k in (low, high)]
+    return np.where(none[..., None], np.nan, ends[0] * (1 - part) + ends[1] * part)
+
+
+def swing_features(kpts: np.ndarray, hits: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all hits at once (hits, ``N_FEATURES``), and which hits' keypoints say enough.
+
+    kpts: (hits, 31, 17, 3), the frames around each hit. The picture is that of a right-handed player
+    seen from behind: of a left-hander the left arm counts as the right one, and one mirror, for the
+    hand or for the far side, is undone by the other. Centred at the hips and scaled
+    by the body's height at the hit.
+    """
+    n, left, far = len(kpts), hits["arm"] == "left", hits["slot"] < 2
+    hand = [np.where(left, pair[0], pair[1]) for pair in ARM]
+    fixed = [NOSE, *HIPS, *ANKLES, *SHOULDERS]
+    chosen = np.stack([*hand, np.where(left, WRISTS[1], WRISTS[0]), *(np.full(n, k) for k in fixed)], axis=1)
+    own = np.take_along_axis(kpts, chosen[:, None, :, None].astype(np.int64), axis=2)
+    xy = between_sure(own[..., :2], own[..., 2] > 0.3)
+    xy[..., 0] *= np.where(left ^ far, -1.0, 1.0)[:, None, None]
+    middle = lambda k: xy[:, :, k : k + 2].mean(axis=2)
+    hips, ankles, shoulders = middle(5), middle(7), middle(9)
+    centre, foot = hips[:, BEFORE], ankles[:, BEFORE]
+    head = np.where(np.isnan(xy[:, BEFORE, 4]), shoulders[:, BEFORE], xy[:, BEFORE, 4])
+    span = lambda a, b: np.hypot(a[:, 0] - b[:, 0], a[:, 1] - b[:, 1])
+    # Where no ankle is known the body is 2.2 times as high as its upper part.
+    tall = np.where(np.isnan(foot).any(axis=1), 2.2 * span(head, centre), span(head, foot))
+    usable = ((kpts[:, BEFORE, :, 2] > 0.3).sum(axis=1) >= 6) & ~np.isnan(centre).any(axis=1) & (tall >= 10)
+    points = np.concatenate([xy[:, :, :5], hips[:, :, None], ankles[:, :, None]], axis=2)[:, ::STEP]
+    with np.errstate(all="ignore"):  # of hits that are left out
+        path = np.nan_to_num((points - centre[:, None, None]) / tall[:, None, None, None]).reshape(n, -1)
+    context = [hits["dist_net"] / 10, np.where(far, 10 - hits["x"], hits["x"]) / 10, *(hits["height"] == k for k in ("low", "high", "head"))]
+    context += [np.minimum(hits["speed"], 2.0), np.minimum(hits["evidence"], 20.0) / 10]
+    return np.where(usable[:, None], np.concatenate([path, np.stack(context, axis=1)], axis=1), 0).astype(np.float32), usable
 
 
 def hit_features(hits: DataFrame, poses: DataFrame) -> DataFrame:
     """``key, features`` of the hits whose keypoints say enough.
 
-    The frames around a hit are named, those beyond the shot's ends by the
-    nearest that there is, so this is an equi-join with 31 rows a hit.
+    Hits and poses of a shot's slot, minutes of frames, meet once; the frames around a hit are slices of
+    one array. Beyond the shot's ends they are the nearest that there is; a frame
+    without a pose has no sure keypoint.
     """
     ends = poses.groupBy("shot_id").agg(F.max("frame").alias("last"))
-    h = hits.select(hit_key().alias("key"), "shot_id", "slot", "frame", "arm", "x", "dist_net", "height", "speed", "evidence").join(ends, "shot_id")
-    around = h.select("key", "shot_id", "slot", "last", F.posexplode(F.expr(f"sequence(frame - {BEFORE}, frame + {BEFORE})")).alias("o", "frame"))
-    around = around.withColumn("frame", F.least("last", F.greatest(F.lit(0), "frame"))).drop("last")
-    flat = poses.select("shot_id", "slot", "frame", F.flatten(F.transform("kpts", lambda k: F.array(k["x"], k["y"], k["c"]))).alias("k"))
-    rows = around.join(flat, ["shot_id", "slot", "frame"], "left").withColumn("k", F.coalesce("k", F.array_repeat(F.lit(0.0), 17 * 3)))
-    rows = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "k"))).alias("rows"))
-    rows = rows.select("key", F.flatten(F.transform("rows", lambda r: r["k"])).alias("k")).join(h.drop("shot_id", "frame", "last"), "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, found = [], []
-            kpts = b.column("k").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * BEFORE + 1, 17, 3)
-            for hit, k in zip(b.drop_columns(["k"]).to_pylist(), kpts, strict=True):
-                f = features_of(k, hit)
-                if f is not None:
-                    keys.append(hit["key"])
-                    found.append(f.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.float32()))], ["key", "features"])
-
-    return rows.mapInArrow(run, "key string, features array<float>")
+    columns = ["arm", "x", "dist_net", "height", "speed", "evidence"]
+    h = hits.select(hit_key().alias("key"), "shot_id", "slot", F.col("frame").cast("long").alias("frame"), *columns).join(ends, "shot_id")
+    flat = F.flatten(F.transform("kpts", lambda k: F.array(k["x"], k["y"], k["c"])))
+    p = poses.select("shot_id", "slot", F.col("frame").cast("long").alias("frame"), flat.alias("k")).where("frame >= 0 AND size(k) = 51")
+
+    def run(own: pa.Table, seen: pa.Table) -> pa.Table:
+        none = pa.table({"key": pa.array([], pa.string()), "features": pa.array([], pa.list_(pa.float32()))})
+        if not own.num_rows:
+            return none
+        last = int(own.column("last")[0].as_py())
+        dense = np.zeros((last + 1, 17, 3))
+        if seen.num_rows:
+            values = seen.column("k").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            dense[seen.column("frame").to_numpy()] = values.reshape(-1, 17, 3)
+        frame = own.column("frame").to_numpy()
+        found, keys = [], own.column("key").to_pylist()
+        for at in range(0, len(frame), 512):
+            part = slice(at, at + 512)
+            around = np.clip(frame[part, None] + np.arange(-BEFORE, BEFORE + 1), 0, last)
+            cells = {c: own.column(c).to_numpy(zero_copy_only=False)[part] for c in ("slot", *columns)}
+            values, usable = swing_features(dense[around], cells)
+            found += [(keys[at + k], values[k]) for k in np.flatnonzero(usable)]
+        return pa.table({"key": pa.array([k for k, _ in found], pa.string()), "features": pa.array([v for _, v in found], pa.list_(pa.float32()))}) if found else none
+
+    by = ("shot_id", "slot")
+    return h.groupBy(*by).cogroup(p.groupBy(*by)).applyInArrow(run, "key string, features array<float>")

@@ -25,27 +25,40 @@ def percent(c: str | Column) -> Column:
     return F.concat(F.format_string("%.0f", F.rint(c * 100)), F.lit(" %"))
 
 
+#: The facts of a video, and of a run, that a document holds, with their kinds.
+FACTS = {
+    "path": "string", "name": "string", "key": "string", "duration": "double", "width": "int", "height": "int", "native_fps": "double",
+    "has_audio": "boolean", "rotation": "int", "codec": "string", "pix_fmt": "string", "hdr": "boolean",
+}
+STATS = "struct<seconds: double, prompt_tokens: long, generation_tokens: long, peak_gb: double, finish_reason: string>"
+
+
 def build_document(videos: DataFrame, segments: DataFrame, frames: DataFrame, utterances: DataFrame, speech: DataFrame, models: dict[str, str]) -> DataFrame:
     """One document of ten keys for each video: ``video_key`` and ``document``.
 
-    videos: ``video_key, name, duration, fps, segment, language, summary``; the other
+    videos: ``video_key, name, duration, fps, segment, language, summary``, any other of ``FACTS``, and ``timings``, a map
+    of seconds by step; segments may have ``stats`` of their answer. What is not given is null, and timings are empty. The other
     tables carry the video's key. Lists are in order of their number or time.
     """
     by = "video_key"
+    given = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
     shown = frames.groupBy(by, "seg_id").agg(_ordered("frame", "t").alias("frames"))
-    segs = segments.join(shown, [by, "seg_id"], "left").withColumn("frames", F.coalesce("frames", F.expr("array()").cast("array<struct<frame:int,t:double>>")))
+    segs = segments.withColumn("stats", given(segments, "stats", STATS)).join(shown, [by, "seg_id"], "left")
+    segs = segs.withColumn("frames", F.coalesce("frames", F.expr("array()").cast("array<struct<frame:int,t:double>>")))
     parts = [
-        segs.groupBy(by).agg(_ordered("seg_id", "start", "end", "frames", "seen", "heard").alias("segments")),
+        segs.groupBy(by).agg(_ordered("seg_id", "start", "end", "frames", "seen", "heard", "stats").alias("segments")),
         utterances.groupBy(by).agg(_ordered("utt_id", "start", "end", "text").alias("transcript")),
         speech.groupBy(by).agg(_ordered("b", "e").alias("speech")),
     ]
     out = videos
     for p in parts:
         out = out.join(p, by, "left")
+    facts = [F.coalesce(given(videos, c, k), F.col(by).cast("string")).alias(c) if c == "key" else given(videos, c, k) for c, k in FACTS.items()]
+    timings = F.coalesce(given(videos, "timings", "map<string,double>"), F.create_map().cast("map<string,double>")).alias("timings")
     doc = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct("name", "duration").alias("video"), F.struct("fps", "segment").alias("config"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(*facts).alias("video"), F.struct("fps", "segment").alias("config"),
         F.struct(*[F.lit(v).alias(k) for k, v in models.items()]).alias("models"), F.struct("language", "speech").alias("audio"),
-        "transcript", "segments", "summary", F.create_map().cast("map<string,double>").alias("timings"), F.create_map().cast("map<string,string>").alias("extensions"),
+        "transcript", "segments", "summary", timings, F.create_map().cast("map<string,string>").alias("extensions"),
     )
     return out.select(by, doc.alias("document"))
 

@@ -106,20 +106,26 @@ def point_winners(states: DataFrame) -> DataFrame:
     return me.select("match", "ord", F.coalesce(point_winner("s", "n1"), point_winner("s", "n2")).cast("int").alias("winner"))
 
 
-def last_score(states: DataFrame, team_a: str = "A", team_b: str = "B") -> DataFrame:
-    """``match, line, story`` from the last valid state of each match."""
+def last_score(states: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+    """``match, line, story`` from the last valid state of each match.
+
+    teams: ``match, team_a, team_b``; without it, and for a match that is not in it, they are A and B.
+    """
     last = states.where(valid()).groupBy("match").agg(F.max_by(F.struct("games", "points"), "ord").alias("s"))
     last = last.select("match", "s.games", "s.points").withColumns(
         {"tb": tiebreak(), "sets": F.arrays_zip(F.col("games")[0].alias("a"), F.col("games")[1].alias("b"))}
     )
+    none = F.lit(None).cast("string")
+    last = last.withColumns({"team_a": none, "team_b": none}) if teams is None else last.join(teams.select("match", "team_a", "team_b"), "match", "left")
+    last = last.withColumns({"team_a": F.coalesce("team_a", F.lit("A")), "team_b": F.coalesce("team_b", F.lit("B"))})
     sets = F.array_join(F.expr("transform(sets, (g, i) -> concat('set ', i + 1, ': ', g.a, '-', g.b))"), " · ")
     now = F.concat(F.when(F.col("tb"), "tie-break ").otherwise("game "), F.col("points")[0], F.lit("-"), F.col("points")[1])
-    line = F.concat(F.lit(f"{team_a} vs {team_b} — "), sets, F.lit(" ("), now, F.lit(")"))
-    lead = lambda x, y: f"case when {x} > {y} then ' ({team_a} leads)' when {y} > {x} then ' ({team_b} leads)' else '' end"
+    line = F.concat(F.col("team_a"), F.lit(" vs "), F.col("team_b"), F.lit(" — "), sets, F.lit(" ("), now, F.lit(")"))
+    lead = lambda x, y: f"case when {x} > {y} then concat(' (', team_a, ' leads)') when {y} > {x} then concat(' (', team_b, ' leads)') else '' end"
     pa, pb = "cast(points[0] as int)", "cast(points[1] as int)"
     story = F.expr(
         "array_join(transform(sets, (g, i) -> case"
-        f" when i + 1 < size(sets) then concat('Set ', i + 1, ' won by ', if(g.a > g.b, '{team_a}', '{team_b}'), ' (', greatest(g.a, g.b), '-', least(g.a, g.b), ').')"
+        " when i + 1 < size(sets) then concat('Set ', i + 1, ' won by ', if(g.a > g.b, team_a, team_b), ' (', greatest(g.a, g.b), '-', least(g.a, g.b), ').')"
         f" when tb then concat('Set ', i + 1, ' at 6-6, tie-break: ', points[0], '-', points[1], if(tb, {lead(pa, pb)}, ''), '.')"
         f" else concat('Set ', i + 1, ' under way: ', g.a, '-', g.b, {lead('g.a', 'g.b')}, '.') end), ' ')"
     )

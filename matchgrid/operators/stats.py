@@ -144,37 +144,42 @@ def colour_word(r: str | Column, g: str | Column, b: str | Column) -> Column:
     return F.array_min(F.array(*ranked))["w"]
 
 
-def two_means(colours: DataFrame, rounds: int = 10) -> DataFrame:
-    """Two clusters of ``r, g, b``: seeds are the darkest and the brightest row, then
-    a fixed number of Lloyd rounds. One row: both centres. Centres travel as a
-    one-row table, so the rows are read once a round and nothing else moves."""
+def two_means(colours: DataFrame, by: tuple[str, ...] = ("match",), rounds: int = 10) -> DataFrame:
+    """Two clusters of ``r, g, b`` for each key: ``c0`` and ``c1``, the centres, one row a key.
+
+    Seeds are the darkest and the brightest row, then a fixed number of Lloyd
+    rounds. A round is a join with the centres and an aggregation with partial sums, so
+    the rows of a key, however many, need not meet in a task.
+    """
     bright = F.col("r") + F.col("g") + F.col("b")
     rgb = F.struct("r", "g", "b")
-    rows = colours.where("r is not null AND g is not null AND b is not null")
-    centre = rows.agg(F.min_by(rgb, F.struct(bright, rgb)).alias("c0"), F.max_by(rgb, F.struct(bright, rgb)).alias("c1"))
+    keys = list(by)
+    rows = colours.where("r is not null AND g is not null AND b is not null").select(*keys, "r", "g", "b")
+    centre = rows.groupBy(*keys).agg(F.min_by(rgb, F.struct(bright, rgb)).alias("c0"), F.max_by(rgb, F.struct(bright, rgb)).alias("c1"))
 
     def dist(c: str) -> Column:
         return F.sqrt(sum((F.col(x) - F.col(f"{c}.{x}")) ** 2 for x in "rgb"))
 
+    near1 = dist("c0") > dist("c1")
+    mean = lambda cond: F.struct(*[F.avg(F.when(cond, F.col(x))).alias(x) for x in "rgb"])
     for _ in range(rounds):
-        near1 = dist("c0") > dist("c1")
-        mean = lambda cond: F.struct(*[F.avg(F.when(cond, F.col(x))).alias(x) for x in "rgb"])
-        # The one row of centres is a bounded broadcast.
-        centre = rows.join(F.broadcast(centre)).agg(mean(~near1).alias("c0"), mean(near1).alias("c1"))
+        centre = rows.join(centre, keys).groupBy(*keys).agg(mean(~near1).alias("c0"), mean(near1).alias("c1"))
     return centre
 
 
-def team_votes(teams: DataFrame, seen: DataFrame) -> DataFrame:
-    """Colour votes of each team: a name part of four letters or more is a word, or
+def team_votes(teams: DataFrame, seen: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Colour votes of each team, within each key: a name part of four letters or more is a word, or
     the end, of an observed name. Observed names are cut to their suffixes, so
     this is an equi-join."""
+    keys = list(by)
     part = F.explode(F.filter(F.split("team", "[ /\\-]+"), lambda p: F.length(p) >= 4)).alias("part")
-    parts = teams.select("team", part).distinct()
+    parts = teams.select(*keys, "team", part).distinct()
     name = F.col("name")
     words = F.filter(F.split(name, " "), lambda x: F.length(x) >= 4)
     tails = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 3)), lambda i: F.substring(name, i, F.length(name)))
-    keys = seen.select("obs_id", "colour", F.explode(F.array_union(words, tails)).alias("part"))
-    return parts.join(keys, "part").select("team", "obs_id", "colour").distinct().groupBy("team", "colour").agg(F.count("*").alias("votes"))
+    named = seen.select(*keys, "obs_id", "colour", F.explode(F.array_union(words, tails)).alias("part"))
+    found = parts.join(named, [*keys, "part"]).select(*keys, "team", "obs_id", "colour").distinct()
+    return found.groupBy(*keys, "team", "colour").agg(F.count("*").alias("votes"))
 
 
 def to_court(x: Column, y: Column, h: list[float]) -> tuple[Column, Column]:

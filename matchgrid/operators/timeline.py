@@ -65,15 +65,18 @@ def heard_and_context(utterances: DataFrame, segments: DataFrame, size: float) -
     return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("heard", "context")})
 
 
-def filter_utterances(raw: DataFrame, speech: DataFrame, duration: float, bucket: float = 5.0) -> DataFrame:
+def filter_utterances(raw: DataFrame, speech: DataFrame, duration: float | DataFrame, bucket: float = 5.0) -> DataFrame:
     """Utterances with a word, cut to the video, that overlap detected speech enough.
 
+    duration: that of every video, or a table ``video_key, duration``.
+
     The overlap join goes through time buckets, so it is an equi-join; a pair
     that shares several buckets counts in the first of them only.
     """
-    u = raw.where(has_word("text")).select(
+    timed = raw.join(duration.select("video_key", "duration"), "video_key") if isinstance(duration, DataFrame) else raw.withColumn("duration", F.lit(duration))
+    u = timed.where(has_word("text")).select(
         "video_key", "utt_id", F.trim("text").alias("text"),
-        F.greatest(F.lit(0.0), "start").alias("start"), F.least(F.lit(duration), "end").alias("end"),
+        F.greatest(F.lit(0.0), "start").alias("start"), F.least("duration", "end").alias("end"),
     ).where("end > start")
 
     def buckets(b: str, e: str) -> Column:
@@ -97,16 +100,17 @@ def talk_time(speech: DataFrame) -> DataFrame:
     return speech.groupBy("video_key").agg(F.bround(F.sum(F.col("e") - F.col("b")), 3).alias("seconds"))
 
 
-def timeline_text(segments: DataFrame) -> DataFrame:
-    """One line per segment, joined in order, for a summary prompt."""
+def timeline_text(segments: DataFrame, by: tuple[str, ...] = ("video_key",), spans: bool = False) -> DataFrame:
+    """One line per segment, joined in order, for a summary prompt; with ``spans`` also ``start`` and ``end``."""
     line = F.concat(
         F.lit("["), clock("start"), F.lit("–"), clock("end"), F.lit("] SEEN: "),
         F.coalesce(F.nullif("seen", F.lit("")), F.lit("—")),
         F.when(F.col("heard") != "", F.concat(F.lit(" | HEARD: "), "heard")).otherwise(""),
     )
-    lines = segments.select("video_key", "seg_id", line.alias("line"))
+    lines = segments.select(*by, "seg_id", "start", "end", line.alias("line"))
     pairs = F.array_sort(F.collect_list(F.struct("seg_id", "line")))
-    return lines.groupBy("video_key").agg(F.array_join(F.transform(pairs, lambda p: p["line"]), "\n").alias("text"))
+    text = F.array_join(F.transform(pairs, lambda p: p["line"]), "\n").alias("text")
+    return lines.groupBy(*by).agg(text, *([F.min("start").alias("start"), F.max("end").alias("end")] if spans else []))
 
 
 def summary_chunks(segments: DataFrame, size: int = 40) -> DataFrame:

@@ -1,17 +1,18 @@
-"""The two analyses as a whole: a match from sounds and poses to its report, and a video from speech and pictures to its document."""
+"""The two analyses as a whole: matches from sounds and poses to their reports, and videos from speech and pictures to their documents."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.functions.scalars import clock, player_name, report_key, short_team
 from matchgrid.operators import decode, hits, learning, media, motion, report, score, stats, timeline
 from matchgrid.operators.hits import ANKLES, NOSE, WRISTS
-from matchgrid.session import ensure_checkpoint_dir
-from matchgrid.sources.labels import ask_model
+from matchgrid.session import work_folder, written
+from matchgrid.sources.answers import asked_once
 
 
 def wrist_columns(poses: DataFrame) -> DataFrame:
@@ -26,7 +27,8 @@ def find_hits(sounds: DataFrame, poses: DataFrame, tracks: DataFrame, shots: Dat
     """Typed hits from sounds (``shot_id, rate, samples``), poses and tracks of the rallies."""
     loud = hits.envelopes(sounds).withColumnRenamed("shot_id", "key")
     found = hits.onsets(media.onset_strength(loud))
-    speeds = motion.wrist_speed(wrist_columns(poses))
+    # The speeds are read for the candidates, the strongest slots and the hits.
+    speeds = written(motion.wrist_speed(wrist_columns(poses)), "wrist-speeds")
     return hits.typed_hits(hits.detect_hits(found, speeds, tracks, shots, fps), poses, shots)
 
 
@@ -47,37 +49,38 @@ def classified_hits(found: DataFrame, poses: DataFrame, model: dict, classes: li
     return out.withColumnsRenamed({"label": "stroke_clf", "prob": "clf_prob"})
 
 
-def team_sides(sides: DataFrame, centres: DataFrame, teams: list[str]) -> DataFrame:
-    """``shot_id, side, team`` from the mean colours of the sides and two colour centres, one for each team.
+def team_sides(sides: DataFrame, centres: DataFrame, shirts: DataFrame) -> DataFrame:
+    """``shot_id, side, team`` from the mean colours of the sides (``match, shot_id, side, r, g, b``).
 
-    The far side has the first team if that gives the smaller sum of
+    centres: the two colour centres of each match; shirts: ``match, pos, team``, the team of either
+    centre. The far side has the first team if that gives the smaller sum of
     distances; so it does where a colour is missing.
     """
     dist = lambda c: F.sqrt(sum((F.col(x) - F.col(f"{c}.{x}")) ** 2 for x in "rgb"))
-    # One row of centres.
-    d = sides.join(F.broadcast(centres)).select("shot_id", "side", dist("c0").alias("d0"), dist("c1").alias("d1"))
+    d = sides.join(centres, "match").select("match", "shot_id", "side", dist("c0").alias("d0"), dist("c1").alias("d1"))
     cost = lambda far, near: F.sum(F.when(F.col("side") == "far", F.col(far)).otherwise(F.col(near)))
     known = F.count("d0") == 2
-    order = d.groupBy("shot_id").agg(F.coalesce(known & (cost("d0", "d1") > cost("d1", "d0")), F.lit(False)).alias("swapped"))
+    order = d.groupBy("match", "shot_id").agg(F.coalesce(known & (cost("d0", "d1") > cost("d1", "d0")), F.lit(False)).alias("swapped"))
     both = F.explode(F.array(F.struct(F.lit("far").alias("side"), F.lit(0).alias("i")), F.struct(F.lit("near").alias("side"), F.lit(1).alias("i"))))
-    team = F.when((F.col("p.i") == 0) != F.col("swapped"), teams[0]).otherwise(teams[1])
-    return order.select("shot_id", "swapped", both.alias("p")).select("shot_id", "p.side", team.alias("team"))
+    placed = order.select("match", "shot_id", both.alias("p"), "swapped").select("match", "shot_id", "p.side", F.when(F.col("swapped"), 1 - F.col("p.i")).otherwise(F.col("p.i")).alias("pos"))
+    return placed.join(shirts, ["match", "pos"]).select("shot_id", "side", "team")
 
 
-def shirt_order(teams: list[str], readings: DataFrame, centres: DataFrame) -> list[str]:
-    """The teams in the order of the colour centres, as most readings ``obs_id, name, colour`` of shirts say.
+def shirt_order(teams: DataFrame, readings: DataFrame, centres: DataFrame) -> DataFrame:
+    """The teams ``match, pos, team`` in the order of their match's colour centres, as most readings of shirts say.
 
-    A reading speaks for the team whose player it names, and for the centre its
-    colour's RGB is nearer to; without a majority the order stays.
+    readings: ``match, obs_id, name, colour``. A reading speaks for the team whose player it names, and for the
+    centre its colour's RGB is nearer to; without a majority the order stays.
     """
-    spark = readings.sparkSession
-    votes = stats.team_votes(spark.createDataFrame([(t,) for t in teams], "team string"), readings)
-    palette = spark.createDataFrame([(w, *map(float, rgb)) for w, *rgb in stats.PALETTE], "colour string, r double, g double, b double")
+    votes = stats.team_votes(teams, readings, ("match",))
+    # The palette is a fixed list of colours.
+    palette = readings.sparkSession.createDataFrame([(w, *map(float, rgb)) for w, *rgb in stats.PALETTE], "colour string, r double, g double, b double")
     dist = lambda c: sum((F.col(x) - F.col(f"{c}.{x}")) ** 2 for x in "rgb")
-    near = palette.join(F.broadcast(centres)).select("colour", (dist("c0") > dist("c1")).cast("int").alias("near"))
-    cast = votes.join(near, "colour").select(F.lit(0).alias("match"), F.when(F.col("team") == teams[0], 0).otherwise(1).alias("team"), "near", F.explode(F.expr("sequence(1, cast(votes AS int))")))
-    order = media.order_teams(cast).first()
-    return teams[::-1] if order is not None and order.swapped else teams
+    seen = votes.join(F.broadcast(palette), "colour").join(centres, "match").join(teams, ["match", "team"])
+    cast = seen.select("match", F.col("pos").alias("team"), (dist("c0") > dist("c1")).cast("int").alias("near"), F.explode(F.expr("sequence(1, cast(votes AS int))")))
+    order = media.order_teams(cast).select("match", "swapped")
+    pos = F.when(F.coalesce("swapped", F.lit(False)), 1 - F.col("pos")).otherwise(F.col("pos"))
+    return teams.join(order, "match", "left").select("match", pos.alias("pos"), "team")
 
 
 def named_players(tracks: DataFrame, sides: DataFrame) -> DataFrame:
@@ -91,42 +94,51 @@ def named_hits(found: DataFrame, players: DataFrame) -> DataFrame:
     return found.join(players.select("shot_id", "slot", "team", "player"), ["shot_id", "slot"]).withColumn("team_short", short_team("team")).drop("team")
 
 
-def score_text(state: Column, teams: list[str]) -> Column:
-    """One state as text: games and points of either team; empty where it was not read."""
-    side = lambda i: F.concat(F.lit(f"{teams[i]} "), F.array_join(state["games"][i].cast("array<string>"), " "), F.lit(" ["), state["points"][i], F.lit("]"))
-    return F.when(state.isNotNull(), F.concat_ws(" · ", side(0), side(1))).otherwise("")
+def score_text(state: Column) -> Column:
+    """One state as text: games and points of ``team_a`` and ``team_b``; empty where it was not read."""
+    side = lambda team, i: F.concat(F.col(team), F.lit(" "), F.array_join(state["games"][i].cast("array<string>"), " "), F.lit(" ["), state["points"][i], F.lit("]"))
+    return F.when(state.isNotNull(), F.concat_ws(" · ", side("team_a", 0), side("team_b", 1))).otherwise("")
 
 
-def rally_table(rallies: DataFrame, states: DataFrame, hits_: DataFrame, teams: list[str]) -> DataFrame:
-    """``video_key, shot_id, start, before, after, winner, n_hits`` of every rally.
+def team_pairs(teams: DataFrame) -> DataFrame:
+    """``match, team_a, team_b`` of teams ``match, pos, team``."""
+    one = lambda k, name: F.max(F.when(F.col("pos") == k, F.col("team"))).alias(name)
+    return teams.groupBy("match").agg(one(0, "team_a"), one(1, "team_b"))
+
+
+def rally_table(rallies: DataFrame, states: DataFrame, hits_: DataFrame, teams: DataFrame) -> DataFrame:
+    """``match, video_key, shot_id, start, before, after, winner, n_hits`` of every rally.
 
     states: ``match, shot_id, part`` (0 before, 1 after), ``games, points``, as read; they are one sequence
     in order of rally and part, of which only rows that fit their neighbours count.
     """
-    order = F.row_number().over(media.Window.partitionBy("match").orderBy("shot_id", "part")) - 1
+    order = F.row_number().over(Window.partitionBy("match").orderBy("shot_id", "part")) - 1
     kept = score.clean_sequence(states.withColumn("ord", order.cast("int"))).withColumn("s", F.when(F.col("kept"), F.struct("games", "points")))
     wide = kept.groupBy("match", "shot_id").agg(F.first(F.when(F.col("part") == 0, F.col("s")), True).alias("s"), F.first(F.when(F.col("part") == 1, F.col("s")), True).alias("e"))
-    nxt = F.lead("s").over(media.Window.partitionBy("match").orderBy("shot_id"))
-    wide = wide.withColumn("n", nxt)
+    nxt = F.lead("s").over(Window.partitionBy("match").orderBy("shot_id"))
+    wide = wide.withColumn("n", nxt).join(team_pairs(teams), "match")
     won = F.coalesce(score.point_winner("s", "e"), score.point_winner("s", "n"))
-    winner = F.when(won == 0, teams[0]).when(won == 1, teams[1])
-    points = wide.select(F.col("match").alias("video_key"), "shot_id", score_text(F.col("s"), teams).alias("before"), score_text(F.col("e"), teams).alias("after"), winner.alias("winner"))
+    winner = F.when(won == 0, F.col("team_a")).when(won == 1, F.col("team_b"))
+    points = wide.select("match", "shot_id", score_text(F.col("s")).alias("before"), score_text(F.col("e")).alias("after"), winner.alias("winner"))
     n = hits_.groupBy("shot_id").agg(F.count("*").alias("n_hits"))
-    out = rallies.join(points, ["video_key", "shot_id"], "left").join(n, "shot_id", "left")
-    return out.select("video_key", "shot_id", "start", "before", "after", "winner", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+    out = rallies.join(points, ["match", "shot_id"], "left").join(n, "shot_id", "left")
+    return out.select("match", "video_key", "shot_id", "start", "before", "after", "winner", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
 def analyse(
-    shots: DataFrame, sounds: DataFrame, poses: DataFrame, tracks: DataFrame, colours: DataFrame, states: DataFrame, teams: list[str], fps: float = 30.0,
+    shots: DataFrame, sounds: DataFrame, poses: DataFrame, tracks: DataFrame, colours: DataFrame, states: DataFrame, teams: DataFrame, fps: float = 30.0,
     answers: DataFrame | None = None, model: tuple[dict, list[str], bool] | None = None, readings: DataFrame | None = None, max_gap: int = 15,
 ) -> dict[str, DataFrame]:
-    """A match as tables: ``hits, players, stats, strokes, rallies, report``.
+    """Any number of matches as tables: ``hits, players, stats, strokes, rallies, report``.
 
-    shots: ``video_key, shot_id, start, end, kind, replay``; colours: ``shot_id, slot, r, g, b`` samples;
-    model: a fitted classifier, its classes and whether it is trusted; teams: as on the scoreboard; readings:
-    names and colours read from shirts, without which the first team has the darker ones. Shot ids are unique
-    over all videos, which are of one match.
+    shots: ``match, video_key, shot_id, start, end, kind, replay`` (without ``match`` each video is one);
+    colours: ``shot_id, slot, r, g, b`` samples; teams: ``match, pos, team``, 0 and 1 as on the scoreboard; model: a
+    fitted classifier, its classes and whether it is trusted; readings: ``match, obs_id, name, colour``, names and colours
+    read from shirts, without which the first team has the darker ones. Shot ids are unique over all
+    videos. A match without teams has no players; its sounds are analysed all the same.
     """
+    if "match" not in shots.columns:
+        shots = shots.withColumn("match", F.col("video_key"))
     rallies = shots.where(stats.is_rally())
     own = rallies.select("shot_id")
     poses, tracks = poses.join(own, "shot_id", "left_semi"), tracks.join(own, "shot_id", "left_semi")
@@ -135,47 +147,83 @@ def analyse(
         found = checked_hits(found, answers)
     if model is not None:
         found = classified_hits(found, poses, *model)
-    sides = media.side_colours(media.slot_colours(colours.join(own, "shot_id", "left_semi")))
-    centres = stats.two_means(sides)
+    video = rallies.select("shot_id", "match", "video_key")
+    sides = media.side_colours(media.slot_colours(colours.join(own, "shot_id", "left_semi"))).join(video.select("shot_id", "match"), "shot_id")
+    # Centres, hits and players feed several tables: each is worked out once.
+    sides = written(sides, "sides")
+    centres = written(stats.two_means(sides), "centres")
     shirts = teams if readings is None else shirt_order(teams, readings, centres)
-    players = named_players(tracks, team_sides(sides, centres, shirts))
-    video = rallies.select("shot_id", "video_key")
-    # Hits and players feed several tables: each is worked out once.
-    ensure_checkpoint_dir(shots.sparkSession)
-    players = players.checkpoint()
-    named = named_hits(found, players).join(video, "shot_id").checkpoint()
+    players = written(named_players(tracks, team_sides(sides, centres, shirts)), "players", instead_of=(sides, centres))
+    named = written(named_hits(found, players).join(video, "shot_id"), "hits")
     pieces = motion.smooth_tracks(tracks, max_gap).join(players.select("shot_id", "slot", "player"), ["shot_id", "slot"]).join(video, "shot_id")
-    per_player = stats.player_stats(pieces, fps, ("video_key", "player")).checkpoint()
-    strokes = named.groupBy("video_key", "player", report_key("stroke").alias("stroke")).agg(F.count("*").alias("n"))
+    per_player = written(stats.player_stats(pieces, fps, ("match", "player")), "player-stats")
+    strokes = named.groupBy("match", "player", report_key("stroke").alias("stroke")).agg(F.count("*").alias("n"))
     points = rally_table(rallies, states, named, teams)
-    seconds = rallies.groupBy("video_key").agg(F.count("*").alias("n_rallies"), F.sum(F.col("end") - F.col("start")).alias("rally_seconds"))
-    story = score.last_score(states.withColumn("ord", F.col("shot_id") * 2 + F.col("part")), *teams).select(F.col("match").alias("video_key"), F.col("line").alias("score"), "story")
-    meta = shots.groupBy("video_key").agg(F.count("*").alias("n_shots"), F.max("end").alias("duration")).join(seconds, "video_key").join(story, "video_key", "left")
-    meta = meta.withColumns({"title": F.col("video_key").cast("string"), "summary": F.lit(None).cast("string")})
+    seconds = rallies.groupBy("match").agg(F.count("*").alias("n_rallies"), F.sum(F.col("end") - F.col("start")).alias("rally_seconds"))
+    last = score.last_score(states.withColumn("ord", F.col("shot_id") * 2 + F.col("part")), team_pairs(teams)).select("match", F.col("line").alias("score"), "story")
+    meta = shots.groupBy("match").agg(F.count("*").alias("n_shots"), F.max("end").alias("duration")).join(seconds, "match").join(last, "match", "left")
+    meta = meta.withColumns({"title": F.col("match").cast("string"), "summary": F.lit(None).cast("string")})
     line = F.concat(F.lit("- "), clock("start"), F.lit(" "), F.coalesce(F.nullif("before", F.lit("")), F.lit("score not read")), F.lit(", "), F.col("n_hits").cast("string"), F.lit(" hits"), F.coalesce(F.concat(F.lit(", point for "), "winner"), F.lit("")))
-    names = meta.select("video_key", F.posexplode(F.array(*[F.lit(t) for t in teams])).alias("pos", "team")).withColumn("colour", F.lit(None).cast("string"))
-    text = report.match_report(meta, points, names, per_player, strokes, points.select("video_key", "start", line.alias("line")))
+    names = meta.select("match").join(teams, "match").withColumn("colour", F.lit(None).cast("string"))
+    by_match = lambda df: df.drop("video_key").withColumnRenamed("match", "video_key")
+    text = report.match_report(*map(by_match, (meta, points, names, per_player, strokes, points.select("match", "start", line.alias("line")))))
+    text = text.withColumnRenamed("video_key", "match")
     return {"hits": named, "players": players, "stats": per_player, "strokes": strokes, "rallies": points, "report": text}
 
 
+#: Segments that a summary is asked for at once.
+CHUNK = 40
+
+
+def summaries(segments: DataFrame, ask: Callable[[DataFrame], DataFrame], size: int = CHUNK) -> DataFrame:
+    """``video_key, summary``: of a video of more than ``size`` segments, chunks of so many are summarized first.
+
+    segments: ``video_key, seg_id, start, end, seen, heard``; ``ask`` answers prompts ``key, prompt``. The chunks of
+    all videos are asked for together, then the videos.
+    """
+    place = Window.partitionBy("video_key").orderBy("seg_id")
+    numbered = segments.withColumn("chunk", F.floor((F.row_number().over(place) - 1) / size).cast("int"))
+    texts = written(timeline.timeline_text(numbered, ("video_key", "chunk"), spans=True), "chunks")
+    long = texts.groupBy("video_key").agg(F.count("*").alias("n")).where("n > 1").select("video_key")
+    parts = texts.join(long, "video_key", "left_semi")
+    key = F.to_json(F.struct("video_key", "chunk"))
+    asked = parts.select("video_key", "chunk", "start", "end", key.alias("key"), F.concat(F.lit("Summarize this part ("), clock("start"), F.lit("–"), clock("end"), F.lit("):\n"), "text").alias("prompt"))
+    told = asked.join(ask(asked.select("key", "prompt")).select("key", "answer"), "key")
+    line = F.concat(F.lit("["), clock("start"), F.lit("–"), clock("end"), F.lit("] "), F.coalesce("answer", F.lit("")))
+    joined = told.select("video_key", "chunk", line.alias("line")).groupBy("video_key").agg(F.array_sort(F.collect_list(F.struct("chunk", "line"))).alias("l"))
+    joined = joined.select("video_key", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("text"))
+    whole = texts.join(long, "video_key", "left_anti").select("video_key", "text").unionByName(joined)
+    prompts = whole.select("video_key", F.to_json(F.struct("video_key")).alias("key"), F.concat(F.lit("Summarize this timeline:\n"), "text").alias("prompt"))
+    return prompts.join(ask(prompts.select("key", "prompt")).select("key", "answer"), "key").select("video_key", F.col("answer").alias("summary"))
+
+
 def describe(
     videos: DataFrame, utterances: DataFrame, speech: DataFrame, make_client: Callable[[], Callable[[str], str]], models: dict[str, str], fps: float = 1.0, size: float = 5.0,
+    store: str | None = None, chunk: int = CHUNK,
 ) -> dict[str, DataFrame]:
     """Videos as tables: ``segments`` with what was seen and heard, ``documents`` and ``markdown``.
 
-    videos: ``video_key, name, duration``. Each segment is asked for once, with what is heard around
-    it, and the summary is asked for the timeline of a video.
+    videos: ``video_key, name, duration`` and any facts of a probe report; utterances as they were
+    recognized, of which those with a word in detected speech count. Each segment that has a frame is asked
+    for once, with what is heard around it, and a summary of each video, of a long one by chunks.
+    Answers are written before anything is made of them, to ``store`` if that is given: what
+    is found there is not asked for again.
     """
+    spark = videos.sparkSession
+    folder = store or f"{work_folder(spark)}/answers-{uuid.uuid4().hex}"
+    ask = lambda prompts: asked_once(prompts, folder, make_client, models.get("vlm", ""))
+    kept = timeline.filter_utterances(utterances, speech, videos)
     segs = timeline.plan_segments(videos, size)
     grid = timeline.assign_frames(timeline.frame_grid(videos, fps), segs, size)
-    heard = timeline.heard_and_context(utterances, segs, size)
+    held = grid.groupBy("video_key", "seg_id").agg(F.count("*").alias("n_frames"))
+    heard = timeline.heard_and_context(kept, segs, size).join(held, ["video_key", "seg_id"])
     key = F.to_json(F.struct("video_key", "seg_id"))
-    prompts = heard.select(key.alias("key"), F.concat(F.lit("Describe what is seen. Heard at the same time: "), "context").alias("prompt"))
-    seen = ask_model(prompts, make_client).select("key", F.trim("answer").alias("seen"))
-    full = heard.withColumn("key", key).join(seen, "key", "left").drop("key")
-    lines = timeline.timeline_text(full)
-    summary = ask_model(lines.select(F.to_json(F.struct("video_key")).alias("key"), F.concat(F.lit("Summarize this timeline:\n"), "text").alias("prompt")), make_client)
-    told = videos.withColumn("key", F.to_json(F.struct("video_key"))).join(summary.select("key", F.col("answer").alias("summary")), "key", "left").drop("key")
+    around = F.when(F.col("context") != "", F.concat(F.lit("Heard at the same time: "), "context", F.lit("\n"))).otherwise("")
+    prompt = F.concat(F.lit("Describe what is seen in "), F.col("n_frames").cast("string"), F.lit(" frames of "), clock("start"), F.lit("–"), clock("end"), F.lit(".\n"), around)
+    full = written(heard.withColumn("key", key).withColumn("prompt", prompt), "segments")
+    seen = ask(full.select("key", "prompt")).select("key", F.trim("answer").alias("seen"))
+    full = written(full.join(seen, "key", "left").drop("key", "prompt", "n_frames"), "seen", instead_of=(full,))
+    told = videos.join(written(summaries(full, ask, chunk), "summaries"), "video_key", "left")
     told = told.withColumns({"fps": F.lit(fps), "segment": F.lit(size), "language": F.lit(None).cast("string")})
-    docs = report.build_document(told, full, grid, utterances, speech, models)
+    docs = report.build_document(told, full, grid, kept, speech, models)
     return {"segments": full, "documents": docs, "markdown": report.to_markdown(docs)}

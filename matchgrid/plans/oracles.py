@@ -9,7 +9,7 @@ utterance AS (SELECT video_key, utt_id, "start", "start" + 0.5::DOUBLE + (utt_id
 SEG = """seg AS (
   SELECT v.video_key, CAST(k AS INT) AS seg_id, k * 5.0::DOUBLE AS "start", least(k * 5.0::DOUBLE + 5, 720) AS "end"
   FROM (SELECT DISTINCT user_id AS video_key FROM events) v, range(144) t(k))"""
-HEARD = f"""{UTT}, {SEG},
+HEARD_OF = f"""{SEG},
 own AS (SELECT *, ("start" + "end") / 2 AS mid FROM utterance),
 heard AS (
   SELECT video_key, CAST(CASE WHEN mid >= 0 AND mid < 720 THEN floor(mid / 5) ELSE 143 END AS INT) AS seg_id,
@@ -21,6 +21,7 @@ context AS (
 heard_seg AS (
   SELECT s.video_key, s.seg_id, s."start", s."end", coalesce(heard, '') AS heard, coalesce(context, '') AS context
   FROM seg s LEFT JOIN heard USING (video_key, seg_id) LEFT JOIN context USING (video_key, seg_id))"""
+HEARD = f"{UTT}, {HEARD_OF}"
 VID = """vid AS (
   SELECT p_partkey AS video_key, p_size * 1.25::DOUBLE AS duration, CAST(320 + (p_partkey % 37) * 53 AS INT) AS width,
     CAST(240 + (p_partkey % 23) * 37 AS INT) AS height FROM part)"""
@@ -32,6 +33,18 @@ CLOCK = """CASE WHEN CAST(floor({t}) AS BIGINT) >= 3600
   ELSE printf('%02d:%02d', CAST(floor({t}) AS BIGINT) // 60, CAST(floor({t}) AS BIGINT) % 60) END"""
 
 
+#: What a stub of a model answers to each segment, chunk and video: the length of its prompt.
+SEEN = f"""{UTT.replace("utterance AS", "spoken AS")}, sp AS (SELECT video_key, "start" - 0.125 AS b, "start" + 2 AS e FROM spoken WHERE text IN ('view', 'click')),
+sounds AS (SELECT video_key, utt_id, text, "start" + 0.0003::DOUBLE AS b, least(720, "end" + 0.0003::DOUBLE) AS e FROM spoken WHERE "start" + 0.0003::DOUBLE < 720),
+utterance AS (
+  SELECT s.video_key, utt_id, round_even(s.b, 2) AS "start", round_even(s.e, 2) AS "end", text FROM sounds s LEFT JOIN sp ON sp.video_key = s.video_key AND sp.b < s.e AND sp.e > s.b
+  GROUP BY s.video_key, utt_id, s.b, s.e, text HAVING coalesce(sum(greatest(0, least(s.e, sp.e) - greatest(s.b, sp.b))) FILTER (sp.b IS NOT NULL), 0) >= least(0.2, (s.e - s.b) / 2)),
+{HEARD_OF},
+seen AS (
+  SELECT video_key, seg_id, "start", "end", heard, concat(length(concat('Describe what is seen in 5 frames of ', {CLOCK.format(t='"start"')}, '–', {CLOCK.format(t='"end"')}, '.', chr(10),
+    CASE WHEN context <> '' THEN concat('Heard at the same time: ', context, chr(10)) ELSE '' END)), ' characters') AS seen FROM heard_seg)"""
+
+
 def _cuts(name: str) -> str:
     return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY video_key) AS n FROM ({MOTION})),
 {name}_pad AS (
@@ -208,6 +221,12 @@ ORACLES: dict[str, str] = {
     "timeline_lines": f"""WITH {HEARD} SELECT video_key, string_agg(concat('[', {CLOCK.format(t='"start"')}, '–', {CLOCK.format(t='"end"')}, '] SEEN: ',
         coalesce(nullif(CASE WHEN seg_id % 3 = 0 THEN NULL ELSE context END, ''), '—'), ' | HEARD: ', heard), chr(10) ORDER BY seg_id) AS text
       FROM heard_seg WHERE heard <> '' GROUP BY 1""",
+    "segments_described": f"WITH {SEEN} SELECT video_key, seg_id, heard, seen FROM seen",
+    "summaries_described": f"""WITH {SEEN},
+      lines AS (SELECT video_key, seg_id // 40 AS chunk, min("start") AS a, max("end") AS e, string_agg(concat('[', {CLOCK.format(t='"start"')}, '–', {CLOCK.format(t='"end"')}, '] SEEN: ', seen,
+          CASE WHEN heard <> '' THEN concat(' | HEARD: ', heard) ELSE '' END), chr(10) ORDER BY seg_id) AS text FROM seen GROUP BY 1, 2),
+      parts AS (SELECT video_key, chunk, concat('[', {CLOCK.format(t="a")}, '–', {CLOCK.format(t="e")}, '] ', length(concat('Summarize this part (', {CLOCK.format(t="a")}, '–', {CLOCK.format(t="e")}, '):', chr(10), text)), ' characters') AS line FROM lines)
+      SELECT video_key, concat(length(concat('Summarize this timeline:', chr(10), string_agg(line, concat(chr(10), chr(10)) ORDER BY chunk))), ' characters') AS summary FROM parts GROUP BY 1""",
     "timeline_documents": f"WITH {HEARD} SELECT video_key, seg_id AS pos, seg_id, heard FROM heard_seg WHERE heard <> ''",
     "summary_chunks": f'WITH {SEG} SELECT video_key, CAST(seg_id // 40 AS INT) AS chunk, count(*) AS n, max("end") AS until FROM seg GROUP BY 1, 2',
     "model_plan": f"""WITH {VID}, a AS (SELECT *, least(1.0::DOUBLE, 640::DOUBLE / greatest(width, height)) AS s FROM vid),
@@ -324,13 +343,21 @@ ORACLES: dict[str, str] = {
       f AS (SELECT 0 AS part, row_number() OVER (ORDER BY sure, h, video, key) AS turn, stroke, video, key, h FROM t WHERE differs QUALIFY turn <= 20),
       r AS (SELECT 1 AS part, row_number() OVER (PARTITION BY stroke ORDER BY h, video, key) AS turn, stroke, video, key, h FROM t WHERE NOT differs)
       SELECT CAST(part AS INT) AS part, stroke, video, key FROM (SELECT * FROM f UNION ALL SELECT * FROM r) ORDER BY part, turn, stroke, h, video, key LIMIT 40""",
-    "colour_clusters": """WITH RECURSIVE p AS (SELECT CAST(p_partkey * 7 % 256 AS DOUBLE) AS r, CAST(p_partkey * 13 % 256 AS DOUBLE) AS g, CAST(p_size * 5 AS DOUBLE) AS b FROM part),
-      lo AS (SELECT * FROM p ORDER BY r + g + b, r, g, b LIMIT 1), hi AS (SELECT * FROM p ORDER BY r + g + b DESC, r DESC, g DESC, b DESC LIMIT 1),
-      c AS (SELECT 0 AS k, lo.r AS r0, lo.g AS g0, lo.b AS b0, hi.r AS r1, hi.g AS g1, hi.b AS b1 FROM lo, hi
+    "colour_clusters": """WITH RECURSIVE p AS (SELECT p_partkey % 9 AS match, CAST(p_partkey * 7 % 256 AS DOUBLE) AS r, CAST(p_partkey * 13 % 256 AS DOUBLE) AS g, CAST(p_size * 5 AS DOUBLE) AS b FROM part),
+      lo AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY match ORDER BY r + g + b, r, g, b) = 1), hi AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY match ORDER BY r + g + b DESC, r DESC, g DESC, b DESC) = 1),
+      c AS (SELECT 0 AS k, match, lo.r AS r0, lo.g AS g0, lo.b AS b0, hi.r AS r1, hi.g AS g1, hi.b AS b1 FROM lo JOIN hi USING (match)
         UNION ALL
-        SELECT k + 1, avg(r) FILTER (NOT one), avg(g) FILTER (NOT one), avg(b) FILTER (NOT one), avg(r) FILTER (one), avg(g) FILTER (one), avg(b) FILTER (one)
-        FROM (SELECT k, p.*, sqrt((r - r0) ** 2 + (g - g0) ** 2 + (b - b0) ** 2) > sqrt((r - r1) ** 2 + (g - g1) ** 2 + (b - b1) ** 2) AS one FROM c, p WHERE k < 10) GROUP BY k)
-      SELECT round_even(r0, 4) AS c0_r, round_even(g0, 4) AS c0_g, round_even(b0, 4) AS c0_b, round_even(r1, 4) AS c1_r, round_even(g1, 4) AS c1_g, round_even(b1, 4) AS c1_b FROM c WHERE k = 10""",
+        SELECT k + 1, match, avg(r) FILTER (NOT one), avg(g) FILTER (NOT one), avg(b) FILTER (NOT one), avg(r) FILTER (one), avg(g) FILTER (one), avg(b) FILTER (one)
+        FROM (SELECT k, p.*, sqrt((r - r0) ** 2 + (g - g0) ** 2 + (b - b0) ** 2) > sqrt((r - r1) ** 2 + (g - g1) ** 2 + (b - b1) ** 2) AS one FROM c JOIN p USING (match) WHERE k < 10) GROUP BY k, match)
+      SELECT match, round_even(r0, 4) AS c0_r, round_even(g0, 4) AS c0_g, round_even(b0, 4) AS c0_b, round_even(r1, 4) AS c1_r, round_even(g1, 4) AS c1_g, round_even(b1, 4) AS c1_b FROM c WHERE k = 10""",
+    "pixel_signals": """WITH f AS (SELECT vec_id // 128 AS video_key, vec_id AS frame, [CAST(least(255, greatest(0, floor(CAST(x AS DOUBLE) * 400 + 128))) AS INT) FOR x IN embedding[1:63]] AS p FROM embeddings),
+      c AS (SELECT video_key, frame, unnest([(p[3 * i + 1] >> 5) * 64 + (p[3 * i + 2] >> 5) * 8 + (p[3 * i + 3] >> 5) FOR i IN range(21)]) AS c FROM f),
+      h AS (SELECT video_key, frame, c, count(*) / 21 AS n FROM c GROUP BY 1, 2, 3),
+      d AS (SELECT video_key, frame, sum(abs(n)) / 2 AS dist FROM (SELECT video_key, frame, c, sum(n) AS n FROM (SELECT * FROM h UNION ALL SELECT video_key, frame + 1, c, -n FROM h) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      g AS (SELECT video_key, frame, [(p[3 * i + 1] + p[3 * i + 2] + p[3 * i + 3]) / 3 FOR i IN range(21)] AS g FROM f)
+      SELECT CAST(a.video_key AS VARCHAR) AS video_key, a.frame, round_even(CASE WHEN b.frame IS NULL THEN 0 ELSE dist END, 6) AS dist,
+        round_even(coalesce(list_sum([abs(a.g[i + 1] - b.g[i + 1]) FOR i IN range(21)]) / 21, 0), 6) AS motion
+      FROM g a LEFT JOIN g b ON b.video_key = a.video_key AND b.frame = a.frame - 1 JOIN d ON d.video_key = a.video_key AND d.frame = a.frame""",
     "court_points": """WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity * 20 AS px, l_discount * 3000 AS py FROM lineitem),
       q AS (SELECT *, 0.00001::DOUBLE * px + 0.0004::DOUBLE * py + 1 AS w FROM p),
       c AS (SELECT *, (0.02::DOUBLE * px + 0.001::DOUBLE * py - 3) / w AS x, (0.0005::DOUBLE * px + 0.03::DOUBLE * py - 1) / w AS y FROM q)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.functions import scalars as S
-from matchgrid.operators import court, decode, hits, learning, media, motion, report, score, series, stats, timeline
+from matchgrid.operators import court, decode, hits, learning, media, motion, pixels, report, score, series, stats, timeline
 from matchgrid.plans import adapters as A
+from matchgrid.plans import match
 from matchgrid.plans import oracles
 from matchgrid.session import table
 from matchgrid.sources import stores
@@ -66,6 +67,35 @@ def utterance_filter(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.filter_utterances(raw, A.speech(spark, sf), 360.0)
 
 
+def _described(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """All videos described by a stub of a model, which answers with the length of the prompt."""
+    spoken = A.utterances(spark, sf)
+    videos = spoken.select("video_key").distinct().withColumns({"name": F.col("video_key").cast("string"), "duration": F.lit(A.MATCH_S)})
+    # Off the grid of seconds, so that no time lies between two roundings.
+    off = spoken.withColumns({"start": F.col("start") + 0.0003, "end": F.col("end") + 0.0003})
+    return match.describe(videos, off, A.speech(spark, sf), lambda: lambda prompt: f"{len(prompt)} characters", {"vlm": "stub"})
+
+
+@query
+def segments_described(spark: SparkSession, sf: str) -> DataFrame:
+    return _described(spark, sf)["segments"].select("video_key", "seg_id", "heard", "seen")
+
+
+@query
+def summaries_described(spark: SparkSession, sf: str) -> DataFrame:
+    return _described(spark, sf)["documents"].select("video_key", "document.summary")
+
+
+@query
+def pixel_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of 21 pixels, three bytes each, of the first 63 numbers of a vector."""
+    value = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(x.cast("double") * 400 + 128))).cast("int")
+    text = F.array_join(F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(value(x)), 2, "0")), "")
+    frames = table(spark, sf, "embeddings").select(F.expr("vec_id div 128").alias("video_key"), F.col("vec_id").alias("frame"), F.unhex(text).alias("pixels"))
+    s = pixels.frame_signals(pixels.with_halo(frames))
+    return s.select("video_key", "frame", F.bround("dist", 6).alias("dist"), F.bround("motion", 6).alias("motion"))
+
+
 @query
 def timeline_lines(spark: SparkSession, sf: str) -> DataFrame:
     out = timeline.heard_and_context(A.utterances(spark, sf), _segments(spark, sf), A.SEGMENT_S)
@@ -376,9 +406,9 @@ def colour_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def colour_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").selectExpr("cast(p_partkey * 7 % 256 AS double) AS r", "cast(p_partkey * 13 % 256 AS double) AS g", "cast(p_size * 5 AS double) AS b")
+    p = table(spark, sf, "part").selectExpr("p_partkey % 9 AS match", "cast(p_partkey * 7 % 256 AS double) AS r", "cast(p_partkey * 13 % 256 AS double) AS g", "cast(p_size * 5 AS double) AS b")
     c = stats.two_means(p)
-    return c.select(*[F.bround(f"{k}.{x}", 4).alias(f"{k}_{x}") for k in ("c0", "c1") for x in "rgb"])
+    return c.select("match", *[F.bround(f"{k}.{x}", 4).alias(f"{k}_{x}") for k in ("c0", "c1") for x in "rgb"])
 
 
 @query

@@ -45,6 +45,9 @@ def listed(path: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
 
 
 def opened(path: str):
+    """A file by URI or absolute path; Spark writes local ones with a single slash."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
     store, p = fs.FileSystem.from_uri(path)
     return store.open_input_file(p)
 

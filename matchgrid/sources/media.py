@@ -11,32 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIB = 1 << 20
-
+from matchgrid.sources.frames import wave_of
 
 def wav_lengths(spark: SparkSession, path: str) -> DataFrame:
-    """``path, rate, channels, duration`` from the headers of WAV files, each read as far as its header."""
+    """``path, rate, channels, duration`` from the headers of WAV files, of which nothing else is read; null where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for p, head, size in zip(b.column("path").to_pylist(), b.column("head").to_pylist(), b.column("length").to_pylist(), strict=True):
-                rate = channels = width = 0
-                data, at = None, 12
-                while data is None and at + 8 <= len(head):
-                    name, n = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
-                    if name == b"fmt ":
-                        channels, rate = int.from_bytes(head[at + 10 : at + 12], "little"), int.from_bytes(head[at + 12 : at + 16], "little")
-                        width = int.from_bytes(head[at + 20 : at + 22], "little")
-                    elif name == b"data":
-                        data = min(n, size - at - 8)
-                    at += 8 + n + n % 2
-                out.append((p, rate, channels, data / (rate * width) if data is not None and rate and width else None))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "rate", "channels", "duration"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, MIB).alias("head"))
+            found = [wave_of(p, size) for p, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True)]
+            cols = [pa.array([w and getattr(w, c) for w in found], k) for c, k in (("rate", pa.int32()), ("channels", pa.int32()), ("duration", pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("path"), *cols], ["path", "rate", "channels", "duration"])
+
+    # Without their content the files are only listed.
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
     return files.mapInArrow(run, "path string, rate int, channels int, duration double")
 
 
@@ -60,12 +47,6 @@ def wav_sounds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, rate double, samples array<float>")
 
 
-def raw_frames(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """``frame, pixels`` of a file of RGB frames of fixed size, cut at frames by Spark's reader of fixed-length records."""
-    records = spark.sparkContext.binaryRecords(path, width * height * 3).zipWithIndex()
-    return records.map(lambda r: (r[1], bytearray(r[0]))).toDF("frame long, pixels binary")
-
-
 def crops(frames: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
     """``key, frame, w, h, pixels``: the part of each frame inside each of its boxes ``key, frame, x0, y0, x1, y1``.
 

@@ -68,22 +68,71 @@ def swing(mirror: bool) -> np.ndarray:
     return k
 
 
+def features(kpts, hit):
+    """Values of one hit, or None."""
+    values, usable = H.swing_features(kpts[None], {k: np.array([v]) for k, v in hit.items()})
+    return values[0] if usable[0] else None
+
+
+def plain_features(kpts, hit):
+    """From the definition, point by point."""
+    sure = kpts[..., 2] > 0.3
+    if sure[15].sum() < 6:
+        return None
+    place = np.full((31, 17, 2), np.nan)
+    for p in range(17):
+        if sure[:, p].any():
+            for c in range(2):
+                place[:, p, c] = np.interp(range(31), np.flatnonzero(sure[:, p]), kpts[sure[:, p], p, c])
+    turn = (hit["slot"] < 2) != (hit["arm"] == "left")
+    if turn:
+        place[..., 0] = -place[..., 0]
+    arm = (9, 7, 5, 10) if hit["arm"] == "left" else (10, 8, 6, 9)
+    mid = lambda a, b: (place[:, a] + place[:, b]) / 2
+    hips, feet, head = mid(11, 12), mid(15, 16), place[15, 0]
+    if np.isnan(head).any():
+        head = mid(5, 6)[15]
+    tall = np.linalg.norm(head - feet[15]) if not np.isnan(feet[15]).any() else 2.2 * np.linalg.norm(head - hips[15])
+    if np.isnan(hips[15]).any() or not tall >= 10:
+        return None
+    out = []
+    for t in range(0, 31, 3):
+        for p in (*(place[t, k] for k in arm), place[t, 0], hips[t], feet[t]):
+            out += [0.0 if np.isnan(v) else v for v in (p - hips[15]) / tall]
+    out += [hit["dist_net"] / 10, (10 - hit["x"] if hit["slot"] < 2 else hit["x"]) / 10, hit["height"] == "low", hit["height"] == "high", hit["height"] == "head"]
+    return np.array([*out, min(hit["speed"], 2), min(hit["evidence"], 20) / 10], np.float32)
+
+
+def test_features_of_many_hits_at_once():
+    """Against the definition, with gaps, points that are never sure and hits that say too little."""
+    rng, n = np.random.default_rng(8), 300
+    kpts = np.concatenate([rng.uniform(0, 300, (n, 31, 17, 2)), rng.uniform(0, 1, (n, 31, 17, 1))], axis=3)
+    kpts[..., 2] *= rng.choice([0.0, 0.4, 1.0], (n, 1, 17), p=[0.15, 0.25, 0.6])
+    kpts[:20, 15, :, 2] = 0.1
+    hits = {"slot": rng.integers(0, 4, n), "arm": rng.choice(["left", "right"], n), "x": rng.uniform(0, 10, n), "dist_net": rng.uniform(0, 10, n),
+            "height": rng.choice(["low", "high", "head"], n), "speed": rng.uniform(0, 4, n), "evidence": rng.uniform(0, 40, n)}
+    values, usable = H.swing_features(kpts, hits)
+    want = [plain_features(k, {c: v[i] for c, v in hits.items()}) for i, k in enumerate(kpts)]
+    assert [w is not None for w in want] == usable.tolist() and 50 < usable.sum() < n
+    assert all(np.allclose(v, w, atol=1e-5) for v, w in zip(values, want, strict=True) if w is not None)
+
+
 HIT = {"slot": 2, "arm": "right", "x": 3.0, "dist_net": 5.0, "height": "high", "speed": 0.5, "evidence": 30.0}
 
 
 def test_features_do_not_depend_on_the_view(spark):
-    right = H.features_of(swing(False), HIT)
+    right = features(swing(False), HIT)
     assert len(right) == H.N_FEATURES == 161
-    assert np.allclose(right, H.features_of(swing(True), HIT | {"arm": "left"}), atol=1e-6)
+    assert np.allclose(right, features(swing(True), HIT | {"arm": "left"}), atol=1e-6)
     # From the other side of the net the picture is mirrored, not the player.
     far = swing(False)
     far[..., 0] = 1000 - far[..., 0]
-    assert np.allclose(right[:154], H.features_of(far, HIT | {"slot": 1})[:154], atol=1e-6)
+    assert np.allclose(right[:154], features(far, HIT | {"slot": 1})[:154], atol=1e-6)
     gaps = swing(False)
     gaps[3:9, 10, 2] = 0.1  # an unsure wrist lies on a line between its sure places
     gaps[3:9, 10, :2] = 0
-    assert np.allclose(right, H.features_of(gaps, HIT), atol=1e-6)
-    assert H.features_of(np.zeros((31, 17, 3)), HIT) is None
+    assert np.allclose(right, features(gaps, HIT), atol=1e-6)
+    assert features(np.zeros((31, 17, 3)), HIT) is None
     # The query's way: frames beyond the shot's ends are the nearest there is.
     k = swing(False)
     rows = [(1, 2, f, [tuple(map(float, p)) for p in k[f]]) for f in range(31)]
@@ -91,7 +140,7 @@ def test_features_do_not_depend_on_the_view(spark):
     hits = spark.createDataFrame([(1, 2, f, "right", 3.0, 5.0, "high", 0.5, 30.0) for f in (15, 2)], "shot_id long, slot int, frame long, arm string, x double, dist_net double, height string, speed double, evidence double")
     got = {r.key: r.features for r in H.hit_features(hits, poses).collect()}
     assert np.allclose(got["1:15:2"], right, atol=1e-6)
-    assert np.allclose(got["1:2:2"], H.features_of(k[np.clip(np.arange(-13, 18), 0, 30)], HIT), atol=1e-6)
+    assert np.allclose(got["1:2:2"], features(k[np.clip(np.arange(-13, 18), 0, 30)], HIT), atol=1e-6)
 
 
 def test_pose_measures(spark):

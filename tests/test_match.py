@@ -1,14 +1,17 @@
 """Stores, sound and picture sources, training, and the two analyses as a whole, on small hand-made inputs."""
 
+import sys
 import wave
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from matchgrid.operators import court, report, series
 from matchgrid.plans import match, training
 from matchgrid.sources import media, stores
+from matchgrid.sources.frames import raw_frames
 
 
 def rows(df, *cols):
@@ -119,7 +122,7 @@ def test_wav_files(spark, tmp_path):
 def test_frames_crops_and_colours(spark, tmp_path):
     frames = np.random.default_rng(0).integers(0, 256, (5, 40, 30, 3), dtype=np.uint8)
     (tmp_path / "f.rgb").write_bytes(frames.tobytes())
-    df = media.raw_frames(spark, str(tmp_path / "f.rgb"), 30, 40)
+    df = raw_frames(spark, str(tmp_path / "f.rgb"), 30, 40, 25)
     got = {r.frame: bytes(r.pixels) for r in df.collect()}
     assert got == {i: f.tobytes() for i, f in enumerate(frames)}
     boxes = spark.createDataFrame([("a", 2, -5, 3, 10, 20), ("b", 2, 10, 10, 10, 12)], "key string, frame long, x0 int, y0 int, x1 int, y1 int")
@@ -152,12 +155,11 @@ def state(games, points):
     return {"games": games, "points": points}
 
 
-def test_analyse_a_match(spark):
+def recorded(first, swings, colours, seed):
+    """Tables of one match whose rally is shot ``first``: a sound with a click at each swing, poses, tracks and shirts."""
     rate, fps = 22050.0, 30.0
-    rng = np.random.default_rng(1)
-    sound = rng.normal(0, 1e-3, int(4 * rate))
-    poses, tracks, colours = [], [], []
-    swings = {30: 0, 60: 3, 90: 1}
+    sound = np.random.default_rng(seed).normal(0, 1e-3, int(4 * rate))
+    poses, tracks, shirts = [], [], []
     for f in swings:
         k = int(f / fps * rate)
         sound[k : k + 400] += np.sin(2 * np.pi * 3000 * np.arange(400) / rate) * np.exp(-np.arange(400) / 80)
@@ -171,21 +173,51 @@ def test_analyse_a_match(spark):
             for hit, slot in swings.items():
                 if slot == s and hit - 2 <= f <= hit + 2:
                     p[10][1] -= 20 * (f - hit + 3)
-            poses.append((1, s, f, [tuple(map(float, q)) for q in p]))
-            tracks.append((1, s, f, 3.0 if s % 2 == 0 else 7.0, 5.0 if s < 2 else 15.0))
-            colours.append((1, s, *((200.0, 50.0, 45.0) if s < 2 else (40.0, 70.0, 190.0))))
-    shots = spark.createDataFrame([("m", 1, 10.0, 14.0, "main", False), ("m", 2, 14.0, 20.0, "main", True), ("m", 3, 20.0, 30.0, "other", False)], "video_key string, shot_id long, start double, end double, kind string, replay boolean")
-    kp = "shot_id long, slot int, frame long, kpts array<struct<x: double, y: double, c: double>>"
-    sets = "match string, shot_id long, part int, games array<array<int>>, points array<string>"
-    states = spark.createDataFrame([("m", 1, 0, [[1], [0]], ["0", "0"]), ("m", 1, 1, [[1], [0]], ["0", "15"])], sets)
-    got = match.analyse(
-        shots, spark.createDataFrame([(1, rate, sound.tolist())], "shot_id long, rate double, samples array<double>"), spark.createDataFrame(poses, kp),
-        spark.createDataFrame(tracks, "shot_id long, slot int, frame long, x double, y double"), spark.createDataFrame(colours, "shot_id long, slot int, r double, g double, b double"), states, ["BLUE/ONES", "RED/TWOS"], fps,
-        readings=spark.createDataFrame([(1, "A TWOS", "rouge"), (2, "B TWOS", "orange"), (3, "C ONES", "rouge")], "obs_id int, name string, colour string"),
-    )
+            poses.append((first, s, f, [tuple(map(float, q)) for q in p]))
+            tracks.append((first, s, f, 3.0 if s % 2 == 0 else 7.0, 5.0 if s < 2 else 15.0))
+            shirts.append((first, s, *colours[s < 2]))
+    match_ = f"m{first}"
+    shots = [(match_, match_, first, 10.0, 14.0, "main", False), (match_, match_, first + 1, 14.0, 20.0, "main", True), (match_, match_, first + 2, 20.0, 30.0, "other", False)]
+    states = [(match_, first, 0, [[1], [0]], ["0", "0"]), (match_, first, 1, [[1], [0]], ["0", "15"])]
+    return {"shots": shots, "sounds": [(first, rate, sound.tolist())], "poses": poses, "tracks": tracks, "colours": shirts, "states": states}
+
+
+SCHEMAS = {
+    "shots": "match string, video_key string, shot_id long, start double, end double, kind string, replay boolean", "sounds": "shot_id long, rate double, samples array<double>",
+    "poses": "shot_id long, slot int, frame long, kpts array<struct<x: double, y: double, c: double>>", "tracks": "shot_id long, slot int, frame long, x double, y double",
+    "colours": "shot_id long, slot int, r double, g double, b double", "states": "match string, shot_id long, part int, games array<array<int>>, points array<string>",
+    "teams": "match string, pos int, team string", "readings": "match string, obs_id int, name string, colour string",
+}
+RED, BLUE, DARK, WHITE = (200.0, 50.0, 45.0), (40.0, 70.0, 190.0), (40.0, 40.0, 45.0), (230.0, 225.0, 230.0)
+
+
+def analysed(spark, *matches):
+    rows = {k: [r for m in matches for r in m[k]] for k in matches[0]}
+    return match.analyse(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()}, fps=30.0)
+
+
+def first_match():
+    teams = [("m1", 0, "BLUE/ONES"), ("m1", 1, "RED/TWOS")]
+    readings = [("m1", 1, "A TWOS", "rouge"), ("m1", 2, "B TWOS", "orange"), ("m1", 3, "C ONES", "rouge")]
+    return recorded(1, {30: 0, 60: 3, 90: 1}, {True: RED, False: BLUE}, 1) | {"teams": teams, "readings": readings}
+
+
+def second_match():
+    """Other colours, of which those of the first match lie between."""
+    teams = [("m11", 0, "DARK/ONES"), ("m11", 1, "WHITE/TWOS")]
+    return recorded(11, {25: 2, 55: 1, 85: 3}, {True: WHITE, False: DARK}, 2) | {"teams": teams, "readings": [("m11", 1, "D TWOS", "blanc")]}
+
+
+@pytest.fixture(scope="module")
+def alone(spark):
+    return analysed(spark, first_match())
+
+
+def test_analyse_a_match(alone):
+    got = alone
     hits = got["hits"].orderBy("t").collect()
     assert [(h.slot, h.player, h.arm) for h in hits] == [(0, "RED/TWOS · right", "right"), (3, "BLUE/ONES · right", "right"), (1, "RED/TWOS · left", "right")]
-    assert all(abs(h.t - 10 - f / fps) < 0.1 and abs(h.frame - f) <= 6 for h, f in zip(hits, swings, strict=True)) and hits[0].team_short == "Red"
+    assert all(abs(h.t - 10 - f / 30) < 0.1 and abs(h.frame - f) <= 6 for h, f in zip(hits, (30, 60, 90), strict=True)) and hits[0].team_short == "Red"
     assert rows(got["rallies"], "shot_id", "winner", "n_hits", "after") == [(1, "RED/TWOS", 3, "BLUE/ONES 1 [0] · RED/TWOS 0 [15]")]
     stats = {r.player: r for r in got["stats"].collect()}
     assert len(stats) == 4 and all(r.frames == 120 and r.distance_m == 0.0 for r in stats.values())
@@ -193,26 +225,108 @@ def test_analyse_a_match(spark):
     assert "points known to be won: 1" in text and "| RED/TWOS · right | 1 | 0 m |" in text and "3 shots, rallies: 1" in text and "point for RED/TWOS" in text
 
 
-def test_describe_a_video(spark):
-    videos = spark.createDataFrame([(1, "clip", 12.0)], "video_key long, name string, duration double")
-    heard = spark.createDataFrame([(1, 1, 0.5, 3.0, "hello"), (1, 2, 4.0, 7.0, "there")], "video_key long, utt_id int, start double, end double, text string")
+def test_two_matches_in_one_call(spark, alone):
+    """The rows of the first match are those of it alone; the second has its own teams and colours."""
+    both = analysed(spark, first_match(), second_match())
+    for name, df in both.items():
+        where = F.col("shot_id") < 10 if "shot_id" in df.columns else F.col("match") == "m1"
+        key = lambda r: str(r)
+        assert sorted(df.where(where).collect(), key=key) == sorted(alone[name].select(*df.columns).collect(), key=key), name
+    assert [(h.slot, h.player) for h in both["hits"].where("match = 'm11'").orderBy("t").collect()] == [(2, "DARK/ONES · left"), (1, "WHITE/TWOS · left"), (3, "DARK/ONES · right")]
+    assert both["rallies"].where("match = 'm11'").first().winner == "WHITE/TWOS"
+
+
+# Tasks have no copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Counting:
+    """A client that notes each prompt in a folder, as tasks run in processes of their own."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        import os
+        import uuid
+
+        def ask(prompt):
+            if "fails" in prompt:
+                raise ValueError("no")
+            with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+                f.write(prompt)
+            return f" answer of {len(prompt.splitlines())} "
+
+        return ask
+
+    def prompts(self):
+        import os
+
+        return sorted(open(os.path.join(self.folder, n)).read() for n in os.listdir(self.folder))
+
+
+def test_describe_a_video(spark, tmp_path):
+    videos = spark.createDataFrame([(1, "clip", 12.0, "h264")], "video_key long, name string, duration double, codec string")
+    heard = spark.createDataFrame([(1, 1, 0.5, 3.0, "hello"), (1, 2, 4.0, 7.0, "there"), (1, 3, 9.0, 9.5, "unspoken"), (1, 4, 1.0, 2.0, " ... ")], "video_key long, utt_id int, start double, end double, text string")
     speech = spark.createDataFrame([(1, 0.4, 7.0)], "video_key long, b double, e double")
-    got = match.describe(videos, heard, speech, lambda: lambda p: f"answer of {len(p.splitlines())}", {"vlm": "m"})
+    got = match.describe(videos, heard, speech, Counting(str(tmp_path)), {"vlm": "m"})
     doc = got["documents"].first().document
     assert list(doc.asDict()) == ["schema_version", "video", "config", "models", "audio", "transcript", "segments", "summary", "timings", "extensions"]
     assert [(s.seg_id, s.heard, len(s.frames)) for s in doc.segments] == [(0, "hello", 5), (1, "there", 5), (2, "", 2)]
-    assert doc.summary == "answer of 4" and len(doc.transcript) == 2 and doc.segments[0].seen == "answer of 1"
+    assert doc.summary == " answer of 4 " and len(doc.transcript) == 2 and doc.segments[0].seen == "answer of 2"
+    assert (doc.video.name, doc.video.key, doc.video.codec, doc.video.hdr) == ("clip", "1", "h264", None)
     text = got["markdown"].first().markdown
-    assert text.startswith("# Timeline of clip\n\nLength 00:12; model `m`; 1 frames a second in segments of 5 s\n\n## Summary\n\nanswer of 4\n\n## Segments\n\n### 00:00 – 00:05\n\n**Seen:** answer of 1\n\n**Heard:** hello\n")
+    assert text.startswith("# Timeline of clip\n\nLength 00:12; model `m`; 1 frames a second in segments of 5 s\n\n## Summary\n\n answer of 4 \n\n## Segments\n\n### 00:00 – 00:05\n\n**Seen:** answer of 2\n\n**Heard:** hello\n")
     json = report.document_json(got["documents"]).first().json
     assert '"language":null' in json and '"schema_version":"1.0"' in json
 
 
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    """Two videos, one of them long: a call a segment, a chunk and a video, and none in a second run."""
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    videos = spark.createDataFrame([(1, "short", 12.0), (2, "long", 33.0)], "video_key long, name string, duration double")
+    heard = spark.createDataFrame([(1, 1, 0.5, 3.0, "hello"), (2, 2, 4.0, 7.0, "there")], "video_key long, utt_id int, start double, end double, text string")
+    speech = spark.createDataFrame([(1, 0.4, 7.0), (2, 3.0, 9.0)], "video_key long, b double, e double")
+    client = Counting(str(calls))
+
+    def run():
+        got = match.describe(videos, heard, speech, client, {"vlm": "m"}, store=store, chunk=3)
+        return [sorted(map(str, got[k].collect())) for k in ("segments", "documents", "markdown")]
+
+    first = run()
+    prompts = client.prompts()
+    kinds = [sum(p.startswith(k) for p in prompts) for k in ("Describe", "Summarize this part", "Summarize this timeline")]
+    # Segments of equal prompts (none differs but by its time) are asked once: 3 and 7, of which two begin alike at 0 and 5 s.
+    distinct = len({(s, e, c) for d, c in ((12.0, {0: "hello"}), (33.0, {0: "there", 1: "there"})) for s, e, c in [(t, min(t + 5, d), c.get(t // 5, "")) for t in range(0, int(d), 5)]})
+    assert kinds == [distinct, 3, 2] and len(prompts) == len(set(prompts))
+    long = next(p for p in prompts if p.startswith("Summarize this timeline") and "\n\n" in p)
+    assert [line.split("] ")[0] for line in long.split("\n", 1)[1].split("\n\n")] == ["[00:00–00:15", "[00:15–00:30", "[00:30–00:33"]
+    assert run() == first and client.prompts() == prompts
+
+
+def test_answers_are_kept_and_failures_asked_again(spark, tmp_path):
+    from matchgrid.sources.answers import asked_once, stored
+
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    client = Counting(str(calls))
+    prompts = spark.createDataFrame([("a", "one"), ("b", "one"), ("c", "two\nlines"), ("d", "this fails"), ("e", None), ("f", "too long" * 9)], "key string, prompt string")
+    for turns in (1, 3):
+        got = {r.key: (r.answer, r.error) for r in asked_once(prompts, store, client, "m", most_chars=50, turns=turns).collect()}
+        assert got == {"a": (" answer of 1 ", None), "b": (" answer of 1 ", None), "c": (" answer of 2 ", None), "d": (None, "ValueError: no"), "e": (None, None), "f": (None, "prompt too long")}
+        assert client.prompts() == ["one", "two\nlines"] and stored(spark, store).count() == 2
+    assert asked_once(prompts.where("key = 'a'"), store, client, "other").first().answer == " answer of 1 " and client.prompts() == ["one", "one", "two\nlines"]
+    assert asked_once(prompts.where("false"), store, client).collect() == []
+
+
 def test_team_sides(spark):
-    centres = spark.createDataFrame([((0.0, 0.0, 0.0), (255.0, 255.0, 255.0))], "c0 struct<r: double, g: double, b: double>, c1 struct<r: double, g: double, b: double>")
-    sides = [(1, "far", 10.0, 10.0, 10.0), (1, "near", 200.0, 200.0, 200.0), (2, "far", 220.0, 220.0, 220.0), (2, "near", 30.0, 30.0, 30.0), (3, "far", None, None, None), (3, "near", 5.0, 5.0, 5.0)]
-    df = spark.createDataFrame(sides, "shot_id long, side string, r double, g double, b double")
-    assert rows(match.team_sides(df, centres, ["A", "B"]).where("side = 'far'"), "shot_id", "team") == [(1, "A"), (2, "B"), (3, "A")]
+    point = "struct<r: double, g: double, b: double>"
+    centres = spark.createDataFrame([("m", (0.0, 0.0, 0.0), (255.0, 255.0, 255.0)), ("n", (0.0, 0.0, 0.0), (20.0, 20.0, 20.0))], f"match string, c0 {point}, c1 {point}")
+    sides = [("m", 1, "far", 10.0, 10.0, 10.0), ("m", 1, "near", 200.0, 200.0, 200.0), ("m", 2, "far", 220.0, 220.0, 220.0), ("m", 2, "near", 30.0, 30.0, 30.0), ("m", 3, "far", None, None, None), ("m", 3, "near", 5.0, 5.0, 5.0), ("n", 4, "far", 19.0, 19.0, 19.0), ("n", 4, "near", 3.0, 3.0, 3.0)]
+    df = spark.createDataFrame(sides, "match string, shot_id long, side string, r double, g double, b double")
+    shirts = spark.createDataFrame([("m", 0, "A"), ("m", 1, "B"), ("n", 0, "C"), ("n", 1, "D")], SCHEMAS["teams"])
+    assert rows(match.team_sides(df, centres, shirts).where("side = 'far'"), "shot_id", "team") == [(1, "A"), (2, "B"), (3, "A"), (4, "D")]
 
 
 def test_command_line(spark, capsys):

@@ -15,7 +15,8 @@ documents are read once for each block. Where there are several, a block's
 results are written before the next index is made, so that the driver holds
 one at a time.
 
-Edge cases: a null or empty document matches nothing; an item that is null or
+Edge cases: a text of any length is searched whole; a null or empty document
+matches nothing; an item that is null or
 has no character but white space matches nothing; an item shorter than q must
 occur exactly. Repeated items are all reported; repeated rows are reported
 each. Regions of equal distance: the one that ends first. An empty table gives

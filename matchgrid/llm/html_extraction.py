@@ -17,7 +17,7 @@ paragraph.
 
 One row in, one row out, no shuffle; memory follows one batch of pages.
 
-Edge cases: null or empty html, or a page without text, gives an empty text.
+Edge cases: a page of any length is parsed whole. Null or empty html, or a page without text, gives an empty text.
 Broken markup (unclosed elements, a page cut inside a tag or a character
 reference) is read as far as it goes. Of equally good containers the outermost
 is taken, and the first. Repeated rows are extracted each on its

@@ -14,8 +14,11 @@ Tokenizing cuts texts at white space and looks the chunks up in a bounded cache
 of the tokenizer's own results; texts with characters for which that is
 not exactly the tokenizer's reading of the whole text go to it whole.
 
-Edge cases: a null or empty text is one end token. Repeated rows are packed
-each on its own. Extra columns are ignored; an empty table gives an empty
+Edge cases: a null or empty text is one end token. A text of any length is
+tokenized whole, and gives a full sequence for each 4096 of its tokens. Of bins
+that fit equally well the one opened first is taken, and of equally good
+exchanges the first found; which of equal pieces lies where is not defined.
+Repeated rows are packed each on its own. Extra columns are ignored; an empty table gives an empty
 result.
 """
 

@@ -16,7 +16,8 @@ learns where content and boilerplate meet; its own paths label the lines of the
 last round. Training is on the driver (a few thousand short integer sequences);
 scoring is one pass over all rows without a shuffle.
 
-Edge cases: null or empty text has no words and fails the word rule; a text of
+Edge cases: a text of any length is decoded whole; of equally likely paths the
+one that ends in content is taken. Null or empty text has no words and fails the word rule; a text of
 white space likewise. Repeated rows are scored each on its own. An empty table
 gives an empty result. Without labels of both classes every line counts as
 content. Extra columns are ignored.

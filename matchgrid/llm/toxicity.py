@@ -16,7 +16,9 @@ learned from; the held-out rows were not looked at.
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0;
 the score depends on the text alone.
 
-Edge cases: a null or empty text is scored by the intercept. Repeated rows are
+Edge cases: a null or empty text is scored by the intercept, and a text of any
+length as a whole. A score of exactly one half counts as toxic. Of rows with equal
+hashes the one of the smaller id is in the sample. Repeated rows are
 scored each on its own; a repeated label counts once, and as toxic if one of
 its rows says so. Without training rows of both classes, or without a feature that is
 clear of its error, nothing can be told apart and every score is next to 0. Extra columns are ignored; an empty

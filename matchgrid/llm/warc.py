@@ -13,7 +13,8 @@ split, and pointer jumping over the splits, from the start of each file, keeps
 the candidates that a chain of true records reaches. Text at a rejected
 candidate stays part of the payload it lies in, also across splits.
 
-Edge cases: a null html is an empty payload; a null page id stays null (the
+Edge cases: a payload of any length is one record, also over several splits; a
+null html is an empty payload; a null page id stays null (the
 largest of equal payloads is then null only if all are); a null url is an empty
 header, and a url in brackets cannot end a line with the magic. Rows repeated with their page id are all responses. An empty table
 gives an empty result. Extra columns are ignored. A file that does not begin

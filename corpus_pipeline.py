@@ -4,6 +4,15 @@ Toxic documents go, repeated lines go (and documents that consist of nothing
 else), one document of each SimHash group and of each group of near copies stays, documents that hold a
 benchmark item go, and the rest is packed into sequences. Every stage but the
 last returns the columns of ``documents``.
+
+Edge cases: a row without text has no line and no shingle; one of all rows
+without any word stays, as they are equal texts. Rows without an id take
+part everywhere, and come last where the smallest id decides. Rows that repeat id
+and text become one row in the third stage. Of near copies of equal ids the one
+of the smaller text hash stays. Texts of any length are taken whole. Columns that
+``documents`` has besides come through unchanged up to the last stage. Without
+labels no document is toxic, without benchmark items none is contaminated;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

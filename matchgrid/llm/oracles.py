@@ -54,18 +54,19 @@ score AS (SELECT k, item_id, r, doc_id, CAST(sum(times * impact) AS BIGINT) AS s
 SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
 FROM score WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) <= 10"""
 
-#: Islands of equal words q apart; every run is longer than three words beyond its period, so that only places
-#: with three equal words meet. crc32 is folded bit by bit: each digit is followed by the shifts of its eight bits.
+#: Islands of equal words q apart; every run has five words and more beyond its period, so that only places
+#: with five equal words meet. crc32 is folded bit by bit: each digit is followed by the shifts of its eight bits.
 PERIODIC_RUNS = """WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), CAST([] AS VARCHAR[])) AS w,
     xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
       lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) AS h FROM documents),
 e AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM d),
 o AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
     THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE w END AS w FROM e),
-p AS (SELECT doc_id, n, i, hash(w[i + 1 : i + 3]) AS three FROM (SELECT doc_id, n, w, unnest(range(n - 2)) AS i FROM o)),
-same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.three = y.three AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+wd AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM o),
+p AS (SELECT doc_id, n, i, hash(word, lead(word) OVER b, lead(word, 2) OVER b, lead(word, 3) OVER b, lead(word, 4) OVER b) AS five FROM wd WINDOW b AS (PARTITION BY doc_id ORDER BY i) QUALIFY i < n - 4),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.five = y.five AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
 island AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g, i FROM same),
-stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM island GROUP BY doc_id, q, g HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM island GROUP BY doc_id, q, g HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
 run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY 1, 2, 3),
 listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
     min_by({'s': start, 'l': length, 'p': period}, (-length, start, period)) AS top FROM run GROUP BY 1),

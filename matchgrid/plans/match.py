@@ -38,6 +38,22 @@ def checked_hits(found: DataFrame, answers: DataFrame) -> DataFrame:
     return decode.refine_with_answers(both).drop("dist", "swing", "answer")
 
 
+def current_hits(stored: DataFrame, poses: DataFrame, shots: DataFrame) -> DataFrame:
+    """Stored hits with the pose rules of today: measured anew, with a model's label where it still fits.
+
+    stored: hits as ``stores.load_hits`` gives them; ``stroke_model`` says that a model answered, whose label ``stroke``
+    and ``confidence`` then are.
+    """
+    measured = ["stroke_pose", "height", "overhead", "forehand", "wrist_low"]
+    before = stored.drop(*measured).withColumnsRenamed({"stroke": "stroke_before", "confidence": "confidence_before"})
+    if "stroke_model" not in before.columns:
+        before = before.withColumn("stroke_model", F.lit(None).cast("string"))
+    h = hits.typed_hits(before, poses, shots)
+    fits = F.col("stroke_model").isNotNull() & F.coalesce(F.array_contains(decode.allowed_strokes("height", "dist_net"), F.col("stroke_before")), F.lit(False))
+    new = {c: F.when(fits, F.col(f"{c}_before")).otherwise(F.col(c)) for c in ("stroke", "confidence")}
+    return h.withColumns(new).drop("stroke_before", "confidence_before")
+
+
 def classified_hits(found: DataFrame, poses: DataFrame, model: dict, classes: list[str], trusted: bool) -> DataFrame:
     """Hits after the classifier: ``stroke_clf, clf_prob``, and its label where it is trusted."""
     named = found.withColumn("key", hits.hit_key())

@@ -154,3 +154,16 @@ def test_pose_measures(spark):
     assert (got[15].height, got[15].forehand, got[15].stroke) == ("high", True, "coup_droit")
     assert (got[28].height, got[28].overhead, got[28].stroke) == ("head", True, "bandeja")
     assert H.typed_hits(hits.where(F.col("frame") > 40), poses, shots).isEmpty()
+
+
+def test_stored_hits_take_the_rules_of_today(spark):
+    from matchgrid.plans.match import current_hits
+
+    k = swing(False)
+    rows = [(1, 2, f, [tuple(map(float, p)) for p in k[f]]) for f in range(31)]
+    poses = spark.createDataFrame(rows, "shot_id long, slot int, frame long, kpts array<struct<x: double, y: double, c: double>>")
+    # At frame 15 the wrist is high: a ground stroke of a model stays, a service does not; without a model the rule counts.
+    stored = [(1, t, 15, 2, "right", 8.0, 0.3, "low", stroke, 0.9, model) for t, stroke, model in ((0.1, "revers", "revers"), (0.2, "service", "service"), (0.3, "revers", None))]
+    hits = spark.createDataFrame(stored, "shot_id long, t double, frame long, slot int, arm string, dist_net double, speed double, height string, stroke string, confidence double, stroke_model string")
+    got = current_hits(hits, poses, spark.createDataFrame([(1, 0.0)], "shot_id long, start double")).orderBy("t").collect()
+    assert [(r.height, r.stroke, r.confidence, r.stroke_pose) for r in got] == [("high", "revers", 0.9, "coup_droit"), ("high", "coup_droit", 0.6, "coup_droit"), ("high", "coup_droit", 0.6, "coup_droit")]

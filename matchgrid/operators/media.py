@@ -117,9 +117,9 @@ def fresh_tracks(tracks: DataFrame, fps: float) -> DataFrame:
 
 
 def annotation_items(hits: DataFrame) -> DataFrame:
-    """One JSON item per hit for a labelling page."""
+    """One JSON item per hit for a labelling page, with its ``video`` where hits have one: keys are of one video."""
     img = F.concat(F.lit("img/"), F.replace("key", F.lit(":"), F.lit("_")), F.lit(".jpg"))
-    return hits.select("key", F.to_json(F.struct("key", img.alias("img"), "t", "side", "height", F.col("stroke").alias("guess"))).alias("item"))
+    return hits.select(*[c for c in ("video",) if c in hits.columns], "key", F.to_json(F.struct("key", img.alias("img"), "t", "side", "height", F.col("stroke").alias("guess"))).alias("item"))
 
 
 def rally_lines(hits: DataFrame) -> DataFrame:

@@ -174,11 +174,15 @@ def pick_peaks(series: DataFrame, height: float, distance: int) -> DataFrame:
     p = flat.withColumns({"a": F.lag("v").over(by), "b": F.lead("v").over(by)}).where(
         (F.col("v") > F.col("a")) & (F.col("v") > F.col("b")) & (F.col("v") >= height)
     )
-    ordered = p.groupBy("key").agg(
+    # Peaks with room between them do not compete, so each crowd of near ones is settled on its own.
+    apart = (F.col("i") - F.lag("i").over(w) >= distance) | F.lag("i").over(w).isNull()
+    p = p.withColumn("apart", apart.cast("int")).withColumn("crowd", F.sum("apart").over(w))
+    ordered = p.groupBy("key", "crowd").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("nv"), (-F.col("i")).alias("ni"), F.col("i").cast("bigint").alias("i")))).alias("s")
     )
     kept = F.expr(
         "aggregate(s, cast(array() as array<bigint>), (k, c) -> "
         f"if(forall(k, o -> abs(o - c.i) >= {distance}), concat(k, array(c.i)), k))"
     )
-    return ordered.select("key", F.array_sort(kept).alias("peaks"))
+    settled = ordered.select("key", kept.alias("peaks"))
+    return settled.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("peaks"))).alias("peaks"))

@@ -329,8 +329,13 @@ def test_team_sides(spark):
     assert rows(match.team_sides(df, centres, shirts).where("side = 'far'"), "shot_id", "team") == [(1, "A"), (2, "B"), (3, "A"), (4, "D")]
 
 
-def test_command_line(spark, capsys):
+def test_command_line(spark, capsys, tmp_path):
     from matchgrid.__main__ import main
 
     main(["queries"])
     assert "hits_detected" in capsys.readouterr().out.split()
+    still = np.random.default_rng(1).integers(0, 256, (2, 6, 8, 3), dtype=np.uint8)
+    (tmp_path / "v.rgb").write_bytes(np.repeat(still, 70, axis=0).tobytes())
+    out = str(tmp_path / "out")
+    main(["signals", str(tmp_path / "v.rgb"), out, "--width", "8", "--height", "6", "--fps", "30"])
+    assert rows(spark.read.parquet(out + "/shots"), "start_f", "end_f") == [(0, 70), (70, 140)]

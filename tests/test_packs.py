@@ -14,8 +14,7 @@ CROPS = "video string, key string, w int, h int, pixels binary"
 
 
 def items_of(spark, rows):
-    hits = spark.createDataFrame(rows, HITS)
-    return hits.select("video", "key").join(media.annotation_items(hits), "key")
+    return media.annotation_items(spark.createDataFrame(rows, HITS))
 
 
 def files(path):

@@ -443,6 +443,50 @@ ORACLES: dict[str, str] = {
     "rally_lines": """SELECT l_orderkey AS shot_id, string_agg(concat('p', l_linenumber % 4, ' s', l_suppkey % 4), ' → ' ORDER BY l_partkey * 10000000 + l_suppkey * 100 + l_linenumber, l_linenumber % 4) AS line FROM lineitem GROUP BY 1""",
     "stroke_table": """SELECT l_linenumber % 4 AS player, count(*) FILTER (l_suppkey % 4 = 0) AS s0, count(*) FILTER (l_suppkey % 4 = 1) AS s1, count(*) FILTER (l_suppkey % 4 = 2) AS s2 FROM lineitem GROUP BY 1""",
     "shot_kinds": f"WITH {SHOT} SELECT kind, count(*) AS n, count(*) FILTER (kind = 'main' AND NOT replay) AS rallies FROM shot GROUP BY 1",
+    "player_tracks": """WITH RECURSIVE d AS (SELECT l_orderkey // 750 AS shot_id, l_partkey % 200 AS frame, l_discount * 100 AS x, l_quantity * 0.4::DOUBLE AS y, l_extendedprice AS conf FROM lineitem),
+      b AS (SELECT *, CASE WHEN y < 10 THEN 0 ELSE 2 END AS side FROM d),
+      f AS (SELECT shot_id, side, frame, list({'x': x, 'y': y} ORDER BY conf DESC, x, y)[1:2] AS p FROM b GROUP BY 1, 2, 3),
+      n AS (SELECT shot_id, side, frame, p[1] AS p, p[2] AS q, row_number() OVER (PARTITION BY shot_id, side ORDER BY frame) AS k FROM f),
+      s AS (
+        SELECT 0::BIGINT AS k, shot_id, side, 0::BIGINT AS frame, NULL::STRUCT(x DOUBLE, y DOUBLE) AS a, 0::BIGINT AS af, NULL::STRUCT(x DOUBLE, y DOUBLE) AS b, 0::BIGINT AS bf, FALSE AS ta, FALSE AS tb FROM (SELECT DISTINCT shot_id, side FROM n)
+        UNION ALL
+        SELECT k, shot_id, side, frame, CASE WHEN ta THEN na ELSE a END, CASE WHEN ta THEN frame ELSE af END, CASE WHEN tb THEN nb ELSE b END, CASE WHEN tb THEN frame ELSE bf END, ta, tb FROM (
+          -- A slot takes what is given to it if it has no place yet or that is near enough.
+          SELECT *, na IS NOT NULL AND (a IS NULL OR sqrt((na.x - a.x) ** 2 + (na.y - a.y) ** 2) <= 2.5 + 8 * (frame - af) / 30) AS ta,
+            nb IS NOT NULL AND (b IS NULL OR sqrt((nb.x - b.x) ** 2 + (nb.y - b.y) ** 2) <= 2.5 + 8 * (frame - bf) / 30) AS tb FROM (
+            SELECT *, CASE WHEN straight THEN p ELSE q END AS na, CASE WHEN straight THEN q ELSE p END AS nb FROM (
+              SELECT n.k, s.shot_id, s.side, n.frame, s.a, s.af, s.b, s.bf, n.p, n.q,
+                CASE WHEN s.a IS NULL AND s.b IS NULL THEN n.q IS NULL OR n.p.x < n.q.x OR (n.p.x = n.q.x AND n.p.y <= n.q.y)
+                ELSE coalesce(sqrt((n.p.x - s.a.x) ** 2 + (n.p.y - s.a.y) ** 2), 1) + CASE WHEN n.q IS NULL THEN 0 ELSE coalesce(sqrt((n.q.x - s.b.x) ** 2 + (n.q.y - s.b.y) ** 2), 1) END
+                  <= coalesce(sqrt((n.p.x - s.b.x) ** 2 + (n.p.y - s.b.y) ** 2), 1) + CASE WHEN n.q IS NULL THEN 0 ELSE coalesce(sqrt((n.q.x - s.a.x) ** 2 + (n.q.y - s.a.y) ** 2), 1) END END AS straight
+              FROM s JOIN n ON n.shot_id = s.shot_id AND n.side = s.side AND n.k = s.k + 1))))
+      SELECT shot_id, frame, CAST(side AS INT) AS slot, a.x AS x, a.y AS y FROM s WHERE ta UNION ALL SELECT shot_id, frame, CAST(side + 1 AS INT), b.x, b.y FROM s WHERE tb""",
+    "hit_features": """WITH b AS (SELECT l_orderkey // 400 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot,
+        row_number() OVER (PARTITION BY l_orderkey // 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS frame,
+        l_quantity, l_discount, l_suppkey % 2 = 1 AS lefty, list_transform(range(17), lambda k: l_partkey * (k + 3) % 97 * 2::DOUBLE) AS kx,
+        list_transform(range(17), lambda k: l_suppkey * (k + 5) % 89 * 2::DOUBLE + k * 4) AS ky, list_transform(range(17), lambda k: l_partkey * (k + 1) % 10 / 10) AS kc FROM lineitem),
+      m AS (MEASURES),
+      h AS (SELECT b.*, m.height, concat_ws(':', shot_id, frame, slot) AS key, last, CASE WHEN lefty <> (slot < 2) THEN -1 ELSE 1 END AS turn,
+          CASE WHEN lefty THEN [9, 7, 5, 10, 0, 11, 12, 15, 16, 5, 6] ELSE [10, 8, 6, 9, 0, 11, 12, 15, 16, 5, 6] END AS points, len(list_filter(kc, lambda c: c > 0.3)) AS sure
+        FROM b JOIN (SELECT shot_id, max(frame) AS last FROM b GROUP BY 1) USING (shot_id) JOIN m USING (shot_id, slot, frame)),
+      -- Every point of every frame around a hit; a frame that is not there has no sure point.
+      r AS (SELECT key, o, j, turn * coalesce(q.kx[points[j] + 1], 0) AS x, coalesce(q.ky[points[j] + 1], 0) AS y, coalesce(q.kc[points[j] + 1], 0) > 0.3 AS ok
+        FROM (SELECT h.*, o, least(last, greatest(0, frame - 15 + o)) AS at FROM h, range(31) t(o)) a LEFT JOIN b q ON q.shot_id = a.shot_id AND q.slot = a.slot AND q.frame = a.at, range(1, 12) u(j)),
+      w AS (SELECT *, max(CASE WHEN ok THEN o END) OVER (PARTITION BY key, j ORDER BY o) AS lo, min(CASE WHEN ok THEN o END) OVER (PARTITION BY key, j ORDER BY o DESC) AS hi FROM r),
+      z AS (SELECT w.key, w.o, w.j, l.x * (1 - part) + g.x * part AS x, l.y * (1 - part) + g.y * part AS y
+        FROM (SELECT *, coalesce(lo, hi) AS a, coalesce(hi, lo) AS e, CASE WHEN hi > lo THEN (o - lo) / (hi - lo) ELSE 0 END AS part FROM w) w
+        JOIN r l ON l.key = w.key AND l.j = w.j AND l.o = w.a JOIN r g ON g.key = w.key AND g.j = w.j AND g.o = w.e),
+      y AS (SELECT key, o, list_transform(range(1, 12), lambda k: struct_extract(list_extract(list_filter(l, lambda p: p.j = k), 1), 'x')) AS x,
+          list_transform(range(1, 12), lambda k: struct_extract(list_extract(list_filter(l, lambda p: p.j = k), 1), 'y')) AS y
+        FROM (SELECT key, o, list({'j': j, 'x': x, 'y': y}) AS l FROM z GROUP BY 1, 2)),
+      v AS (SELECT key, o, [x[1], x[2], x[3], x[4], x[5], (x[6] + x[7]) / 2, (x[8] + x[9]) / 2] AS x, [y[1], y[2], y[3], y[4], y[5], (y[6] + y[7]) / 2, (y[8] + y[9]) / 2] AS y,
+          coalesce(x[5], (x[10] + x[11]) / 2) AS hx, coalesce(y[5], (y[10] + y[11]) / 2) AS hy FROM y),
+      c AS (SELECT key, x[6] AS cx, y[6] AS cy, CASE WHEN x[7] IS NULL THEN 2.2::DOUBLE * sqrt((hx - x[6]) ** 2 + (hy - y[6]) ** 2) ELSE sqrt((hx - x[7]) ** 2 + (hy - y[7]) ** 2) END AS tall FROM v WHERE o = 15),
+      p AS (SELECT key, flatten(list(list_transform(flatten(list_transform(range(1, 8), lambda k: [(x[k] - cx) / tall, (y[k] - cy) / tall])), lambda q: coalesce(q, 0)) ORDER BY o)) AS path
+        FROM v JOIN c USING (key) WHERE o % 3 = 0 AND cx IS NOT NULL AND tall >= 10 GROUP BY 1),
+      f AS (SELECT key, list_transform(list_concat(path, [abs(l_quantity * 0.4::DOUBLE - 10) / 10, CASE WHEN slot < 2 THEN 10 - l_discount * 100 ELSE l_discount * 100 END / 10, (height = 'low')::INT, (height = 'high')::INT, (height = 'head')::INT,
+          least(l_discount * 6, 2), least(l_quantity / 4, 20) / 10]), lambda q: CAST(CAST(q AS FLOAT) AS DOUBLE)) AS f FROM p JOIN h USING (key) WHERE sure >= 6)
+      SELECT key, COLUMNS FROM f""",
     "hit_measures": """WITH b AS (SELECT l_orderkey // 400 AS shot_id, CAST(l_linenumber % 4 AS INT) AS slot,
         row_number() OVER (PARTITION BY l_orderkey // 400, l_linenumber % 4 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS frame,
         l_quantity, l_discount, l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 10 ELSE 9 END AS wk,
@@ -515,3 +559,6 @@ ORACLES: dict[str, str] = {
     "labels_certain": f"""WITH {LAB} SELECT video, key, n_chars, truth AS label FROM lab JOIN documents ON doc_id = key WHERE key % 5 <> 0""",
     "pose_rates": """SELECT event_id, round_even(CASE WHEN value / 8 > 31.5 THEN 30 ELSE value / 8 END, 6) AS fps, concat(upper(event_type[1]), lower(event_type[2:])) AS team FROM events""",
 }
+
+# The features of a hit need its height, and are as many columns.
+ORACLES["hit_features"] = ORACLES["hit_features"].replace("MEASURES", ORACLES["hit_measures"]).replace("COLUMNS", ", ".join(f"f[{i + 1}] AS f{i}" for i in range(161)))

@@ -635,7 +635,7 @@ def hit_measures(spark: SparkSession, sf: str) -> DataFrame:
 def hit_features(spark: SparkSession, sf: str) -> DataFrame:
     h = hits.pose_measures(A.hits(spark, sf), A.poses(spark, sf))
     out = hits.hit_features(h, A.poses(spark, sf))
-    return out.select("key", F.size("features").alias("n"), *[F.bround(F.col("features")[i], 4).alias(f"f{i}") for i in (0, 1, 70, 75, 120, 154, 155, 156, 160)])
+    return out.select("key", *[F.col("features")[i].cast("double").alias(f"f{i}") for i in range(hits.N_FEATURES)])
 
 
 @query

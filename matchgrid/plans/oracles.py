@@ -169,13 +169,8 @@ def _winner(b: str) -> str:
       WHEN p0{b} = '0' AND p1{b} = '0' THEN {step('g0', f'g0{b}', 'g1', f'g1{b}')} END"""
 
 
-def _viterbi() -> str:
-    """A recursive walk over the candidates; states hold value, last time and path."""
-    return """WITH RECURSIVE c AS (
-  SELECT user_id AS video_key, event_id AS cand, CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01')) AS DOUBLE) / 72000 AS t,
-    CASE WHEN event_id % 2 = 0 THEN CAST(floor(value) AS BIGINT) % 8 ELSE 1 END::DOUBLE AS s0,
-    CASE WHEN event_id % 2 = 0 THEN 1 ELSE CAST(floor(value) AS BIGINT) % 8 END::DOUBLE AS s1 FROM events),
-o AS (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY t, cand) AS k FROM c),
+#: A recursive walk over the candidates ``c``; states hold value, last time and path.
+VITERBI = """o AS (SELECT *, row_number() OVER (PARTITION BY video_key ORDER BY t, cand) AS k FROM c),
 walk AS (
   SELECT video_key, CAST(0 AS BIGINT) AS k, 0::DOUBLE AS nv, -1e300::DOUBLE AS fv, -1e300::DOUBLE AS ev, -1e9::DOUBLE AS ft, -1e9::DOUBLE AS et,
     CAST([] AS INT[]) AS np, CAST([] AS INT[]) AS fp, CAST([] AS INT[]) AS ep FROM (SELECT DISTINCT video_key FROM o)
@@ -191,8 +186,8 @@ walk AS (
       nv + s1 AS ea, CASE WHEN fv > -1e300 AND o.t - ft >= 0.45 THEN fv + s1 ELSE -1e300 END AS eb, CASE WHEN ev > -1e300 THEN ev + 3 ELSE -1e300 END AS ec
     FROM walk w JOIN o ON o.video_key = w.video_key AND o.k = w.k + 1)),
 last AS (SELECT video_key, CASE WHEN nv >= fv AND nv >= ev THEN np WHEN fv >= ev THEN fp ELSE ep END AS path
-  FROM walk w WHERE k = (SELECT max(k) FROM o WHERE o.video_key = w.video_key))
-SELECT o.video_key, o.cand, nullif(path[o.k], -1) AS team FROM o JOIN last USING (video_key)"""
+  FROM walk w WHERE k = (SELECT max(k) FROM o WHERE o.video_key = w.video_key)),
+chosen AS (SELECT o.video_key, o.cand, nullif(path[o.k], -1) AS team FROM o JOIN last USING (video_key))"""
 
 
 _CLEAN = """WITH RECURSIVE {state},
@@ -285,7 +280,32 @@ ORACLES: dict[str, str] = {
       p AS (SELECT * FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM g WINDOW w AS (PARTITION BY key ORDER BY level)) WHERE v > a AND v > b AND v >= 100),
       l AS (SELECT key, list(CAST(i AS BIGINT) ORDER BY v DESC, i DESC) AS l FROM p GROUP BY 1)
       SELECT key, unnest(list_reduce(l[2:], lambda k, c: CASE WHEN len(list_filter(k, lambda o: abs(o - c) < 4)) = 0 THEN list_append(k, c) ELSE k END, [l[1]])) AS i FROM l""",
-    "hit_sequence": _viterbi(),
+    "hit_sequence": f"""WITH RECURSIVE c AS (
+  SELECT user_id AS video_key, event_id AS cand, CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01')) AS DOUBLE) / 72000 AS t,
+    CASE WHEN event_id % 2 = 0 THEN CAST(floor(value) AS BIGINT) % 8 ELSE 1 END::DOUBLE AS s0,
+    CASE WHEN event_id % 2 = 0 THEN 1 ELSE CAST(floor(value) AS BIGINT) % 8 END::DOUBLE AS s1 FROM events),
+{VITERBI} SELECT video_key, cand, team FROM chosen""",
+    "hits_detected": f"""WITH RECURSIVE SPEEDS
+      sp AS (SELECT shot_id, slot, frame - 1 AS frame, speed, speed / greatest(coalesce(med, 1), 1e-3) AS ratio, CASE WHEN r > l THEN 1 ELSE 0 END AS arm FROM m),
+      sounds AS (SELECT o_orderkey // 400 AS shot_id, o_orderkey % 400 / 40 AS t FROM orders WHERE o_orderkey // 400 % 3 > 0),
+      heard AS (SELECT shot_id FROM sounds GROUP BY 1 HAVING count(*) > 1),
+      fastest AS (SELECT shot_id, frame, max(ratio) AS v FROM sp WHERE shot_id NOT IN (FROM heard) GROUP BY 1, 2),
+      flat AS (SELECT *, sum(new) OVER (PARTITION BY shot_id ORDER BY frame) AS level FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY shot_id ORDER BY frame) THEN 0 ELSE 1 END AS new FROM fastest)),
+      top AS (SELECT shot_id, level, any_value(v) AS v, (min(frame) + max(frame)) // 2 AS i FROM flat GROUP BY 1, 2),
+      peak AS (SELECT * FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM top WINDOW w AS (PARTITION BY shot_id ORDER BY level)) WHERE v > a AND v > b AND v >= 3),
+      crowd AS (SELECT shot_id, list(CAST(i AS BIGINT) ORDER BY v DESC, i DESC) AS l FROM peak GROUP BY 1),
+      silent AS (SELECT shot_id, unnest(list_reduce(l[2:], lambda k, c: CASE WHEN len(list_filter(k, lambda o: abs(o - c) < 13)) = 0 THEN list_append(k, c) ELSE k END, [l[1]])) AS i FROM crowd),
+      cands AS (SELECT shot_id, t, 'audio+pose' AS source FROM sounds WHERE shot_id IN (FROM heard) UNION ALL SELECT shot_id, i / 30, 'pose' FROM silent),
+      best AS (SELECT c.shot_id, c.t, CASE WHEN slot < 2 THEN 0 ELSE 1 END AS team, slot, frame, ratio, speed, arm FROM cands c
+        JOIN sp ON sp.shot_id = c.shot_id AND frame BETWEEN greatest(0, trunc((t - 0.2) * 30)) AND trunc((t + 0.1) * 30)
+        QUALIFY row_number() OVER (PARTITION BY c.shot_id, c.t, slot < 2 ORDER BY ratio DESC, slot, frame) = 1),
+      c AS (SELECT shot_id AS video_key, t AS cand, t, coalesce(max(ratio) FILTER (team = 0), 0) AS s0, coalesce(max(ratio) FILTER (team = 1), 0) AS s1 FROM best GROUP BY 1, 2),
+      {VITERBI}, {TRACK},
+      hit AS (SELECT b.*, source FROM chosen JOIN best b ON b.shot_id = video_key AND b.t = cand AND b.team = chosen.team JOIN cands s ON s.shot_id = b.shot_id AND s.t = b.t),
+      near AS (SELECT h.shot_id, h.slot, h.frame, p.x, p.y FROM (SELECT DISTINCT shot_id, slot, frame FROM hit) h JOIN track p ON p.shot_id = h.shot_id AND p.slot = h.slot AND p.x IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY h.shot_id, h.slot, h.frame ORDER BY abs(p.frame - h.frame), p.frame) = 1)
+      SELECT shot_id, round_even(shot_id * 20 + t, 3) AS t, frame, slot, CASE WHEN team = 0 THEN 'far' ELSE 'near' END AS side, round_even(x, 2) AS x, round_even(y, 2) AS y, round_even(abs(y - 10), 2) AS dist_net,
+        round_even(speed, 3) AS speed, round_even(ratio, 2) AS evidence, CASE WHEN arm = 1 THEN 'right' ELSE 'left' END AS arm, source FROM hit JOIN near USING (shot_id, slot, frame)""",
     "nearest_positions": f"""WITH {TRACK}, c AS (SELECT a.shot_id, a.slot, a.frame, b.x, b.y, row_number() OVER (PARTITION BY a.shot_id, a.slot, a.frame ORDER BY abs(b.frame - a.frame), b.frame) AS r
         FROM track a JOIN track b ON b.shot_id = a.shot_id AND b.slot = a.slot AND b.x IS NOT NULL WHERE a.x IS NULL)
       SELECT shot_id, slot, frame, round_even(x, 6) AS x, round_even(y, 6) AS y FROM c WHERE r = 1""",
@@ -560,5 +580,7 @@ ORACLES: dict[str, str] = {
     "pose_rates": """SELECT event_id, round_even(CASE WHEN value / 8 > 31.5 THEN 30 ELSE value / 8 END, 6) AS fps, concat(upper(event_type[1]), lower(event_type[2:])) AS team FROM events""",
 }
 
+_SPEEDS = ORACLES["wrist_speeds"]
+ORACLES["hits_detected"] = ORACLES["hits_detected"].replace("SPEEDS", _SPEEDS[len("WITH ") : _SPEEDS.index("SELECT shot_id, slot, frame, round_even(speed")].rstrip() + ",")
 # The features of a hit need its height, and are as many columns.
 ORACLES["hit_features"] = ORACLES["hit_features"].replace("MEASURES", ORACLES["hit_measures"]).replace("COLUMNS", ", ".join(f"f[{i + 1}] AS f{i}" for i in range(161)))

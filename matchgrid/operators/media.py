@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.functions.scalars import plain_name
+from matchgrid.functions.scalars import CORNERS, plain_name
 from matchgrid.operators.stats import PALETTE
 
 
@@ -81,6 +81,18 @@ def onset_strength(envelope: DataFrame) -> DataFrame:
     return e.select("key", "i", (F.col("rise") / (F.median("rise").over(Window.partitionBy("key")) + 1e-9)).alias("v"))
 
 
+def corner_boxes(places: DataFrame) -> DataFrame:
+    """Boxes ``x0, y0, x1, y1`` of the corner of a picture in which a scoreboard stands, beside the columns of the rows.
+
+    places: ``corner`` (one of ``scalars.CORNERS``), ``width, height``. The box is 45 % wide and 25 % high; of no corner it is null.
+    """
+    part = lambda share, c: F.floor(F.round(F.col(c) * share, 9)).cast("int")
+    known = F.col("corner").isin(*CORNERS)
+    x0 = F.when(known, F.when(F.col("corner").endswith("droite"), part(0.55, "width")).otherwise(0))
+    y0 = F.when(known, F.when(F.col("corner").startswith("bas"), part(0.75, "height")).otherwise(0))
+    return places.withColumns({"x0": x0, "y0": y0, "x1": x0 + part(0.45, "width"), "y1": y0 + part(0.25, "height")})
+
+
 def player_readings(answers: DataFrame, most: int = 30) -> DataFrame:
     """Usable name and shirt readings of the first close-ups of each video.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.functions.scalars import clock, player_name, report_key, short_team
+from matchgrid.functions.scalars import clean_answer, clock, first_json, one_of, player_name, report_key, short_team
 from matchgrid.operators import decode, hits, learning, media, motion, report, score, stats, timeline
 from matchgrid.operators.hits import ANKLES, NOSE, WRISTS
 from matchgrid.session import work_folder, written
@@ -187,6 +187,27 @@ def analyse(
     return {"hits": named, "players": players, "stats": per_player, "strokes": strokes, "rallies": points, "report": text}
 
 
+#: Kinds of shots that a model may answer with.
+SHOT_KINDS = ("main", "other_angle", "close_up", "crowd", "graphic", "other")
+
+
+def shots_by_answers(shots: DataFrame, make_client: Callable[[], Callable[[str], str]], store: str, model: str = "") -> DataFrame:
+    """Shots with ``kind, replay, scoreboard`` as a model answers for their key frames; each shot is asked for once.
+
+    shots: ``video_key, shot_id`` and ``keyframes``, names of pictures. An answer that is no JSON, or of no known kind,
+    makes the shot ``other``, live and without scoreboard.
+    """
+    key = F.to_json(F.struct("video_key", "shot_id"))
+    ask = F.concat(
+        F.lit("Pictures of the begin, middle and end of one shot: "), F.array_join("keyframes", ", "), F.lit(f". Its type is one of {', '.join(SHOT_KINDS)}. Answer with one JSON object: "),
+        F.lit('{"type": type, "replay": whether it is a replay or slow motion, "scoreboard": whether a scoreboard is shown}'),
+    )
+    keyed = written(shots.withColumn("key", key), "shots")
+    told = asked_once(keyed.select("key", ask.alias("prompt")), store, make_client, model).withColumn("a", first_json(clean_answer("answer"), "type string, replay boolean, scoreboard boolean"))
+    told = told.select("key", one_of("a.type", SHOT_KINDS, "other").alias("kind"), *[F.coalesce(f"a.{c}", F.lit(False)).alias(c) for c in ("replay", "scoreboard")])
+    return keyed.join(told, "key").drop("key")
+
+
 #: Segments that a summary is asked for at once.
 CHUNK = 40
 

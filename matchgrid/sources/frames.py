@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -364,6 +365,33 @@ def raw_frames(spark: SparkSession, path: str, width: int, height: int, fps: flo
     return _load(spark, RawFrames, path=path, width=width, height=height, fps=fps, **options)
 
 
+def frames_at(times: DataFrame, folder: str, width: int, height: int, fps: float, ending: str = ".rgb") -> DataFrame:
+    """``times`` with ``frame, pixels``: the first frame at or after each ``t`` of ``video_key``, read alone.
+
+    Where the video has no such frame, or there is no such file, both are null.
+    """
+    size = width * height * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frames, pixels = [], []
+            for key, t in zip(b.column("video_key").to_pylist(), b.column("t").to_pylist(), strict=True):
+                i, raw = None if t is None or t < 0 else ceil(t * fps - 1e-6), b""
+                if key is not None and i is not None:
+                    try:
+                        with opened(f"{folder.rstrip('/')}/{key}{ending}") as f:
+                            raw = f.read_at(size, i * size) if (i + 1) * size <= f.size() else b""
+                    except FileNotFoundError:
+                        pass
+                frames.append(i if raw else None)
+                pixels.append(raw or None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(frames, pa.int64()), pa.array(pixels, pa.binary())], [*b.schema.names, "frame", "pixels"])
+
+    t = times.withColumns({"video_key": F.col("video_key").cast("string"), "t": F.col("t").cast("double")})
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema)
+    return t.mapInArrow(run, f"{kinds}, frame long, pixels binary")
+
+
 def pcm_sound(spark: SparkSession, path: str, **options) -> DataFrame:
     """Mono sound of WAV files in blocks; ``options`` as of ``PcmSound``."""
     return _load(spark, PcmSound, path=path, **options)

@@ -329,6 +329,14 @@ def test_team_sides(spark):
     assert rows(match.team_sides(df, centres, shirts).where("side = 'far'"), "shot_id", "team") == [(1, "A"), (2, "B"), (3, "A"), (4, "D")]
 
 
+def test_shots_by_answers(spark, tmp_path):
+    shots = spark.createDataFrame([("v", 1, ["a"]), ("v", 2, ["b"]), ("v", 3, ["c"]), ("w", 1, ["d"])], "video_key string, shot_id long, keyframes array<string>")
+    answers = {"a": '<think>?</think> {"type": " Main", "replay": false, "scoreboard": true}', "b": "no idea", "c": '{"type": "moon", "replay": true}', "d": '{"type": "close_up"}'}
+    client = lambda: lambda p: next(a for k, a in answers.items() if f": {k}. Its" in p)
+    got = rows(match.shots_by_answers(shots, client, str(tmp_path / "store")), "video_key", "shot_id", "kind", "replay", "scoreboard")
+    assert got == [("v", 1, "main", False, True), ("v", 2, "other", False, False), ("v", 3, "other", True, False), ("w", 1, "close_up", False, False)]
+
+
 def test_command_line(spark, capsys, tmp_path):
     from matchgrid.__main__ import main
 

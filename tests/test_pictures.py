@@ -69,6 +69,17 @@ def test_filters_reach_the_reader(spark, videos):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+def test_frames_at_times_and_their_corners(spark, videos):
+    folder, made = videos
+    asked = [("a", 0.0, "haut_gauche"), ("a", 0.41, "bas_droite"), ("a", 2.4, "haut_droite"), ("a", 99.0, "bas_gauche"), ("none", 0.0, "bas_gauche"), ("b", None, "x"), ("b", -1.0, None)]
+    times = spark.createDataFrame(asked, "video_key string, t double, corner string")
+    got = {(r.video_key, r.t): r for r in media.corner_boxes(source.frames_at(times, folder, W, H, 25).withColumns({"width": F.lit(W), "height": F.lit(H)})).collect()}
+    assert {k: r.frame for k, r in got.items()} == {("a", 0.0): 0, ("a", 0.41): 11, ("a", 2.4): 60, ("a", 99.0): None, ("none", 0.0): None, ("b", None): None, ("b", -1.0): None}
+    assert bytes(got["a", 0.41].pixels) == made["a"][11].tobytes() and got["a", 99.0].pixels is None
+    box = lambda k: tuple(got[k][c] for c in ("x0", "y0", "x1", "y1"))
+    assert (box(("a", 0.0)), box(("a", 0.41)), box(("a", 2.4))) == ((0, 0, 7, 2), (8, 6, 15, 8), (8, 0, 15, 2)) and box(("b", None)) == (None,) * 4
+
+
 def test_a_frame_file_over_two_gigabytes(spark, tmp_path):
     """A sparse file: only the frames asked for are read."""
     path, size, n = tmp_path / "long.rgb", 1920 * 1080 * 3, 400

@@ -41,6 +41,8 @@ from .components import connected_components
 
 MIN_LINE_CHARS = 16
 MIN_LINE_WORDS = 10
+#: What a blank line consists of.
+WHITE = " \t\n\x0B\f\r"
 #: Pieces that a segment is split into in each later round.
 FAN_OUT = 16
 #: Keys that are broadcast at most (8 bytes each); more are joined by a shuffle.
@@ -80,8 +82,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return (
         _row_key(docs)
         .select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+        .where(F.trim("raw", F.lit(WHITE)) != "")
         .select("doc_id", "h", "pos", F.trim("raw").alias("line"))
-        .where(F.col("line").rlike(r"[^ \t\n\x0B\f\r]"))
         .withColumn("id", F.xxhash64("line", F.length("line")))
     )
 

@@ -457,3 +457,35 @@ def test_near_copies_without_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
     assert sorted((r.doc_id or 0, r.text or "") for r in without_near_copies(docs).collect()) == [(3, near), (5, ""), (8, rows[3][1])]
     assert one_per_component(docs).columns == docs.columns
+
+
+def test_toxicity_with_one_class_only(spark):
+    """Rows of one class tell nothing apart: every score is next to 0, and none is flagged."""
+    from matchgrid.llm.toxicity import toxicity
+
+    docs = spark.createDataFrame([(d, f"some text {d} of plain words") for d in range(60)], "doc_id long, text string")
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(d, toxic) for d in range(60)], "doc_id long, toxic int")
+        assert all(r.predicted == 0 and r.score < 1e-9 for r in toxicity(docs, labels).collect())
+
+
+def test_packing_in_many_blocks(spark, sf):
+    """Blocks of fifty pieces of the given texts: at most one sequence more than their tokens need, for each turn that is left."""
+    from pyspark.sql import functions as F
+
+    from matchgrid.llm import packing, queries
+    from matchgrid.session import table
+
+    docs = table(spark, sf, "documents")
+    rows = packing.pack(docs, queries.tokenizer_path(), block_pieces=50).select("sequence_id", "offset", "length", "doc_id", "piece").collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows) >= docs.select(F.countDistinct("doc_id")).first()[0]
+    assert len(sequences) <= -(-sum(r.length for r in rows) // 4096) + 2

@@ -37,9 +37,10 @@ def assign_frames(frames: DataFrame, segments: DataFrame, size: float) -> DataFr
     """Each frame with the segment it falls in; what lies behind goes to the last.
 
     The segment number follows from the time, so this is an equi-join with one
-    row per video, not a range join.
+    row per video, not a range join. Exploded rows look as small as the
+    videos they come from, so the planner is told not to broadcast them.
     """
-    count = segments.groupBy("video_key").agg(F.count("*").alias("n"))
+    count = segments.groupBy("video_key").agg(F.count("*").alias("n")).hint("merge")
     seg = F.least(F.floor(F.col("t") / size), F.col("n") - 1).cast("int")
     return frames.join(count, "video_key").select("video_key", "frame", "t", seg.alias("seg_id"))
 
@@ -59,7 +60,7 @@ def heard_and_context(utterances: DataFrame, segments: DataFrame, size: float) -
         "video_key", "utt_id", "text", F.col("start").alias("b"), F.col("end").alias("e"),
         F.explode(F.sequence(low, high)).alias("seg_id"),
     )
-    overlap = near.join(segments, ["video_key", "seg_id"]).where("b < end AND e > start")
+    overlap = near.join(segments.hint("merge"), ["video_key", "seg_id"]).where("b < end AND e > start")
     context = overlap.groupBy("video_key", "seg_id").agg(_in_order("utt_id", "text").alias("context"))
     joined = segments.join(heard, ["video_key", "seg_id"], "left").join(context, ["video_key", "seg_id"], "left")
     return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("heard", "context")})

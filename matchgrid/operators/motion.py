@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,12 +84,13 @@ def follow(last: Last, frame: int, found: list[tuple[float, float, float]], fps:
 
     Either side of the net has two slots, and its two surest detections (of equal
     ones the leftmost) take part. Where neither slot has a position yet they are ordered by x.
+    Distances are roots of summed squares, as in SQL: between equal sums the last digit decides.
     """
     taken = []
     for slots, side in (((0, 1), [p for p in found if p[1] < 10]), ((2, 3), [p for p in found if p[1] >= 10])):
         places = [p[:2] for p in sorted(side, key=lambda p: (-p[2], p[0], p[1]))[:2]]
         known = {s: last[s] for s in slots if s in last}
-        apart = lambda s, p: float(np.hypot(p[0] - known[s][0], p[1] - known[s][1])) if s in known else 1.0  # noqa: B023, E731
+        apart = lambda s, p: math.sqrt((p[0] - known[s][0]) ** 2.0 + (p[1] - known[s][1]) ** 2.0) if s in known else 1.0  # noqa: B023, E731
         if known:
             orders = [list(zip(o, places, strict=False)) for o in (slots, slots[::-1])]
             pairs = min(orders, key=lambda o: sum(apart(s, p) for s, p in o))

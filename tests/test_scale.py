@@ -1,9 +1,9 @@
-"""Plans and figures that have to hold on large tables."""
+"""Plans and figures that have to hold on large tables, and ties that SQL decides."""
 
 import contextlib
 import io
 
-from matchgrid.operators import timeline
+from matchgrid.operators import motion, timeline
 
 
 def plan_of(df) -> str:
@@ -20,3 +20,10 @@ def test_exploded_frames_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan_of(frames)
     assert frames.count() == 240
     assert frames.where("video_key = 3 AND seg_id = 2").count() == 2
+
+
+def test_equal_sums_of_distances_as_in_sql():
+    # The other order's sum is the same on paper; a hypotenuse rounded in another way swaps the slots.
+    last: motion.Last = {0: (0.0, 1.6, 0), 1: (2.0, 1.6, 0)}
+    found = [(0.0, 2.4000000000000004, 0.9), (0.0, 0.8, 0.8)]
+    assert motion.follow(last, 1, found, 30) == [(0, 0.0, 2.4000000000000004), (1, 0.0, 0.8)]

@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+from matchgrid import session
 from matchgrid.operators import motion, timeline
 
 
@@ -27,3 +28,13 @@ def test_equal_sums_of_distances_as_in_sql():
     last: motion.Last = {0: (0.0, 1.6, 0), 1: (2.0, 1.6, 0)}
     found = [(0.0, 2.4000000000000004, 0.9), (0.0, 0.8, 0.8)]
     assert motion.follow(last, 1, found, 30) == [(0, 0.0, 2.4000000000000004), (1, 0.0, 0.8)]
+
+
+def test_dealt_partitions_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "PARTITION_ROWS", 50)
+    rows = session.dealt(spark.range(1000).selectExpr("id", "id div 10 AS shot_id"), "shot_id")
+    counts = rows.groupBy("shot_id").count()
+    assert rows.rdd.getNumPartitions() == 20
+    # What is grouped by the same key stays in these partitions.
+    assert plan_of(counts).count("Exchange") == 1
+    assert counts.where("count = 10").count() == 100

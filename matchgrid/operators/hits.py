@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from matchgrid.operators.decode import MIN_GAP_S, NO_HIT, alternate_hits, nearest_position, stroke_by_pose, strongest_slot
 from matchgrid.operators.series import pick_peaks
 
+from matchgrid.session import written
 #: Band of a ball's impact (Hz), step of the loudness (s), least
 #: distance of two onsets (s) and least strength over the median rise.
 BAND, HOP_S, ONSET_GAP_S, LEAST_ONSET = (1500.0, 6000.0), 0.01, 0.25, 8.0
@@ -101,7 +102,8 @@ def detect_hits(sounds: DataFrame, speeds: DataFrame, tracks: DataFrame, shots:
     it; the best alternating series decides; a hit is where its slot is known
     at the nearest frame, and goes where that is nowhere.
     """
-    cands = candidate_times(sounds, speeds, fps)
+    # Slots, scores and hits read the candidates.
+    cands = written(candidate_times(sounds, speeds, fps), "candidates")
     best = strongest_slot(cands, speeds.select("shot_id", "slot", "frame", F.col("ratio").alias("speed")), fps)
     score = lambda k: F.coalesce(F.max(F.when(F.col("team") == k, F.col("speed"))), F.lit(0.0))
     scored = best.groupBy("shot_id", "cand").agg(score(0).alias("s0"), score(1).alias("s1")).join(cands, ["shot_id", "cand"])

@@ -4,7 +4,7 @@ import contextlib
 import io
 
 from matchgrid import session
-from matchgrid.operators import motion, timeline
+from matchgrid.operators import decode, motion, timeline
 
 
 def plan_of(df) -> str:
@@ -38,3 +38,11 @@ def test_dealt_partitions_grow_with_the_rows(spark, monkeypatch):
     # What is grouped by the same key stays in these partitions.
     assert plan_of(counts).count("Exchange") == 1
     assert counts.where("count = 10").count() == 100
+
+
+def test_a_frame_joins_once_for_all_its_slots(spark):
+    cands = spark.createDataFrame([(1, 7, 0.5)], "shot_id long, cand long, t double")
+    speeds = spark.createDataFrame([(1, s, f, float(v)) for f in (12, 13) for s, v in ((0, 4), (1, 4), (2, 1), (3, 5))], "shot_id long, slot int, frame long, speed double")
+    out = decode.strongest_slot(cands, speeds, 30.0)
+    assert sorted(out.select("team", "slot", "frame", "speed").collect()) == [(0, 0, 12, 4.0), (1, 3, 12, 5.0)]
+    assert "Generate" in plan_of(out) and plan_of(out).index("max(CASE") > 0

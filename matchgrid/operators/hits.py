@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.operators.decode import MIN_GAP_S, NO_HIT, alternate_hits, nearest_position, stroke_by_pose, strongest_slot
 from matchgrid.operators.series import pick_peaks
-
 from matchgrid.session import written
+
 #: Band of a ball's impact (Hz), step of the loudness (s), least
 #: distance of two onsets (s) and least strength over the median rise.
 BAND, HOP_S, ONSET_GAP_S, LEAST_ONSET = (1500.0, 6000.0), 0.01, 0.25, 8.0
@@ -130,38 +131,41 @@ def pose_measures(hits: DataFrame, poses: DataFrame) -> DataFrame:
 
     poses: ``shot_id, slot, frame, kpts`` (17 of x, y, c). The wrist's top is
     that of five frames about the hit, of those where it is sure. Hits
-    without a pose at their frame are left out. The frames are named, so this
-    is an equi-join.
+    without a pose at their frame are left out. Each pose is judged for either
+    arm before it meets the hits, so that no keypoints travel.
     """
-    wrist = lambda k: F.when(F.col("arm") == "right", F.get(k, F.lit(WRISTS[1]))).otherwise(F.get(k, F.lit(WRISTS[0])))
-    near = hits.select("shot_id", "slot", F.col("frame").alias("at"), "arm", F.explode(F.expr("sequence(frame - 2, frame + 2)")).alias("frame"))
-    # Only the wrists travel to the frames around the hits.
-    both = poses.select("shot_id", "slot", "frame", *[F.get("kpts", F.lit(k)).alias(f"w{k}") for k in WRISTS])
-    near = near.join(both, ["shot_id", "slot", "frame"]).withColumn("w", F.when(F.col("arm") == "right", F.col(f"w{WRISTS[1]}")).otherwise(F.col(f"w{WRISTS[0]}")))
-    top = near.groupBy("shot_id", "slot", F.col("at").alias("frame")).agg(F.min(F.when(F.col("w.c") > 0.3, F.col("w.y"))).alias("top"))
-    h = hits.join(poses.select("shot_id", "slot", "frame", "kpts"), ["shot_id", "slot", "frame"]).join(top, ["shot_id", "slot", "frame"])
-    point = lambda k: F.get("kpts", F.lit(k))
-    nose, (ls, rs), (lh, rh) = point(NOSE), map(point, SHOULDERS), map(point, HIPS)
-    h = h.withColumns({
-        "w": wrist("kpts"), "hip_x": (lh["x"] + rh["x"]) / 2, "hip_y": (lh["y"] + rh["y"]) / 2, "shoulder": F.least(ls["y"], rs["y"]),
-        "head": F.when(nose["c"] > 0.3, nose["y"]).otherwise(F.least(ls["y"], rs["y"]) - 0.25 * F.abs(lh["y"] - ls["y"])),
-    })
-    h = h.withColumns({"body": F.greatest(F.abs(F.col("hip_y") - F.col("head")), F.lit(1.0)), "top": F.coalesce("top", "w.y")})
-    shoulder = F.when(F.least(ls["c"], rs["c"]) > 0.3, F.col("shoulder")).otherwise(F.col("head") + 0.2 * F.col("body"))
-    overhead = F.col("top") < F.col("head") - 0.05 * F.col("body")
-    # The impact's side of the axis from the left to the right hip.
-    side = (F.col("w.x") - F.col("hip_x")) * (rh["x"] - lh["x"]) + (F.col("w.y") - F.col("hip_y")) * (rh["y"] - lh["y"])
-    out = h.withColumns({
-        "overhead": overhead, "height": F.when(overhead, "head").when(F.col("top") < shoulder, "high").otherwise("low"),
-        "forehand": (side > 0) == (F.col("arm") == "right"), "wrist_low": F.col("w.y") > F.col("hip_y") - 0.3 * F.col("body"),
+    fields = {"n": NOSE, "ls": SHOULDERS[0], "rs": SHOULDERS[1], "lh": HIPS[0], "rh": HIPS[1], "left": WRISTS[0], "right": WRISTS[1]}
+    p = poses.select("shot_id", "slot", "frame", *[F.get("kpts", F.lit(k))[c].alias(f"{name}_{c}") for name, k in fields.items() for c in "xyc"])
+    five = Window.partitionBy("shot_id", "slot").orderBy("frame").rangeBetween(-2, 2)
+    p = p.withColumns({f"{arm}_top": F.min(F.when(F.col(f"{arm}_c") > 0.3, F.col(f"{arm}_y"))).over(five) for arm in ("left", "right")})
+    c = F.col
+    p = p.withColumns({
+        "hip_x": (c("lh_x") + c("rh_x")) / 2, "hip_y": (c("lh_y") + c("rh_y")) / 2, "shoulder": F.least("ls_y", "rs_y"),
+        "head": F.when(c("n_c") > 0.3, c("n_y")).otherwise(F.least("ls_y", "rs_y") - 0.25 * F.abs(c("lh_y") - c("ls_y"))),
     })
-    return out.drop("w", "hip_x", "hip_y", "shoulder", "head", "body", "top", "kpts")
+    p = p.withColumn("body", F.greatest(F.abs(c("hip_y") - c("head")), F.lit(1.0)))
+    shoulder = F.when(F.least("ls_c", "rs_c") > 0.3, c("shoulder")).otherwise(c("head") + 0.2 * c("body"))
+
+    def judged(arm: str) -> Column:
+        top, x, y = F.coalesce(f"{arm}_top", f"{arm}_y"), c(f"{arm}_x"), c(f"{arm}_y")
+        overhead = top < c("head") - 0.05 * c("body")
+        # The impact's side of the axis from the left to the right hip.
+        side = (x - c("hip_x")) * (c("rh_x") - c("lh_x")) + (y - c("hip_y")) * (c("rh_y") - c("lh_y"))
+        return F.struct(
+            overhead.alias("overhead"), F.when(overhead, "head").when(top < shoulder, "high").otherwise("low").alias("height"),
+            ((side > 0) == F.lit(arm == "right")).alias("forehand"), (y > c("hip_y") - 0.3 * c("body")).alias("wrist_low"),
+        )
+
+    both = p.select("shot_id", "slot", "frame", judged("left").alias("left_arm"), judged("right").alias("right_arm"))
+    h = hits.join(both, ["shot_id", "slot", "frame"])
+    own = F.when(F.col("arm") == "right", F.col("right_arm")).otherwise(F.col("left_arm"))
+    return h.withColumns({k: own[k] for k in ("overhead", "height", "forehand", "wrist_low")}).drop("left_arm", "right_arm")
 
 
 def typed_hits(hits: DataFrame, poses: DataFrame, shots: DataFrame) -> DataFrame:
     """Hits with their stroke by pose; the first of each shot may be the service."""
-    first = hits.groupBy("shot_id").agg(F.min("t").alias("first_t"))
-    h = pose_measures(hits, poses).join(first, "shot_id").join(shots.select("shot_id", "start"), "shot_id")
+    first = hits.withColumn("first_t", F.min("t").over(Window.partitionBy("shot_id")))
+    h = pose_measures(first, poses).join(shots.select("shot_id", "start"), "shot_id")
     h = h.withColumns({"first_in_shot": F.col("t") == F.col("first_t"), "since_start": F.col("t") - F.col("start"), "dist": F.col("dist_net")})
     return stroke_by_pose(h).drop("first_t", "start", "dist", "first_in_shot", "since_start").withColumn("stroke_pose", F.col("stroke"))
 
@@ -222,34 +226,37 @@ def swing_features(kpts: np.ndarray, hits: dict[str, np.ndarray]) -> tuple[np.nd
 def hit_features(hits: DataFrame, poses: DataFrame) -> DataFrame:
     """``key, features`` of the hits whose keypoints say enough.
 
-    Hits and poses of a shot's slot, minutes of frames, meet once; the frames around a hit are slices of
-    one array. Beyond the shot's ends they are the nearest that there is; a frame
+    Hits and poses of a shot, minutes of frames, meet once; the frames around a hit are slices of
+    one array for each slot. Beyond the shot's ends they are the nearest that there is; a frame
     without a pose has no sure keypoint.
     """
-    ends = poses.groupBy("shot_id").agg(F.max("frame").alias("last"))
     columns = ["arm", "x", "dist_net", "height", "speed", "evidence"]
-    h = hits.select(hit_key().alias("key"), "shot_id", "slot", F.col("frame").cast("long").alias("frame"), *columns).join(ends, "shot_id")
-    flat = F.flatten(F.transform("kpts", lambda k: F.array(k["x"], k["y"], k["c"])))
-    p = poses.select("shot_id", "slot", F.col("frame").cast("long").alias("frame"), flat.alias("k")).where("frame >= 0 AND size(k) = 51")
+    h = hits.select(hit_key().alias("key"), "shot_id", "slot", F.col("frame").cast("long").alias("frame"), *columns)
+    flat = F.when(F.size("kpts") == 17, F.array(*[F.get("kpts", F.lit(k))[c].cast("double") for k in range(17) for c in "xyc"]))
+    p = poses.select("shot_id", "slot", F.col("frame").cast("long").alias("frame"), flat.alias("k"))
+    kind = pa.list_(pa.float32())
 
     def run(own: pa.Table, seen: pa.Table) -> pa.Table:
-        none = pa.table({"key": pa.array([], pa.string()), "features": pa.array([], pa.list_(pa.float32()))})
-        if not own.num_rows:
-            return none
-        last = int(own.column("last")[0].as_py())
-        dense = np.zeros((last + 1, 17, 3))
-        if seen.num_rows:
-            values = seen.column("k").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            dense[seen.column("frame").to_numpy()] = values.reshape(-1, 17, 3)
-        frame = own.column("frame").to_numpy()
-        found, keys = [], own.column("key").to_pylist()
-        for at in range(0, len(frame), 512):
-            part = slice(at, at + 512)
-            around = np.clip(frame[part, None] + np.arange(-BEFORE, BEFORE + 1), 0, last)
-            cells = {c: own.column(c).to_numpy(zero_copy_only=False)[part] for c in ("slot", *columns)}
-            values, usable = swing_features(dense[around], cells)
-            found += [(keys[at + k], values[k]) for k in np.flatnonzero(usable)]
-        return pa.table({"key": pa.array([k for k, _ in found], pa.string()), "features": pa.array([v for _, v in found], pa.list_(pa.float32()))}) if found else none
-
-    by = ("shot_id", "slot")
-    return h.groupBy(*by).cogroup(p.groupBy(*by)).applyInArrow(run, "key string, features array<float>")
+        keys, rows = [], []
+        last = pc.max(seen.column("frame")).as_py()
+        if own.num_rows and last is not None and last >= 0:
+            seen = seen.filter(pc.and_(pc.greater_equal(seen.column("frame"), 0), pc.is_valid(seen.column("k"))))
+            values = seen.column("k").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 17, 3)
+            at, of = seen.column("frame").to_numpy(), seen.column("slot").to_numpy()
+            cells = {c: own.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "frame", *columns)}
+            name = own.column("key").to_numpy(zero_copy_only=False)
+            for slot in np.unique(cells["slot"]):
+                dense = np.zeros((last + 1, 17, 3))
+                dense[at[of == slot]] = values[of == slot]
+                mine = np.flatnonzero(cells["slot"] == slot)
+                for k in range(0, len(mine), 512):
+                    part = mine[k : k + 512]
+                    around = np.clip(cells["frame"][part, None] + np.arange(-BEFORE, BEFORE + 1), 0, last)
+                    found, usable = swing_features(dense[around], {c: v[part] for c, v in cells.items()})
+                    keys += name[part[usable]].tolist()
+                    rows.append(found[usable])
+        flat = np.concatenate(rows) if rows else np.empty((0, N_FEATURES), np.float32)
+        ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * N_FEATURES)
+        return pa.table({"key": pa.array(keys, pa.string()), "features": pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), kind.value_type))})
+
+    return h.groupBy("shot_id").cogroup(p.groupBy("shot_id")).applyInArrow(run, "key string, features array<float>")

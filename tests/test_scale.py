@@ -4,7 +4,7 @@ import contextlib
 import io
 
 from matchgrid import session
-from matchgrid.operators import decode, motion, timeline
+from matchgrid.operators import decode, hits, motion, timeline
 
 
 def plan_of(df) -> str:
@@ -46,3 +46,14 @@ def test_a_frame_joins_once_for_all_its_slots(spark):
     out = decode.strongest_slot(cands, speeds, 30.0)
     assert sorted(out.select("team", "slot", "frame", "speed").collect()) == [(0, 0, 12, 4.0), (1, 3, 12, 5.0)]
     assert "Generate" in plan_of(out) and plan_of(out).index("max(CASE") > 0
+
+
+def test_only_what_is_measured_meets_the_hits(spark):
+    kpts = "transform(sequence(0, 16), k -> named_struct('x', k * 3D, 'y', k * 5D, 'c', 0.9D)) AS kpts"
+    poses = spark.range(40).selectExpr("1L AS shot_id", "0 AS slot", "id AS frame", kpts)
+    found = spark.createDataFrame([(1, 0, 20, "right"), (1, 0, 99, "left")], "shot_id long, slot int, frame long, arm string")
+    out = hits.pose_measures(found, poses)
+    plan = plan_of(out)
+    # Neither keypoints nor frames around the hits are shuffled: no row of a hit is multiplied.
+    assert "Generate" not in plan and plan.count("Join") == 1
+    assert out.select("frame", "height", "overhead").collect() == [(20, "low", False)]

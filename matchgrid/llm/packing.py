@@ -24,6 +24,7 @@ result.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -115,10 +116,12 @@ class Encoder:
             return new
         kept = absent.intersection(old)
         new.update(zip(kept, map(old.__getitem__, kept), strict=True))
-        words: set[str] = set()
+        absent -= kept
+        # What is letters only is a word as it stands.
+        words = set(filter(str.isalpha, absent))
         parts, others = [], []
         split = PUNCTUATED.fullmatch
-        for c in absent.difference(kept):
+        for c in absent.difference(words):
             m = split(c)
             if m is None:
                 others.append(c)
@@ -135,6 +138,16 @@ class Encoder:
         return new
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        # Nothing here makes cycles, and Python's collector would visit all words of a batch again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
         plain = [None if not t or self.words is None or "<|" in t or not PLAIN.fullmatch(t) else t.lower().split() for t in texts]
         get = self._known(set().union(*(p for p in plain if p is not None))).__getitem__
         return [

@@ -55,20 +55,28 @@ class Unit:
 
     name: str
     least: int
-    #: The line as a sequence, its length, its first ``a`` units, those from ``a`` (from 1) on,
+    #: Length of a line, its first ``a`` units, those from ``a`` (from 1) on, both as text,
     #: and units ``a + 1 .. b`` as an array.
-    line: str
     length: str
     head: str
     tail: str
     part: str
 
 
-CHARACTERS = Unit("characters", MIN_LINE_CHARS, "line", "length({x})", "left({x}, {a})", "substring({x}, {a})", "split(substring({x}, {a} + 1, {b} - {a}), '')")
+CHARACTERS = Unit("characters", MIN_LINE_CHARS, "length({x})", "left({x}, {a})", "substring({x}, {a})", "split(substring({x}, {a} + 1, {b} - {a}), '')")
+# Words are told apart by single spaces, so a number of words joined by them is as good as their array, and cheaper to hash.
+_WORDS = "(octet_length({x}) - octet_length(replace({x}, ' ', '')) + 1)"
 WORDS = Unit(
-    "words", MIN_LINE_WORDS, "split(line, ' ')", "size({x})", "slice({x}, 1, {a})", "slice({x}, {a}, size({x}))",
-    "slice({x}, {a} + 1, greatest({b} - {a}, 0))",
+    "words", MIN_LINE_WORDS, _WORDS, "substring_index({x}, ' ', {a})", f"substring_index({{x}}, ' ', least(0, {{a}} - 1 - {_WORDS}))",
+    "slice(split({x}, ' '), {a} + 1, greatest({b} - {a}, 0))",
 )
+UNITS = (CHARACTERS, WORDS)
+
+
+def _of_unit(form: str, **parts: str) -> str:
+    """A form of the line's own ``unit``, its place in ``UNITS``."""
+    characters, words = (getattr(u, form).format(**parts) for u in UNITS)
+    return f"if(unit = 0, {characters}, {words})"
 
 
 def _row_key(docs: DataFrame) -> DataFrame:
@@ -88,36 +96,37 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def _key(unit: Unit) -> Column:
+def _key() -> Column:
     """Index key of a line whose edit may lie in [lo, hi) of the shorter line."""
-    before, behind = unit.head.format(x="line", a="lo"), unit.tail.format(x="line", a="(hi + longer + 1)")
-    return F.expr(f"xxhash64(n, lo, hi, {before}, {behind})")
+    before, behind = _of_unit("head", x="line", a="lo"), _of_unit("tail", x="line", a="(hi + longer + 1)")
+    return F.expr(f"xxhash64(unit, n, lo, hi, {before}, {behind})")
 
 
-def _first_keys(lines: DataFrame, unit: Unit) -> DataFrame:
-    """Two segments of each line, by its own length and as the longer partner."""
-    sized = lines.select("id", F.expr(unit.line).alias("line")).withColumn("size", F.expr(unit.length.format(x="line")))
-    sized = sized.where(F.col("size") >= unit.least).select("id", "line", "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("longer"))
+def _first_keys(lines: DataFrame) -> DataFrame:
+    """Two segments of each line in characters and in words, by its own length and as the longer partner."""
+    sizes = F.array(*[F.struct(F.lit(k).alias("unit"), F.expr(u.length.format(x="line")).alias("size"), F.lit(u.least).alias("least")) for k, u in enumerate(UNITS)])
+    sized = lines.select("id", "line", F.inline(F.filter(sizes, lambda u: u["size"] >= u["least"])))
+    sized = sized.select("id", "line", "unit", "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("longer"))
     sized = sized.withColumn("n", F.col("size") - F.col("longer"))
     half = F.floor(F.col("n") / 2).cast("int")
     # An insertion may also lie behind the last unit.
     ranges = F.array(
         F.struct(F.lit(0).alias("lo"), half.alias("hi")), F.struct(half.alias("lo"), F.col("n").alias("hi"))
     )
-    return sized.select("id", "line", "longer", "n", F.inline(ranges)).withColumn("key", _key(unit))
+    return sized.select("id", "line", "unit", "longer", "n", F.inline(ranges)).withColumn("key", _key())
 
 
-def _split(rows: DataFrame, unit: Unit) -> DataFrame:
+def _split(rows: DataFrame) -> DataFrame:
     """Splits the segment of each row into up to ``FAN_OUT`` parts."""
     step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / FAN_OUT)).cast("int")
     cut = rows.withColumn("step", step).select(
-        "id", "line", "longer", "n", "hi", "step", F.explode(F.expr("sequence(lo, greatest(lo, hi - 1), step)")).alias("at")
+        "id", "line", "unit", "longer", "n", "hi", "step", F.explode(F.expr("sequence(lo, greatest(lo, hi - 1), step)")).alias("at")
     )
     # A single position: an insertion may lie before or behind it.
     out = cut.select(
-        "id", "line", "longer", "n", F.col("at").alias("lo"), F.least(F.col("at") + F.col("step"), F.col("hi")).alias("hi")
+        "id", "line", "unit", "longer", "n", F.col("at").alias("lo"), F.least(F.col("at") + F.col("step"), F.col("hi")).alias("hi")
     )
-    return out.withColumn("key", _key(unit))
+    return out.withColumn("key", _key())
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -154,35 +163,38 @@ def within_one_edit(a: str, b: str) -> Column:
     return (F.expr(f"abs(size({a}) - size({b})) <= 1")) & (F.expr(step.replace("m(i)", mask)) == 1)
 
 
-def near_lines(lines: DataFrame, unit: Unit) -> DataFrame:
-    """Links ``u, v`` between the ids of different lines one edit apart."""
-    first = _first_keys(lines, unit)
+def near_lines(lines: DataFrame) -> DataFrame:
+    """Links ``u, v`` between the ids of different lines one edit apart, in characters or in words.
+
+    Both units go through the same rounds, so the lines are read twice in all.
+    """
+    first = _first_keys(lines)
     rows = _with_shared(first, _shared(first))
-    same = ["id", "longer", "n", "lo", "hi"]
-    rows = materialize(rows.groupBy(*same).agg(F.first("line").alias("line")), "line-rows", large=True)
+    same = ["id", "unit", "longer", "n", "lo", "hi"]
+    rows = materialize(rows.groupBy(*same).agg(F.first("line").alias("line")), "line-rows")
     widest = rows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
     while widest > 1:
-        parts = _split(rows, unit)
-        rows = materialize(_with_shared(parts, _shared(parts)).select(*same, "line"), "line-rows", instead_of=(rows,), large=True)
+        parts = _split(rows)
+        rows = materialize(_with_shared(parts, _shared(parts)).select(*same, "line"), "line-rows", instead_of=(rows,))
         widest = rows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
     # Replacements: lines of equal length that agree but for one unit.
     # Insertions: the longer line has one more unit at either side of it.
     # A member of a key: what it has before ``at`` and from ``rest`` on is shared.
     swap = rows.where("longer = 0").select(
-        "id", "line", F.col("lo").alias("at"), F.col("hi").alias("rest"), F.lit(0).alias("kind")
+        "id", "unit", "line", F.col("lo").alias("at"), F.col("hi").alias("rest"), F.lit(0).alias("kind")
     )
-    put = rows.select("id", "line", "longer", F.explode(F.array("lo", "hi")).alias("at")).select(
-        "id", "line", "at", (F.col("at") + F.col("longer")).alias("rest"), F.lit(1).alias("kind")
+    put = rows.select("id", "unit", "line", "longer", F.explode(F.array("lo", "hi")).alias("at")).select(
+        "id", "unit", "line", "at", (F.col("at") + F.col("longer")).alias("rest"), F.lit(1).alias("kind")
     )
-    size, outer = unit.length.format(x="line"), [unit.head.format(x="{x}", a="at"), unit.tail.format(x="{x}", a="({r} + 1)")]
-    mine = [o.format(x="line", r="rest") for o in outer]
-    members = swap.unionByName(put).withColumn("key", F.expr(f"xxhash64(kind, {size} - rest + at, at, {', '.join(mine)})"))
+    size = _of_unit("length", x="line")
+    outer = lambda x, rest: [_of_unit("head", x=x, a="at"), _of_unit("tail", x=x, a=f"({rest} + 1)")]
+    mine, theirs = outer("line", "rest"), outer("head.line", "head.rest")
+    members = swap.unionByName(put).withColumn("key", F.expr(f"xxhash64(unit, kind, {size} - rest + at, at, {', '.join(mine)})"))
     heads = members.groupBy("key").agg(F.min(F.struct("id", "line", "rest")).alias("head"))
     links = members.join(heads, "key").where("id <> head.id")
     # One of the keys that a pair shares is enough to verify it.
-    links = links.groupBy("id", F.col("head.id").alias("other")).agg(F.min(F.struct("at", "rest", "line", "head")).alias("m"))
-    theirs = [o.format(x="head.line", r="head.rest") for o in outer]
-    links = links.select("id", "other", "m.*").withColumns(
+    links = links.groupBy("id", F.col("head.id").alias("other"), "unit").agg(F.min(F.struct("at", "rest", "line", "head")).alias("m"))
+    links = links.select("id", "other", "unit", "m.*").withColumns(
         {
             "a": F.expr("greatest(at - 2, 0)"),
             "same": F.expr(" AND ".join(f"{x} = {y}" for x, y in zip(mine, theirs, strict=True))),
@@ -190,7 +202,7 @@ def near_lines(lines: DataFrame, unit: Unit) -> DataFrame:
     )
     # With the outer parts compared, the edit distance is that of the part between,
     # taken with two units of either side.
-    x, y = (F.expr(unit.part.format(x=f"{c}line", a="a", b=f"({c}rest + 2)")) for c in ("", "head."))
+    x, y = (F.expr(_of_unit("part", x=f"{c}line", a="a", b=f"({c}rest + 2)")) for c in ("", "head."))
     links = links.where("same").select("id", "other", x.alias("x"), y.alias("y")).where(within_one_edit("x", "y"))
     return links.select(F.col("id").alias("u"), F.col("other").alias("v")).distinct()
 
@@ -198,8 +210,7 @@ def near_lines(lines: DataFrame, unit: Unit) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, h, removed``: positions of the lines that do not stay."""
     lines = lines_of(docs)
-    links = near_lines(lines, CHARACTERS).unionByName(near_lines(lines, WORDS))
-    roots = connected_components(links)
+    roots = connected_components(near_lines(lines))
     place = F.struct("doc_id", "h", "pos")
     seen = lines.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = materialize(
@@ -207,7 +218,6 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .where("root is not null or first <> last")
         .select("id", "first", F.coalesce("root", "id").alias("root")),
         "line-classes",
-        large=True,
     )
     low = seen.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n_rows"))
     stays = join_keyed(seen.drop("first"), low, "root").select("id", "first")

@@ -47,11 +47,13 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault("_matchgrid_worker", types.ModuleType("_matchgrid_worker")))
 
 
-def materialize(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = (), large: bool = False) -> DataFrame:
-    """``written``; after a ``large`` step the driver lets go of its shuffle files now, not when it next happens to collect its garbage."""
+def materialize(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``written``; the driver lets go of the step's shuffle files, plans and tasks now, not when it next happens to collect its garbage.
+
+    Its heap shrinks to a small multiple of what is still needed, so that many steps of many partitions do not fill it.
+    """
     out = written(df, name, instead_of)
-    if large:
-        df.sparkSession._jvm.System.gc()
+    df.sparkSession._jvm.System.gc()
     return out
 
 

@@ -208,7 +208,7 @@ def _classify(rows: DataFrame, name: str) -> DataFrame:
     repeated = F.col("n") > 1
     goes_on = ~repeated | ((F.col("n") < F.col("all")) & (place == F.col("witness")))
     joined = joined.withColumns({"repeated": repeated, "on": goes_on}).drop("n", "all", "witness")
-    return materialize(joined, name, instead_of=(rows, known), large=True)
+    return materialize(joined, name, instead_of=(rows, known))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -217,15 +217,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     every = map_arrow(keyed.select("dk", "text"), _first_pass, "k long, u long, dk long, at long")
     every = materialize(every, "suffix-first")
     groups = every.groupBy("k").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-    first = join_keyed(every, materialize(groups, "suffix-groups", large=True), "k")
-    first = materialize(first, "suffix-runs", instead_of=(every,), large=True)
+    first = join_keyed(every, materialize(groups, "suffix-groups"), "k")
+    first = materialize(first, "suffix-runs", instead_of=(every,))
     rows = _classify(first, "suffix-runs")
     spans = rows.where("repeated").select("dk", "at")
     todo = rows.where("on").groupBy("dk").agg(F.collect_set(F.struct("k", "at")).alias("found"))
     packed = map_arrow(keyed, _packed, "dk long, doc_id long, z binary").select("dk", "z")
     # Rows of equal id and text have equal runs; each counts, so none is dropped.
     contexts = map_arrow(packed.join(todo, "dk"), _contexts, "k long, dk long, at long, bytes binary").distinct()
-    contexts = materialize(contexts, "suffix-bytes", large=True)
+    contexts = materialize(contexts, "suffix-bytes")
     own = F.array(F.struct("k", F.expr("at & 65535").alias("r")))
     parts, wider = contexts.select("dk", "at", "bytes", own.alias("ranges")), None
     for width in WIDTHS:

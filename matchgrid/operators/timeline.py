@@ -45,6 +45,19 @@ def assign_frames(frames: DataFrame, segments: DataFrame, size: float) -> DataFr
     return frames.join(count, "video_key").select("video_key", "frame", "t", seg.alias("seg_id"))
 
 
+def framed_segments(videos: DataFrame, fps: float, size: float) -> DataFrame:
+    """``video_key, frame, t, seg_id``: the grid of frames with their segments, as ``assign_frames`` gives them.
+
+    A video's length says how many segments it has, so no frame is moved for that.
+    """
+    n = F.ceil((F.col("duration") - 1e-6) / size).cast("int")
+    long = videos.where((F.col("duration") > 0) & F.lit(size > 0)).select("video_key", "duration", n.alias("n"))
+    n_frames = F.greatest(F.lit(1), F.floor(F.col("duration") * fps + 0.5).cast("int"))
+    grid = long.select("video_key", "n", F.explode(F.sequence(F.lit(0), n_frames - 1)).alias("frame"))
+    grid = grid.withColumn("t", F.bround(F.col("frame") / fps, 3))
+    return grid.select("video_key", "frame", "t", F.least(F.floor(F.col("t") / size), F.col("n") - 1).cast("int").alias("seg_id"))
+
+
 def heard_and_context(utterances: DataFrame, segments: DataFrame, size: float) -> DataFrame:
     """Segments with ``heard`` (by midpoint, each utterance once) and ``context``
     (every utterance that overlaps); a midpoint outside all segments counts for

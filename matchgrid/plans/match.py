@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matchgrid.functions.scalars import clean_answer, clock, first_json, one_of, player_name, report_key, short_team
 from matchgrid.operators import decode, hits, learning, media, motion, report, score, stats, timeline
 from matchgrid.operators.hits import ANKLES, NOSE, WRISTS
-from matchgrid.session import work_folder, written
+from matchgrid.session import dealt, work_folder, written
 from matchgrid.sources.answers import asked_once
 
 
@@ -219,7 +219,7 @@ def summaries(segments: DataFrame, ask: Callable[[DataFrame], DataFrame], size:
     all videos are asked for together, then the videos.
     """
     place = Window.partitionBy("video_key").orderBy("seg_id")
-    numbered = segments.withColumn("chunk", F.floor((F.row_number().over(place) - 1) / size).cast("int"))
+    numbered = dealt(segments, "video_key").withColumn("chunk", F.floor((F.row_number().over(place) - 1) / size).cast("int"))
     texts = written(timeline.timeline_text(numbered, ("video_key", "chunk"), spans=True), "chunks")
     long = texts.groupBy("video_key").agg(F.count("*").alias("n")).where("n > 1").select("video_key")
     parts = texts.join(long, "video_key", "left_semi")
@@ -238,7 +238,7 @@ def describe(
     videos: DataFrame, utterances: DataFrame, speech: DataFrame, make_client: Callable[[], Callable[[str], str]], models: dict[str, str], fps: float = 1.0, size: float = 5.0,
     store: str | None = None, chunk: int = CHUNK,
 ) -> dict[str, DataFrame]:
-    """Videos as tables: ``segments`` with what was seen and heard, ``documents`` and ``markdown``.
+    """Videos as tables: ``segments`` with what was seen and heard, ``summaries``, ``documents`` and ``markdown``.
 
     videos: ``video_key, name, duration`` and any facts of a probe report; utterances as they were
     recognized, of which those with a word in detected speech count. Each segment that has a frame is asked
@@ -250,8 +250,9 @@ def describe(
     folder = store or f"{work_folder(spark)}/answers-{uuid.uuid4().hex}"
     ask = lambda prompts: asked_once(prompts, folder, make_client, models.get("vlm", ""))
     kept = timeline.filter_utterances(utterances, speech, videos)
-    segs = timeline.plan_segments(videos, size)
-    grid = timeline.assign_frames(timeline.frame_grid(videos, fps), segs, size)
+    # All that follows by segment stays in these partitions.
+    segs = dealt(timeline.plan_segments(videos, size), "video_key", "seg_id")
+    grid = timeline.framed_segments(videos, fps, size)
     held = grid.groupBy("video_key", "seg_id").agg(F.count("*").alias("n_frames"))
     heard = timeline.heard_and_context(kept, segs, size).join(held, ["video_key", "seg_id"])
     key = F.to_json(F.struct("video_key", "seg_id"))
@@ -263,4 +264,4 @@ def describe(
     told = videos.join(written(summaries(full, ask, chunk), "summaries"), "video_key", "left")
     told = told.withColumns({"fps": F.lit(fps), "segment": F.lit(size), "language": F.lit(None).cast("string")})
     docs = report.build_document(told, full, grid, kept, speech, models)
-    return {"segments": full, "documents": docs, "markdown": report.to_markdown(docs)}
+    return {"segments": full, "summaries": told.select("video_key", "summary"), "documents": docs, "markdown": report.to_markdown(docs)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from matchgrid.session import written
+from matchgrid.session import partitions_of, written
 from matchgrid.sources.labels import ask_model
 
 SCHEMA = "hash string, model string, answer string, part string"
@@ -40,12 +40,14 @@ def asked_once(
     spark = prompts.sparkSession
     hashed = prompts.select("key", "prompt", F.sha2(F.concat(F.lit(model), F.lit("\x00"), "prompt"), 256).alias("hash"))
     hashed = written(hashed.withColumn("part", F.substring("hash", 1, 1)), "prompts")
-    wanted = written(hashed.where("hash IS NOT NULL").groupBy("hash", "part").agg(F.min("prompt").alias("prompt")), "wanted")
+    # Steps by hash run in as many partitions as there are prompts for, whatever the session's number.
+    n = partitions_of(hashed)
+    wanted = written(hashed.where("hash IS NOT NULL").repartition(n, "hash").groupBy("hash", "part").agg(F.min("prompt").alias("prompt")), "wanted")
     names = wanted.select("hash", "part")
     few = F.broadcast(names) if names.count() <= BROADCAST_HASHES else names
     have = stored(spark, store).join(few, ["part", "hash"], "left_semi").groupBy("hash").agg(F.min("answer").alias("answer"))
     have = written(have, "answers")
-    missing = wanted.join(have, "hash", "left_anti")
+    missing = (wanted if have.isEmpty() else wanted.repartition(n, "hash")).join(have, "hash", "left_anti")
     known = have.withColumn("error", F.lit(None).cast("string"))
     for turn in range(turns):
         ask = missing.where(F.pmod(F.xxhash64("hash"), F.lit(turns)) == turn)
@@ -53,4 +55,4 @@ def asked_once(
         good = fresh.where("error IS NULL AND answer IS NOT NULL")
         good.select("hash", F.lit(model).alias("model"), "answer", F.substring("hash", 1, 1).alias("part")).repartition("part").write.mode("append").partitionBy("part").parquet(store)
         known = known.unionByName(fresh.select("hash", "answer", "error"))
-    return hashed.join(known, "hash", "left").select("key", "answer", "error")
+    return hashed.repartition(n, "hash").join(known, "hash", "left").select("key", "answer", "error")

@@ -7,6 +7,10 @@ character in lines of at least ``MIN_LINE_CHARS`` characters, or a whole word in
 lines of at least ``MIN_LINE_WORDS`` words, so an edit is a tenth of a line at
 most; every line that is not blank takes part, shorter ones by equality only.
 
+First each line is cut into two halves, and only lines that share a half with
+another go on (``meeting_lines``); its length is rounded down for that, so a line has little more than
+two keys. The texts of all others are neither moved nor cut any further.
+
 The join cuts a line into threshold-plus-one segments, here two. Two lines one
 edit apart agree outside one of the segments, so each line enters an index
 under (length, edited segment, hash of all before it, hash of all behind it),
@@ -36,7 +40,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, materialize
+from .common import few, join_keyed, materialize
 from .components import connected_components
 
 MIN_LINE_CHARS = 16
@@ -45,6 +49,8 @@ MIN_LINE_WORDS = 10
 WHITE = " \t\n\x0B\f\r"
 #: Pieces that a segment is split into in each later round.
 FAN_OUT = 16
+#: Leading bits of a line's length that decide how much of it is a key at first.
+LEVEL_BITS = 3
 #: Keys that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -55,7 +61,7 @@ class Unit:
 
     name: str
     least: int
-    #: Length of a line, its first ``a`` units, those from ``a`` (from 1) on, both as text,
+    #: Length of a line, its first ``a`` units, those from ``a`` (from 1) on where it has ``size`` words, both as text,
     #: and units ``a + 1 .. b`` as an array.
     length: str
     head: str
@@ -67,7 +73,7 @@ CHARACTERS = Unit("characters", MIN_LINE_CHARS, "length({x})", "left({x}, {a})",
 # Words are told apart by single spaces, so a number of words joined by them is as good as their array, and cheaper to hash.
 _WORDS = "(octet_length({x}) - octet_length(replace({x}, ' ', '')) + 1)"
 WORDS = Unit(
-    "words", MIN_LINE_WORDS, _WORDS, "substring_index({x}, ' ', {a})", f"substring_index({{x}}, ' ', least(0, {{a}} - 1 - {_WORDS}))",
+    "words", MIN_LINE_WORDS, _WORDS, "substring_index({x}, ' ', {a})", "substring_index({x}, ' ', least(0, {a} - 1 - {size}))",
     "slice(split({x}, ' '), {a} + 1, greatest({b} - {a}, 0))",
 )
 UNITS = (CHARACTERS, WORDS)
@@ -90,15 +96,66 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return (
         _row_key(docs)
         .select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-        .where(F.trim("raw", F.lit(WHITE)) != "")
+        .where(F.ltrim("raw", F.lit(WHITE)) != "")
         .select("doc_id", "h", "pos", F.trim("raw").alias("line"))
         .withColumn("id", F.xxhash64("line", F.length("line")))
     )
 
 
+def _level(size: str) -> str:
+    """A length with its leading ``LEVEL_BITS`` bits only, so that few lengths have another level than the length below."""
+    low = f"greatest(0, cast(floor(log2({size})) as int) - {LEVEL_BITS - 1})"
+    return f"shiftleft(shiftright({size}, {low}), {low})"
+
+
+def _halves(lines: DataFrame) -> DataFrame:
+    """``id, part, key``: keys of which lines one edit apart share one at least, and equal lines all.
+
+    All but one of the shorter line's n units are the same at the front and at the back of both lines, so
+    they agree in their first or in their last m units wherever 2 * m <= n. m is half of n's
+    level; a line that begins a level has the keys of the level below too, as its
+    partner may be one shorter. Words serve for edits of characters as well, as these change one word, join two or
+    part one; characters serve for lines of few words only. One word fewer than ``MIN_LINE_WORDS`` may be either
+    case, so such lines have both. Lines that take part by equality only have their id as key.
+    """
+    words, chars = WORDS.length.format(x="line"), CHARACTERS.length.format(x="line")
+    least = MIN_LINE_WORDS - 1
+    sized = lines.select("id", "line", F.expr(words).alias("words"), F.expr(chars).alias("chars"))
+    half = lambda size: f"({_level(size)} div 2)"
+    # Positive for words, negative for characters.
+    halves = f"""array(
+      CASE WHEN words >= {least} THEN {half("words")} WHEN chars >= {MIN_LINE_CHARS} THEN -{half("chars")} ELSE 0 END,
+      CASE WHEN words = {least} AND chars >= {MIN_LINE_CHARS} THEN -{half("chars")} END,
+      CASE WHEN words > {least} THEN if({_level("(words - 1)")} < {_level("words")}, {half("(words - 1)")}, null)
+        WHEN chars > {MIN_LINE_CHARS} AND {_level("(chars - 1)")} < {_level("chars")} THEN -{half("(chars - 1)")} END)"""
+    cut = sized.select("id", "line", F.explode(F.expr(halves).cast("array<int>")).alias("half")).where("half is not null")
+    before = "if(half > 0, substring_index(line, ' ', half), left(line, -half))"
+    behind = "if(half > 0, substring_index(line, ' ', -half), substring(line, half))"
+    keys = f"if(half = 0, array(id), array(xxhash64(0, half, {before}), xxhash64(1, half, {behind})))"
+    return cut.select("id", F.posexplode(F.expr(keys)).alias("part", "key"))
+
+
+def meeting_lines(lines: DataFrame) -> DataFrame:
+    """``doc_id, h, pos, id, line`` of all lines that may equal another or be one edit apart; ``line`` only for the latter.
+
+    Texts are read for their keys and for what is found; only keys are counted and joined.
+    """
+    pairs = materialize(_halves(lines), "line-pairs")
+    n_first = F.count_if(F.col("part") == 0)
+    keys = pairs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), n_first.alias("n"), F.count("*").alias("n_rows"))
+    keys = materialize(keys.where("a < b or n > 1").select("key", F.expr("a < b").alias("near"), "n_rows"), "line-keys")
+    small = keys.count() <= BROADCAST_KEYS
+    met = pairs.join(F.broadcast(keys.drop("n_rows")), "key") if small else join_keyed(pairs, keys, "key")
+    # A line has each of its keys once, so that its keys are no fewer than its places.
+    ids = met.groupBy("id").agg(F.max("near").alias("near"), F.count("*").alias("n_rows"))
+    ids = materialize(ids, "line-ids", instead_of=(pairs, keys))
+    found = lines.join(F.broadcast(ids.drop("n_rows")), "id") if few(ids) else join_keyed(lines, ids, "id")
+    return materialize(found.select("doc_id", "h", "pos", "id", F.expr("if(near, line, null)").alias("line")), "line-places", instead_of=(ids,))
+
+
 def _key() -> Column:
     """Index key of a line whose edit may lie in [lo, hi) of the shorter line."""
-    before, behind = _of_unit("head", x="line", a="lo"), _of_unit("tail", x="line", a="(hi + longer + 1)")
+    before, behind = _of_unit("head", x="line", a="lo"), _of_unit("tail", x="line", a="(hi + longer + 1)", size="(n + longer)")
     return F.expr(f"xxhash64(unit, n, lo, hi, {before}, {behind})")
 
 
@@ -144,23 +201,26 @@ def _with_shared(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def within_one_edit(a: str, b: str) -> Column:
     """Banded bit-parallel test of two arrays of characters or words: at most one edit apart.
 
+    Both are made once a row, as fields of ``p``, whatever the optimizer puts in place of their names.
+
     Bit d of ``r0`` and ``r1`` says that the first i units of b match the
     first i + d - 1 of a with no or at most one edit; three diagonals suffice.
     """
-    step = f"""
+    step = """
       aggregate(
-        sequence(0, size({b}) - 1),
+        sequence(0, size(p.b) - 1),
         struct(2 AS r0, 6 AS r1),
         (acc, i) -> named_struct(
           'r0', acc.r0 & m(i),
           'r1', ((acc.r1 & m(i)) | acc.r0 | shiftright(acc.r0, 1) | shiftleft(acc.r0 & m(i), 1)) & 7),
-        acc -> shiftright(acc.r1, size({a}) - size({b}) + 1) & 1)
+        acc -> shiftright(acc.r1, size(p.a) - size(p.b) + 1) & 1)
     """
     mask = (
-        f"(if(i > 0 and get({a}, i - 1) = get({b}, i), 1, 0) + if(get({a}, i) <=> get({b}, i), 2, 0)"
-        f" + if(i + 1 < size({a}) and get({a}, i + 1) = get({b}, i), 4, 0))"
+        "(if(i > 0 and get(p.a, i - 1) = get(p.b, i), 1, 0) + if(get(p.a, i) <=> get(p.b, i), 2, 0)"
+        " + if(i + 1 < size(p.a) and get(p.a, i + 1) = get(p.b, i), 4, 0))"
     )
-    return (F.expr(f"abs(size({a}) - size({b})) <= 1")) & (F.expr(step.replace("m(i)", mask)) == 1)
+    near = f"abs(size(p.a) - size(p.b)) <= 1 AND {step.replace('m(i)', mask)} = 1"
+    return F.expr(f"exists(array(struct({a} AS a, {b} AS b)), p -> {near})")
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -187,7 +247,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
         "id", "unit", "line", "at", (F.col("at") + F.col("longer")).alias("rest"), F.lit(1).alias("kind")
     )
     size = _of_unit("length", x="line")
-    outer = lambda x, rest: [_of_unit("head", x=x, a="at"), _of_unit("tail", x=x, a=f"({rest} + 1)")]
+    outer = lambda x, rest: [_of_unit("head", x=x, a="at"), _of_unit("tail", x=x, a=f"({rest} + 1)", size=_WORDS.format(x=x))]
     mine, theirs = outer("line", "rest"), outer("head.line", "head.rest")
     members = swap.unionByName(put).withColumn("key", F.expr(f"xxhash64(unit, kind, {size} - rest + at, at, {', '.join(mine)})"))
     heads = members.groupBy("key").agg(F.min(F.struct("id", "line", "rest")).alias("head"))
@@ -209,8 +269,8 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, h, removed``: positions of the lines that do not stay."""
-    lines = lines_of(docs)
-    roots = connected_components(near_lines(lines))
+    lines = meeting_lines(lines_of(docs))
+    roots = connected_components(near_lines(lines.where("line is not null")))
     place = F.struct("doc_id", "h", "pos")
     seen = lines.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     seen = materialize(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -19,32 +20,53 @@ cloudpickle.register_pickle_by_value(matchgrid)
 
 #: Rows that a function sees at once; long texts count, so it stays at a few MB.
 BATCH_ROWS = 400
-#: Rows of the batches that Spark sends to Python, at most.
+#: Rows of the batches that Spark sends to Python, at most, and the bytes from which a batch is sent as it is.
 SENT_ROWS = 2000
+SENT_BYTES = 4 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str, batch_rows: int = BATCH_ROWS, cached: bool = False) -> DataFrame:
     """``mapInArrow`` with small batches, so that memory follows one batch only.
 
     Spark sends up to 64 MB at once by default, which JVM and worker both hold; its
-    bound on rows is lowered to ``SENT_ROWS`` where it is higher, always to
-    this one value. What a function sees is sliced here, whatever the bound.
+    bounds are lowered to ``SENT_ROWS`` and ``SENT_BYTES`` where they are higher, always to
+    these values. What a function sees is sliced here, whatever the bounds.
+    Workers serve one step after another: unless ``fn`` is ``cached``, what an earlier one left in
+    ``worker_cache`` goes first.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf, read = df.sparkSession.conf, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= SENT_ROWS:
         conf.set(name, str(SENT_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if read(conf.get(name)) > SENT_BYTES:
+        conf.set(name, str(SENT_BYTES))
 
     def sliced(batches: Batches) -> Batches:
+        if not cached:
+            release_cache()
         return fn(b.slice(k, batch_rows) for b in batches for k in range(0, max(1, b.num_rows), batch_rows))
 
     return df.mapInArrow(sliced, schema)
 
 
 def worker_cache() -> dict:
-    """Whatever outlives a task in its Python worker; functions that travel with a plan have no module of their own."""
-    return vars(sys.modules.setdefault("_matchgrid_worker", types.ModuleType("_matchgrid_worker")))
+    """What outlives a task in its Python worker, until a step that does not use it; functions that travel with a plan have no module of their own."""
+    return vars(sys.modules.setdefault("_matchgrid_worker", types.ModuleType("_matchgrid_worker"))).setdefault("kept", {})
+
+
+def release_cache() -> None:
+    """Empties ``worker_cache`` and gives the memory back to the system."""
+    kept = worker_cache()
+    if kept:
+        kept.clear()
+        pa.default_memory_pool().release_unused()
+        # Freed memory stays with the C library otherwise; other ones than glibc have no such call.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def materialize(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:

@@ -65,20 +65,20 @@ class Encoder:
     def __init__(self, path: str):
         kept, key = worker_cache(), ("encoder", path)
         if key not in kept:
-            kept[key] = (tokenizers.Tokenizer.from_file(path), self._words_only(path), [{}, {}])
+            whole = tokenizers.Tokenizer.from_file(path)
+            kept[key] = (whole, self._words_only(whole), [{}, {}])
         self.tokenizer, self.words, self.cache = kept[key]
 
     @staticmethod
-    def _words_only(path: str) -> tokenizers.Tokenizer | None:
-        """The same model for single lower-case words and runs of punctuation.
+    def _words_only(whole: tokenizers.Tokenizer) -> tokenizers.Tokenizer | None:
+        """The same model, in memory once, for single lower-case words and runs of punctuation.
 
         None where the tokenizer does not drop white space and part words from
         punctuation, lower-casing first; texts then go to it whole.
         """
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        norms = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        pre, norm = (json.loads(x.__getstate__()) if x else {} for x in (whole.pre_tokenizer, whole.normalizer))
+        steps = pre.get("pretokenizers") or [{}]
+        norms = [n["type"] for n in norm.get("normalizers", [])]
         if (
             [x.get("type") for x in steps] != ["Split", "ByteLevel"]
             or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True)
@@ -86,8 +86,9 @@ class Encoder:
             or norms != ["NFC", "Replace", "Lowercase"]
         ):
             return None
-        made |= {"normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}
-        return tokenizers.Tokenizer.from_str(json.dumps(made))
+        words = tokenizers.Tokenizer(whole.model)
+        words.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(**{k: v for k, v in steps[1].items() if k in ("add_prefix_space", "use_regex")})
+        return words
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -181,6 +182,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS) -
         picked(docs, doc_id="long", text="string"),
         cut,
         "doc_id long, piece int, start long, length long, ids_crc32 long",
+        cached=True,
     )
 
 
